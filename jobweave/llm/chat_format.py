@@ -127,7 +127,8 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 def read_back(windows: DataFrame) -> DataFrame:
     """Conversations as the formatted windows hold them: conv_id, turns (array of role
     and text), loss_text and formatted_chars; the first window's system turn counts, repeated turns don't."""
-    pieces = F.slice(F.split("text", F.lit(r"\Q" + START + r"\E"), -1), 2, 2**31 - 1)
+    marked = F.split("text", r"\Q" + START + r"\E", -1)
+    pieces = F.slice(marked, 2, F.size(marked))
     turn = lambda p: F.struct(
         unescape_role(F.substring_index(p, "\n", 1)).alias("role"),
         unescape_text(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + F.lit(2), F.length(p) - F.length(F.substring_index(p, "\n", 1)) - F.lit(2 + len(END)))).alias("text"),
@@ -135,7 +136,7 @@ def read_back(windows: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("conv_id").orderBy("window")) == 1
     parsed = windows.withColumn("first", first).withColumn("all", F.transform(pieces, turn))
     skipped = (F.col("n_system") + F.col("n_history") + 1).cast("int")
-    fresh = F.slice("all", skipped, F.greatest(F.size("all"), F.lit(1)))
+    fresh = F.slice("all", skipped, F.size("all") + 1)
     opened = F.when(F.col("first") & (F.col("n_system") == 1), F.slice("all", 1, 1)).otherwise(F.slice("all", 1, 0))
     loss = F.concat_ws("", F.transform("loss_spans", lambda s: unescape_text(F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))))
     rows = parsed.select("conv_id", "window", F.concat(opened, fresh).alias("turns"), loss.alias("loss"), F.length("text").cast("long").alias("chars"))
