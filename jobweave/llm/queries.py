@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jobweave.llm import chat_format, exact_dedup
+from jobweave.llm import chat_format, exact_dedup, packing, sentencepiece_codec
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +42,25 @@ FROM d
 """
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
+def packing_digest(pieces: DataFrame) -> DataFrame:
+    """Packed pieces with the CRC-32 of their ids, as little-endian unsigned 32-bit integers, in place of the ids."""
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            ends, flat = lists.offsets.to_pylist(), lists.values.to_numpy().astype("<u4")
+            sums = [zlib.crc32(flat[a:b]) for a, b in itertools.pairwise(ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()) if c == "ids_crc32" else batch.column(batch.schema.get_field_index(c)) for c in columns], columns)
+
+    fields = {f.name: f for f in pieces.schema.fields} | {"ids_crc32": T.StructField("ids_crc32", T.LongType())}
+    return pieces.mapInArrow(run, T.StructType([fields[c] for c in columns]))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     extra = spark.range(2).select(
@@ -88,9 +118,22 @@ FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_packing": op4_packing,
     "op6_chat_format": op6_chat_format,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
