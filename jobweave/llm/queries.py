@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm import chat_format, exact_dedup, packing, sentencepiece_codec
+from jobweave.llm import chat_format, exact_dedup, minhash_dedup, packing, sentencepiece_codec
 
 
 def vocabulary(name: str) -> str:
@@ -118,6 +118,31 @@ FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+           ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingles
+  FROM w
+), e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (na + nb - common)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.seen)
+SELECT s.doc_id, len(shingles) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT id, min(seen) AS component_id FROM r GROUP BY id) c ON c.id = s.doc_id
+"""
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model), model)
@@ -133,9 +158,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op6_chat_format": op6_chat_format,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op6_chat_format": OP6_SQL,
+    "op8_minhash_dedup": OP8_SQL,
 }
