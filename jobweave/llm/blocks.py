@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task works on at a time, unless one text alone is longer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -37,7 +38,8 @@ class Words:
         self.bounds = np.concatenate([[0], np.cumsum(counts)])
         encoded = lists.flatten().dictionary_encode()
         self.codes = encoded.indices.to_numpy(zero_copy_only=False)
-        self.values: list[str] = encoded.dictionary.to_pylist()
+        self.distinct: pa.Array = encoded.dictionary
+        self.values: list[str] = self.distinct.to_pylist()
 
     def rows_with(self, marked: np.ndarray) -> np.ndarray:
         """Rows that hold a value marked in a boolean array over the distinct values."""
@@ -51,8 +53,8 @@ class ChunkTable:
     The table is emptied when it holds ``limit`` chunks, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+        self.encode, self.limit = encode, limit  # encode gives the ids of all chunks one after another, and how many each has
         self._clear()
 
     def _clear(self) -> None:
@@ -66,10 +68,9 @@ class ChunkTable:
             self._clear()
             missing = values
         if missing:
-            lists = self.encode(missing)
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat, lengths = self.encode(missing)
             self.index.update(zip(missing, range(len(self.lengths), len(self.lengths) + len(missing)), strict=True))
-            self.flat = np.concatenate([self.flat, *lists], dtype=np.int32, casting="unsafe")
+            self.flat = np.concatenate([self.flat, flat], dtype=np.int32, casting="unsafe")
             self.lengths = np.concatenate([self.lengths, lengths])
             self.starts = np.cumsum(self.lengths) - self.lengths
         return np.fromiter(map(self.index.__getitem__, values), np.int64, len(values))
@@ -82,6 +83,11 @@ class ChunkTable:
         return self.flat[at], bounds
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(lengths.sum())), lengths
+
+
 def joined_by_row(table: ChunkTable, rows: np.ndarray, bounds: np.ndarray, other: dict[int, list[int]]) -> pa.ListArray:
     """One list a text: the table's lists in ``rows`` between the text's bounds, or ``other``'s list for that text."""
     flat, ends = table.gather(rows)

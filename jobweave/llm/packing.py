@@ -16,12 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm.blocks import ChunkTable, Words, filled, joined_by_row, text_blocks
+from jobweave.llm.blocks import ChunkTable, Words, filled, flattened, joined_by_row, text_blocks
 
 SEQUENCE = 2048
 #: Sequences that a packing task keeps open.
@@ -41,42 +42,69 @@ def _tokenizer(path: str):
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> ChunkTable:
-    """Lists of words, most of them with the space before them.
+    """Ids of words with the one white-space character before them, or of a text's first word.
 
-    Those are encoded many in a call, each behind a line feed, which is a token of its
-    own: white space before a word is cut before its last space.
+    Many of the former are encoded in a call, each behind a line feed (its own, or an
+    added one, which is dropped): a line feed before a word is a token of its own, and
+    before a space too, since white space before a word is cut before its last space.
     """
     tokenizer = _tokenizer(path)
-    whole = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
-    feed = whole("\n")[0]
-
-    def encode(words: list[str]) -> list:
-        lists: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if w[:1] == " " and "\n" not in w]
-        for a in range(0, len(plain), 512):
-            some = plain[a : a + 512]
-            ids = np.asarray(whole("".join("\n" + words[i] for i in some)), np.int32)
-            for i, part in zip(some, np.split(ids, np.flatnonzero(ids == feed))[1:], strict=True):
-                lists[i] = part[1:]
-        return [whole(w) if x is None else x for w, x in zip(words, lists, strict=True)]
+    ids_of = lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+    feed = ids_of(["\n"])[0][0]
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        firsts = [i for i, w in enumerate(words) if w[:1] not in (" ", "\n")]
+        first_ids, first_lengths = flattened(ids_of([words[i] for i in firsts]))
+        cut = set(firsts)
+        rest = [w for i, w in enumerate(words) if i not in cut] if cut else words
+        flats, lengths = [first_ids], [first_lengths]
+        for a in range(0, len(rest), 512):
+            some = rest[a : a + 512]
+            spaced = np.fromiter((w[0] == " " for w in some), bool, len(some))
+            ids = np.asarray(ids_of(["".join(["\n" + w if w[0] == " " else w for w in some])])[0], np.int32)
+            at = np.flatnonzero(ids == feed)
+            lengths.append(np.diff(at, append=len(ids)) - spaced)
+            flats.append(np.delete(ids, at[spaced]))
+        flat, length = np.concatenate(flats), np.concatenate(lengths)
+        if not cut:
+            return flat, length
+        # Back into the order of the words.
+        others = np.ones(len(words), bool)
+        others[firsts] = False
+        order = np.empty(len(words), np.int64)
+        order[np.concatenate([np.asarray(firsts, np.int64), np.flatnonzero(others)])] = np.arange(len(words))
+        starts = np.cumsum(length) - length
+        length, starts = length[order], starts[order]
+        ends = np.cumsum(length)
+        return flat[np.arange(ends[-1]) + np.repeat(starts - (ends - length), length)], length
 
     return ChunkTable(encode)
 
 
+def _cut(texts: pa.Array) -> pa.Array:
+    """Words with the line feed before them, if any."""
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+
+
+_BLANK = r"\t\x0B\f\r\p{Z}\x1C-\x1F\x{85}"
+#: Words where white space touches other white space or an end of the text.
+_ODD = rf"^(?:\n?$|\n?[{_BLANK}]|\n\n)|[\n{_BLANK}]$"
+
+
 def encode_texts(texts: pa.Array, path: str) -> pa.ListArray:
-    """Ids of each text by a byte-level BPE whose pre-tokens never run on after a
-    word into a single space: distinct space-separated words are encoded once."""
+    """Ids of each text by a byte-level BPE whose pre-tokens never run on after a word
+    into a single space or line feed: distinct words are encoded once.  Texts with
+    other runs of white space, or white space at an end, are encoded whole."""
     texts = filled(texts)
-    words = Words(texts)
-    odd_value = [not v or v[0].isspace() or v[-1].isspace() for v in words.values]
-    odd_rows = np.flatnonzero(words.rows_with(np.asarray(odd_value, bool))).tolist()
-    # The first word of a text has no space before it.
+    words = Words(texts, _cut)
+    odd_value = pc.match_substring_regex(words.distinct, _ODD).to_numpy(zero_copy_only=False)
+    odd_rows = np.flatnonzero(words.rows_with(odd_value)).tolist()
     openings = [words.values[c] for c in words.codes[words.bounds[:-1]].tolist()]
     table = _table(path)
-    rows = table.rows(["" if odd else " " + v for v, odd in zip(words.values, odd_value, strict=True)] + openings)
+    rows = table.rows(["" if odd else v if v[0] == "\n" else " " + v for v, odd in zip(words.values, odd_value.tolist(), strict=True)] + openings)
     codes = words.codes.astype(np.int64)
     codes[words.bounds[:-1]] = len(words.values) + np.arange(len(openings))
-    whole = _tokenizer(path).encode_batch([texts[r].as_py() for r in odd_rows], add_special_tokens=False)
+    whole = _tokenizer(path).encode_batch_fast([texts[r].as_py() for r in odd_rows], add_special_tokens=False)
     return joined_by_row(table, rows[codes], words.bounds, {r: e.ids for r, e in zip(odd_rows, whole, strict=True)})
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from jobweave.llm.blocks import ChunkTable, Words, filled, joined_by_row, text_blocks
+from jobweave.llm.blocks import ChunkTable, Words, filled, flattened, joined_by_row, text_blocks
 
 MARK = "▁"
 _MARKED = re.compile(r" +[^ ]*")
@@ -41,7 +41,7 @@ def _model(path: str):
 @lru_cache(maxsize=2)
 def _table(path: str) -> ChunkTable:
     model, _ = _model(path)
-    return ChunkTable(lambda words: model.encode(words, num_threads=1))
+    return ChunkTable(lambda words: flattened(model.encode(words, num_threads=1)))
 
 
 def encode_texts(texts: pa.Array, path: str) -> pa.ListArray:
