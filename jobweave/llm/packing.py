@@ -10,6 +10,7 @@ best fit, and when too many sequences are open, the fullest closes first.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,6 +41,37 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+#: How byte-level BPE cuts a text before it merges bytes (fixed value of the vocabulary's family).
+_CUTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The bytes that the characters of a byte-level vocabulary stand for: printable
+    Latin-1 characters for themselves, characters from 256 on for the others in turn."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str):
+    """Ids of a long string.  Where the file's merges come in the order of their ids, which
+    is how this vocabulary is built, merging by id gives the same ids as merging by the
+    list, and the quicker library does it; else the file's own tokenizer."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary, byte = model["vocab"], _byte_of()
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocabulary.get("".join(p), -1) for p in pairs]
+    if made == list(range(256, 256 + len(made))):
+        import tiktoken
+
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(made)}
+        return tiktoken.Encoding("by_id", pat_str=_CUTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    tokenizer = _tokenizer(path)
+    return lambda s: tokenizer.encode_batch_fast([s], add_special_tokens=False)[0].ids
+
+
 @lru_cache(maxsize=2)
 def _table(path: str) -> ChunkTable:
     """Ids of words with the one white-space character before them, or of a text's first word.
@@ -48,20 +80,19 @@ def _table(path: str) -> ChunkTable:
     added one, which is dropped): a line feed before a word is a token of its own, and
     before a space too, since white space before a word is cut before its last space.
     """
-    tokenizer = _tokenizer(path)
-    ids_of = lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-    feed = ids_of(["\n"])[0][0]
+    ids_of = _encoder(path)
+    feed = ids_of("\n")[0]
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         firsts = [i for i, w in enumerate(words) if w[:1] not in (" ", "\n")]
-        first_ids, first_lengths = flattened(ids_of([words[i] for i in firsts]))
+        first_ids, first_lengths = flattened([ids_of(words[i]) for i in firsts])
         cut = set(firsts)
         rest = [w for i, w in enumerate(words) if i not in cut] if cut else words
         flats, lengths = [first_ids], [first_lengths]
         for a in range(0, len(rest), 512):
             some = rest[a : a + 512]
             spaced = np.fromiter((w[0] == " " for w in some), bool, len(some))
-            ids = np.asarray(ids_of(["".join(["\n" + w if w[0] == " " else w for w in some])])[0], np.int32)
+            ids = np.asarray(ids_of("".join(["\n" + w if w[0] == " " else w for w in some])), np.int32)
             at = np.flatnonzero(ids == feed)
             lengths.append(np.diff(at, append=len(ids)) - spaced)
             flats.append(np.delete(ids, at[spaced]))
