@@ -7,11 +7,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm import chat_format, exact_dedup, minhash_dedup, packing, sentencepiece_codec
+from jobweave.llm import chat_format, exact_dedup, minhash_dedup, packing, sentencepiece_codec, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(id_col: str = "doc_id") -> Column:
+    """The remainder of a document's identifier that decides what it may be used for."""
+    return F.crc32(F.col(id_col).cast("string")) % 3
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold() != 1)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(fold() == 1, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), payload=[])
 
@@ -155,6 +171,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op6_chat_format": op6_chat_format,
