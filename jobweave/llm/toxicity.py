@@ -32,7 +32,7 @@ SAMPLE = 2000
 EPOCHS = 5
 ALPHA, BETA, L2 = 1.0, 1.0, 0.0
 #: Of a full sample; a smaller one gets less in proportion, and FEWEST_L1 at least.
-L1, FEWEST_L1 = 8.0, 1.0
+L1, FEWEST_L1 = 8.0, 2.0
 THRESHOLD = 0.7
 #: Hashes of a word: the whole and its openings.
 OPENINGS = (4, 5, 6)
