@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm import chat_format, exact_dedup, minhash_dedup, packing, sentencepiece_codec, toxicity
+from jobweave.llm import chat_format, exact_dedup, minhash_dedup, packing, secret_scan, sentencepiece_codec, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans, base = F.col("secrets"), secret_scan.KINDS[:3]
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_of(spans, k).alias(f"n_{k}") for k in base],
+        F.sha2(secret_scan.joined(spans, base), 256).alias("base_sha256"),
+        secret_scan.joined(spans, secret_scan.KINDS).alias("spans"),
+    )
+
+
 def fold(id_col: str = "doc_id") -> Column:
     """The remainder of a document's identifier that decides what it may be used for."""
     return F.crc32(F.col(id_col).cast("string")) % 3
@@ -171,6 +182,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
