@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm import chat_format, exact_dedup, minhash_dedup, packing, secret_scan, sentencepiece_codec, toxicity
+from jobweave.llm import chat_format, exact_dedup, minhash_dedup, packing, pii, secret_scan, sentencepiece_codec, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -170,6 +170,18 @@ FROM s JOIN (SELECT id, min(seen) AS component_id FROM r GROUP BY id) c ON c.id
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit(docs))
+    of = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[of(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined(F.col("pii"), True), 256).alias("base_sha256"),
+        pii.joined(F.col("pii"), False).alias("spans"),
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model), model)
@@ -188,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_chat_format": op6_chat_format,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {
