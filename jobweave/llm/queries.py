@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm import chat_format, exact_dedup, minhash_dedup, packing, pii, secret_scan, sentencepiece_codec, toxicity
+from jobweave.llm import chat_format, exact_dedup, language_id, minhash_dedup, packing, pii, secret_scan, sentencepiece_codec, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -88,6 +88,14 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(run, T.StructType([fields[c] for c in columns]))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = language_id.fit(docs, fold() != 1)
+    return language_id.predict(docs.select("doc_id", "text"), models).select(
+        "doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     extra = spark.range(2).select(
@@ -198,6 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_language_id": op5_language_id,
     "op6_chat_format": op6_chat_format,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_pii": op9_pii,
