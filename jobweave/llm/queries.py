@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm import chat_format, exact_dedup, language_id, minhash_dedup, packing, pii, secret_scan, sentencepiece_codec, toxicity
+from jobweave.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, pii, secret_scan, sentencepiece_codec, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -153,6 +153,10 @@ FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -208,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op6_chat_format": op6_chat_format,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
