@@ -6,5 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of a session and a folder of tables under a name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def load_all() -> None:
+    from jobweave.plans import (  # noqa: F401
+        board_queries, health_queries, traffic_queries,
+    )
