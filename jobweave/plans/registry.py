@@ -28,5 +28,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from jobweave.plans import (  # noqa: F401
-        board_queries, health_queries, traffic_queries,
+        board_queries, health_queries, page_queries, text_queries, traffic_queries,
     )

@@ -53,6 +53,16 @@ _EXPRESSIONS: dict[str, dict[str, str]] = {
         "description": "concat('About the role. The ', CASE o_orderkey % 3 WHEN 0 THEN 'policy' WHEN 1 THEN 'health' ELSE 'gender' END, ' team hosts an intern. Apply by the date.')",
         "raw": "CASE WHEN o_orderkey % 2 = 0 THEN concat('{\"structured\":{\"summary\":\"Role ', o_orderkey, '\"},\"repostedToChannel\":', CASE WHEN o_orderkey % 8 = 0 THEN 'true' ELSE 'false' END, '}') ELSE '{}' END",
     },
+    "postings": {
+        "id": "o_orderkey",
+        "url": "concat(CASE o_orderkey % 13 WHEN 0 THEN 'https://careers.un.org/job/' WHEN 1 THEN 'https://www.idealist.org/en/' WHEN 2 THEN 'https://x.fa.em2.oraclecloud.com/hcm/' WHEN 3 THEN 'https://reliefweb.int/job/' WHEN 4 THEN 'https://acme.wd1.myworkdayjobs.com/Ext/' WHEN 5 THEN 'https://boards.greenhouse.io/acme/' WHEN 6 THEN 'https://jobs.lever.co/acme/' WHEN 7 THEN 'https://careers.smartrecruiters.com/acme/' WHEN 8 THEN 'https://career5.successfactors.eu/' WHEN 9 THEN 'https://blog.example.org/wp-json/wp/v2/' WHEN 10 THEN 'HTTPS://WWW.Jobs.Example.org:8080/' WHEN 11 THEN 'mailto:a@example.org?' ELSE 'http://example.com/' END, o_orderkey, CASE o_custkey % 5 WHEN 0 THEN '?utm_source=x&a=1&b=&utm_medium=m#' WHEN 1 THEN '?fbclid=abc' WHEN 2 THEN '?q=a%20b&ref=tw#top' WHEN 3 THEN '' ELSE '?x=1&y=2' END)",
+        "source": "CASE o_orderkey % 4 WHEN 0 THEN 'ethiongojobs' WHEN 1 THEN 'greenhouse:acme' WHEN 2 THEN 'generic:site' ELSE 'undp' END",
+        "title": "CASE o_orderkey % 12 WHEN 0 THEN 'Policy  Intern' WHEN 1 THEN 'Internship Programme Coordinator' WHEN 2 THEN 'Communications Internship at Green Fund.' WHEN 3 THEN '5 Interns Required' WHEN 4 THEN '10 Job and Internship opportunities at Acme' WHEN 5 THEN 'Internship: Human Resources Intern' WHEN 6 THEN '(MEL and Communication Intern)' WHEN 7 THEN 'IT Support Internship (5 Required)' WHEN 8 THEN 'Health Officer' WHEN 9 THEN 'Traineeship in Migration' WHEN 10 THEN 'International Relations fellow' ELSE 'Vacancies at UNECA' END",
+        "location": "CASE o_custkey % 8 WHEN 0 THEN 'Addis Ababa, Ethiopia' WHEN 1 THEN 'Remote' WHEN 2 THEN 'Remote areas of Kenya' WHEN 3 THEN 'Geneva, Switzerland' WHEN 5 THEN '' WHEN 6 THEN 'Nairobi, Kenya' WHEN 7 THEN 'Home-based / remote' END",
+        "org_name": "CASE o_custkey % 6 WHEN 0 THEN concat('Supplier#', lpad(CAST(o_custkey % 100 + 1 AS VARCHAR(9)), 9, '0')) WHEN 1 THEN concat('THE supplier ', lpad(CAST(o_custkey % 100 + 1 AS VARCHAR(9)), 9, '0'), ' Ltd') WHEN 2 THEN concat('Joint office of Supplier#', lpad(CAST(o_custkey % 100 + 1 AS VARCHAR(9)), 9, '0'), ' & Co') WHEN 3 THEN 'Unknown' WHEN 4 THEN 'Somebody else' END",
+        "text": "concat(CASE o_orderkey % 9 WHEN 0 THEN 'Location: Addis Ababa Deadline Date: May 29, 2026' WHEN 1 THEN 'Deadline: 29/05/2026\nOrganization: Green Fund; ' WHEN 2 THEN 'Applications close on 21st June 2025.' WHEN 3 THEN 'Submit your form no later than 4 January 2022.' WHEN 4 THEN 'Please apply by 25 October 2024 with a letter.' WHEN 5 THEN 'The project will end by March 3, 2025.' WHEN 6 THEN 'Closing Date: tomorrow' WHEN 7 THEN 'Duty Station: Nairobi\nDepartment: Policy' ELSE 'Apply by 99/99/2024.' END, '\n', CASE o_orderkey % 7 WHEN 0 THEN 'Fully remote position.' WHEN 1 THEN 'Visa sponsorship is offered.' WHEN 2 THEN 'We do not cover travel costs.' WHEN 3 THEN 'Must be eligible to work in the United States.' WHEN 4 THEN 'Hybrid work, 2 days remote per week.' WHEN 5 THEN 'Travel costs are covered.' ELSE 'Work in remote areas.' END, ' ', CASE o_orderkey % 5 WHEN 0 THEN 'A stipend of USD 1,500 per month is paid.' WHEN 1 THEN 'This is unpaid.' WHEN 2 THEN 'Salary: ETB 5,000 - 7,000 monthly.' WHEN 3 THEN 'Costs $200 for a visit.' ELSE 'Gender, peace and human rights policy work in civil society.' END, ' ', CASE o_orderkey % 3 WHEN 0 THEN 'The health and nutrition team.' WHEN 1 THEN 'Governance and elections.' ELSE '' END)",
+        "posted_at": "CASE WHEN o_orderkey % 6 = 0 THEN TIMESTAMP '2025-12-01 00:00:00' WHEN o_orderkey % 6 < 4 THEN TIMESTAMP '2025-03-01 00:00:00' END",
+    },
     "orgs": {
         "slug": "concat('org-', s_suppkey)",
         "name": "CASE WHEN s_suppkey % 4 = 0 THEN concat('The ', s_name, ' Organization') ELSE s_name END",
@@ -92,6 +102,7 @@ _EXPRESSIONS: dict[str, dict[str, str]] = {
 _FROM = {
     "page_events": "events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey",
     "listings": "orders",
+    "postings": "orders",
     "orgs": "supplier LEFT JOIN nation ON s_nationkey = n_nationkey",
     "subscribers": "customer",
     "bookmarks": "events WHERE event_type = 'purchase'",
