@@ -3,27 +3,30 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobweave.functions.text import once
 
-def has_term(text: Column, term: str) -> Column:
-    return F.lower(text).rlike(r"(^|[^a-z0-9])" + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", term.lower()) + r"([^a-z0-9]|$)")
+
+def has_term(low: Column, term: str) -> Column:
+    """Whether a term stands in lower-case text; the plain search spares most rows the pattern."""
+    word = term.lower()
+    return F.contains(low, F.lit(word)) & low.rlike(r"(^|[^a-z0-9])" + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", word) + r"([^a-z0-9]|$)")
 
 
 def matched(text: Column, terms: tuple[str, ...]) -> Column:
     """The terms that occur, in the lexicon's order."""
-    return F.array_compact(F.array(*[F.when(has_term(text, t), F.lit(t)) for t in terms]))
+    return once(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(has_term(low, t), F.lit(t)) for t in terms])))
 
 
 def tags(text: Column, tag_terms: dict[str, tuple[str, ...]]) -> Column:
     """The tags of which any term occurs, in the table's order."""
 
-    def any_of(terms: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for t in terms:
-            out = out | has_term(text, t)
-        return out
+    def found(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(reduce(or_, [has_term(low, t) for t in ts]), F.lit(tag)) for tag, ts in tag_terms.items()]))
 
-    return F.array_compact(F.array(*[F.when(any_of(ts), F.lit(tag)) for tag, ts in tag_terms.items()]))
+    return once(F.lower(text), found)

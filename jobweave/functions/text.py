@@ -20,7 +20,13 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
 
 def matches(c: Column, pattern: str) -> Column:
     """Whether a pattern occurs; not in a null."""
-    return F.coalesce(c.rlike(java(pattern)), F.lit(False))
+    return F.coalesce(occurs(c, pattern), F.lit(False))
+
+
+def occurs(c: Column, pattern: str) -> Column:
+    """Whether a pattern occurs; null in a null.  Without its word edges it runs much faster, and rarely matches where it doesn't with them."""
+    exact = c.rlike(java(pattern))
+    return c.rlike(pattern.replace(r"\b", "")) & exact if r"\b" in pattern else exact
 
 
 def collapse(c: Column) -> Column:
@@ -35,10 +41,12 @@ def filled(c: Column) -> Column:
 
 def top_meta(text: Column) -> Column:
     """Values of labels at the top of a text (first 600 characters): a struct of the labels, null where there is none."""
-    head = F.substring(text, 1, 600)
+    return once(F.substring(text, 1, 600), _labels)
+
 
+def _labels(head: Column) -> Column:
     def grab(label: str) -> Column:
-        rest = F.when(head.rlike(java("(?i)" + label)), F.regexp_extract(head, java(f"(?is){label}(.*)"), 1))
+        rest = F.when(occurs(head, "(?i)" + label), F.regexp_extract(head, java(f"(?is){label}(.*)"), 1))
         value = collapse(F.split(rest, java(P.LABEL_STOP), 2)[0])
         return filled(F.regexp_replace(value, r"[.;]+$", ""))
 
@@ -83,11 +91,11 @@ def find_deadline(text: Column) -> Column:
     than" or "on or before", or behind "by" or "before" where the text is about applying."""
     label = "(?i)" + P.DEADLINE_LABEL
     near = F.substring(F.regexp_extract(text, java(f"(?is){P.DEADLINE_LABEL}.*"), 0), 1, 80)
-    labelled = text.rlike(java(label)) & near.rlike(P.DATE_TOKEN)
+    labelled = occurs(text, label) & near.rlike(P.DATE_TOKEN)
     token = (
         F.when(labelled, F.regexp_extract(near, P.DATE_TOKEN, 1))
-        .when(text.rlike(java(P.STRONG_DEADLINE)), F.regexp_extract(text, java(P.STRONG_DEADLINE), 1))
-        .when(text.rlike(java(P.ABOUT_APPLYING)), F.regexp_extract(text, java(P.WEAK_DEADLINE), 1))
+        .when(occurs(text, P.STRONG_DEADLINE), F.regexp_extract(text, java(P.STRONG_DEADLINE), 1))
+        .when(occurs(text, P.ABOUT_APPLYING), F.regexp_extract(text, java(P.WEAK_DEADLINE), 1))
     )
     return parse_deadline(token)
 
@@ -95,7 +103,7 @@ def find_deadline(text: Column) -> Column:
 def detect_paid(title: Column, text: Column) -> Column:
     """False, true or unknown (null) by the title and the first 1500 characters; unpaid wins."""
     head = F.concat_ws("\n", F.lower(title), F.lower(F.substring(text, 1, 1500)))
-    return F.when(head.rlike(java(P.UNPAID)), False).when(head.rlike(java(P.PAID)), True)
+    return once(head, lambda h: F.when(occurs(h, P.UNPAID), False).when(occurs(h, P.PAID), True))
 
 
 def extract_stipend(text: Column) -> Column:

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from jobweave.config import DOMESTIC_SOURCES, SHOW_FIT, UNDATED_STALE_DAYS
 from jobweave.functions import patterns as P
-from jobweave.functions.text import collapse, matches
+from jobweave.functions.text import collapse, matches, once
 from jobweave.operators.traffic import moment
 
 
 def is_internship(title: Column) -> Column:
     """An internship, and not a staff role that runs internships."""
-    t = collapse(title)
-    return matches(t, P.INTERN) & ~matches(t, P.STAFF)
+    return once(collapse(title), lambda t: matches(t, P.INTERN) & ~matches(t, P.STAFF))
 
 
 def is_roundup(title: Column) -> Column:
@@ -24,8 +23,11 @@ def is_roundup(title: Column) -> Column:
 
 def access_decision(location: Column, title: Column, text: Column) -> Column:
     """Whether someone in the home country can take the role: accessible, category and reason; the first rule that holds decides."""
-    place = collapse(location)
-    body = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
+    whole = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
+    return once(collapse(location), lambda place: once(whole, lambda body: _access(place, body)))
+
+
+def _access(place: Column, body: Column) -> Column:
     remote = (matches(place, P.REMOTE_WORD) & ~matches(place, P.REMOTE_GEOGRAPHY)) | (matches(body, P.REMOTE_MODALITY) & ~matches(body, P.REMOTE_GEOGRAPHY))
     rules = (
         (matches(place, P.HOME_COUNTRY) | matches(body, P.HOME_COUNTRY), True, "ethiopia", F.lit("Duty station in the home country.")),
