@@ -157,6 +157,15 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS seen FROM v UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.seen),
+c AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM u GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept, 1.0::DOUBLE AS audited_recall FROM c LEFT JOIN n ON n.a = c.id
+"""
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -220,5 +229,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op6_chat_format": OP6_SQL,
+    "op7_embedding_dedup": OP7_SQL,
     "op8_minhash_dedup": OP8_SQL,
 }
