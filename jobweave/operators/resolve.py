@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +56,8 @@ def dup_pairs(items: DataFrame, threshold: float = DUPLICATE_SIMILARITY, id_col:
     ).where((F.col("block") != "") & (F.size("tokens") > 0))
     # Only blocks with two items or more can pair.
     shared = rows.groupBy("block").count().where("count > 1").select("block")
-    rows = rows.join(shared, "block", "left_semi")
+    # Four branches read the tokens; kept blocks that are lost are computed again.
+    rows = rows.join(shared, "block", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     each = rows.select("block", "id", F.explode("tokens").alias("token"))
     rarity = each.groupBy("block", "token").count()
     ranked = each.join(rarity, ["block", "token"]).groupBy("block", "id").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("order"))
