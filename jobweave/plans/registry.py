@@ -28,5 +28,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from jobweave.plans import (  # noqa: F401
-        board_queries, dedup_queries, health_queries, lifecycle_queries, page_queries, text_queries, traffic_queries,
+        board_queries, dedup_queries, health_queries, lifecycle_queries, page_queries, source_queries, text_queries, traffic_queries,
     )
