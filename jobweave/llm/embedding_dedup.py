@@ -33,14 +33,16 @@ from pyspark.sql import functions as F
 from jobweave.llm.components import connected_components, durable
 
 THRESHOLD = 0.9
-#: Vectors that centres are fitted on, and centres, at most.
-SAMPLE, CENTRES = 20_000, 1024
+#: Centres at most, and vectors that they are fitted on: SAMPLE, or PER_CENTRE for each centre if that is more.
+CENTRES, SAMPLE, PER_CENTRE = 1 << 14, 20_000, 4
 #: Owned classes of a shard (split beyond twice that), and queries of a block.
 SHARD, QUERIES = 2048, 4096
 #: Neighbours of a node, candidates that they are pruned from, width of the beam, how much closer a kept neighbour must be to drop a candidate.
-DEGREE, CANDIDATES, BEAM, ALPHA = 24, 64, 64, 1.2
+DEGREE, CANDIDATES, BEAM, ALPHA = 32, 96, 64, 1.6
+#: How much farther than the threshold range expansion goes, to reach links whose path leads through such nodes.
+SLACK = 0.05
 #: Classes whose links are audited, the share of links to be found, and how many nearest centres are probed, in turn.
-AUDITED, RECALL, PROBES = 1000, 0.98, (4, 8, 16, 32)
+AUDITED, RECALL, PROBES = 1000, 0.99, (4, 8, 16, 32)
 
 
 def folded(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -74,10 +76,11 @@ def _unit(blobs: list[bytes], dimension: int) -> np.ndarray:
 
 
 def fit_centres(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
-    """Directions of k clusters of the rows, by a few rounds of spherical k-means."""
+    """Directions of k clusters of the rows, by a few rounds of spherical k-means (fewer where there are very many)."""
+    rounds = rounds if k <= 1024 else 2
     centres = x[np.random.default_rng(11).permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        own = np.concatenate([(x[a : a + 4096] @ centres.T).argmax(axis=1) for a in range(0, len(x), 4096)])
+        own = np.concatenate([(x[a : a + 1024] @ centres.T).argmax(axis=1) for a in range(0, len(x), 1024)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
@@ -213,21 +216,21 @@ class _Index:
         self.classes, self.dimension = classes, dimension
         self.spark = classes.sparkSession
         k = max(1, min(CENTRES, total // SHARD))
-        every = max(1, total // SAMPLE)
-        some = classes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vec").limit(2 * SAMPLE).collect() if k > 1 else []
+        sample = max(SAMPLE, PER_CENTRE * k)
+        every = max(1, total // sample)
+        some = classes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vec").limit(2 * sample).collect() if k > 1 else []
         x = _unit([r["vec"] for r in some], dimension) if some else np.empty((0, dimension))
         self.centres = fit_centres(x, min(k, len(x))) if len(x) else np.zeros((1, dimension))
         counts = self._dealt(2).groupBy("shard").agg(F.count_if("own").alias("n")).collect()
-        self.parts = np.ones(len(self.centres), np.int64)
-        for r in counts:
-            self.parts[r["shard"]] = max(1, -(-r["n"] // (2 * SHARD)))
-        members = self._dealt(2)
-        self.members = members.withColumn("part", F.pmod(F.xxhash64("id"), self._of(self.parts)).cast("int"))
+        self.parts = self._by_shard({r["shard"]: max(1, -(-r["n"] // (2 * SHARD))) for r in counts}, "parts")
+        members = self._dealt(2).join(self.parts, "shard")
+        self.members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
         self.graph = durable(self._graph())
 
-    def _of(self, values: np.ndarray):
-        """A column with the number that a shard has in an array of at most CENTRES numbers."""
-        return F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("shard"))
+    def _by_shard(self, values: dict[int, int], name: str) -> DataFrame:
+        """A number for each shard, 1 where none is given; a table of at most CENTRES rows."""
+        rows = [(s, values.get(s, 1)) for s in range(len(self.centres))]
+        return F.broadcast(self.spark.createDataFrame(rows, f"shard int, {name} int"))
 
     def _dealt(self, nearest: int) -> DataFrame:
         """A row for each class and each of its nearest centres: shard, own (the nearest), id, n, vec."""
@@ -236,12 +239,13 @@ class _Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    sims = _unit(batch.column(2).to_pylist(), dimension) @ centres.value.T
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    sims = _unit(part.column(2).to_pylist(), dimension) @ centres.value.T
                     top = np.argsort(-sims, axis=1, kind="stable")[:, :nearest]
-                    row = pa.array(np.repeat(np.arange(batch.num_rows), nearest))
-                    own = np.tile(np.arange(nearest) == 0, batch.num_rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(own), *(c.take(row) for c in batch.columns)], ["shard", "own", "id", "n", "vec"])
+                    row = pa.array(np.repeat(np.arange(part.num_rows), nearest))
+                    own = np.tile(np.arange(nearest) == 0, part.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(own), *(c.take(row) for c in part.columns)], ["shard", "own", "id", "n", "vec"])
 
         return self.classes.select("id", "n", "vec").mapInArrow(run, "shard int, own boolean, id bigint, n bigint, vec binary")
 
@@ -262,13 +266,11 @@ class _Index:
         """Rows of two kinds: links (id, the number of links found in one part), and forest edges (id, root)."""
         dimension = self.dimension
         wanted = self._dealt(probes)
-        counts = {r["shard"]: r["count"] for r in wanted.groupBy("shard").count().collect()}
-        blocks = np.array([max(1, -(-counts.get(s, 0) // QUERIES)) for s in range(len(self.centres))])
-        block = F.pmod(F.xxhash64(F.lit(1), "id"), self._of(blocks)).cast("int")
-        queries = wanted.select("shard", F.explode(F.sequence(F.lit(0), self._of(self.parts).cast("int") - 1)).alias("part"), block.alias("block"), "id", "n", "vec")
-        nodes = self.members.join(self.graph, "id").select(
-            "shard", "part", F.explode(F.sequence(F.lit(0), self._of(blocks).cast("int") - 1)).alias("block"), "id", "n", "own", "vec", "near"
-        )
+        blocks = self._by_shard({r["shard"]: max(1, -(-r["count"] // QUERIES)) for r in wanted.groupBy("shard").count().collect()}, "blocks")
+        block = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("blocks")).cast("int").alias("block")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        queries = wanted.join(self.parts, "shard").join(blocks, "shard").select("shard", each("parts").alias("part"), block, "id", "n", "vec")
+        nodes = self.members.join(self.graph, "id").join(blocks, "shard").select("shard", "part", each("blocks").alias("block"), "id", "n", "own", "vec", "near")
         keys = ["shard", "part", "block"]
 
         def look(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -291,7 +293,7 @@ class _Index:
             medoid = int((x64 @ middle).argmax())
             # A few evenly spread entries beside the medoid reach parts of the graph that its edges may not.
             entry = np.unique(np.concatenate([[medoid], np.linspace(0, len(ids) - 1, 8).astype(int)]))
-            a, b = search(x64.astype(np.float32), adjacency, entry, q64.astype(np.float32), threshold - 1e-4, beam)
+            a, b = search(x64.astype(np.float32), adjacency, entry, q64.astype(np.float32), threshold - SLACK, beam)
             live = own[b] & (q_ids[a] != ids[b])
             a, b = a[live], b[live]
             sure = np.concatenate([np.einsum("ij,ij->i", q64[a[i : i + 65536]], x64[b[i : i + 65536]]) >= threshold for i in range(0, len(a), 65536)] or [np.empty(0, bool)])
