@@ -191,7 +191,9 @@ def search(x: np.ndarray, adjacency: np.ndarray, entry: np.ndarray, queries: np.
         todo_q, todo_n = np.concatenate([*next_q, todo_q[:0]]), np.concatenate([*next_n, todo_n[:0]])
         hit_q.append(todo_q)
         hit_n.append(todo_n)
-    return np.concatenate(hit_q), np.concatenate(hit_n)
+    # A list may name a node twice.
+    pair = np.unique(np.concatenate(hit_q) * m + np.concatenate(hit_n))
+    return pair // m, pair % m
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
