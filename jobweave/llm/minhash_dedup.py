@@ -90,7 +90,7 @@ def shingle_sets(texts: pa.Array, width: int, hashes: _WordHashes) -> tuple[np.n
     n_words = np.where(blank, 0, ends - starts)
     # A shingle begins at every word but the last width - 1; a text with fewer words is one shingle.
     joined = h.copy() * _MIX1
-    for k in range(1, width):
+    for k in range(1, min(width, len(h))):  # a block may hold fewer words than a shingle
         joined[: len(h) - k] = _mixed(joined[: len(h) - k]) + h[k:] * _MIX2
     joined = _mixed(joined)
     sets = []

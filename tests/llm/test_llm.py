@@ -102,6 +102,15 @@ def test_near_dedup_against_brute_force(spark, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("width", [2, 5])
+def test_shingles_of_blocks_with_few_words(width):
+    texts = [" ".join("abcdef"[:n]) for n in range(7)]
+    whole, bounds = minhash_dedup.shingle_sets(pa.array(texts), width, minhash_dedup._WordHashes())
+    for n, text in enumerate(texts):
+        alone, ends = minhash_dedup.shingle_sets(pa.array([text]), width, minhash_dedup._WordHashes())
+        assert ends.tolist() == [0, max(n - width + 1, min(n, 1))] and alone.tolist() == whole[bounds[n] : bounds[n + 1]].tolist()
+
+
 def test_near_dedup_on_odd_tables(odd, none):
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(odd, width=2).collect()}
     assert {(1, 1, True), (2, 2, True), (3, 3, True), (6, 6, True), (7, 6, False), (None, 6, False), (8, 8, True)} <= got
