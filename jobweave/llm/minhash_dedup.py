@@ -7,9 +7,11 @@ coordinates by a hash of its path, 1 / similarity of them on average, and a clas
 moves on to one child for each, named by its minwise value there.  A pair at the
 threshold so keeps one shared child on average at every level, while unrelated
 sets part.  Nodes with at most ``SMALL`` classes compare all their members by
-their minwise values; nodes whose members all resemble the first are settled by
-comparing each member with the node's leaders.  Candidates are confirmed on the
-full sets, and confirmed links make components.
+their minwise values, and so do nodes with at most ``FULL`` whose members all
+resemble the first.  In larger nodes of that kind members are compared with the
+node's leaders; one that surely resembles a leader is settled there, all others
+move on to the children.  Candidates are confirmed on the full sets, and confirmed
+links make components.
 
 The nodes of the first levels cannot be small, so the paths down to the level
 where an average node would be small are computed where the rows are.
@@ -37,12 +39,17 @@ from jobweave.llm.components import connected_components, durable
 COORDINATES = 64
 TREES = 16
 SMALL = 32
-#: Rows of a larger node that decide whether it branches or is settled by leaders.
-PROBE = 1024
+#: Members of a node whose members resemble each other, up to which all are compared.
+FULL = 64
+#: Rows of a larger node that decide whether it branches at once or gets leaders, and leaders of a node whose other members branch.
+PROBE, LEADERS = 1024, 8
+#: Level at which a node that is still large is settled by leaders alone, as many as it takes.
 MAX_DEPTH = 12
 #: Shares of equal minwise values: below WEAK a pair is no candidate at a similarity of 0.8 (four deviations), from STRONG on it joins.
 WEAK_BELOW = 0.2
 STRONG = 0.93
+#: A member is settled by one leader from STRONG on, or by so many from a similarity and LIKELY_ABOVE on.
+LIKELY_ABOVE, LIKELY_LEADERS = 0.05, 2
 #: Bits of the fixed-size filter that tells which documents have candidates.
 FILTER_BITS = 1 << 26
 
@@ -199,31 +206,33 @@ def _small_pairs(ids: np.ndarray, sigs: np.ndarray, starts: np.ndarray, size: in
 
 
 class _Leaders:
-    """Members of one node, each compared with the leaders so far; one that resembles none leads."""
+    """Members of one node, each compared with the leaders so far; one that they don't settle leads, up to ``most`` leaders."""
 
-    def __init__(self, weak: float):
-        self.weak = weak
+    def __init__(self, similarity: float, most: int | None):
+        self.weak, self.likely, self.most = similarity - WEAK_BELOW, similarity + LIKELY_ABOVE, most
         self.ids, self.sigs = np.empty(0, np.int64), np.empty((0, COORDINATES), np.uint8)
 
-    def add(self, ids: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out_a, out_b = [], []
-        todo = np.arange(len(ids))
+    def add(self, ids: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidate pairs, and the places of the members that no leader settles, leaders among them."""
+        out_a, out_b, led = [], [], []
+        todo, likely = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         done = 0
-        found = np.zeros(len(ids), bool)
         while True:
             for k in range(done, len(self.ids)):
-                hit = todo[(sigs[todo] == self.sigs[k]).mean(axis=1) >= self.weak]
+                alike = (sigs[todo] == self.sigs[k]).mean(axis=1)
+                # Members that branch meet the later leaders again, which branch as well.
+                hit = todo[alike >= (self.weak if self.most is None or k < LIKELY_LEADERS else self.likely)]
                 out_a.append(np.full(len(hit), self.ids[k]))
                 out_b.append(ids[hit])
-                found[hit] = True
+                likely[todo] += alike >= self.likely
+                todo = todo[(alike < STRONG) & (likely[todo] < LIKELY_LEADERS)]
             done = len(self.ids)
-            todo = todo[~found[todo]]
-            if not len(todo):
+            if not len(todo) or done == self.most:
                 break
             self.ids, self.sigs = np.append(self.ids, ids[todo[0]]), np.vstack([self.sigs, sigs[todo[:1]]])
-            found[todo[0]] = True
+            led.append(int(todo[0]))
             todo = todo[1:]
-        return np.concatenate([*out_a, self.ids[:0]]), np.concatenate([*out_b, self.ids[:0]])
+        return np.concatenate([*out_a, self.ids[:0]]), np.concatenate([*out_b, self.ids[:0]]), np.concatenate([np.array(led, np.int64), todo])
 
 
 def _level(similarity: float, last: bool):
@@ -231,15 +240,21 @@ def _level(similarity: float, last: bool):
     weak = similarity - WEAK_BELOW
 
     def large(keys, ids, sigs, leaders):
-        if leaders is None:
+        if leaders is not None:
+            a, b, left = leaders.add(ids, sigs)
+            yield _node_batch(_PAIR, np.zeros(len(a)), a, b, None)
+            if last:
+                return
+            keys, ids, sigs = keys[left], ids[left], sigs[left]
+        if len(ids):
             child, row = _children(keys, sigs, similarity)
-            return _node_batch(_CHILD, child, ids[row], ids[row], sigs[row])
-        a, b = leaders.add(ids, sigs)
-        return _node_batch(_PAIR, np.zeros(len(a)), a, b, None)
+            yield _node_batch(_CHILD, child, ids[row], ids[row], sigs[row])
+
+    def dense(sigs):
+        return (sigs == sigs[0]).mean(axis=1).mean() >= similarity
 
     def verdict(sigs):
-        dense = last or (sigs == sigs[0]).mean(axis=1).mean() >= similarity
-        return _Leaders(weak) if dense else None
+        return _Leaders(similarity, None if last else LEADERS) if last or dense(sigs) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, COORDINATES), np.uint8))
@@ -251,7 +266,7 @@ def _level(similarity: float, last: bool):
             if streaming is not None:
                 n = int(np.searchsorted(keys != streaming[0], True)) if keys[0] == streaming[0] else 0
                 if n:
-                    yield large(keys[:n], ids[:n], sigs[:n], streaming[1])
+                    yield from large(keys[:n], ids[:n], sigs[:n], streaming[1])
                 keys, ids, sigs = keys[n:], ids[n:], sigs[n:]
                 if not len(keys):
                     continue
@@ -267,24 +282,27 @@ def _level(similarity: float, last: bool):
                     starts, sizes = starts[:-1], sizes[:-1]
                 else:
                     streaming = (keys[s], verdict(sigs[s : s + PROBE]))
-                    yield large(keys[s:], ids[s:], sigs[s:], streaming[1])
+                    yield from large(keys[s:], ids[s:], sigs[s:], streaming[1])
                     starts, sizes = starts[:-1], sizes[:-1]
-            for size in range(2, SMALL + 1):
-                at = starts[sizes == size]
+            whole = sizes <= SMALL
+            for i in np.flatnonzero((sizes > SMALL) & (sizes <= FULL)).tolist():
+                whole[i] = last or dense(sigs[starts[i] : starts[i] + sizes[i]])
+            for size in range(2, FULL + 1):
+                at = starts[whole & (sizes == size)]
                 if len(at):
                     a, b = _small_pairs(ids, sigs, at, size, weak)
                     if len(a):
                         yield _node_batch(_PAIR, np.zeros(len(a)), a, b, None)
             branch = []
-            for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            for s, n in zip(starts[~whole].tolist(), sizes[~whole].tolist(), strict=True):
                 leaders = verdict(sigs[s : s + min(n, PROBE)])
                 if leaders is None:
                     branch.append(np.arange(s, s + n))
                 else:
-                    yield large(keys[s : s + n], ids[s : s + n], sigs[s : s + n], leaders)
+                    yield from large(keys[s : s + n], ids[s : s + n], sigs[s : s + n], leaders)
             if branch:
                 at = np.concatenate(branch)
-                yield large(keys[at], ids[at], sigs[at], None)
+                yield from large(keys[at], ids[at], sigs[at], None)
 
     return run
 

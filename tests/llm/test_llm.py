@@ -102,6 +102,23 @@ def test_near_dedup_against_brute_force(spark, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_small_groups_beside_a_hot_group(spark):
+    rng, fresh = random.Random(5), iter(range(1_000_000))
+    swapped = lambda words, places: [f"x{next(fresh)}" if i in places else w for i, w in enumerate(words)]
+    base = [f"w{i}" for i in range(200)]
+    texts = [swapped(base, {rng.randrange(200)}) for _ in range(400)]
+    for _ in range(60):  # two texts with 0.85 of each other's words and 0.75 to 0.79 of any hot text's
+        places = rng.sample(range(200), 32)
+        middle = swapped(base, set(places[:16]))
+        texts += [swapped(middle, set(places[16:24])), swapped(middle, set(places[24:]))]
+    texts = {k: " ".join(t) for k, t in enumerate(texts)}
+    words = {k: set(t.split()) for k, t in texts.items()}
+    near = {(a, b) for a in words for b in words if a < b and 5 * len(words[a] & words[b]) >= 4 * len(words[a] | words[b])}
+    assert {p for p in near if p[1] >= 400} == {(k, k + 1) for k in range(400, 520, 2)}
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: 0 if k < 400 else k - k % 2 for k in texts}
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_shingles_of_blocks_with_few_words(width):
     texts = [" ".join("abcdef"[:n]) for n in range(7)]
