@@ -13,11 +13,11 @@ are reported as kind ``novel``.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,35 +100,38 @@ class Novelty:
         return out
 
 
+def identifiers_near(text: str) -> set[str]:
+    """The identifiers close to a sensitive word, without what may be part of a secret."""
+    spans = [(value, b) for _, _, b, value in base_spans(text)] + [m.span() for m in _CANDIDATE.finditer(text) if _mixes(m[0])]
+    kept = list(text)
+    for a, b in spans:
+        kept[a:b] = " " * (b - a)
+    rest, near = "".join(kept), set()
+    for word in _SENSITIVE.finditer(text):
+        near.update(_IDENTIFIER.findall(rest, max(0, word.start() - REACH), word.end() + REACH))
+    return near
+
+
 def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = IDENTIFIERS) -> list[str]:
-    """The identifiers that most documents hold close to a sensitive word, rarest first.
+    """The identifiers that most distinct texts hold close to a sensitive word, rarest first.
 
-    All documents are counted; the dictionary keeps a fixed number of identifiers.
+    All texts are counted, copies once; the dictionary keeps a fixed number of identifiers.
+    What lies inside a span of the patterns or inside a string that could be a secret is no identifier.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
         for block in text_blocks(batches, "text"):
-            for text in _screened(block.column(0))[1]:
-                near: set[str] = set()
-                for word in _SENSITIVE.finditer(text):
-                    near.update(_IDENTIFIER.findall(text, max(0, word.start() - REACH), word.end() + REACH))
-                counts.update(near)
-            if len(counts) > 200_000:
-                yield _counted(counts)
-                counts.clear()
-        if counts:
-            yield _counted(counts)
-
-    words = docs.selectExpr(f"`{text_col}` AS text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+            texts = _screened(block.column(0))[1]
+            prints = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array([sorted(identifiers_near(t)) for t in texts], pa.list_(pa.string()))], ["print", "words"])
+
+    texts = docs.selectExpr(f"`{text_col}` AS text").mapInArrow(run, "print binary, words array<string>")
+    distinct = texts.groupBy("print").agg(F.first("words").alias("words"))
+    words = distinct.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = words.where("n > 1").orderBy(F.col("n").desc(), "word").limit(most).collect()
     return [r["word"] for r in reversed(top)]
 
 
-def _counted(counts: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-
 def _screened(texts: pa.Array) -> tuple[list[int], list[str]]:
     """Rows whose texts can hold a secret, and those texts."""
     texts = filled(texts)

@@ -157,6 +157,12 @@ def test_novel_secrets(spark, odd, none):
     assert secret_scan.find_secrets(odd).where(F.size("secrets") > 0).count() == 0 and secret_scan.find_secrets(none).count() == 0
 
 
+def test_copied_secrets_stay_new(spark):
+    texts = [f"the bearer QwZrTyXxCvBnMaSdFgHj is {x}" for x in ("set", "set", "set", "gone")]
+    found = secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [[s["kind"] for s in r["secrets"]] for r in found] == [["novel"]] * 4
+
+
 def test_toxicity_on_held_out_labels(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
