@@ -37,12 +37,12 @@ from jobweave.llm.blocks import filled, text_blocks
 KINDS = ("email", "ip", "card", "phone")
 #: Regions that the field is fitted on, at most.
 REGIONS = 1200
-#: Atoms of an entity at most; atoms of a region decoded at once.
+#: Atoms of an entity at most; atoms of a region whose entities are decoded at once, with twice LONGEST more on either side.
 LONGEST, REGION_ATOMS = 24, 160
 #: Characters of ordinary text kept on either side of a region, and digits that make one.
 MARGIN, DIGITS = 24, 7
 EPOCHS, RATE, DECAY = 6, 0.3, 1e-3
-#: Probability that the whole segmentation needs for its added entities to be reported.
+#: Probability that an added entity needs, over all segmentations, to be reported.
 CONFIDENCE = 0.8
 _REGION = re.compile(r"[^\s@]{1,64}@[^\s@]{1,64}|[+(]?[0-9](?:[^0-9\n]{0,3}[0-9]){6,}")
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|\s|[^\sA-Za-z0-9]")
@@ -188,22 +188,40 @@ class Field:
                 table[j, :labels] = fold(table[j, :labels], value)
         return table, back
 
-    def decode(self, text: str) -> tuple[list[tuple[str, int, int]], float]:
-        """The likeliest entities and the probability of the whole segmentation."""
+    def _behind(self, n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> np.ndarray:
+        """Log-sums of what follows an atom, by the label before it."""
+        labels = len(KINDS)
+        behind = np.zeros((n + 1, labels + 1))
+        by_start: list[list[int]] = [[] for _ in range(n + 1)]
+        for k, (i, _) in enumerate(segments):
+            by_start[i].append(k)
+        for i in range(n - 1, -1, -1):
+            value = np.full(labels + 1, behind[i + 1, labels])
+            for k in by_start[i]:
+                value = np.logaddexp(value, np.logaddexp.reduce(self.moves + scores[k] + behind[segments[k][1], :labels], axis=1))
+            behind[i] = value
+        return behind
+
+    def decode(self, text: str) -> tuple[list[tuple[str, int, int]], list[float]]:
+        """The entities of the likeliest segmentation, and the probability of each over all segmentations."""
         atoms, segments, x = self.lattice(text)
         if not segments:
-            return [], 1.0
+            return [], []
         scores = x @ self.weights
         table, back = self._run(len(atoms), segments, scores, best=True)
-        total = np.logaddexp.reduce(self._run(len(atoms), segments, scores, best=False)[0][-1])
-        j, y, found = len(atoms), int(table[-1].argmax()), []
-        top = float(table[-1].max())
+        j, y, found, sure = len(atoms), int(table[-1].argmax()), [], []
+        if y == len(KINDS) and all(z == (k, y) for k, z in enumerate(b[y] for b in back[1:])):
+            return [], []
+        ahead, behind = self._run(len(atoms), segments, scores, best=False)[0], self._behind(len(atoms), segments, scores)
+        total, index = float(np.logaddexp.reduce(ahead[-1])), {s: k for k, s in enumerate(segments)}
         while j:
             i, z = back[j][y]
             if y < len(KINDS):
                 found.append((KINDS[y], atoms[i][0], atoms[j - 1][1]))
+                own = float(np.logaddexp.reduce(ahead[i] + self.moves[:, y])) + scores[index[i, j], y] + behind[j, y]
+                sure.append(math.exp(min(0.0, own - total)))
             j, y = i, z
-        return found[::-1], math.exp(min(0.0, top - float(total)))
+        return found[::-1], sure[::-1]
 
     def step(self, text: str, gold: list[tuple[str, int, int]], rate: float, drop: bool) -> None:
         """One gradient step on the log-likelihood of the gold entities."""
@@ -213,16 +231,7 @@ class Field:
         scores, n, labels = x @ self.weights, len(atoms), len(KINDS)
         ahead, _ = self._run(n, segments, scores, best=False)
         total = np.logaddexp.reduce(ahead[-1])
-        # Log-sums of what follows an atom, by the label before it.
-        behind = np.zeros((n + 1, labels + 1))
-        by_start: list[list[int]] = [[] for _ in range(n + 1)]
-        for k, (i, _) in enumerate(segments):
-            by_start[i].append(k)
-        for i in range(n - 1, -1, -1):
-            value = np.full(labels + 1, behind[i + 1, labels])
-            for k in by_start[i]:
-                value = np.logaddexp(value, np.logaddexp.reduce(self.moves + scores[k] + behind[segments[k][1], :labels], axis=1))
-            behind[i] = value
+        behind = self._behind(n, segments, scores)
         wanted, moves = np.zeros((len(segments), labels)), np.zeros_like(self.moves)
         index = {(atoms[i][0], atoms[j - 1][1]): k for k, (i, j) in enumerate(segments)}
         last_end, last = -1, labels
@@ -307,18 +316,23 @@ def added_spans(field: Field, text: str, base: list[tuple[str, int, int]]) -> li
     """Entities of the field that don't touch a base span."""
     out = []
     for a, b in regions(text):
-        # A long region is decoded in pieces that are cut between atoms.
-        cuts = [m.start() for m in _ATOM.finditer(text, a, b)][::REGION_ATOMS]
-        for s, e in zip(cuts, [*cuts[1:], b], strict=True):
-            found, sure = _decoded(field, text[s:e])
-            if sure >= CONFIDENCE:
-                out += [(k, s + x, s + y) for k, x, y in found if not any(p < s + y and s + x < q for _, p, q in base)]
+        # A long region is decoded in pieces that overlap; each gives the entities that begin in its inner part.
+        cuts = [*(m.start() for m in _ATOM.finditer(text, a, b)), b]
+        n, end = len(cuts) - 1, a
+        for i in range(0, n, REGION_ATOMS):
+            first, last = cuts[i], cuts[min(i + REGION_ATOMS, n)]
+            s, e = cuts[max(0, i - 2 * LONGEST)], cuts[min(i + REGION_ATOMS + 2 * LONGEST, n)]
+            for (k, x, y), p in zip(*_decoded(field, text[s:e]), strict=True):
+                x, y = s + x, s + y
+                if p >= CONFIDENCE and max(first, end) <= x < last and not any(u < y and x < v for _, u, v in base):
+                    out.append((k, x, y))
+                    end = y
     return out
 
 
-def _decoded(field: Field, piece: str) -> tuple[list[tuple[str, int, int]], float]:
+def _decoded(field: Field, piece: str) -> tuple[list[tuple[str, int, int]], list[float]]:
     if "@" not in piece and sum(c.isdigit() for c in piece) < DIGITS:
-        return [], 1.0
+        return [], []
     return field.decode(piece)
 
 
