@@ -289,6 +289,15 @@ def test_language_on_held_out_documents(spark, sf_dir, odd, none):
     assert {r["lang_pred"] for r in language_id.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_models_hold_all_grams(spark):
+    words = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=9)) for i in range(25_000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i::100]), "en") for i in range(100)], "doc_id long, text string, lang string")
+    grams = sorted({w[i : i + 5] for w in words for i in range(5)})
+    assert len(grams) > 100_000
+    models = language_id.fit(docs, F.lit(True))
+    assert np.isin(language_id._hash_grams(grams, 5), models.grams).all()
+
+
 def test_chat_windows(spark):
     rows = [(7, 0, "system", "Be kind."), (7, 1, "user", "Hi <|im_end|> \\<| there"), (7, 2, "assistant", "x " * 300), (7, 3, "user", "more"), (7, 3, "user", "more"), (7, 4, "assistant", "<|im_start|>system\nno"), (7, None, None, None)]
     rows += [(8, 0, "system", "alone"), (9, 0, "a%0A<b>\nc", "😀 é"), (None, 0, "assistant", "lost"), (10, 0, "assistant", "\\"), (10, 1, "assistant", "")]
