@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,25 +48,45 @@ class Words:
         return hits[self.bounds[1:]] > hits[self.bounds[:-1]]
 
 
+#: A space between two letters or digits: no token and no marked word runs across it into the next word.
+_GAP = re.compile(r"(?<=\w) (?=\w)")
+
+
+def gaps(text: str, size: int = BLOCK_BYTES) -> list[int]:
+    """Places of single spaces, about ``size`` characters apart, where a long text can be cut between two words."""
+    cuts: list[int] = []
+    at = 0
+    while len(text) - at > size and (m := _GAP.search(text, at + size)):
+        at = m.start()
+        cuts.append(at)
+    return cuts
+
+
 class ChunkTable:
-    """Integer lists of distinct chunks: each chunk that a task meets is encoded once.
+    """Integer lists of distinct chunks: each chunk is encoded once while the table holds it.
 
-    The table is emptied when it holds ``limit`` chunks, so its memory is bounded.
+    The table is emptied before it takes more than ``limit`` bytes (counted as the characters,
+    the integers and ENTRY bytes a chunk), so its memory is bounded by that or by one block.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000):
+    ENTRY = 160
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 32 << 20):
         self.encode, self.limit = encode, limit  # encode gives the ids of all chunks one after another, and how many each has
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.held = 0
         self.flat, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.starts = self.lengths
 
     def rows(self, values: list[str]) -> np.ndarray:
         """The table's row of each of these distinct chunks."""
         missing = [v for v in values if v not in self.index]
-        if self.index and len(self.index) + len(missing) > self.limit:
-            self._clear()
+        size = lambda some: sum(map(len, some)) + self.ENTRY * len(some)
+        if self.index and self.held + size(missing) > self.limit:
+            self.clear()
             missing = values
         if missing:
             flat, lengths = self.encode(missing)
@@ -73,6 +94,7 @@ class ChunkTable:
             self.flat = np.concatenate([self.flat, flat], dtype=np.int32, casting="unsafe")
             self.lengths = np.concatenate([self.lengths, lengths])
             self.starts = np.cumsum(self.lengths) - self.lengths
+            self.held += size(missing) + flat.nbytes
         return np.fromiter(map(self.index.__getitem__, values), np.int64, len(values))
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +110,7 @@ def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(lengths.sum())), lengths
 
 
-def joined_by_row(table: ChunkTable, rows: np.ndarray, bounds: np.ndarray, other: dict[int, list[int]]) -> pa.ListArray:
+def joined_by_row(table: ChunkTable, rows: np.ndarray, bounds: np.ndarray, other: dict[int, np.ndarray]) -> pa.ListArray:
     """One list a text: the table's lists in ``rows`` between the text's bounds, or ``other``'s list for that text."""
     flat, ends = table.gather(rows)
     offsets = ends[bounds]
@@ -98,7 +120,7 @@ def joined_by_row(table: ChunkTable, rows: np.ndarray, bounds: np.ndarray, other
             lengths[row] = len(ids)
         last = 0
         for row in sorted(other):
-            parts += [flat[offsets[last] : offsets[row]], np.asarray(other[row], np.int32)]
+            parts += [flat[offsets[last] : offsets[row]], other[row]]
             last = row + 1
         flat = np.concatenate([*parts, flat[offsets[last] :]])
         offsets = np.concatenate([[0], np.cumsum(lengths)])

@@ -10,25 +10,27 @@ best fit, and when too many sequences are open, the fullest closes first.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm.blocks import ChunkTable, Words, filled, flattened, joined_by_row, text_blocks
+from jobweave.llm.blocks import filled, gaps, text_blocks
 
 SEQUENCE = 2048
 #: Sequences that a packing task keeps open.
 OPEN_BINS = 1 << 16
 END_ID = 0
+#: Characters of a long text that are encoded at a time, about.
+LONG = 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -36,9 +38,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 #: How byte-level BPE cuts a text before it merges bytes (fixed value of the vocabulary's family).
@@ -54,89 +54,42 @@ def _byte_of() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    """Ids of a long string.  Where the file's merges come in the order of their ids, which
+def _encoder(path: str) -> Callable[[str], np.ndarray]:
+    """From a text to its ids.  Where the file's merges come in the order of their ids, which
     is how this vocabulary is built, merging by id gives the same ids as merging by the
-    list, and the quicker library does it; else the file's own tokenizer."""
+    list, and the quicker library does it; else the file's own tokenizer.  The strings of
+    the file's added tokens stand for those tokens, as that tokenizer has it."""
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        content = json.load(file)
+    model, added = content["model"], content.get("added_tokens") or []
     vocabulary, byte = model["vocab"], _byte_of()
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     made = [vocabulary.get("".join(p), -1) for p in pairs]
-    if made == list(range(256, 256 + len(made))):
-        import tiktoken
+    if made != list(range(256, 256 + len(made))) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        tokenizer = _tokenizer(path)
+        return lambda text: np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+    import tiktoken
 
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(made)}
-        return tiktoken.Encoding("by_id", pat_str=_CUTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    tokenizer = _tokenizer(path)
-    return lambda s: tokenizer.encode_batch_fast([s], add_special_tokens=False)[0].ids
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(made)}
+    special = {t["content"]: t["id"] for t in added}
+    encoding = tiktoken.Encoding("by_id", pat_str=_CUTS, mergeable_ranks=ranks, special_tokens=special)
 
+    def encode(text: str) -> np.ndarray:
+        if any(t in text for t in special):
+            return np.asarray(encoding.encode(text, allowed_special="all"), np.int32)
+        # A long text is encoded in parts, so that only one part's ids are ever Python objects.
+        ends = [0, *gaps(text, LONG), len(text)]
+        parts = [np.asarray(encoding.encode_ordinary(text[a:b]), np.int32) for a, b in itertools.pairwise(ends)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
-@lru_cache(maxsize=2)
-def _table(path: str) -> ChunkTable:
-    """Ids of words with the one white-space character before them, or of a text's first word.
+    return encode
 
-    Many of the former are encoded in a call, each behind a line feed (its own, or an
-    added one, which is dropped): a line feed before a word is a token of its own, and
-    before a space too, since white space before a word is cut before its last space.
-    """
-    ids_of = _encoder(path)
-    feed = ids_of("\n")[0]
-
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        firsts = [i for i, w in enumerate(words) if w[:1] not in (" ", "\n")]
-        first_ids, first_lengths = flattened([ids_of(words[i]) for i in firsts])
-        cut = set(firsts)
-        rest = [w for i, w in enumerate(words) if i not in cut] if cut else words
-        flats, lengths = [first_ids], [first_lengths]
-        for a in range(0, len(rest), 512):
-            some = rest[a : a + 512]
-            spaced = np.fromiter((w[0] == " " for w in some), bool, len(some))
-            ids = np.asarray(ids_of("".join(["\n" + w if w[0] == " " else w for w in some])), np.int32)
-            at = np.flatnonzero(ids == feed)
-            lengths.append(np.diff(at, append=len(ids)) - spaced)
-            flats.append(np.delete(ids, at[spaced]))
-        flat, length = np.concatenate(flats), np.concatenate(lengths)
-        if not cut:
-            return flat, length
-        # Back into the order of the words.
-        others = np.ones(len(words), bool)
-        others[firsts] = False
-        order = np.empty(len(words), np.int64)
-        order[np.concatenate([np.asarray(firsts, np.int64), np.flatnonzero(others)])] = np.arange(len(words))
-        starts = np.cumsum(length) - length
-        length, starts = length[order], starts[order]
-        ends = np.cumsum(length)
-        return flat[np.arange(ends[-1]) + np.repeat(starts - (ends - length), length)], length
-
-    return ChunkTable(encode)
-
-
-def _cut(texts: pa.Array) -> pa.Array:
-    """Words with the line feed before them, if any."""
-    return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-
-
-_BLANK = r"\t\x0B\f\r\p{Z}\x1C-\x1F\x{85}"
-#: Words where white space touches other white space or an end of the text.
-_ODD = rf"^(?:\n?$|\n?[{_BLANK}]|\n\n)|[\n{_BLANK}]$"
-
-
-def encode_texts(texts: pa.Array, path: str) -> pa.ListArray:
-    """Ids of each text by a byte-level BPE whose pre-tokens never run on after a word
-    into a single space or line feed: distinct words are encoded once.  Texts with
-    other runs of white space, or white space at an end, are encoded whole."""
-    texts = filled(texts)
-    words = Words(texts, _cut)
-    odd_value = pc.match_substring_regex(words.distinct, _ODD).to_numpy(zero_copy_only=False)
-    odd_rows = np.flatnonzero(words.rows_with(odd_value)).tolist()
-    openings = [words.values[c] for c in words.codes[words.bounds[:-1]].tolist()]
-    table = _table(path)
-    rows = table.rows(["" if odd else v if v[0] == "\n" else " " + v for v, odd in zip(words.values, odd_value.tolist(), strict=True)] + openings)
-    codes = words.codes.astype(np.int64)
-    codes[words.bounds[:-1]] = len(words.values) + np.arange(len(openings))
-    whole = _tokenizer(path).encode_batch_fast([texts[r].as_py() for r in odd_rows], add_special_tokens=False)
-    return joined_by_row(table, rows[codes], words.bounds, {r: e.ids for r, e in zip(odd_rows, whole, strict=True)})
+
+def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and how many each has."""
+    encode = _encoder(path)
+    ids = [encode(text.as_py()) for text in filled(texts)]
+    return np.concatenate([np.empty(0, np.int32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE) -> DataFrame:
@@ -144,11 +97,10 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text"):
-            lists = encode_texts(block.column(1), tokenizer_path)
-            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-            sizes = np.diff(offsets)
-            flat = np.insert(flat, offsets[1:], END_ID)
-            sizes, begins = sizes + 1, offsets[:-1] + np.arange(len(sizes))
+            flat, sizes = encode_texts(block.column(1), tokenizer_path)
+            flat = np.insert(flat, np.cumsum(sizes), END_ID)
+            sizes = sizes + 1
+            begins = np.cumsum(sizes) - sizes
             pieces = -(-sizes // length)
             row = np.repeat(np.arange(len(sizes)), pieces)
             number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

@@ -63,7 +63,7 @@ class Featurizer:
     """Feature hashes of a block of texts."""
 
     def __init__(self) -> None:
-        self.table = ChunkTable(_word_hashes, limit=200_000)
+        self.table = ChunkTable(_word_hashes)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Hashes (one row for each kind of feature, 0 for none) and the bounds of each text."""

@@ -10,11 +10,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 pytest.importorskip("jobweave.llm.queries")
 from jobweave.llm import (  # noqa: E402
-    chat_format, components, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, pii, queries, secret_scan, sentencepiece_codec, toxicity,
+    blocks, chat_format, components, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, pii, queries, secret_scan, sentencepiece_codec, toxicity,
 )
 
 #: Null, empty, blank, very long and repeated texts, ties, a null identifier, and columns with clashing names.
@@ -232,7 +233,47 @@ def test_chunked_encoding_is_exact(spark, documents, odd, none):
     filled = [s or "" for s in strings]
     assert separable and sentencepiece_codec.encode_texts(pa.array(strings), queries.vocabulary("piece_bpe_32k.model")).to_pylist() == model.encode(filled)
     path = queries.vocabulary("byte_bpe_50k.json")
-    assert packing.encode_texts(pa.array(strings), path).to_pylist() == [e.ids for e in packing._tokenizer(path).encode_batch(filled, add_special_tokens=False)]
+    flat, sizes = packing.encode_texts(pa.array(strings), path)
+    want = [e.ids for e in tokenizers.Tokenizer.from_file(path).encode_batch(filled, add_special_tokens=False)]
+    assert flat.tolist() == [i for ids in want for i in ids] and sizes.tolist() == list(map(len, want)) and 50256 in flat
+
+
+def test_long_texts_are_cut_without_a_trace(monkeypatch):
+    rng = random.Random(4)
+    parts = ["a", "b1", "Zoë", "日本", "1", "23", "!", "'s", " ", " ", " ", "  ", "\n", "\t", "▁", "\xa0", "word"]
+    strings = ["".join(rng.choices(parts, k=400)) for _ in range(300)] + [" ".join("%x" % rng.getrandbits(30) for _ in range(5000))]
+    path, whole = queries.vocabulary("piece_bpe_32k.model"), queries.vocabulary("byte_bpe_50k.json")
+    model, _ = sentencepiece_codec._model(path)
+    tokenizer = tokenizers.Tokenizer.from_file(whole)
+    monkeypatch.setattr(packing, "LONG", 30)
+    monkeypatch.setattr(sentencepiece_codec, "gaps", lambda text: blocks.gaps(text, 30))
+    monkeypatch.setattr(sentencepiece_codec, "DECODED", 5)
+    pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
+    opens = np.array([len(p) > 1 and p[0] == "▁" != p[1] for p in pieces])
+    assert sum(len(blocks.gaps(s, 30)) > 3 for s in strings) > 200
+    for s in strings:
+        assert packing.encode_texts(pa.array([s]), whole)[0].tolist() == tokenizer.encode(s, add_special_tokens=False).ids
+        ids = sentencepiece_codec.encode_texts(pa.array([s]), path).to_pylist()[0]
+        assert ids == model.encode(s) and sentencepiece_codec._decoded(model, opens, np.array(ids)) == model.decode(ids)
+
+
+def test_chunk_table_is_bounded():
+    table = blocks.ChunkTable(lambda words: blocks.flattened([[len(w)] * 2 for w in words]), limit=20_000)
+    for k in range(50):
+        words = [f"{k}-{i}" for i in range(60)]
+        flat, ends = table.gather(table.rows(words))
+        assert flat.tolist() == [len(w) for w in words for _ in range(2)] and ends[-1] == 120
+        assert table.held <= 20_000 and len(table.index) <= 20_000 // table.ENTRY
+
+
+def test_packing_query_has_the_digest_of_each_piece(spark, sf_dir, documents):
+    tokenizer = tokenizers.Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    ids = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for k, t in documents.items()}
+    got = queries.op4_packing(spark, sf_dir).collect()
+    for r in got:
+        own = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(own.tobytes()) and len(own) == r["length"]
+    assert sum(r["length"] for r in got) == sum(map(len, ids.values()))
 
 
 def test_sentencepiece_round_trip(spark, sf_dir, documents, odd, none):
