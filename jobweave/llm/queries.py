@@ -92,8 +92,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = language_id.fit(docs, fold() != 1)
     return language_id.predict(docs.select("doc_id", "text"), models).select(
-        "doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
-    )
+        "doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score",
+        ((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") < models.threshold)).alias("rejected"),
+    )
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
