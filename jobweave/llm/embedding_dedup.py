@@ -18,6 +18,8 @@ blocks too, so the memory of a task is bounded whatever the data.
 
 Recall is audited: the links of a bounded number of classes are counted by brute
 force over all rows, in blocks, and the search is widened until enough are found.
+Where the widest search still finds too few, every query is compared with every
+node, in the same blocks.  Vectors of each length have an index of their own.
 """
 
 from __future__ import annotations
@@ -33,39 +35,43 @@ from pyspark.sql import functions as F
 from jobweave.llm.components import connected_components, durable
 
 THRESHOLD = 0.9
-#: Centres at most, and vectors that they are fitted on: SAMPLE, or PER_CENTRE for each centre if that is more.
-CENTRES, SAMPLE, PER_CENTRE = 1 << 14, 20_000, 4
-#: Owned classes of a shard (split beyond twice that), and queries of a block.
+#: Centres at most, vectors that they are fitted on (SAMPLE, or PER_CENTRE for each centre if that is more), and bytes of these at most.
+CENTRES, SAMPLE, PER_CENTRE, SAMPLE_BYTES = 1 << 14, 20_000, 4, 128 << 20
+#: Owned classes of a shard (split beyond four times that, the members of neighbouring shards included), and queries of a block.
 SHARD, QUERIES = 2048, 4096
 #: Neighbours of a node, candidates that they are pruned from, width of the beam, how much closer a kept neighbour must be to drop a candidate.
-DEGREE, CANDIDATES, BEAM, ALPHA = 32, 96, 64, 1.6
+DEGREE, CANDIDATES, BEAM, ALPHA = 24, 96, 16, 1.6
+#: Nodes of a beam that are expanded at a time, and queries that are searched at a time.
+WIDTH, TOGETHER = 2, 1024
 #: How much farther than the threshold range expansion goes, to reach links whose path leads through such nodes.
 SLACK = 0.05
 #: Classes whose links are audited, the share of links to be found, and how many nearest centres are probed, in turn.
-AUDITED, RECALL, PROBES = 1000, 0.99, (4, 8, 16, 32)
+AUDITED, RECALL, PROBES = 1000, 0.99, (3, 6, 12, 24)
+#: Share of links below which the widest search gives way to comparing all.
+LEAST_RECALL = 0.95
 
 
-def folded(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """id, print and vec (float64 bytes of the components, null if the vector links with nothing), and the dimension."""
+def folded(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, print, d (number of components) and vec (their float64 bytes); the last three are null if the vector links with nothing."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    sizes = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    dimension = sizes["d"] if sizes else 0
-    usable = (F.size("v") == dimension) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     marked = rows.withColumn("v", F.when(usable, F.col("v")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            live = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-            flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(live), -1) if len(live) else np.empty((0, 0))
+            sizes = batch.column(1).value_lengths().to_pylist()
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False) + 0.0
             vec: list = [None] * batch.num_rows
             prints: list = [None] * batch.num_rows
-            for i, row in zip(live.tolist(), flat + 0.0, strict=True):
-                vec[i] = row.tobytes()
-                prints[i] = xxhash.xxh3_128_digest(vec[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(vec, pa.binary())], ["id", "print", "vec"])
+            at = 0
+            for i, n in enumerate(sizes):
+                if n is not None:
+                    vec[i] = flat[at : at + n].tobytes()
+                    prints[i] = xxhash.xxh3_128_digest(vec[i])
+                    at += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(vec, pa.binary())], ["id", "print", "d", "vec"])
 
-    return marked.mapInArrow(run, "id bigint, print binary, vec binary"), dimension
+    return marked.mapInArrow(run, "id bigint, print binary, d int, vec binary")
 
 
 def _unit(blobs: list[bytes], dimension: int) -> np.ndarray:
@@ -105,7 +111,7 @@ def build_graph(x: np.ndarray) -> np.ndarray:
         order = np.argsort(-sims, axis=1, kind="stable")
         ids, sims = np.take_along_axis(near_ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
         # Squared distances of unit vectors: 2 - 2 * similarity.
-        among = np.einsum("qid,qjd->qij", x[ids], x[ids])
+        among = np.matmul(x[ids], x[ids].transpose(0, 2, 1))
         alive = np.ones(ids.shape, bool)
         for r in range(DEGREE):
             pick = alive.argmax(axis=1)
@@ -135,65 +141,92 @@ def linked(adjacency: np.ndarray, extra: int = 16) -> np.ndarray:
 
 
 def search(x: np.ndarray, adjacency: np.ndarray, entry: np.ndarray, queries: np.ndarray, radius: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) within the radius that greedy search and range expansion reach."""
-    m, q = len(x), len(queries)
-    visited, expanded = np.zeros((q, m), bool), np.zeros((q, m), bool)
-    start = np.unique(entry)
+    """Pairs (query, node) within the radius that greedy search and range expansion reach, each once."""
+    found = [_search(x, adjacency, np.unique(entry), queries[a : a + TOGETHER], radius, beam) for a in range(0, len(queries), TOGETHER)]
+    pairs = [np.empty(0, np.int64), *(pair + k * TOGETHER * len(x) for k, pair in enumerate(found))]
+    pair = np.concatenate(pairs)
+    return pair // len(x), pair % len(x)
+
+
+def _search(x: np.ndarray, adjacency: np.ndarray, start: np.ndarray, queries: np.ndarray, radius: float, beam: int) -> np.ndarray:
+    """Numbers query * nodes + node of the pairs within the radius."""
+    m, q, degree = len(x), len(queries), adjacency.shape[1]
+    # met holds which place of a round's candidates met a node last, so that a round counts it once; -1 is not met.
+    met, expanded = np.full((q, m), -1, np.int16), np.zeros((q, m), bool)
     sims0 = queries @ x[start].T
-    visited[:, start] = True
-    ids = np.full((q, beam), -1, np.int64)
-    sims = np.full((q, beam), -2.0, np.float32)
+    met[:, start] = 0
+    ids, sims, closed = np.full((q, beam), -1, np.int64), np.full((q, beam), -2.0, np.float32), np.ones((q, beam), bool)
     w = min(beam, len(start))
     first = np.argsort(-sims0, axis=1)[:, :w]
-    ids[:, :w], sims[:, :w] = start[first], np.take_along_axis(sims0, first, axis=1)
-    hit_q, hit_n = [np.nonzero(sims0 >= radius)[0]], [start[np.nonzero(sims0 >= radius)[1]]]
-    active = np.arange(q)
-    while len(active):
-        own = ids[active]
-        open_ = (own >= 0) & ~expanded[active[:, None], np.maximum(own, 0)]
-        active, own, open_ = (z[open_.any(axis=1)] for z in (active, own, open_))
+    ids[:, :w], sims[:, :w], closed[:, :w] = start[first], np.take_along_axis(sims0, first, axis=1), False
+    who, what = np.nonzero(sims0 >= radius)
+    hits = [who * m + start[what]]
+    active, place = np.arange(q), np.arange(WIDTH * degree, dtype=np.int16)
+    while True:
+        active = active[~closed[active].all(axis=1)]
         if not len(active):
             break
-        node = own[np.arange(len(active)), open_.argmax(axis=1)]  # beams are sorted, the first is the best
-        expanded[active, node] = True
-        near = adjacency[node]
-        fresh = (near >= 0) & ~visited[active[:, None], np.maximum(near, 0)]
-        row, col = np.nonzero(fresh)
+        # The best WIDTH of a beam that are not expanded yet; beams are sorted.
+        row, col = np.nonzero(~closed[active])
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, rank = (z[rank < WIDTH] for z in (row, col, rank))
+        node = np.full((len(active), WIDTH), -1, np.int64)
+        node[row, rank] = ids[active[row], col]
+        closed[active[row], col] = True
+        expanded[active[row], node[row, rank]] = True
+        near = np.where(node[:, :, None] >= 0, adjacency[node], -1).reshape(len(active), -1)
+        row, col = np.nonzero(near >= 0)
         to = near[row, col]
-        visited[active[row], to] = True
+        fresh = met[active[row], to] < 0
+        row, col, to = row[fresh], col[fresh], to[fresh]
+        met[active[row], to] = place[col]
+        once = met[active[row], to] == place[col]
+        row, col, to = row[once], col[once], to[once]
         s = np.einsum("ij,ij->i", queries[active[row]], x[to])
         hit = s >= radius
-        hit_q.append(active[row[hit]])
-        hit_n.append(to[hit])
-        new_ids, new_sims = np.full(near.shape, -1, np.int64), np.full(near.shape, -2.0, np.float32)
-        new_ids[row, col], new_sims[row, col] = to, s
-        all_ids, all_sims = np.concatenate([own, new_ids], axis=1), np.concatenate([sims[active], new_sims], axis=1)
+        hits.append(active[row[hit]] * m + to[hit])
+        # What is no better than the last of a full beam can't enter it.
+        enters = s > sims[active[row], -1]
+        row, to, s = row[enters], to[enters], s[enters]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        more = int(rank.max()) + 1 if len(rank) else 0
+        if not more:
+            continue
+        new_ids, new_sims = np.full((len(active), more), -1, np.int64), np.full((len(active), more), -2.0, np.float32)
+        new_ids[row, rank], new_sims[row, rank] = to, s
+        changed = np.unique(row)
+        own = active[changed]
+        all_ids = np.concatenate([ids[own], new_ids[changed]], axis=1)
+        all_sims = np.concatenate([sims[own], new_sims[changed]], axis=1)
+        all_closed = np.concatenate([closed[own], new_ids[changed] < 0], axis=1)
         top = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-        ids[active], sims[active] = np.take_along_axis(all_ids, top, axis=1), np.take_along_axis(all_sims, top, axis=1)
+        ids[own], sims[own], closed[own] = (np.take_along_axis(z, top, axis=1) for z in (all_ids, all_sims, all_closed))
     # Range expansion: every node within the radius opens its neighbours.
-    todo_q, todo_n = np.concatenate(hit_q), np.concatenate(hit_n)
-    while len(todo_q):
-        closed = ~expanded[todo_q, todo_n]
-        todo_q, todo_n = todo_q[closed], todo_n[closed]
+    todo = np.concatenate(hits)
+    while len(todo):
+        todo_q, todo_n = todo // m, todo % m
+        still = ~expanded[todo_q, todo_n]
+        todo_q, todo_n = todo_q[still], todo_n[still]
         expanded[todo_q, todo_n] = True
-        next_q, next_n = [], []
+        found = [todo[:0]]
         for a in range(0, len(todo_q), 65536):
             near = adjacency[todo_n[a : a + 65536]]
             who = np.repeat(todo_q[a : a + 65536], near.shape[1])
             to = near.ravel()
-            ok = (to >= 0) & ~visited[who, np.maximum(to, 0)]
+            ok = (to >= 0) & (met[who, np.maximum(to, 0)] < 0)
             pair = np.unique(who[ok] * m + to[ok])
             who, to = pair // m, pair % m
-            visited[who, to] = True
-            s = np.einsum("ij,ij->i", queries[who], x[to])
-            next_q.append(who[s >= radius])
-            next_n.append(to[s >= radius])
-        todo_q, todo_n = np.concatenate([*next_q, todo_q[:0]]), np.concatenate([*next_n, todo_n[:0]])
-        hit_q.append(todo_q)
-        hit_n.append(todo_n)
-    # A list may name a node twice.
-    pair = np.unique(np.concatenate(hit_q) * m + np.concatenate(hit_n))
-    return pair // m, pair % m
+            met[who, to] = 0
+            found.append(pair[np.einsum("ij,ij->i", queries[who], x[to]) >= radius])
+        todo = np.concatenate(found)
+        hits.append(todo)
+    return np.concatenate(hits)
+
+
+def compared(x: np.ndarray, queries: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) within the radius, by comparing all."""
+    found = [np.nonzero(queries[a : a + 512] @ x.T >= radius) for a in range(0, len(queries), 512)]
+    return np.concatenate([q + 512 * k for k, (q, _) in enumerate(found)]), np.concatenate([n for _, n in found])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,14 +250,15 @@ class _Index:
     def __init__(self, classes: DataFrame, dimension: int, total: int):
         self.classes, self.dimension = classes, dimension
         self.spark = classes.sparkSession
-        k = max(1, min(CENTRES, total // SHARD))
-        sample = max(SAMPLE, PER_CENTRE * k)
+        held = SAMPLE_BYTES // (8 * dimension)  # vectors that the driver may hold
+        k = max(1, min(CENTRES, total // SHARD, held // PER_CENTRE))
+        sample = min(max(SAMPLE, PER_CENTRE * k), held)
         every = max(1, total // sample)
         some = classes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vec").limit(2 * sample).collect() if k > 1 else []
         x = _unit([r["vec"] for r in some], dimension) if some else np.empty((0, dimension))
         self.centres = fit_centres(x, min(k, len(x))) if len(x) else np.zeros((1, dimension))
-        counts = self._dealt(2).groupBy("shard").agg(F.count_if("own").alias("n")).collect()
-        self.parts = self._by_shard({r["shard"]: max(1, -(-r["n"] // (2 * SHARD))) for r in counts}, "parts")
+        counts = self._dealt(2).groupBy("shard").count().collect()
+        self.parts = self._by_shard({r["shard"]: max(1, -(-r["count"] // (4 * SHARD))) for r in counts}, "parts")
         members = self._dealt(2).join(self.parts, "shard")
         self.members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
         self.graph = durable(self._graph())
@@ -264,8 +298,11 @@ class _Index:
         built = self.members.select("shard", "part", "id", "vec").groupBy("shard", "part").applyInArrow(build, "id bigint, near array<bigint>")
         return built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
-    def links(self, threshold: float, probes: int, beam: int) -> DataFrame:
-        """Rows of two kinds: links (id, the number of links found in one part), and forest edges (id, root)."""
+    def links(self, threshold: float, probes: int, beam: int | None) -> DataFrame:
+        """Rows of two kinds: links (id, the number of links found in one part), and forest edges (id, root).
+
+        Without a beam every query is compared with every node of the parts that it is dealt to.
+        """
         dimension = self.dimension
         wanted = self._dealt(probes)
         blocks = self._by_shard({r["shard"]: max(1, -(-r["count"] // QUERIES)) for r in wanted.groupBy("shard").count().collect()}, "blocks")
@@ -295,7 +332,15 @@ class _Index:
             medoid = int((x64 @ middle).argmax())
             # A few evenly spread entries beside the medoid reach parts of the graph that its edges may not.
             entry = np.unique(np.concatenate([[medoid], np.linspace(0, len(ids) - 1, 8).astype(int)]))
-            a, b = search(x64.astype(np.float32), adjacency, entry, q64.astype(np.float32), threshold - SLACK, beam)
+            x32, q32 = x64.astype(np.float32), q64.astype(np.float32)
+            a, b = search(x32, adjacency, entry, q32, threshold - SLACK, beam) if beam else compared(x32, q32, threshold - 1e-4)
+            # Where both ends are queries and nodes here, what either finds counts for both.
+            q_order = np.argsort(q_ids, kind="stable")
+            as_query = q_order[np.minimum(np.searchsorted(q_ids[q_order], ids), len(q_ids) - 1)]
+            as_node = order[np.minimum(np.searchsorted(ids[order], q_ids), len(ids) - 1)]
+            both = (q_ids[as_query[b]] == ids[b]) & (ids[as_node[a]] == q_ids[a])
+            pair = np.unique(np.concatenate([a * len(ids) + b, as_query[b[both]] * len(ids) + as_node[a[both]]]))
+            a, b = pair // len(ids), pair % len(ids)
             live = own[b] & (q_ids[a] != ids[b])
             a, b = a[live], b[live]
             sure = np.concatenate([np.einsum("ij,ij->i", q64[a[i : i + 65536]], x64[b[i : i + 65536]]) >= threshold for i in range(0, len(a), 65536)] or [np.empty(0, bool)])
@@ -335,31 +380,46 @@ def audit(classes: DataFrame, dimension: int, threshold: float, audited: int = A
     return {r["id"]: r["n"] for r in counts.collect()}
 
 
+def _linked(classes: DataFrame, dimension: int, total: int, threshold: float) -> tuple[DataFrame, float]:
+    """links() of the classes of one length, and the audited share of links that it found."""
+    index, truth = _Index(classes, dimension, total), audit(classes, dimension, threshold)
+    asked = classes.sparkSession.createDataFrame(list(truth.items()), "id bigint, n_true bigint").where("n_true > 0")
+
+    def tried(probes: int, beam: int | None) -> tuple[DataFrame, float]:
+        found = durable(index.links(threshold, probes, beam))
+        counts = found.where("kind = 0").groupBy("id").agg(F.sum("value").alias("found"))
+        share = asked.join(counts, "id", "left").select("n_true", F.least(F.coalesce("found", F.lit(0)), "n_true").alias("got"))
+        # Of all links, and of a class on average, so that large groups don't hide what small ones lose.
+        got = share.agg((F.sum("got") / F.sum("n_true")).alias("links"), F.avg(F.col("got") / F.col("n_true")).alias("classes")).first()
+        return found, 1.0 if got["links"] is None else min(got["links"], got["classes"])
+
+    for step, probes in enumerate(PROBES):
+        found, recall = tried(probes, BEAM << step)
+        if recall >= RECALL or probes >= len(index.centres):
+            break
+    return (found, recall) if recall >= LEAST_RECALL else tried(len(index.centres), None)
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: ``id_col``, n_links (other rows linked directly), component_id
-    (the smallest identifier that links reach), kept and audited_recall.
+    (the smallest identifier that links reach), kept and audited_recall (the least of all lengths).
 
-    - Vectors that are null, zero, of another than the most common length, or hold null or
-      non-finite components link with nothing, nor does a row with a null identifier.
+    - Vectors that are null, empty, zero, or hold null or non-finite components link with
+      nothing, nor does a row with a null identifier.  Vectors link with those of their own length only.
     - Copies of a vector link with each other.  Rows that share an identifier share their links.
     - Other columns are left out, whatever their names.  An empty table gives no rows.
     """
-    marked, dimension = folded(vectors, id_col, vector_col)
-    rows = durable(marked)
+    rows = durable(folded(vectors, id_col, vector_col))
     live = rows.where("vec IS NOT NULL AND id IS NOT NULL")
-    classes = durable(live.groupBy("print").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")))
-    total = classes.count()
-    if not total:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"), F.lit(None).cast("double").alias("audited_recall"))
-    index, truth = _Index(classes, dimension, total), audit(classes, dimension, threshold)
-    asked = classes.sparkSession.createDataFrame(list(truth.items()), "id bigint, n_true bigint")
-    for step, probes in enumerate(PROBES):
-        found = durable(index.links(threshold, probes, BEAM << step))
-        counts = found.where("kind = 0").groupBy("id").agg(F.sum("value").alias("found"))
-        got = asked.join(counts, "id").agg(F.sum(F.least("found", "n_true"))).first()[0] or 0
-        recall = got / sum(truth.values()) if sum(truth.values()) else 1.0
-        if recall >= RECALL or probes >= len(index.centres):
-            break
+    classes = durable(live.groupBy("print").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("d").alias("d"), F.first("vec").alias("vec")))
+    # One index for each length that vectors have; there are few.
+    lengths = classes.groupBy("d").count().where("count > 1").orderBy("d").collect()
+    parts = [_linked(classes.where(F.col("d") == r["d"]), r["d"], r["count"], threshold) for r in lengths]
+    recall = min((r for _, r in parts), default=1.0)
+    found = classes.sparkSession.createDataFrame([], "kind int, id bigint, value bigint")
+    for part, _ in parts:
+        found = found.unionByName(part)
+    counts = found.where("kind = 0").groupBy("id").agg(F.sum("value").alias("found"))
     forest = found.where("kind = 1").select(F.col("id").alias("a"), F.col("value").alias("b"))
     reps = classes.select("print", F.col("id").alias("rep"), F.col("n").alias("copies"))
     same = live.join(reps, "print").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
