@@ -12,16 +12,19 @@ Only the leading characters go into the splitter sample, so what the driver
 gathers to choose the splitters does not grow with the length of the texts.
 
 A text that holds more than ``1 / (8 * partitions)`` of all rows would fill a
-range by itself.  Such texts are found by an exact count of fingerprints, are
-grouped by their full text with map-side combining, and meet their rows in a
-broadcast join, whose size is bounded by ``8 * partitions`` rows.
+range by itself.  Such texts are found by an exact count of fingerprints; their
+rows are written to the checkpoint folder, grouped by their full text with map-side
+combining, and meet their groups in a broadcast join, whose size is bounded by
+``8 * partitions`` rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from jobweave.llm.components import durable
+
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Characters of the normalised text that the splitters see.
 SPLITTER_CHARS = 48
@@ -54,8 +57,12 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).withColumn("_print", F.xxhash64("_norm"))
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    threshold = max(MIN_HOT_ROWS, docs.count() // (8 * partitions))
-    hot = [r[0] for r in rows.groupBy("_print").count().where(F.col("count") > threshold).select("_print").limit(8 * partitions).collect()]
+    # Fewer than 8 * partitions texts can be hot, so the most frequent ones and the number of rows tell which are.
+    seen = Observation()
+    prints = rows.groupBy("_print").count().observe(seen, F.sum("count").alias("n"))
+    top = prints.orderBy(F.col("count").desc(), "_print").limit(8 * partitions).collect()
+    threshold = max(MIN_HOT_ROWS, (seen.get["n"] or 0) // (8 * partitions))
+    hot = [r["_print"] for r in top if r["count"] > threshold]
 
     sorted_rows = rows.where(~F.col("_print").isin(hot)) if hot else rows
     by_text = Window.partitionBy("_lead", "_print", "_norm").orderBy(F.col("_id").asc_nulls_last())
@@ -79,8 +86,9 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _mark_hot(rows: DataFrame) -> DataFrame:
     """Rows of the few texts with very many copies, without dealing them by text."""
-    # The first row in scan order of the smallest identifier stays; the mark tells rows with the same identifier apart.
-    marked = rows.withColumn("_sha", F.sha2("_norm", 256)).withColumn("_mark", F.monotonically_increasing_id())
+    # One row of the smallest identifier stays; the mark tells rows with the same identifier apart.
+    # It is written once, so that both sides of the join see the same marks.
+    marked = durable(rows.withColumn("_sha", F.sha2("_norm", 256)).withColumn("_mark", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_mark").alias("mark")))
     groups = marked.groupBy("_print", "_norm", "_sha").agg(first.alias("_first"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select("_print", "_sha", "_first", "group_size")
