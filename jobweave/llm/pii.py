@@ -277,7 +277,7 @@ def _labelled(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", most: int = REGIONS) -> Field:
-    """The field fitted on the ``most`` regions of all documents that hash lowest."""
+    """The field fitted on the ``most`` different regions of all documents that hash lowest."""
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, "text"):
@@ -289,12 +289,13 @@ def fit(docs: DataFrame, text_col: str = "text", most: int = REGIONS) -> Field:
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda s: [(k, int(x), int(y)) for k, x, y in (e.split(":") for e in s.split(",") if e)]
-        rows = sorted({(h, r, s) for b in batches for h, r, s in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+        rows = sorted((h, r, s) for b in batches for h, r, s in zip(*(c.to_pylist() for c in b.columns), strict=True))
         field = fit_regions([(r, read(s)) for _, r, s in rows])
         yield pa.RecordBatch.from_arrays([pa.array([field.weights.ravel().tolist()]), pa.array([field.moves.ravel().tolist()])], ["weights", "moves"])
 
-    found = docs.selectExpr(f"`{text_col}` AS text").mapInArrow(examples, "h bigint, region string, spans string")
-    few = found.orderBy("h", "region").limit(most).repartition(1)  # at most `most` short strings in the one training task
+    # Copies of a region count once, so that none takes the place of others.
+    found = docs.selectExpr(f"`{text_col}` AS text").mapInArrow(examples, "h bigint, region string, spans string").distinct()
+    few = found.orderBy("h", "region", "spans").limit(most).repartition(1)  # at most `most` short strings in the one training task
     got = few.mapInArrow(train, "weights array<double>, moves array<double>").collect()
     if not got:
         return fit_regions([])
@@ -345,7 +346,7 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text", spans_col: s
     points, end exclusive) and base (whether a fixed pattern found it), by start, then kind.
 
     Null and empty texts have no spans; whole texts of any length are searched;
-    repeated rows get the same spans; other columns are passed through.
+    repeated rows get the same spans; an empty table gives no rows; other columns are passed through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs.drop(spans_col)

@@ -30,7 +30,7 @@ _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Texts that can hold a secret of any kind.
-_SCREEN = r"(?i:passw|secret|token|api_?key|credential|bearer|private|pwd|auth)|AKIA|[0-9a-f]{24}"
+_SCREEN = r"(?i:passw|secret|token|api[_-]?key|credential|bearer|private|pwd|auth)|AKIA|[0-9a-f]{24}"
 _SENSITIVE = re.compile(r"(?i:passw(?:or)?d|secret|token|api[_-]?key|credential|bearer|private|pwd|auth)", re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
 _IDENTIFIER = re.compile(r"[A-Za-z_]{3,24}", re.ASCII)
@@ -152,7 +152,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
     value_start (where the secret itself begins) in code points, by start, then kind.
 
     Null and empty texts have no spans; whole texts of any length are searched;
-    repeated rows get the same spans; other columns are passed through.
+    repeated rows get the same spans; an empty table gives no rows; other columns are passed through.
     """
     identifiers = corpus_identifiers(docs, text_col)
     rows = docs.drop(spans_col)

@@ -150,10 +150,12 @@ def fit_rows(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS) -> tuple
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """The model learned from ``labels`` (``id_col``, ``label_col`` 0 or 1) on the documents where ``usable`` (over ``id_col``) holds.
 
-    Rows with a null identifier or label are not used.  Without labels of both
-    classes the model scores every text alike, by the share of toxic labels.
+    Rows with a null identifier or label are not used.  An identifier with several labels has
+    the largest, one with several texts the smallest of them.  Without labels of both
+    classes, as with empty tables, the model scores every text alike, by the share of toxic labels.
     """
     known = labels.where(usable).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     prior = math.log((toxic + 0.5) / (clean + 0.5))
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     order = F.xxhash64("id")
     picked = known.where("label = 1").orderBy(order, "id").limit(sample).unionByName(known.where("label = 0").orderBy(order, "id").limit(sample))
     # At most 2 * sample identifiers: a bounded broadcast, so no text is shuffled to find its label.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.dropDuplicates(["id"])), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
             keys = np.concatenate([[np.uint64(0)], keys])
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.concatenate([[intercept], weights]))], ["key", "weight"])
 
-    few = rows.dropDuplicates(["id"]).select("text", "label", order.alias("h"), "id").repartition(1).sortWithinPartitions("h", "id").select("text", "label")
+    few = rows.groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label", order.alias("h"), "id").repartition(1).sortWithinPartitions("h", "id").select("text", "label")
     learned = few.mapInArrow(train, "key bigint, weight double").toPandas()
     if learned.empty:
         return Model(np.empty(0, np.uint64), np.empty(0), prior)
@@ -186,7 +188,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """The rows with ``score_col`` (0 to 1) added, or replaced where it exists.
 
     Null and empty texts get the score of no features; texts of any length are
-    scored whole; repeated rows score alike; other columns are passed through.
+    scored whole; repeated rows score alike; an empty table gives no rows; other columns are passed through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop(score_col)

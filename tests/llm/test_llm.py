@@ -149,10 +149,10 @@ def test_secrets_against_plain_patterns(spark, sf_dir, documents):
 
 
 def test_novel_secrets(spark, odd, none):
-    texts = [(1, "the bearer eyJhbGciOiJIUzI1Nid9xQ7pL2 is set"), (2, "auth: your_password_here and authorization_header_value"), (3, 'token = "q1w2e3r4t5" token = "q1w2e3r4t5"'), (4, None)]
+    texts = [(1, "the bearer eyJhbGciOiJIUzI1Nid9xQ7pL2 is set"), (2, "auth: your_password_here and authorization_header_value"), (3, 'token = "q1w2e3r4t5" token = "q1w2e3r4t5"'), (4, None), (5, "the api-key eyJhbGciOiJIUzI1Nid9xQ7pL2 is set")]
     found = secret_scan.find_secrets(spark.createDataFrame(texts, "doc_id long, text string"))
     kinds = {r["doc_id"]: [s["kind"] for s in r["secrets"]] for r in found.collect()}
-    assert kinds == {1: ["novel"], 2: [], 3: ["assign", "assign"], 4: []}
+    assert kinds == {1: ["novel"], 2: [], 3: ["assign", "assign"], 4: [], 5: ["novel"]}
     masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(found).collect()}
     assert masked[1] == "the bearer [SECRET] is set" and masked[3] == 'token = "[SECRET]" token = "[SECRET]"' and masked[4] is None
     assert secret_scan.find_secrets(odd).where(F.size("secrets") > 0).count() == 0 and secret_scan.find_secrets(none).count() == 0
@@ -181,6 +181,47 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([got[i] >= 0.7 for i in held if i % 5 == 0]) > 0.95 and np.mean([got[i] >= 0.7 for i in held if i % 5]) < 0.02
 
 
+def test_toxicity_of_contradictory_rows(spark):
+    docs = spark.createDataFrame([(1, "vile b"), (1, "vile a"), (2, "calm"), (3, "vile c"), (4, "calm d")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    models = [toxicity.fit(d, m, F.lit(True)) for d, m in ((docs, marks), (docs.orderBy(F.desc("text")), marks.orderBy("toxic").repartition(3)))]
+    assert models[0].keys.tolist() == models[1].keys.tolist() and models[0].intercept == models[1].intercept
+
+
+def test_toxicity_query(spark, sf_dir):
+    larger = sf_dir.replace("sf0.001", "sf0.01")  # the smallest table has few held-out labels
+    got = queries.op2_toxicity(spark, larger).collect()
+    toxic = {r["doc_id"]: r["toxic"] for r in queries.table(spark, larger, "labels").collect()}
+    assert len(got) == queries.table(spark, larger, "documents").count() and all(r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] in toxic]
+    assert np.mean([r["predicted"] == toxic[r["doc_id"]] for r in held]) > 0.9
+
+
+def test_follow_the_leader_against_the_definition():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    labels = np.array([int("a" in t) for t in texts])
+    features = toxicity.Featurizer()
+    sets = []
+    for t in texts:
+        kinds, bounds = features(pa.array([t]))
+        sets.append(set(kinds[:, bounds[0] : bounds[1]].ravel().tolist()) - {0})
+    often = {f for s in sets for f in s if sum(f in x for x in sets) > 1}
+    z, n, b, l1 = dict.fromkeys(often, 0.0), dict.fromkeys(often, 0.0), [0.0, 0.0], toxicity.FEWEST_L1
+    weight = lambda z, n, l1: 0.0 if abs(z) <= l1 else -(z - np.sign(z) * l1) / ((toxicity.BETA + np.sqrt(n)) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(toxicity.EPOCHS):
+        for own, y in zip(sets, labels.tolist(), strict=True):
+            w, w0 = {f: weight(z[f], n[f], l1) for f in own & often}, weight(*b, 0.0)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + w0))) - y
+            for f, v in w.items():
+                z[f] += g - (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / toxicity.ALPHA * v
+                n[f] += g * g
+            b = [b[0] + g - (np.sqrt(b[1] + g * g) - np.sqrt(b[1])) / toxicity.ALPHA * w0, b[1] + g * g]
+    want = {f: weight(z[f], n[f], l1) for f in often if weight(z[f], n[f], l1)}
+    keys, weights, intercept = toxicity.fit_rows(pa.array(texts), labels)
+    assert keys.tolist() == sorted(want) and np.allclose(weights, [want[k] for k in sorted(want)]) and abs(intercept - weight(*b, 0.0)) < 1e-9 and len(want) > 3
+
+
 def test_toxicity_on_odd_tables(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd, empty, F.lit(True))
@@ -288,33 +329,75 @@ def test_sentencepiece_round_trip(spark, sf_dir, documents, odd, none):
     assert sentencepiece_codec.encode(none, path).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = random.Random(2)
-    words = ["".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(300)]
-    counts: dict[str, int] = {}
+def _kneser_ney(words: list[str]):
+    """Shares of grams and what contexts leave, from the definitions."""
+    level: dict[str, int] = {}
     for w in words:
         m = f"\x02{w}\x03"
         for e in range(1, len(m)):
             g = m[max(0, e + 1 - language_id.ORDER) : e + 1]
-            counts[g] = counts.get(g, 0) + 1
-    models = language_id.estimate({"x": counts})
-    letters = "abc\x03"
-    for head in ("a", "ab", "bca", "cabb"):
-        total = 0.0
-        for c in letters:
-            points = np.frombuffer(f"\x02{head}{c}".encode("utf-32-le"), np.uint32)
-            at, hashes, orders = language_id._grams(points, np.array([0]))
-            p = np.full((len(at), 1), models.floor)
-            contexts = language_id._contexts(points, at, orders)
-            for k in range(language_id.ORDER):
-                live = np.flatnonzero(orders > k)
-                row, known = models._rows(models.contexts, contexts[k][live])
-                rest = np.where(known[:, None], models.rest[row], 1.0)
-                row, known = models._rows(models.grams, hashes[k][live] ^ np.uint64(k))
-                p[live] = np.where(known[:, None], models.direct[row], 0.0) + rest * p[live]
-            total += p[-1, 0]
-        # What is missing is the share of characters never seen.
-        assert 0.97 < total <= 1.0 + 1e-9
+            level[g] = level.get(g, 0) + 1
+    direct, rest = {}, {}
+    for order in range(language_id.ORDER, 0, -1):
+        now = {g: c for g, c in level.items() if len(g) == order}
+        ones, twos = (sum(c == k for c in now.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        for h in {g[:-1] for g in now}:
+            own = {g: c for g, c in now.items() if g[:-1] == h}
+            rest[h] = d * len(own) / sum(own.values())
+            direct |= {g: max(c - d, 0) / sum(own.values()) for g, c in own.items()}
+        level = {g: c for g, c in level.items() if len(g) < order}
+        for g in now:
+            if order > 1:
+                level[g[1:]] = level.get(g[1:], 0) + 1
+    return direct, rest
+
+
+def test_models_against_the_definition(spark):
+    rng = random.Random(2)
+    words = {k: ["".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(400)] for k, letters in (("x", "abc"), ("y", "bcdé"))}
+    docs = spark.createDataFrame([(i, " ".join(w[i::5]), k) for k, w in words.items() for i in range(5)], "doc_id long, text string, lang string")
+    models = language_id.fit(docs, F.lit(True))
+    assert models.languages == ["x", "y"]
+    for y, k in enumerate(models.languages):
+        direct, rest = _kneser_ney(words[k])
+        for g, v in direct.items():
+            assert abs(models.direct.look_up(language_id._hash_grams([g], len(g)), 2)[0, y] - v) < 1e-6
+        for h, v in rest.items():
+            assert abs(models.rest.look_up(language_id._hash_contexts([h], len(h)), 2)[0, y] - v) < 1e-6
+        # The characters behind a context have all of its probability, but for characters never seen.
+        for head in ("b", "bc", "cb", "bcbb"):
+            log = models.log_probabilities([head + c for c in "abcdé"] + [head])[0][:, y].astype(float)
+            ends = models.log_probabilities([head + c + "b" for c in "abcdé"])[0][:, y]
+            assert np.isfinite(log).all() and np.isfinite(ends).all()
+            total = 0.0
+            for c in [*"abcdé", "\x03"]:
+                points = np.frombuffer(f"\x02{head}{c}".encode("utf-32-le"), np.uint32)
+                at, hashes, orders = language_id._grams(points, np.array([0]))
+                contexts, p = language_id._contexts(points, at, orders), models.floor
+                for n in range(orders[-1]):
+                    p = models.direct.look_up(hashes[n][-1:] ^ np.uint64(n), 2)[0, y] + models.rest.look_up(contexts[n][-1:], 2)[0, y] * p
+                total += p
+            assert 0.97 < total <= 1.0 + 1e-6
+    assert language_id.Table(np.array([], np.uint64), np.array([]), np.array([]), 1.0).look_up(np.array([5], np.uint64), 2).tolist() == [[1.0, 1.0]]
+
+
+def test_language_scores_of_long_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "ab ba abab", "x"), (1, "cd dc cdcd dd", "y"), (2, "abba ab ba ab cd " * 300, None)], "doc_id long, text string, lang string")
+    models = language_id.fit(docs, F.lit(True))
+    whole = language_id.entropies(docs, models).collect()
+    monkeypatch.setattr(language_id, "gaps", lambda text: blocks.gaps(text, 50))
+    cut = next(language_id.entropies(docs.where("doc_id = 2").withColumn("letters", F.lit("")), models).toLocalIterator())
+    assert cut["letters"] == whole[2]["letters"] and np.allclose(cut["entropy"], whole[2]["entropy"])
+
+
+def test_language_query(spark, sf_dir, documents):
+    got = queries.op5_language_id(spark, sf_dir).collect()
+    want = {r["doc_id"]: r["lang"] for r in queries.table(spark, sf_dir, "documents").collect()}
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == len(documents) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert np.mean([r["lang_pred"] == want[r["doc_id"]] for r in held]) > 0.95 and np.mean([r["rejected"] for r in got]) < 0.1
+    assert all((r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", documents[r["doc_id"]])) for r in got)
 
 
 def test_language_on_held_out_documents(spark, sf_dir, odd, none):
@@ -336,7 +419,7 @@ def test_models_hold_all_grams(spark):
     grams = sorted({w[i : i + 5] for w in words for i in range(5)})
     assert len(grams) > 100_000
     models = language_id.fit(docs, F.lit(True))
-    assert np.isin(language_id._hash_grams(grams, 5), models.grams).all()
+    assert np.isin(language_id._hash_grams(grams, 5), models.direct.keys).all()
 
 
 def test_chat_windows(spark):
@@ -364,7 +447,7 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     parts = [base, base[:60] + rng.normal(size=(60, 32)) * 0.2, base[:1] + rng.normal(size=(150, 32)) * 0.12, np.repeat(base[100:101], 30, axis=0)]
     x = np.concatenate(parts).astype(np.float32)
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
-    odd = [(900, None, 0), (901, [0.0] * 32, 0), (902, [float("nan")] * 32, 0), (903, [1.0] * 5, 0), (904, [None] * 32, 0), (905, [1e300] * 32, 0), (906, [2e300] * 32, 0), (None, rows[0][1], 0), (907, [float("inf")] * 32, 0)]
+    odd = [(900, None, 0), (901, [0.0] * 32, 0), (902, [float("nan")] * 32, 0), (903, [1.0] * 5, 0), (908, [2.0, 3.0], 0), (909, [3.0, 2.0], 0), (910, [2.0, 3.0], 0), (911, [], 0), (904, [None] * 32, 0), (905, [1e300] * 32, 0), (906, [2e300] * 32, 0), (None, rows[0][1], 0), (907, [float("inf")] * 32, 0)]
     schema = "vec_id long, embedding array<double>, kept int"
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows + odd, schema)).collect()}
     u = x.astype(float)
@@ -380,11 +463,28 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
             break
         label = new
     assert np.mean([got[i]["component_id"] == label[i] for i in range(len(x))]) > 0.99
-    assert all(got[i]["n_links"] == 0 for i in (900, 901, 902, 903, 904, 907)) and got[905]["n_links"] == got[906]["n_links"] == 1
+    # Vectors of another length link with each other.
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (908, 909, 910)] == [(2, 908)] * 3
+    assert all(got[i]["n_links"] == 0 for i in (900, 901, 902, 903, 904, 907, 911)) and got[905]["n_links"] == got[906]["n_links"] == 1
     assert got[None]["n_links"] == 0 and not got[None]["kept"]
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_embeddings_are_all_compared_where_the_search_finds_too_few(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 40)
+    monkeypatch.setattr(embedding_dedup, "PROBES", (1,))
+    monkeypatch.setattr(embedding_dedup, "LEAST_RECALL", 1.0)
+    monkeypatch.setattr(embedding_dedup, "DEGREE", 1)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 12))
+    x = np.concatenate([x + rng.normal(size=x.shape) * 0.25 for _ in range(8)])
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(1).tolist() and {r["audited_recall"] for r in got.values()} == {1.0}
+
+
 def _pii(d: str):
     found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", d)]
     found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", d) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -394,6 +494,21 @@ def _pii(d: str):
     return sorted(found, key=lambda s: (s[1], pii.KINDS.index(s[0])))
 
 
+def test_copied_regions_train_the_field_once(spark, monkeypatch):
+    texts = ["call +1 (555) 010-9999 now"] * 2000 + [f"mail a{i}@b.org now" for i in range(30)]
+    monkeypatch.setattr(pii, "fit_regions", lambda rows: pii.Field(np.full((len(pii.FEATURES), len(pii.KINDS)), float(len(rows))), np.zeros((len(pii.KINDS) + 1, len(pii.KINDS)))))
+    field = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=20)
+    assert field.weights[0, 0] == 20
+
+
+def test_pii_query_against_plain_patterns(spark, sf_dir, documents):
+    for r in queries.op9_pii(spark, sf_dir).collect():
+        want = _pii(documents[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x == k for x, _, _ in want) for k in pii.KINDS]
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+
+
 def test_pii_patterns_are_exact(documents):
     rng = random.Random(3)
     parts = ["a", "b@c", ".", "@", "1", "22", "333", "+", "-", " ", "(", ")", "_", "x.y", "4111111111111111", "é", "+1 (555) 010-9999", "       "]
