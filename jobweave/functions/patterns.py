@@ -6,10 +6,16 @@ accented letters as word characters, so ``java()`` spells the boundary out.
 
 from __future__ import annotations
 
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+import re
+
+_BEFORE, _BEHIND = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_EDGE = rf"(?:(?<=[A-Za-z0-9_]){_BEHIND}|{_BEFORE}(?=[A-Za-z0-9_]))"
 
 
 def java(pattern: str) -> str:
+    """The pattern with its word edges spelled out; an edge between anything and a letter or digit, or behind one, takes one look only."""
+    pattern = re.sub(r"\\b(?=[A-Za-z]|\\d)", lambda _: _BEFORE, pattern)
+    pattern = re.sub(r"(?<=[a-z])(?<!\\[a-z])\\b", lambda _: _BEHIND, pattern)
     return pattern.replace(r"\b", _EDGE)
 
 

@@ -15,11 +15,12 @@ KINDS = (
     ("greenhouse", r"(?i)^https?://[^/]*greenhouse\.io"),
     ("lever", r"(?i)^https?://[^/]*lever\.co"),
     ("smartrecruiters", r"(?i)^https?://[^/]*smartrecruiters\.com"),
-    ("successfactors", r"(?i)^https?://[^/]*(successfactors\.(com|eu)|jobs2web\.com)"),
-    ("wordpress", r"(?i)^https?://[^?#]*/wp-json/"),
+    ("successfactors", r"(?i)^https?://(?:jobs\.au\.int(?:[:/?#]|$)|[^/?#]*\.(?:successfactors|sapsf)\.)"),
+    ("wordpress", r"(?i)^https?://(?:www\.)?(?:ngojobsinafrica\.com|opportunitiesforafricans\.com|opportunitydesk\.org|globalsouthopportunities\.com|opportunitiesforyouth\.org|harmeejobs\.com)(?:[:/?#]|$)"),
     ("generic-html", r"(?i)^https?://[^/]+"),
 )
-TRACKING = r"(?:utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|ref|source)"
+# Parameters that only track.
+TRACKING = r"(?i)^(?:utm_[^=]*|gh_src|source|ref|amp)(?:=|$)"
 
 
 def kind_of(url: Column, kinds: tuple[tuple[str, str], ...] = KINDS) -> Column:
@@ -46,12 +47,13 @@ def query_param(url: Column, name: str) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """The address without tracking parameters, empty parameters and an empty fragment."""
-    page = F.regexp_extract(url, r"^([^?#]*)", 1)
-    params = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(rf"(?i)^{TRACKING}=") & ~p.rlike(r"^[^=]*=?$"))
-    query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")
-    fragment = F.regexp_extract(url, r"(#.+)$", 1)
-    return F.concat(page, query, fragment)
+    """The address without tracking parameters, empty parameters and an empty fragment; scheme and host in lower
+    case, a path at least, and spaces in parameters as plus signs, as a URL parser writes them."""
+    origin, path = F.regexp_extract(url, r"(?i)^(https?://[^/?#]*)", 1), F.regexp_extract(url, r"(?i)^(?:https?://[^/?#]*)?([^?#]*)", 1)
+    page = F.concat(F.lower(origin), F.when((origin != "") & (path == ""), "/").otherwise(path))
+    params = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING) & ~p.rlike(r"^[^=]*=?$"))
+    query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.replace(F.array_join(params, "&"), F.lit("%20"), F.lit("+")))).otherwise("")
+    return F.concat(page, query, F.regexp_extract(url, r"(#.+)$", 1))
 
 
 def same_site(a: Column, b: Column) -> Column:

@@ -48,12 +48,15 @@ def search(board: DataFrame, source: str | None = None, tag: Column | None = Non
 
 
 def listings_query(
-    listings: DataFrame, as_of: str, paid: bool | None = None, remote: bool | None = None, status: str = "active", deadline_within: int | None = None, limit: int = 20, offset: int = 0
-) -> DataFrame:
+    listings: DataFrame, as_of: str, paid: bool | None = None, remote: bool | None = None, status: str = "active", deadline_within: int | None = None, limit: int = 20, offset: int = 0,
+    field: str | None = None,
+) -> DataFrame:
     """The declared query contract: filters that are given hold; limit 1 to 100."""
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("limit must be 1 to 100 and offset 0 or more")
     out = listings if status == "all" else listings.where(F.col("status") == status)
+    if field is not None:
+        out = out.where(F.array_contains("field_tags", field))
     if paid is not None:
         out = out.where(F.col("is_paid") == paid)
     if remote is not None:
@@ -74,13 +77,18 @@ def days_label(deadline: Column, as_of: str) -> Column:
     return F.when(deadline.isNull(), "open").when(left < 0, "expired").otherwise(F.concat(left.cast("string"), F.lit("d")))
 
 
+def long_date(c: Column) -> Column:
+    """A day as 1 Jun 2025; September is Sept, as British English has it."""
+    return F.replace(F.date_format(c, "d MMM yyyy"), F.lit(" Sep "), F.lit(" Sept "))
+
+
 def urgency(deadline: Column, as_of: str) -> Column:
-    """How soon a listing closes, in words."""
+    """How soon a listing closes, in words (fixed values)."""
     left = days_left(deadline, as_of)
+    days = F.concat(left.cast("string"), F.lit("d left"))
     return (
-        F.when(deadline.isNull(), "No stated deadline").when(left < 0, "Closed").when(left == 0, "Closes today")
-        .when(left <= 3, F.concat(F.lit("Closes in "), left.cast("string"), F.lit(" days"))).when(left <= 14, F.concat(left.cast("string"), F.lit(" days left")))
-        .otherwise(F.date_format(deadline, "dd MMM yyyy"))
+        F.when(deadline.isNull(), "rolling deadline").when(left < 0, "closed").when(left == 0, "🔴 closes today")
+        .when(left <= 3, F.concat(F.lit("🔴 "), days)).when(left <= 14, F.concat(F.lit("⏳ "), days)).otherwise(F.concat(long_date(deadline), F.lit(" · "), days))
     )
 
 
@@ -89,22 +97,43 @@ def safe_url(url: Column) -> Column:
     return F.when(url.rlike(r"(?i)^https?://"), url)
 
 
+def reader(raw: Column) -> Column:
+    """sections, how_to_apply and apply_email of a structured payload; null if no section is left."""
+    from jobweave.operators.lifecycle import reader_sections
+
+    data = F.from_json(F.get_json_object(raw, "$.structured.data"), "sections array<struct<heading string, items array<string>>>, how_to_apply string, application_email string")
+    sections = reader_sections(data["sections"])
+    return F.when(sections.isNotNull(), F.struct(sections.alias("sections"), data["how_to_apply"].alias("how_to_apply"), data["application_email"].alias("apply_email")))
+
+
 def listing_view(listings: DataFrame, as_of: str) -> DataFrame:
-    """Rows as the board shows them."""
-    return listings.select(
-        "id", "title", F.upper("source").alias("source_label"), F.coalesce(F.date_format("deadline", "yyyy-MM-dd"), F.lit("Rolling")).alias("deadline_label"),
+    """Rows as the board shows them (labels are fixed values)."""
+    short = lambda c: F.date_format(c, "MMM d")
+    read = listings.withColumn("_reader", reader(F.col("raw")))
+    return read.select(
+        "id", F.upper("source").alias("source_label"), F.col("org_name").alias("org"), "title", F.coalesce(short("deadline"), F.lit("Rolling")).alias("deadline_label"),
         F.coalesce("location", F.lit("—")).alias("location_label"),
-        F.when(F.col("is_paid"), F.coalesce("stipend_text", F.lit("Paid"))).when(F.col("is_paid") == False, "Unpaid").otherwise("Not stated").alias("pay_label"),  # noqa: E712
-        days_label(F.col("deadline"), as_of).alias("days_label"), safe_url(F.col("apply_url")).alias("apply_url"),
+        F.when(F.col("is_paid") == False, "Unpaid").otherwise(F.coalesce("stipend_text", F.lit("Pay unclear"))).alias("pay_label"),  # noqa: E712
+        F.col("fit_score").alias("fit"), days_label(F.col("deadline"), as_of).alias("days_label"), F.col("field_tags").alias("tags"), "source_url", safe_url(F.col("apply_url")).alias("apply_url"),
+        F.col("_reader.apply_email").alias("apply_email"), short("scraped_at").alias("scraped_label"), F.col("_reader.sections").alias("sections"), F.col("_reader.how_to_apply").alias("how_to_apply"),
     )
 
 
+def uri_component(c: Column) -> Column:
+    """A text as part of an address: everything but letters, digits and -_.!~*'() in percent signs."""
+    out = F.url_encode(c)
+    for coded, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out
+
+
 def apply_target(listings: DataFrame) -> DataFrame:
-    """Where to apply: the form, else a mail, else the source page."""
-    web, mail = safe_url(F.col("apply_url")), F.concat(F.lit("mailto:"), F.col("apply_email"))
+    """Where to apply: the form, else a mail with a subject, else the source page (labels are fixed values)."""
+    web = safe_url(F.col("apply_url"))
+    mail = F.concat(F.lit("mailto:"), F.col("apply_email"), F.lit("?subject="), uri_component(F.concat(F.lit("Application — "), "title")))
     return listings.select(
         "id", F.coalesce(web, mail, F.col("source_url")).alias("target"),
-        F.when(web.isNotNull(), "Apply").when(mail.isNotNull(), "Email").otherwise("View source").alias("label"),
+        F.when(web.isNotNull(), "Apply at source").when(mail.isNotNull(), "Apply by email").otherwise("Open source").alias("label"),
     )
 
 
@@ -114,22 +143,43 @@ def html_escape(c: Column) -> Column:
     return c
 
 
-def clamp(c: Column, n: int) -> Column:
-    """At most n characters; a cut text ends in an ellipsis."""
-    return F.when(F.length(c) > n, F.concat(F.rtrim(F.substring(c, 1, n - 1)), F.lit("…"))).otherwise(c)
+def first_sentences(text: Column, n: int = 2) -> Column:
+    """The first sentences, up to 280 characters; of a text without any, 200 characters."""
+    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    every = F.regexp_extract_all(clean, F.lit(r"[^.!?]+[.!?]+"), F.lit(0))
+    return F.when(F.size(every) > 0, F.substring(F.trim(F.array_join(F.slice(every, 1, n), " ")), 1, 280)).otherwise(F.substring(clean, 1, 200))
+
+
+def structured_text(raw: Column, name: str) -> Column:
+    """A text of the structured payload, trimmed; null if blank."""
+    value = F.trim(F.get_json_object(raw, f"$.structured.data.{name}"))
+    return F.when(value != "", value)
+
 
+def apply_link(listings_raw: Column, apply_url: Column) -> Column:
+    """The stored application address, else that of the structured payload, if it is one of the web and not too long."""
+    url = F.coalesce(F.when(F.trim(apply_url) != "", F.trim(apply_url)), structured_text(listings_raw, "application_url"))
+    return safe_url(F.when(F.length(url) <= 512, url))
 
-def caption_fields(listings: DataFrame, as_of: str, summary: Column | None = None) -> DataFrame:
-    """Fields of a channel post: bounded names, a summary (given, else the first two sentences), the deadline and links."""
-    sentences = F.array_join(F.slice(F.regexp_extract_all("description", F.lit(r"[^.!?]+[.!?]"), F.lit(0)), 1, 2), "")
-    first = F.when(F.length(F.trim(sentences)) > 0, clamp(F.trim(sentences), 280))
+
+def _anchor(url: Column, text: str) -> Column:
+    return F.concat(F.lit('<a href="'), html_escape(url), F.lit(f'">{text}</a>'))
+
+
+def caption_fields(listings: DataFrame, as_of: str, site: str = "https://board.example.org") -> DataFrame:
+    """Fields of a channel post, bounded and escaped, and the post itself: names, a summary (structured, else the first
+    two sentences), the deadline and links (words are fixed values)."""
     left = days_left(F.col("deadline"), as_of)
-    when = F.concat(F.date_format("deadline", "yyyy-MM-dd"), F.when(left >= 0, F.concat(F.lit(" ("), left.cast("string"), F.lit("d left)"))).otherwise(""))
-    return listings.select(
-        "id", html_escape(F.substring("org_name", 1, 120)).alias("org"), html_escape(F.substring("title", 1, 200)).alias("title"),
-        html_escape(F.coalesce(F.substring(summary, 1, 300), first) if summary is not None else first).alias("summary"),
-        F.coalesce(when, F.lit("Rolling")).alias("deadline_text"), F.coalesce(safe_url(F.col("apply_url")), F.col("source_url")).alias("link"),
+    when = F.when(left < 0, "").when(left == 0, " (today)").otherwise(F.concat(F.lit(" ("), left.cast("string"), F.lit("d left)")))
+    summary = F.substring(F.coalesce(structured_text(F.col("raw"), "summary"), first_sentences(F.col("description"))), 1, 300)
+    fields = listings.select(
+        "id", html_escape(F.substring("org_name", 1, 120)).alias("org"), html_escape(F.substring("title", 1, 200)).alias("title"), html_escape(F.when(summary != "", summary)).alias("summary"),
+        html_escape(F.concat(F.lit("Deadline "), long_date(F.col("deadline")), when)).alias("deadline_text"), apply_link(F.col("raw"), F.col("apply_url")).alias("apply_link"), "source_url",
     )
+    read = F.concat(F.lit(f'<a href="{site}/?listing='), F.col("id").cast("string"), F.lit('&amp;ref=tg">Read</a>'))
+    links = F.concat_ws(" · ", read, _anchor(F.col("apply_link"), "Apply"), _anchor(F.col("source_url"), "Source"))
+    head = F.concat(F.lit("<b>"), "org", F.lit("</b>\n"), "title", F.lit("\n"))
+    return fields.withColumn("post", F.concat_ws("\n", head, F.concat("summary", F.lit("\n")), "deadline_text", links))
 
 
 def channel_queue(listings: DataFrame, as_of: str, n: int = 10, least: int = CHANNEL_FIT) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobweave.config import EXCLUDE_TERMS, HIGH_SIGNAL_TERMS, INCLUDE_TERMS, TAG_TERMS
-from jobweave.functions.keywords import matched, tags
+from jobweave.functions.keywords import present, tagged, those
 from jobweave.functions.text import collapse
 from jobweave.schemas import CLASSIFICATION
 
@@ -23,25 +23,28 @@ def classify(
 
     Included: a term of the first list and none of the second.  Excluded: none of the first and one of the
     second in the title.  Anything else is ambiguous and takes the model's answer (a CLASSIFICATION struct
-    column) where it is not null, else fits by the terms of the first list alone.
+    column) where it is not null, else fits by the terms of the first list alone.  The reasons are fixed values.
     """
     body = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
-    m = postings.withColumn("_in", matched(body, include)).withColumn("_out", matched(body, exclude)).withColumn("_title", matched(F.coalesce(title, F.lit("")), exclude))
+    # One scan of the text for the terms of all lexicons, and one of the title.
+    terms = tuple(dict.fromkeys((*include, *exclude, *(t for ts in tag_terms.values() for t in ts))))
+    seen = postings.withColumn("_body", present(body, terms)).withColumn("_head", present(F.coalesce(title, F.lit("")), exclude))
+    m = seen.withColumn("_in", those(F.col("_body"), include)).withColumn("_out", those(F.col("_body"), exclude)).withColumn("_title", those(F.col("_head"), exclude))
     some, none = F.size("_in") > 0, F.size("_in") == 0
     decision = F.when(some & (F.size("_out") == 0), "include").when(none & (F.size("_title") > 0), "exclude").otherwise("ambiguous")
     score = F.least(F.lit(95), F.when(F.arrays_overlap("_in", F.array(*[F.lit(t) for t in high])), 85 + 3 * F.size("_in")).otherwise(70 + 4 * F.size("_in")))
     listed = lambda head, c: F.concat(F.lit(head), F.array_join(c, ", "))
-    fields = tags(body, tag_terms)
+    fields = tagged(F.col("_body"), tag_terms)
     answer = lambda fits, fit, tagged, reason: F.struct(fits.alias("fits"), tagged.alias("fields"), fit.cast("int").alias("fit_score"), reason.alias("reason"))
     nothing = F.array().cast("array<string>")
     fallback = answer(
         some, F.when(some, 60).otherwise(0), fields,
-        F.when(some, listed("Ambiguous keywords, no model answer: ", "_in")).otherwise("No clear match and no model answer"),
+        F.when(some, listed("Ambiguous keyword match without LLM fallback: ", "_in")).otherwise("No clear social-studies match and LLM fallback unavailable"),
     )
     ambiguous = fallback if model is None else F.coalesce(model, fallback)
     result = (
-        F.when(F.col("decision") == "include", answer(F.lit(True), score, fields, listed("Matched field terms: ", "_in")))
-        .when(F.col("decision") == "exclude", answer(F.lit(False), F.lit(0), nothing, listed("Matched excluded terms: ", "_title")))
+        F.when(F.col("decision") == "include", answer(F.lit(True), score, fields, listed("Matched social-studies terms: ", "_in")))
+        .when(F.col("decision") == "exclude", answer(F.lit(False), F.lit(0), nothing, listed("Matched excluded role terms: ", "_title")))
         .otherwise(ambiguous)
     )
     out = m.withColumn("decision", decision).withColumn("_c", result)

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from jobweave.config import PRIORITIES
 from jobweave.operators.board import board_order
 
-# Playbook of an organisation's category; others use the general one.
-PLAYBOOKS = {"un": "multilateral", "au": "multilateral", "multilateral": "multilateral", "regional": "multilateral", "ingo": "ngo", "foundation": "ngo", "think-tank": "research", "embassy": "diplomatic", "bilateral": "diplomatic", "media": "media"}
+# Playbook of an organisation's category; others use the default one.
+PLAYBOOKS = {
+    "un": "institutional", "au": "institutional", "multilateral": "institutional", "regional": "institutional",
+    "embassy": "embassy", "bilateral": "bilateral", "think-tank": "thinktank", "academic": "academic",
+    "human-rights": "advocacy", "peace": "advocacy", "election": "advocacy", "democracy": "advocacy", "governance": "advocacy", "gender": "advocacy",
+    "migration": "advocacy", "climate": "advocacy", "media": "advocacy", "digital-rights": "advocacy",
+    "ingo": "ingo", "foundation": "foundation", "gov": "gov",
+}
 
 
 def with_openings(orgs: DataFrame, listings: DataFrame) -> DataFrame:
@@ -36,14 +42,13 @@ def best_first(orgs: DataFrame) -> DataFrame:
 
 
 def badges(orgs: DataFrame) -> DataFrame:
-    """Up to three badges in fixed order, and the best way to get in touch."""
-    named = (
-        (F.col("hiring"), "Hiring now"), (F.col("contact_email").isNotNull(), "Direct email"), (F.col("internship_url").isNotNull(), "Internship page"),
-        (F.col("addis_office"), "Local office"), (F.col("careers_url").isNotNull(), "Careers page"),
-    )
-    every = F.array(*[F.when(c, F.lit(name)) for c, name in named])
-    contact = F.coalesce(F.concat(F.lit("mailto:"), F.col("contact_email")), F.col("internship_url"), F.col("careers_url"))
-    return orgs.withColumn("badges", F.slice(F.array_compact(every), 1, 3)).withColumn("contact", contact)
+    """Up to three badges in fixed order (fixed values), and the best way to get in touch."""
+    named = ((F.col("hiring"), "hiring now"), (F.col("contact_email").isNotNull(), "email"), (F.col("internship_url").isNotNull(), "internships"), (F.col("addis_office"), "addis"))
+    every = F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in named]))
+    only = F.when(F.col("careers_url").isNotNull(), F.array(F.lit("careers page"))).otherwise(F.array().cast("array<string>"))
+    ways = ((F.concat(F.lit("mailto:"), F.col("contact_email")), "Email introduction"), (F.col("internship_url"), "Open internship page"), (F.col("careers_url"), "Open careers page"), (F.col("website"), "Open website"))
+    label = F.coalesce(*[F.when(c.isNotNull(), name) for c, name in ways])
+    return orgs.withColumn("badges", F.when(F.size(every) > 0, F.slice(every, 1, 3)).otherwise(only)).withColumn("contact", F.coalesce(*[c for c, _ in ways])).withColumn("contact_label", label)
 
 
 def summary(orgs: DataFrame) -> DataFrame:
@@ -98,15 +103,19 @@ def work_queue(orgs: DataFrame, priorities: tuple[str, ...] = PRIORITIES, slug:
     """slug, url and n: organisations to collect from, by priority; a single one if ``slug`` is given."""
     url = F.coalesce("internship_url", "careers_url")
     who = F.col("slug") == slug if slug else F.col("posts_publicly").isin("yes", "sometimes") & F.col("scrape_priority").isin(*priorities)
-    order = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.coalesce("scrape_priority", F.lit("low")))
-    # The directory is small and the queue is numbered as a whole.
-    number = F.row_number().over(Window.orderBy(order, "slug"))
-    return orgs.where(who & url.isNotNull()).select("slug", url.alias("url"), number.alias("n"))
+    order = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.coalesce("scrape_priority", F.lit("low"))).cast("int")
+    # Numbered inside each priority; those before are counted, a row for each.
+    rows = orgs.where(who & url.isNotNull()).select("slug", url.alias("url"), order.alias("_order"))
+    counts = rows.groupBy("_order").agg(F.count(F.lit(1)).alias("_n"))
+    later = counts.select(F.col("_n").alias("_m"), F.explode(F.sequence(F.col("_order") + 1, F.lit(len(PRIORITIES) + 1))).alias("_order"))
+    before = later.groupBy("_order").agg(F.sum("_m").alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_order").orderBy("slug"))
+    return rows.withColumn("n", number).join(F.broadcast(before), "_order", "left").select("slug", "url", (F.col("n") + F.coalesce("_before", F.lit(0))).cast("int").alias("n"))
 
 
 def playbook(orgs: DataFrame) -> DataFrame:
     pairs = F.create_map(*[F.lit(x) for kv in PLAYBOOKS.items() for x in kv])
-    return orgs.withColumn("playbook", F.coalesce(F.try_element_at(pairs, F.col("category")), F.lit("general")))
+    return orgs.withColumn("playbook", F.coalesce(F.try_element_at(pairs, F.col("category")), F.lit("default")))
 
 
 def social_url(handle: Column, site: str) -> Column:

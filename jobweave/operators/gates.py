@@ -29,13 +29,14 @@ def access_decision(location: Column, title: Column, text: Column) -> Column:
 
 def _access(place: Column, body: Column) -> Column:
     remote = (matches(place, P.REMOTE_WORD) & ~matches(place, P.REMOTE_GEOGRAPHY)) | (matches(body, P.REMOTE_MODALITY) & ~matches(body, P.REMOTE_GEOGRAPHY))
+    # Categories and reasons are fixed values.
     rules = (
-        (matches(place, P.HOME_COUNTRY) | matches(body, P.HOME_COUNTRY), True, "ethiopia", F.lit("Duty station in the home country.")),
-        (remote & ~matches(F.concat_ws("\n", place, body), P.REMOTE_NEGATED), True, "remote", F.lit("Remote or home-based, not tied to a foreign duty station.")),
-        (matches(body, P.RESTRICTED), False, "restricted", F.lit("Needs a work permit of another country.")),
-        (matches(body, P.SPONSORED) & ~matches(body, P.SPONSOR_NEGATED), True, "sponsored", F.lit("Abroad, with travel, visa or relocation paid.")),
-        (place != "", False, "elsewhere", F.concat(F.lit("In person at "), place, F.lit("."))),
-        (F.lit(True), False, "unclear", F.lit("No sign of the home country, remote work or sponsorship.")),
+        (matches(place, P.HOME_COUNTRY) | matches(body, P.HOME_COUNTRY), True, "ethiopia", F.lit("Ethiopia-based duty station.")),
+        (remote & ~matches(F.concat_ws("\n", place, body), P.REMOTE_NEGATED), True, "remote", F.lit("Remote / home-based, not locked to a foreign duty station.")),
+        (matches(body, P.RESTRICTED), False, "restricted", F.lit("Requires work authorization in a country other than Ethiopia.")),
+        (matches(body, P.SPONSORED) & ~matches(body, P.SPONSOR_NEGATED), True, "sponsored", F.lit("Abroad, but travel/visa/relocation support is offered.")),
+        (place != "", False, "elsewhere", F.concat(F.lit('In-person at "'), place, F.lit('", outside Ethiopia, with no remote option or travel support.'))),
+        (F.lit(True), False, "unclear", F.lit("No Ethiopia, remote, or sponsorship signal found.")),
     )
     out = None
     for test, accessible, category, reason in rules:

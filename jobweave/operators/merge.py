@@ -6,18 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def json_object(c: Column) -> Column:
+    """Top-level keys of a JSON object with their values in their types; none for what is no object."""
+    values = F.try_parse_json(F.coalesce(c, F.lit("{}"))).try_cast("map<string,variant>")
+    return F.coalesce(values, F.create_map().cast("map<string,variant>"))
+
+
 def raw_merge(old: Column, new: Column) -> Column:
-    """Top-level merge of two JSON objects: the second one's keys win, values are kept as JSON text."""
-    keys = lambda c: F.coalesce(F.json_object_keys(F.coalesce(c, F.lit("{}"))), F.array().cast("array<string>"))
-    typed = "map<string,string>"
-    left, right = F.from_json(F.coalesce(old, F.lit("{}")), typed), F.from_json(F.coalesce(new, F.lit("{}")), typed)
-    return F.map_concat(F.map_filter(left, lambda k, _: ~F.array_contains(keys(new), k)), right)
+    """Top-level merge of two JSON objects as JSON text with sorted keys: the second one's keys win, nested values,
+    numbers, booleans and nulls stay what they are."""
+    left, right = json_object(old), json_object(new)
+    merged = F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged), by_key)))
 
 
 def last_of_batch(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key: the last to arrive."""
-    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    return batch.withColumn("_n", newest).where("_n = 1").drop("_n")
+    """One row per key: the last to arrive, of equal ones that of the largest content hash.  Rows with a null key all stay."""
+    newest = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc(), F.xxhash64(*batch.columns).desc()))
+    keyed = batch.where(F.col(key).isNotNull()).withColumn("_n", newest).where("_n = 1").drop("_n")
+    return keyed.unionByName(batch.where(F.col(key).isNull()))
 
 
 def upsert(table: DataFrame, batch: DataFrame, key: str, order: str, keep: tuple[str, ...] = (), merge_raw: bool = False) -> DataFrame:
@@ -33,7 +41,7 @@ def upsert(table: DataFrame, batch: DataFrame, key: str, order: str, keep: tuple
         if c in keep:
             return F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_new_{c}"))
         if c == "raw" and merge_raw:
-            return F.when(F.col("_old") & F.col("_hit"), F.to_json(raw_merge(F.col(c), F.col("_new_raw")))).when(F.col("_hit"), F.col("_new_raw")).otherwise(F.col(c))
+            return F.when(F.col("_old") & F.col("_hit"), raw_merge(F.col(c), F.col("_new_raw"))).when(F.col("_hit"), F.col("_new_raw")).otherwise(F.col(c))
         return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c))
 
     return both.select(*[value(c).alias(c) for c in table.columns])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.config import DUPLICATE_SIMILARITY
 from jobweave.functions.text import description_tokens, jaccard, normalize_location, normalize_org_name, normalize_title
+from jobweave.operators.merge import raw_merge
 
 
 def org_match(names: DataFrame, orgs: DataFrame, name_col: str = "org_name") -> DataFrame:
@@ -44,38 +44,72 @@ def org_match(names: DataFrame, orgs: DataFrame, name_col: str = "org_name") ->
     return names.drop("org_slug").join(found, name_col, "left")
 
 
+def _classes(items: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Items with equal title, place and words as one class (cid, block, place, tokens: hashes of the words), named by its
+    smallest item, and the items of classes (id, cid).  Items without a title, and texts without words, are left out."""
+    words = F.array_sort(F.transform(description_tokens(F.col("text")), lambda w: F.xxhash64(w)))
+    rows = items.select(F.col(id_col).alias("id"), normalize_title(F.col("title")).alias("block"), normalize_location(F.col("location")).alias("place"), words.alias("tokens"))
+    rows = _kept(rows.where((F.col("block") != "") & (F.size("tokens") > 0)).withColumn("key", F.xxhash64("block", "place", "tokens")))
+    same = ["key", "block", "place", "tokens"]
+    classes = _kept(rows.groupBy(*same).agg(F.min("id").alias("cid")))
+    members = rows.select("id", *same).join(classes, same).select("id", "cid")
+    return classes.drop("key"), members
+
+
+def class_pairs(classes: DataFrame, threshold: float = DUPLICATE_SIMILARITY) -> DataFrame:
+    """Pairs a < b of classes with the same title, the same place (or none on one side) and similar words.
+
+    Titles block the pairs.  Inside a block, classes meet by the words of a prefix of their rarest words that any
+    partner at the threshold must share, and only where their sizes and the place of the word in both allow the
+    threshold, so a block of any size does not meet itself as a whole.
+    """
+    # Only blocks with two classes or more can pair.
+    shared = classes.groupBy("block").count().where("count > 1").select(F.xxhash64("block").alias("b"))
+    rows = _kept(classes.withColumn("b", F.xxhash64("block")).join(shared, "b", "left_semi").select("cid", "b", "place", "tokens"))
+    each = rows.select("b", "cid", F.explode("tokens").alias("token"))
+    rarity = each.groupBy("b", "token").agg(F.count(F.lit(1)).alias("n"))
+    # A word of one class alone meets nobody; its place in the order still counts.
+    ranked = each.join(rarity, ["b", "token"]).groupBy("b", "cid").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("order"))
+    size = F.size("order")
+    length = size - F.ceil(threshold * size).cast("int") + 1
+    prefix = ranked.select("b", "cid", size.alias("size"), F.posexplode(F.slice("order", F.lit(1), length)).alias("pos", "x")).where("x.n > 1")
+    prefix = prefix.join(rows.select("cid", "place"), "cid").select("b", F.col("x.token").alias("token"), "cid", "size", "pos", "place")
+    side = lambda n: prefix.select("b", "token", *[F.col(c).alias(f"{c}_{n}") for c in ("cid", "size", "pos", "place")])
+    least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    placed = (F.col("place_a") == F.col("place_b")) | (F.col("place_a") == "") | (F.col("place_b") == "")
+    # At most so many words can be common where this is the first shared word of both orders.
+    common = 1 + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
+    enough = common >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    met = side("a").join(side("b"), ["b", "token"]).where((F.col("cid_a") < F.col("cid_b")) & placed & (most * threshold <= least) & enough)
+    met = met.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
+    text = lambda n: rows.select(F.col("cid").alias(n), F.col("tokens").alias(f"tokens_{n}"))
+    near = met.join(text("a"), "a").join(text("b"), "b").withColumn("similarity", jaccard(F.col("tokens_a"), F.col("tokens_b")))
+    return near.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
 def dup_pairs(items: DataFrame, threshold: float = DUPLICATE_SIMILARITY, id_col: str = "id") -> DataFrame:
     """Pairs a < b of items (id, title, location, text) with the same normalised title, the same place (or none on
     one side) and similar descriptions.  Items without a title, and texts without words, pair with nothing.
 
-    Titles block the pairs.  Inside a block, items meet by the tokens of a prefix of their rarest tokens that any
-    partner at the threshold must share, so a block of any size does not meet itself as a whole.
+    Equal items are compared once, as classes; this table names all their pairs, so it is as long as they are many.
+    dup_clusters() takes the classes and does not.
     """
-    rows = items.select(
-        F.col(id_col).alias("id"), normalize_title(F.col("title")).alias("block"), normalize_location(F.col("location")).alias("place"), description_tokens(F.col("text")).alias("tokens")
-    ).where((F.col("block") != "") & (F.size("tokens") > 0))
-    # Only blocks with two items or more can pair.
-    shared = rows.groupBy("block").count().where("count > 1").select("block")
-    # Four branches read the tokens; kept blocks that are lost are computed again.
-    rows = rows.join(shared, "block", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
-    each = rows.select("block", "id", F.explode("tokens").alias("token"))
-    rarity = each.groupBy("block", "token").count()
-    ranked = each.join(rarity, ["block", "token"]).groupBy("block", "id").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("order"))
-    length = F.size("order") - F.ceil(threshold * F.size("order")).cast("int") + 1
-    prefix = ranked.select("block", "id", F.explode(F.transform(F.slice("order", F.lit(1), length), lambda x: x["token"])).alias("token"))
-    left, right = prefix.select("block", "token", F.col("id").alias("a")), prefix.select("block", "token", F.col("id").alias("b"))
-    met = left.join(right, ["block", "token"]).where("a < b").select("a", "b").distinct()
-    side = lambda n: rows.select(F.col("id").alias(n), F.col("place").alias(f"place_{n}"), F.col("tokens").alias(f"tokens_{n}"))
-    full = met.join(side("a"), "a").join(side("b"), "b")
-    near = F.greatest(F.size("tokens_a"), F.size("tokens_b")) * threshold <= F.least(F.size("tokens_a"), F.size("tokens_b"))
-    placed = (F.col("place_a") == F.col("place_b")) | (F.col("place_a") == "") | (F.col("place_b") == "")
-    return full.where(near & placed).withColumn("similarity", jaccard(F.col("tokens_a"), F.col("tokens_b"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    classes, members = _classes(items, id_col)
+    pairs = class_pairs(classes, threshold)
+    of = lambda n: members.select(F.col("cid").alias(f"c{n}"), F.col("id").alias(n))
+    across = pairs.withColumnsRenamed({"a": "ca", "b": "cb"}).join(of("a"), "ca").join(of("b"), "cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    within = of("a").join(of("b").withColumnRenamed("cb", "ca"), "ca").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return across.unionByName(within)
 
 
 def _kept(df: DataFrame) -> DataFrame:
+    """The rows written to the folder in ``spark.checkpoint.dir``; only a session on one machine may lack that setting."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -98,11 +132,15 @@ def closure(pairs: DataFrame) -> DataFrame:
 
 def dup_clusters(items: DataFrame, threshold: float = DUPLICATE_SIMILARITY, id_col: str = "id") -> DataFrame:
     """id, cluster, size, rank and canonical_id of all duplicates: rank 1, the canonical one, has the longest text, ties by source_url."""
-    members = closure(dup_pairs(items, threshold, id_col)).join(items.select(F.col(id_col).alias("id"), "source_url", F.length("text").alias("chars")), "id")
+    classes, members = _classes(items, id_col)
+    # A class is named by its smallest item, so clusters of classes are those of their items.
+    found = members.join(closure(class_pairs(classes, threshold)).withColumnRenamed("id", "cid"), "cid", "left").select("id", F.coalesce("cluster", "cid").alias("cluster"))
+    several = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = found.join(several, "cluster").join(items.select(F.col(id_col).alias("id"), "source_url", F.length("text").alias("chars")), "id")
     order = Window.partitionBy("cluster").orderBy(F.col("chars").desc(), "source_url", "id")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return members.select(
-        "id", "cluster", F.count(F.lit(1)).over(whole).alias("size"), F.row_number().over(order).alias("rank"), F.first("id").over(whole).alias("canonical_id"),
+        "id", "cluster", "size", F.row_number().over(order).alias("rank"), F.first("id").over(whole).alias("canonical_id"),
         F.first("source_url").over(whole).alias("canonical_url"),
     )
 
@@ -118,7 +156,6 @@ def hide_duplicates(listings: DataFrame, apply: bool = False, threshold: float =
     decided = dup_decisions(listings, threshold)
     if not apply:
         return decided
-    marks = decided.select("id", F.col("status").alias("_status"), F.create_map(F.lit("duplicateOf"), F.col("duplicate_of")).alias("_mark"))
-    old = F.from_json(F.coalesce("raw", F.lit("{}")), "map<string,string>")
-    raw = F.when(F.col("_mark").isNotNull(), F.to_json(F.map_concat(F.map_filter(old, lambda k, _: k != "duplicateOf"), "_mark"))).otherwise(F.col("raw"))
+    marks = decided.select("id", F.col("status").alias("_status"), F.to_json(F.struct(F.col("duplicate_of").alias("duplicateOf"))).alias("_mark"))
+    raw = F.when(F.col("_mark").isNotNull(), raw_merge(F.col("raw"), F.col("_mark"))).otherwise(F.col("raw"))
     return listings.join(marks, "id", "left").withColumn("status", F.coalesce("_status", "status")).withColumn("raw", raw).drop("_status", "_mark")

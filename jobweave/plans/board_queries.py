@@ -44,33 +44,41 @@ def board_search(spark, sf_dir):
 
 
 @query("listings_query", oracle(f"""
-SELECT {SHOWN} FROM listings WHERE status = 'active' AND is_paid AND is_remote AND deadline >= {NOW} AND deadline <= {NOW} + INTERVAL 60 DAY {ORDER} LIMIT 20 OFFSET 5"""))
+SELECT {SHOWN} FROM listings WHERE status = 'active' AND is_paid AND is_remote AND list_contains(field_tags, 'policy') AND deadline >= {NOW} AND deadline <= {NOW} + INTERVAL 60 DAY {ORDER} LIMIT 20 OFFSET 5"""))
 def listings_query(spark, sf_dir):
-    return _shown(board.listings_query(_listings(spark, sf_dir), AS_OF, paid=True, remote=True, deadline_within=60, limit=20, offset=5))
+    return _shown(board.listings_query(_listings(spark, sf_dir), AS_OF, paid=True, remote=True, deadline_within=60, limit=20, offset=5, field="policy"))
 
 
 LEFT = f"CAST(ceil((epoch_us(deadline) - epoch_us({NOW})) / 86400000000) AS INT)"
 
 
 @query("listing_view", oracle(f"""
-SELECT id, title, upper(source) AS source_label, coalesce(strftime(deadline, '%Y-%m-%d'), 'Rolling') AS deadline_label, coalesce(location, '—') AS location_label,
-  CASE WHEN is_paid THEN coalesce(stipend_text, 'Paid') WHEN is_paid = false THEN 'Unpaid' ELSE 'Not stated' END AS pay_label,
-  CASE WHEN deadline IS NULL THEN 'open' WHEN {LEFT} < 0 THEN 'expired' ELSE concat({LEFT}, 'd') END AS days_label,
-  CASE WHEN regexp_matches(apply_url, '(?i)^https?://') THEN apply_url END AS apply_url FROM listings"""))
+WITH r AS (SELECT *, json_extract(raw, '$.structured.data') AS data FROM listings)
+SELECT id, upper(source) AS source_label, org_name AS org, title, coalesce(strftime(deadline, '%b %-d'), 'Rolling') AS deadline_label, coalesce(location, '—') AS location_label,
+  CASE WHEN is_paid = false THEN 'Unpaid' ELSE coalesce(stipend_text, 'Pay unclear') END AS pay_label, fit_score AS fit,
+  CASE WHEN deadline IS NULL THEN 'open' WHEN {LEFT} < 0 THEN 'expired' ELSE concat({LEFT}, 'd') END AS days_label, array_to_string(field_tags, ',') AS tags, source_url,
+  CASE WHEN regexp_matches(apply_url, '(?i)^https?://') THEN apply_url END AS apply_url, json_extract_string(data, '$.application_email') AS apply_email, strftime(scraped_at, '%b %-d') AS scraped_label,
+  CASE WHEN data IS NOT NULL THEN concat('About: Line ', id % 5) END AS sections, json_extract_string(data, '$.how_to_apply') AS how_to_apply FROM r"""))
 def listing_view(spark, sf_dir):
-    return board.listing_view(_listings(spark, sf_dir), AS_OF)
+    view = board.listing_view(_listings(spark, sf_dir), AS_OF)
+    told = F.transform("sections", lambda s: F.concat(s["heading"], F.lit(": "), F.array_join(s["items"], "/")))
+    return view.withColumn("tags", F.array_join("tags", ",")).withColumn("sections", F.array_join(told, ";"))
 
 
-@query("deadline_urgency", oracle(f"""
-SELECT id, CASE WHEN deadline IS NULL THEN 'No stated deadline' WHEN {LEFT} < 0 THEN 'Closed' WHEN {LEFT} = 0 THEN 'Closes today' WHEN {LEFT} <= 3 THEN concat('Closes in ', {LEFT}, ' days')
-  WHEN {LEFT} <= 14 THEN concat({LEFT}, ' days left') ELSE strftime(deadline, '%d %b %Y') END AS urgency, {LEFT} AS days_left FROM listings"""))
+GB_DATE = "replace(strftime(deadline, '%-d %b %Y'), ' Sep ', ' Sept ')"
+URGENCY = f"""CASE WHEN deadline IS NULL THEN 'rolling deadline' WHEN {LEFT} < 0 THEN 'closed' WHEN {LEFT} = 0 THEN '🔴 closes today' WHEN {LEFT} <= 3 THEN concat('🔴 ', {LEFT}, 'd left')
+  WHEN {LEFT} <= 14 THEN concat('⏳ ', {LEFT}, 'd left') ELSE concat({GB_DATE}, ' · ', {LEFT}, 'd left') END"""
+
+
+@query("deadline_urgency", oracle(f"SELECT id, {URGENCY} AS urgency, {LEFT} AS days_left FROM listings"))
 def deadline_urgency(spark, sf_dir):
     return _listings(spark, sf_dir).select("id", board.urgency(F.col("deadline"), AS_OF).alias("urgency"), board.days_left(F.col("deadline"), AS_OF).alias("days_left"))
 
 
 @query("apply_target", oracle("""
 WITH a AS (SELECT *, CASE WHEN regexp_matches(apply_url, '(?i)^https?://') THEN apply_url END AS web FROM listings)
-SELECT id, coalesce(web, 'mailto:' || apply_email, source_url) AS target, CASE WHEN web IS NOT NULL THEN 'Apply' WHEN apply_email IS NOT NULL THEN 'Email' ELSE 'View source' END AS label FROM a"""))
+SELECT id, coalesce(web, 'mailto:' || apply_email || '?subject=Application%20%E2%80%94%20' || replace(title, ' ', '%20'), source_url) AS target,
+  CASE WHEN web IS NOT NULL THEN 'Apply at source' WHEN apply_email IS NOT NULL THEN 'Apply by email' ELSE 'Open source' END AS label FROM a"""))
 def apply_target(spark, sf_dir):
     return board.apply_target(_listings(spark, sf_dir))
 
@@ -80,13 +88,15 @@ def _escaped(x: str) -> str:
 
 
 @query("caption_fields", oracle(f"""
-WITH s AS (SELECT *, trim(array_to_string(regexp_extract_all(description, '[^.!?]+[.!?]')[1:2], '')) AS two FROM listings)
-SELECT id, {_escaped('org_name[1:120]')} AS org, {_escaped('title[1:200]')} AS title,
-  {_escaped("coalesce(json_extract_string(raw, '$.structured.summary')[1:300], CASE WHEN length(two) > 280 THEN concat(rtrim(two[1:279]), '…') ELSE two END)")} AS summary,
-  coalesce(strftime(deadline, '%Y-%m-%d') || CASE WHEN {LEFT} >= 0 THEN concat(' (', {LEFT}, 'd left)') ELSE '' END, 'Rolling') AS deadline_text,
-  coalesce(CASE WHEN regexp_matches(apply_url, '(?i)^https?://') THEN apply_url END, source_url) AS link FROM s"""))
+WITH c AS (SELECT *, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS clean, nullif(trim(json_extract_string(raw, '$.structured.data.summary')), '') AS told,
+  coalesce(nullif(trim(apply_url), ''), json_extract_string(raw, '$.structured.data.application_url')) AS form FROM listings),
+s AS (SELECT *, trim(array_to_string(regexp_extract_all(clean, '[^.!?]+[.!?]+')[1:2], ' '))[1:280] AS two, CASE WHEN regexp_matches(form, '(?i)^https?://') THEN form END AS apply_link FROM c),
+f AS (SELECT id, {_escaped('org_name[1:120]')} AS org, {_escaped('title[1:200]')} AS title, {_escaped('coalesce(told, two)[1:300]')} AS summary, apply_link, source_url,
+  'Deadline ' || {GB_DATE} || CASE WHEN {LEFT} < 0 THEN '' WHEN {LEFT} = 0 THEN ' (today)' ELSE concat(' (', {LEFT}, 'd left)') END AS deadline_text FROM s)
+SELECT *, concat_ws(chr(10), concat('<b>', org, '</b>'), title, '', summary, '', deadline_text, concat_ws(' · ', concat('<a href="https://board.example.org/?listing=', id, '&amp;ref=tg">Read</a>'),
+  '<a href="' || {_escaped('apply_link')} || '">Apply</a>', '<a href="' || {_escaped('source_url')} || '">Source</a>')) AS post FROM f"""))
 def caption_fields(spark, sf_dir):
-    return board.caption_fields(_listings(spark, sf_dir), AS_OF, F.get_json_object("raw", "$.structured.summary"))
+    return board.caption_fields(_listings(spark, sf_dir), AS_OF)
 
 
 @query("channel_queue", oracle(f"""
@@ -117,14 +127,16 @@ def saved_open(spark, sf_dir):
 
 
 @query("due_reminders", oracle(f"""
-WITH {SAVES}, h AS (SELECT id, (epoch_us(deadline) - epoch_us({NOW})) / 3600000000 AS hours FROM listings WHERE status = 'active')
+WITH {SAVES}, h AS (SELECT id, CAST(id % 100 AS DOUBLE) AS hours FROM listings WHERE status = 'active')
 SELECT DISTINCT chat_id, s.id, CASE WHEN hours <= 24 THEN '24h' ELSE '72h' END AS band FROM saves s JOIN h ON h.id = s.id
 WHERE ((hours > 21 AND hours <= 24) OR (hours > 69 AND hours <= 72)) AND chat_id % 11 <> 0""", "listings"))
 def due_reminders(spark, sf_dir):
+    """Deadlines are set 0 to 99 hours ahead, so that both bands are met."""
     saves = _saves(spark, sf_dir)
+    ahead = F.timestamp_add("HOUR", (F.col("id") % 100).cast("int"), F.lit(AS_OF).cast("timestamp"))
     done = saves.where("chat_id % 11 = 0").select("chat_id", F.explode("saved_listing_ids").alias("id"))
     sent = done.select("*", F.explode(F.array(F.lit("24h"), F.lit("72h"))).alias("band"))
-    return board.due_reminders(saves, _listings(spark, sf_dir), AS_OF, sent)
+    return board.due_reminders(saves, _listings(spark, sf_dir).withColumn("deadline", ahead), AS_OF, sent)
 
 
 @query("saved_board", oracle("""
@@ -182,11 +194,12 @@ def org_reach(spark, sf_dir):
     return directory.best_first(_ranked(spark, sf_dir)).select("slug", "name", "openings", "reach")
 
 
-@query("org_badges", oracle(f"""WITH {RANKED}, b AS (SELECT *, list_filter([CASE WHEN hiring THEN 'Hiring now' END, CASE WHEN contact_email IS NOT NULL THEN 'Direct email' END,
-  CASE WHEN internship_url IS NOT NULL THEN 'Internship page' END, CASE WHEN addis_office THEN 'Local office' END, CASE WHEN careers_url IS NOT NULL THEN 'Careers page' END], lambda x: x IS NOT NULL)[1:3] AS badges FROM r)
-SELECT slug, array_to_string(badges, ', ') AS badges, coalesce('mailto:' || contact_email, internship_url, careers_url) AS contact FROM b"""))
+@query("org_badges", oracle(f"""WITH {RANKED}, b AS (SELECT *, list_filter([CASE WHEN hiring THEN 'hiring now' END, CASE WHEN contact_email IS NOT NULL THEN 'email' END,
+  CASE WHEN internship_url IS NOT NULL THEN 'internships' END, CASE WHEN addis_office THEN 'addis' END], lambda x: x IS NOT NULL) AS named FROM r)
+SELECT slug, CASE WHEN len(named) > 0 THEN array_to_string(named[1:3], ', ') WHEN careers_url IS NOT NULL THEN 'careers page' ELSE '' END AS badges, coalesce('mailto:' || contact_email, internship_url, careers_url, website) AS contact,
+  CASE WHEN contact_email IS NOT NULL THEN 'Email introduction' WHEN internship_url IS NOT NULL THEN 'Open internship page' WHEN careers_url IS NOT NULL THEN 'Open careers page' WHEN website IS NOT NULL THEN 'Open website' END AS contact_label FROM b"""))
 def org_badges(spark, sf_dir):
-    return directory.badges(_ranked(spark, sf_dir)).select("slug", F.array_join("badges", ", ").alias("badges"), "contact")
+    return directory.badges(_ranked(spark, sf_dir)).select("slug", F.array_join("badges", ", ").alias("badges"), "contact", "contact_label")
 
 
 @query("org_summary", oracle(f"""WITH {RANKED}
@@ -235,7 +248,7 @@ def work_queue(spark, sf_dir):
     return directory.work_queue(load(spark, sf_dir, "orgs"), ("critical", "high"))
 
 
-@query("org_playbook", oracle("SELECT slug, CASE category WHEN 'un' THEN 'multilateral' WHEN 'au' THEN 'multilateral' WHEN 'ingo' THEN 'ngo' WHEN 'think-tank' THEN 'research' WHEN 'media' THEN 'media' ELSE 'general' END AS playbook FROM orgs"))
+@query("org_playbook", oracle("SELECT slug, CASE category WHEN 'un' THEN 'institutional' WHEN 'ingo' THEN 'ingo' WHEN 'think-tank' THEN 'thinktank' WHEN 'media' THEN 'advocacy' ELSE 'default' END AS playbook FROM orgs"))
 def org_playbook(spark, sf_dir):
     return directory.playbook(load(spark, sf_dir, "orgs")).select("slug", "playbook")
 

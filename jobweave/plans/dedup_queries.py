@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from jobweave.operators import resolve
 from jobweave.plans.registry import query
-from jobweave.plans.tables import base, load, oracle
+from jobweave.plans.tables import base, dealt, load, oracle
 from jobweave.plans.text_queries import sql_norm_location, sql_norm_title, sql_tokens
 
 
 def _items(spark, sf_dir):
     """Documents as listings: the first three words are the title, so that many share one."""
     words = F.split("text", r"[ \n]")
-    return base(spark, sf_dir, "documents").select(
+    return dealt(base(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"), F.array_join(F.slice(words, 1, 2), " ").alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat("lang", F.lit(", x"))).alias("location"),
         "text", F.concat(F.lit("https://d.example.org/"), F.col("doc_id").cast("string")).alias("source_url"), F.lit("active").alias("status"), F.lit("{}").alias("raw"),
     )
@@ -42,9 +42,12 @@ def dup_clusters(spark, sf_dir):
     return resolve.dup_clusters(_items(spark, sf_dir)).select("id", "cluster", "size", "rank", "canonical_id")
 
 
-@query("dup_decisions", f"WITH RECURSIVE {CLUSTERS} SELECT id, 'hidden' AS status, canonical_url AS duplicate_of FROM k WHERE rank > 1")
+@query("dup_decisions", f"""WITH RECURSIVE {CLUSTERS} SELECT id, 'hidden' AS status, canonical_url AS duplicate_of,
+  concat('{{"deep":{{"n":1,"t":true}},"duplicateOf":"', canonical_url, '","n":', id, '}}') AS raw FROM k WHERE rank > 1""")
 def dup_decisions(spark, sf_dir):
-    return resolve.dup_decisions(_items(spark, sf_dir))
+    raw = F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit(',"duplicateOf":"x","deep":{"t":true,"n":1}}'))
+    hidden = resolve.hide_duplicates(_items(spark, sf_dir).withColumn("raw", raw), apply=True).where("status = 'hidden'")
+    return hidden.select("id", "status", F.get_json_object("raw", "$.duplicateOf").alias("duplicate_of"), "raw")
 
 
 def sql_norm_org(c: str) -> str:

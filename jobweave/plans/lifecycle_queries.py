@@ -60,12 +60,30 @@ def cache_misses(spark, sf_dir):
     return merge.cache_misses(docs, fresh.unionByName(old), key="doc_id").select("doc_id", "content_hash")
 
 
-@query("raw_merge", oracle("""
-SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 8 = 0 THEN 'true' ELSE 'false' END END AS reposted, CASE WHEN id % 3 = 0 THEN concat('n', id) ELSE CASE WHEN id % 2 = 0 THEN concat('{"summary":"Role ', id, '"}') END END AS structured FROM listings"""))
+#: Top-level merge of the JSON objects x and y as text with sorted keys.
+MERGED = """'{' || coalesce((SELECT string_agg(to_json(key)::VARCHAR || ':' || value::VARCHAR, ',' ORDER BY key) FROM
+  (SELECT key, value FROM json_each(y) UNION ALL SELECT key, value FROM json_each(x) WHERE key NOT IN (SELECT key FROM json_each(y)))), '') || '}'"""
+
+
+@query("raw_merge", oracle(f"""
+WITH m AS (SELECT id, raw::JSON AS x, (CASE WHEN id % 3 = 0 THEN concat('{{"structured":"n', id, '","n":', id, ',"f":false,"q":null}}') ELSE '{{}}' END)::JSON AS y FROM listings)
+SELECT id, {MERGED} AS merged FROM m"""))
 def raw_merge(spark, sf_dir):
-    new = F.when(F.col("id") % 3 == 0, F.concat(F.lit('{"structured":"n'), F.col("id").cast("string"), F.lit('"}'))).otherwise("{}")
-    merged = _listings(spark, sf_dir).select("id", merge.raw_merge(F.col("raw"), new).alias("m"))
-    return merged.select("id", F.try_element_at("m", F.lit("repostedToChannel")).alias("reposted"), F.try_element_at("m", F.lit("structured")).alias("structured"))
+    n = F.col("id").cast("string")
+    new = F.when(F.col("id") % 3 == 0, F.concat(F.lit('{"structured":"n'), n, F.lit('","n":'), n, F.lit(',"f":false,"q":null}'))).otherwise("{}")
+    return _listings(spark, sf_dir).select("id", merge.raw_merge(F.col("raw"), new).alias("merged"))
+
+
+@query("upsert_merged", oracle(f"""WITH {BATCH},
+u AS (SELECT t.id, t.raw::JSON AS x, '{{"scraped":1,"structured":null}}'::JSON AS y, b.source_url IS NOT NULL AS hit FROM listings t LEFT JOIN last b ON b.source_url = t.source_url)
+SELECT id, CASE WHEN hit THEN {MERGED} ELSE x::VARCHAR END AS raw FROM u
+UNION ALL SELECT b.id, '{{"scraped":1,"structured":null}}' FROM last b LEFT JOIN listings t ON b.source_url = t.source_url WHERE t.id IS NULL
+UNION ALL SELECT id + 20000000, '{{"scraped":1,"structured":null}}' FROM listings WHERE id % 16 = 0""", "listings"))
+def upsert_merged(spark, sf_dir):
+    """An upsert that merges payloads; rows without an address are added, each."""
+    batch = _batch(spark, sf_dir)
+    lost = batch.where("seq = 1 AND id % 16 = 0").withColumn("id", F.col("id") + 20_000_000).withColumn("source_url", F.lit(None).cast("string"))
+    return merge.upsert(_listings(spark, sf_dir), batch.unionByName(lost), "source_url", "seq", keep=("id",), merge_raw=True).select("id", "raw")
 
 
 @query("purge_cascade", oracle("SELECT user_id, listing_id, count(*) AS n FROM bookmarks WHERE listing_id NOT IN (SELECT id FROM listings WHERE status = 'expired') GROUP BY ALL"))

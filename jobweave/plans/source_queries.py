@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions import patterns as P
 from jobweave.operators import board, gates
-from jobweave.plans.board_queries import AS_OF, LEFT, LIVE, NOW, SAVES
+from jobweave.plans.board_queries import AS_OF, LIVE, NOW, SAVES, URGENCY, _saves
 from jobweave.plans.registry import query
 from jobweave.plans.tables import base, load, oracle
 from jobweave.plans.text_queries import ACCESS, collapsed, hits
@@ -20,8 +20,8 @@ GATE = f"({hits(collapsed('title'), P.INTERN)} AND NOT {hits(collapsed('title'),
 
 
 def _batched(rows: DataFrame, name: str, item) -> DataFrame:
-    """Rows as documents of up to 40 items each, as a search endpoint gives them."""
-    return rows.groupBy((F.col("id") % 400).alias("batch")).agg(F.collect_list(item).alias(name)).drop("batch")
+    """Rows as documents of up to 40 items each, as a search endpoint gives them: neighbours by id, whose table is seven times as long."""
+    return rows.groupBy(F.floor(F.col("id") / 280).alias("batch")).agg(F.collect_list(item).alias(name)).drop("batch")
 
 
 def _postings(spark, sf_dir, k: int) -> DataFrame:
@@ -37,8 +37,9 @@ WITH {ACCESS}, s AS (SELECT id, CAST(id AS VARCHAR) AS sid, {collapsed('title')}
   {hits(collapsed('location'), P.HOME_COUNTRY)} OR {hits('title', P.HOME_COUNTRY)} OR ({hits(collapsed('location'), P.REMOTE_WORD)} AND NOT {hits(collapsed('location'), P.REMOTE_GEOGRAPHY)}) AS row_ok FROM a)
 SELECT 'greenhouse:acme' AS source, sid AS source_id, title, loc AS location FROM s WHERE id % 7 = 0 AND gate AND accessible
 UNION ALL SELECT 'lever:acme', sid, title, loc FROM s WHERE id % 7 = 1 AND (gate OR id % 3 = 0) AND accessible
-UNION ALL SELECT 'reliefweb', sid, title, concat_ws(', ', loc, 'Kenya') FROM s WHERE id % 7 = 2 AND gate AND id % 2 = 0 AND accessible
+UNION ALL SELECT 'reliefweb', sid, title, concat_ws(', ', loc, 'Kenya') FROM s WHERE id % 7 = 2 AND gate AND accessible
 UNION ALL SELECT 'workday:Ext', sid, title, loc FROM s WHERE id % 7 = 3 AND gate AND (loc IS NULL OR row_ok) AND id % 5 <> 0 AND accessible
+UNION ALL SELECT 'smartrecruiters:acme', sid, title, loc FROM s WHERE id % 7 = 4 AND gate AND (loc IS NULL OR row_ok) AND accessible
 UNION ALL SELECT 'oracle-hcm:x.oraclecloud.com', sid, title, loc FROM s WHERE id % 7 = 5 AND gate AND accessible
 UNION ALL SELECT 'un-careers', sid, title, loc FROM s WHERE id % 7 = 6 AND id % 2 = 0 AND (row_ok OR regexp_matches(coalesce(loc, ''), '(?i)\\bremote\\b|home[-\\s]?based|virtual|telecommut'))""", "postings"))
 def payload_feeds(spark, sf_dir):
@@ -55,12 +56,17 @@ def payload_feeds(spark, sf_dir):
         "title", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("body"), text.alias("body-html"), named(F.lit("NRC")).alias("source"), named(place).alias("city"), named(F.lit("Kenya")).alias("country"),
         F.struct(F.lit(None).cast("string").alias("closing"), F.lit(None).cast("string").alias("created")).alias("date"),
     )
-    reliefweb = payloads.reliefweb(_batched(p[2].where("id % 2 = 0"), "data", F.struct(F.col("sid").alias("id"), fields.alias("fields"))))
+    reliefweb = payloads.reliefweb(_batched(p[2], "data", F.struct(F.col("sid").alias("id"), fields.alias("fields"))))
     path = F.concat(F.lit("/j/"), "sid")
     search = _batched(p[3], "jobPostings", F.struct("title", path.alias("externalPath"), place.alias("locationsText"), F.lit(None).cast("string").alias("postedOn")))
     none = F.lit(None).cast("string")
     detail = p[3].where("id % 5 <> 0").select(F.struct(F.col("sid").alias("id"), none.alias("jobReqId"), none.alias("externalUrl"), path.alias("externalPath"), text.alias("jobDescription"), place.alias("location"), F.array().cast("array<string>").alias("additionalLocations")).alias("jobPostingInfo"))
     workday = payloads.workday(search, detail, "https://acme.wd1.myworkdayjobs.com", "Ext")
+    where = F.struct(place.alias("city"), none.alias("country"), F.lit(False).alias("remote"))
+    offers = _batched(p[4], "content", F.struct(F.col("sid").alias("id"), F.col("title").alias("name"), none.alias("releasedDate"), where.alias("location")))
+    section = F.create_map(F.lit("jobDescription"), F.struct(F.lit("About").alias("title"), text.alias("text")))
+    detail = p[4].select(F.col("sid").alias("id"), none.alias("applyUrl"), none.alias("postingUrl"), none.alias("releasedDate"), where.alias("location"), F.struct(section.alias("sections")).alias("jobAd"))
+    smartrecruiters = payloads.smartrecruiters(offers, detail, "acme")
     found = _batched(p[5], "requisitionList", F.struct(F.col("sid").alias("Id"), F.col("title").alias("Title"))).select(F.array(F.struct("requisitionList")).alias("items"))
     item = F.struct(F.col("sid").alias("Id"), F.col("title").alias("Title"), text.alias("ExternalDescriptionStr"), F.when(place != "", place).alias("PrimaryLocation"), none.alias("ExternalPostedStartDate"), none.alias("ExternalPostedEndDate"))
     oracle_hcm = payloads.oracle_hcm(found, p[5].select(F.array(item).alias("items")), "https://x.oraclecloud.com", "CX_1")
@@ -69,7 +75,7 @@ def payload_feeds(spark, sf_dir):
         F.array(F.struct(place.alias("description"))).alias("dutyStation"), text.alias("jobDescription"), none.alias("startDate"), none.alias("endDate"),
     )
     inspira = payloads.inspira(_batched(p[6], "data", opening), [(None, None, None)])
-    return reduce(DataFrame.unionByName, map(_shown, (greenhouse, lever, reliefweb, workday, oracle_hcm, inspira)))
+    return reduce(DataFrame.unionByName, map(_shown, (greenhouse, lever, reliefweb, workday, smartrecruiters, oracle_hcm, inspira)))
 
 
 @query("log_errors", "SELECT event_id, regexp_matches(concat(event_type, ' of ', user_id, CASE WHEN event_id % 3 = 0 THEN ' failed' ELSE '' END), '(?i)error|failed|exception|fatal') AS is_error FROM events")
@@ -92,12 +98,21 @@ def pageviews(spark, sf_dir):
 
 
 @query("saved_lines", oracle(f"""
-WITH {SAVES}, o AS (SELECT DISTINCT chat_id, l.id, title, deadline FROM saves s JOIN listings l ON l.id = s.id WHERE {LIVE}),
+WITH {SAVES}, o AS (SELECT DISTINCT chat_id, l.* FROM saves s JOIN listings l ON l.id = s.id WHERE {LIVE}),
 n AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY deadline NULLS LAST, id) AS n FROM o)
-SELECT chat_id, n, concat(n, '. ', title, ' - ', CASE WHEN deadline IS NULL THEN 'open' WHEN {LEFT} < 0 THEN 'expired' ELSE concat({LEFT}, 'd') END) AS line FROM n""", "listings"))
+SELECT chat_id, n, concat(n, '. <a href="https://board.example.org/?listing=', id, '&amp;ref=tg-saved"><b>', title[1:80], '</b></a>', chr(10), '    ', org_name[1:60], ' · ',
+  CASE WHEN is_remote THEN 'Remote' ELSE coalesce(trim(split_part(location, ',', 1)), '—') END, ' · ', {URGENCY}) AS line FROM n""", "listings"))
 def saved_lines(spark, sf_dir):
-    saves = base(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chat_id"), F.array("c_custkey", F.col("c_custkey") * 2, F.col("c_custkey") * 3).alias("saved_listing_ids"))
-    return jobs.saved_lines(board.saved_open(saves, load(spark, sf_dir, "listings"), AS_OF), AS_OF).select("chat_id", "n", "line")
+    listings = load(spark, sf_dir, "listings")
+    return jobs.saved_lines(board.saved_open(_saves(spark, sf_dir), listings, AS_OF), listings, AS_OF).select("chat_id", "n", "line")
+
+
+@query("save_confirmations", oracle(f"""
+WITH {SAVES} SELECT chat_id, l.id, concat('✅ Saved — <b>', title, '</b>', chr(10), CASE WHEN deadline IS NULL THEN 'Rolling deadline — no reminders needed, apply when ready.'
+  ELSE concat({URGENCY}, ' · I''ll remind you 24h &amp; 72h before it closes.') END) AS message FROM saves s JOIN listings l ON l.id = s.id""", "listings"))
+def save_confirmations(spark, sf_dir):
+    requests = _saves(spark, sf_dir).select("chat_id", F.explode("saved_listing_ids").alias("id"))
+    return jobs.save_confirmations(requests, load(spark, sf_dir, "listings"), AS_OF)
 
 
 @query("drain_channel", oracle(f"""

@@ -20,6 +20,15 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt over the cores where a scan has fewer tasks than there are cores: a small file of one row group
+    is read by one task, which would then do all work on its texts.  Tables with more tasks stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Tables whose texts the rules work on for long.
+_LONG_WORK = {"postings"}
 _EXPRESSIONS: dict[str, dict[str, str]] = {
     "page_events": {
         "id": "event_id",
@@ -51,11 +60,12 @@ _EXPRESSIONS: dict[str, dict[str, str]] = {
         "apply_url": "CASE o_orderkey % 3 WHEN 1 THEN concat('https://apply.example.org/', o_orderkey) WHEN 2 THEN concat('ftp://apply.example.org/', o_orderkey) END",
         "apply_email": "CASE WHEN o_orderkey % 5 = 0 THEN concat('jobs', o_orderkey, '@example.org') END",
         "description": "concat('About the role. The ', CASE o_orderkey % 3 WHEN 0 THEN 'policy' WHEN 1 THEN 'health' ELSE 'gender' END, ' team hosts an intern. Apply by the date.')",
-        "raw": "CASE WHEN o_orderkey % 2 = 0 THEN concat('{\"structured\":{\"summary\":\"Role ', o_orderkey, '\"},\"repostedToChannel\":', CASE WHEN o_orderkey % 8 = 0 THEN 'true' ELSE 'false' END, '}') ELSE '{}' END",
+        "raw": "CASE WHEN o_orderkey % 2 = 0 THEN concat('{\"structured\":{\"data\":{\"application_email\":\"hr', o_orderkey % 9, '@example.org\",\"application_url\":\"https://forms.example.org/', o_orderkey, '\",\"how_to_apply\":\"Send a letter\",\"sections\":[{\"heading\":\"About\",\"items\":[\"Line ', o_orderkey % 5, '\",\"\"]},{\"heading\":\"None\",\"items\":[]}],\"summary\":\"', CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE concat('Role ', o_orderkey) END, '\"}},\"repostedToChannel\":', CASE WHEN o_orderkey % 8 = 0 THEN 'true' ELSE 'false' END, '}') ELSE '{}' END",
+        "field_tags": "split(CASE o_orderkey % 3 WHEN 0 THEN 'policy,governance' WHEN 1 THEN 'health' ELSE 'gender,human-rights' END, ',')",
     },
     "postings": {
         "id": "o_orderkey",
-        "url": "concat(CASE o_orderkey % 13 WHEN 0 THEN 'https://careers.un.org/job/' WHEN 1 THEN 'https://www.idealist.org/en/' WHEN 2 THEN 'https://x.fa.em2.oraclecloud.com/hcm/' WHEN 3 THEN 'https://reliefweb.int/job/' WHEN 4 THEN 'https://acme.wd1.myworkdayjobs.com/Ext/' WHEN 5 THEN 'https://boards.greenhouse.io/acme/' WHEN 6 THEN 'https://jobs.lever.co/acme/' WHEN 7 THEN 'https://careers.smartrecruiters.com/acme/' WHEN 8 THEN 'https://career5.successfactors.eu/' WHEN 9 THEN 'https://blog.example.org/wp-json/wp/v2/' WHEN 10 THEN 'HTTPS://WWW.Jobs.Example.org:8080/' WHEN 11 THEN 'mailto:a@example.org?' ELSE 'http://example.com/' END, o_orderkey, CASE o_custkey % 5 WHEN 0 THEN '?utm_source=x&a=1&b=&utm_medium=m#' WHEN 1 THEN '?fbclid=abc' WHEN 2 THEN '?q=a%20b&ref=tw#top' WHEN 3 THEN '' ELSE '?x=1&y=2' END)",
+        "url": "concat(CASE o_orderkey % 13 WHEN 0 THEN 'https://careers.un.org/job/' WHEN 1 THEN 'https://www.idealist.org/en/' WHEN 2 THEN 'https://x.fa.em2.oraclecloud.com/hcm/' WHEN 3 THEN 'https://reliefweb.int/job/' WHEN 4 THEN 'https://acme.wd1.myworkdayjobs.com/Ext/' WHEN 5 THEN 'https://boards.greenhouse.io/acme/' WHEN 6 THEN 'https://jobs.lever.co/acme/' WHEN 7 THEN 'https://careers.smartrecruiters.com/acme/' WHEN 8 THEN 'https://career5.successfactors.eu/' WHEN 9 THEN 'https://www.opportunitydesk.org/jobs/' WHEN 10 THEN 'HTTPS://WWW.Jobs.Example.org:8080/' WHEN 11 THEN 'mailto:a@example.org?' ELSE 'http://example.com/' END, o_orderkey, CASE o_custkey % 5 WHEN 0 THEN '?utm_source=x&a=1&b=&utm_medium=m#' WHEN 1 THEN '?gh_src=abc&amp=1' WHEN 2 THEN '?q=a%20b&ref=tw#top' WHEN 3 THEN '' ELSE '?x=1&y=2' END)",
         "source": "CASE o_orderkey % 4 WHEN 0 THEN 'ethiongojobs' WHEN 1 THEN 'greenhouse:acme' WHEN 2 THEN 'generic:site' ELSE 'undp' END",
         "title": "CASE o_orderkey % 12 WHEN 0 THEN 'Policy  Intern' WHEN 1 THEN 'Internship Programme Coordinator' WHEN 2 THEN 'Communications Internship at Green Fund.' WHEN 3 THEN '5 Interns Required' WHEN 4 THEN '10 Job and Internship opportunities at Acme' WHEN 5 THEN 'Internship: Human Resources Intern' WHEN 6 THEN '(MEL and Communication Intern)' WHEN 7 THEN 'IT Support Internship (5 Required)' WHEN 8 THEN 'Health Officer' WHEN 9 THEN 'Traineeship in Migration' WHEN 10 THEN 'International Relations fellow' ELSE 'Vacancies at UNECA' END",
         "location": "CASE o_custkey % 8 WHEN 0 THEN 'Addis Ababa, Ethiopia' WHEN 1 THEN 'Remote' WHEN 2 THEN 'Remote areas of Kenya' WHEN 3 THEN 'Geneva, Switzerland' WHEN 5 THEN '' WHEN 6 THEN 'Nairobi, Kenya' WHEN 7 THEN 'Home-based / remote' END",
@@ -72,6 +82,7 @@ _EXPRESSIONS: dict[str, dict[str, str]] = {
         "scrape_priority": "CASE s_suppkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' END",
         "contact_email": "CASE WHEN s_suppkey % 3 = 0 THEN concat('info', s_suppkey, '@example.org') END",
         "internship_url": "CASE WHEN s_suppkey % 5 = 0 THEN concat('https://org', s_suppkey, '.example.org/internships') END",
+        "website": "CASE WHEN s_suppkey % 11 <> 0 THEN concat('https://org', s_suppkey, '.example.org/') END",
         "careers_url": "CASE WHEN s_suppkey % 2 = 0 THEN concat('https://org', s_suppkey, '.example.org/careers') END",
         "addis_office": "CASE s_suppkey % 6 WHEN 0 THEN true WHEN 1 THEN false END",
         "twitter": "CASE s_suppkey % 4 WHEN 0 THEN concat('@org', s_suppkey) WHEN 1 THEN concat('https://x.com/org', s_suppkey) WHEN 2 THEN '' END",
@@ -121,7 +132,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _select(name).replace("{", "{{").replace("}", "}}")
     for t in dict.fromkeys(tables):
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
-    return spark.sql(text, **{t: base(spark, sf_dir, t) for t in tables})
+    spread = dealt if name in _LONG_WORK else lambda df: df
+    return spark.sql(text, **{t: spread(base(spark, sf_dir, t)) for t in tables})
 
 
 def oracle(statement: str, *names: str) -> str:

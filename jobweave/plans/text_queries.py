@@ -9,7 +9,7 @@ from jobweave.functions import keywords, text, urls
 from jobweave.functions import patterns as P
 from jobweave.operators import classify, gates
 from jobweave.plans.registry import query
-from jobweave.plans.tables import base, load, oracle
+from jobweave.plans.tables import base, dealt, load, oracle
 
 AS_OF = "2026-01-15 00:00:00"
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -55,9 +55,11 @@ def _access(df):
     return df.withColumn("access", gates.access_decision(F.col("location"), F.col("title"), F.col("text")))
 
 
-@query("access_decision", oracle(f"WITH {ACCESS} SELECT id, accessible, category FROM a", "postings"))
+@query("access_decision", oracle(f"""WITH {ACCESS} SELECT id, accessible, category, CASE category WHEN 'ethiopia' THEN 'Ethiopia-based duty station.' WHEN 'remote' THEN 'Remote / home-based, not locked to a foreign duty station.'
+  WHEN 'restricted' THEN 'Requires work authorization in a country other than Ethiopia.' WHEN 'sponsored' THEN 'Abroad, but travel/visa/relocation support is offered.'
+  WHEN 'elsewhere' THEN concat('In-person at "', loc, '", outside Ethiopia, with no remote option or travel support.') ELSE 'No Ethiopia, remote, or sponsorship signal found.' END AS reason FROM a""", "postings"))
 def access_decision(spark, sf_dir):
-    return _access(_postings(spark, sf_dir)).select("id", "access.accessible", "access.category")
+    return _access(_postings(spark, sf_dir)).select("id", "access.accessible", "access.category", "access.reason")
 
 
 # Dates.
@@ -170,7 +172,7 @@ def sql_tokens(c: str) -> str:
 @query("doc_tokens", f"SELECT doc_id, len({sql_tokens('text')}) AS n_tokens, sha256(array_to_string(list_sort({sql_tokens('text')}), ' ')) AS tokens_sha256 FROM documents")
 def doc_tokens(spark, sf_dir):
     t = F.array_sort(text.description_tokens(F.col("text")))
-    return base(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(t, " "), 256).alias("tokens_sha256"))
+    return dealt(base(spark, sf_dir, "documents")).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(t, " "), 256).alias("tokens_sha256"))
 
 
 # Keywords.
@@ -196,7 +198,7 @@ COMMON = ("the", "of", "license", "rights", "la", "die", "que", "version 2.0")
 
 @query("keyword_hits", f"SELECT doc_id, array_to_string({sql_matched('lower(text)', COMMON)}, ',') AS terms FROM documents")
 def keyword_hits(spark, sf_dir):
-    return base(spark, sf_dir, "documents").select("doc_id", F.array_join(keywords.matched(F.col("text"), COMMON), ",").alias("terms"))
+    return dealt(base(spark, sf_dir, "documents")).select("doc_id", F.array_join(keywords.matched(F.col("text"), COMMON), ",").alias("terms"))
 
 
 @query("field_tags", oracle(f"SELECT id, array_to_string({sql_tags('lower(concat(title, chr(10), text))')}, ',') AS tags FROM postings"))
@@ -212,8 +214,8 @@ k AS (SELECT *, CASE decision WHEN 'include' THEN true WHEN 'exclude' THEN false
   CAST(CASE decision WHEN 'include' THEN least(95, CASE WHEN list_has_any(inc, [{', '.join(map(q, HIGH_SIGNAL_TERMS))}]) THEN 85 + 3 * len(inc) ELSE 70 + 4 * len(inc) END)
     WHEN 'exclude' THEN 0 ELSE CASE WHEN len(inc) > 0 THEN 60 ELSE 0 END END AS INT) AS fit_score,
   CASE decision WHEN 'exclude' THEN '' ELSE array_to_string(tags, ',') END AS fields,
-  CASE decision WHEN 'include' THEN concat('Matched field terms: ', array_to_string(inc, ', ')) WHEN 'exclude' THEN concat('Matched excluded terms: ', array_to_string(exct, ', '))
-    ELSE CASE WHEN len(inc) > 0 THEN concat('Ambiguous keywords, no model answer: ', array_to_string(inc, ', ')) ELSE 'No clear match and no model answer' END END AS reason FROM d)"""
+  CASE decision WHEN 'include' THEN concat('Matched social-studies terms: ', array_to_string(inc, ', ')) WHEN 'exclude' THEN concat('Matched excluded role terms: ', array_to_string(exct, ', '))
+    ELSE CASE WHEN len(inc) > 0 THEN concat('Ambiguous keyword match without LLM fallback: ', array_to_string(inc, ', ')) ELSE 'No clear social-studies match and LLM fallback unavailable' END END AS reason FROM d)"""
 
 
 @query("classify", oracle(f"WITH {CLASSIFY} SELECT id, decision, fits, fit_score, fields, reason FROM k", "postings"))
@@ -245,7 +247,7 @@ WITH g AS (SELECT page_id, html, CASE WHEN page_id % 2 = 0 THEN url || '/' ELSE
 SELECT page_id, CASE WHEN regexp_replace(given, '/+$', '') <> '' AND contains(concat_ws(chr(10), html, text), regexp_replace(given, '/+$', '')) THEN given END AS url FROM g""")
 def url_guard(spark, sf_dir):
     given = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/"))).otherwise("https://elsewhere.example.net/x")
-    return base(spark, sf_dir, "pages").select("page_id", classify.url_guard(given, F.col("html"), F.concat(F.lit("See "), "url", F.lit(" now"))).alias("url"))
+    return dealt(base(spark, sf_dir, "pages")).select("page_id", classify.url_guard(given, F.col("html"), F.concat(F.lit("See "), "url", F.lit(" now"))).alias("url"))
 
 
 @query("ingest_gate", oracle(f"""
@@ -281,7 +283,7 @@ def device_class(spark, sf_dir):
 SELECT doc_id, sha256(coalesce(text, '')) AS content_sha256, sha256(concat_ws(':', CAST(doc_id % 30 AS VARCHAR), source, lang)) AS visitor_sha256 FROM documents""")
 def content_hash(spark, sf_dir):
     visitor = F.sha2(F.concat_ws(":", (F.col("doc_id") % 30).cast("string"), "source", "lang"), 256)
-    return base(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha256"), visitor.alias("visitor_sha256"))
+    return dealt(base(spark, sf_dir, "documents")).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha256"), visitor.alias("visitor_sha256"))
 
 
 # Addresses.
@@ -301,8 +303,14 @@ def url_parts(spark, sf_dir):
     return _postings(spark, sf_dir).select("id", urls.host(u).alias("host"), urls.site(u).alias("site"), urls.query_param(u, "a").alias("a"))
 
 
-@query("canonical_urls", oracle(f"""
-WITH c AS (SELECT id, url, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, {q('(?i)^' + urls.TRACKING + '=')}) AND NOT regexp_matches(p, '^[^=]*=?$')) AS params FROM postings)
-SELECT id, concat(regexp_extract(url, '^([^?#]*)', 1), CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END, regexp_extract(url, '(#.+)$', 1)) AS url FROM c"""))
+def sql_canonical(u: str) -> str:
+    """The address u as a URL parser writes it without tracking and empty parameters."""
+    params = f"list_filter(string_split(regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^[^=]*=?$') AND NOT regexp_matches(lower(p), '^(utm_|(gh_src|source|ref|amp)(=|$))'))"
+    path = f"regexp_extract({u}, '(?i)^(?:https?://[^/?#]*)?([^?#]*)', 1)"
+    return f"""concat(lower(regexp_extract({u}, '(?i)^(https?://[^/?#]*)', 1)), CASE WHEN regexp_matches({u}, '(?i)^https?://') AND {path} = '' THEN '/' ELSE {path} END,
+  CASE WHEN len({params}) > 0 THEN replace('?' || array_to_string({params}, '&'), '%20', '+') ELSE '' END, regexp_extract({u}, '(#.+)$', 1))"""
+
+
+@query("canonical_urls", oracle(f"SELECT id, {sql_canonical('url')} AS url FROM postings"))
 def canonical_urls(spark, sf_dir):
     return _postings(spark, sf_dir).select("id", urls.canonical(F.col("url")).alias("url"))

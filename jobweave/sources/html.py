@@ -19,9 +19,17 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 KEPT_ATTRIBUTES = {"a": ("href", "title"), "img": ("src", "alt"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan"), "abbr": ("title",)}
 DROPPED_IF_EMPTY = frozenset("p li h2 h3 h4 h5 h6 blockquote dt dd figcaption".split())
 HOLDS_CONTENT = frozenset("img br ul ol table".split())
+# What surrounds a page's content, and what holds it (tag, role, class or id, in order of preference).
 CHROME = frozenset("script style noscript nav header footer aside form".split())
-CONTENT = ("article", "main")
-#: A container with less text than this loses to the body.
+CHROME_CLASSES = frozenset("breadcrumb region-breadcrumb skip-link skip-to-content visually-hidden sr-only element-invisible menu main-menu region-header region-footer tabs pager sidebar social-links".split())
+CHROME_CLASS_PARTS = ("breadcrumb", "skip-link", "sidebar", "cookie", "social-share", "share-buttons")
+CHROME_ROLES = frozenset("navigation banner contentinfo search".split())
+SKIP_LINKS = frozenset(("#main-content", "#content", "#main"))
+CONTENT = (
+    ("tag", "article"), ("tag", "main"), ("role", "main"), ("class", "entry-content"), ("class", "job-description"), ("class", "job-details"), ("class", "vacancy-details"),
+    ("class", "post-content"), ("class", "node__content"), ("class", "node-content"), ("class", "field--name-body"), ("class", "field-name-body"), ("id", "block-system-main"),
+    ("class", "region-content"), ("id", "content"), ("class", "content"),
+)
 DENSE = 200
 
 
@@ -148,8 +156,15 @@ def clean_html(html: str | None, base: str = "") -> str | None:
 
 
 def _chrome(node: _Node) -> bool:
-    mark = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()
-    return node.tag in CHROME or node.attrs.get("role") in ("navigation", "banner", "contentinfo", "search") or any(w in mark for w in ("breadcrumb", "sidebar", "cookie", "skip-link", "social-share", "share-buttons"))
+    css, own = node.attrs.get("class", ""), node.attrs.get("id", "")
+    return (
+        node.tag in CHROME or node.attrs.get("role") in CHROME_ROLES or not CHROME_CLASSES.isdisjoint(css.split()) or any(w in css for w in CHROME_CLASS_PARTS)
+        or own == "breadcrumb" or "cookie" in own or (node.tag == "a" and node.attrs.get("href") in SKIP_LINKS)
+    )
+
+
+def _is(node: _Node, by: str, value: str) -> bool:
+    return node.tag == value if by == "tag" else value in node.attrs.get("class", "").split() if by == "class" else node.attrs.get(by) == value
 
 
 def _strip_chrome(node: _Node) -> None:
@@ -171,16 +186,17 @@ def _inner(node: _Node) -> str:
 
 
 def densest(html: str | None) -> str | None:
-    """Markup inside the content container with most text, chrome removed; the body if none is dense; null without text."""
+    """Markup inside the content container with most text, the first of each kind counted, chrome removed; the body if none is dense; null without text."""
     if html is None:
         return None
     root = parse(html)
     _strip_chrome(root)
     size = lambda n: len(" ".join(n.text().split()))
-    content = [n for n in root.walk() if n.tag in CONTENT or n.attrs.get("role") == "main" or re.search(r"(?:^|\s)(entry-content|job-description|job-details|vacancy-details|post-content|node__content|content)(?:\s|$)", n.attrs.get("class", ""))]
-    best = max(content, key=size, default=None)
+    nodes = list(root.walk())
+    first = [next((n for n in nodes if _is(n, by, value)), None) for by, value in CONTENT]
+    best = max((n for n in first if n is not None), key=size, default=None)
     if best is None or size(best) < DENSE:
-        best = next((n for n in root.walk() if n.tag == "body"), root)
+        best = next((n for n in nodes if n.tag == "body"), root)
     return _inner(best) if size(best) else None
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from jobweave.schemas import SCRAPED_LISTING
 
-#: Kind of source: a test over an address, and a function from a landed payload to listings.
-Normalizer = Callable[[DataFrame], DataFrame]
+#: Kind of source: a test over an address, and a function from landed payloads (and what else it takes) to listings.
+Normalizer = Callable[..., DataFrame]
 REGISTRY: dict[str, tuple[Callable[[Column], Column], Normalizer]] = {}
 
 
@@ -29,8 +29,9 @@ def listing(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCRAPED_LISTING.fields])
 
 
-def normalize(kind: str, payload: DataFrame) -> DataFrame:
-    return listing(REGISTRY[kind][1](payload))
+def normalize(kind: str, *payloads: DataFrame, **options: object) -> DataFrame:
+    """Listings of a kind's payloads, given in the order of its function's parameters."""
+    return listing(REGISTRY[kind][1](*payloads, **options))
 
 
 def union_sources(*feeds: DataFrame) -> DataFrame:

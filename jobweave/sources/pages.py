@@ -11,13 +11,27 @@ from jobweave.functions.text import (
     collapse, decode_entities, detect_paid, extract_stipend, filled, find_deadline, html_to_text, matches, once, parse_deadline, top_meta, without,
 )
 from jobweave.operators.gates import is_internship
+from jobweave.sources.normalize import register
 
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'<>]*)[\"'][^>]*>(.*?)</a\s*>"
-# Signs of an application link.
-CALL = r"(?i)\b(apply|application|submit|register)\b"
-ATS = r"(?i)(greenhouse\.io|lever\.co|workday|smartrecruiters|successfactors|oraclecloud|bamboohr|typeform|forms\.gle|docs\.google\.com/forms)"
-APPLY_PATH = r"(?i)/(apply|application|careers?|jobs?|vacanc)"
-IGNORED = r"(?i)(facebook|twitter|linkedin|instagram|youtube|whatsapp|t\.me)\."
+# Texts, hosts and paths of application links, with their points.
+CALLS = ((r"(?i)\bapply\b", 12), (r"(?i)click here|register|application form|apply (?:here|now|online)", 6), (r"(?i)^(?:link|here)$|>>", 3))
+APPLY_HOST = (
+    r"(?i)careers\.un\.org|greenhouse\.io|boards\.greenhouse|myworkdayjobs|\.workday\.|lever\.co|jobs\.lever|emply\.com|jobs2web|bamboohr|oraclecloud|taleo|smartrecruiters|forms\.gle"
+    r"|docs\.google\.com/forms|typeform|breezy\.hr|recruitee|jobvite|icims|successfactors|jobs\.au\.int|reliefweb\.int|impactpool|hahu\.jobs"
+)
+APPLY_PATH = r"(?i)gh_jid=|/vacanc(?:y|ies)/|/careers?/|/jobs?/|/apply\b|/job/"
+APPLY_SITE, LEAST = 8, 4
+OWN_HOST = r"(?i)(^|\.)ethiongojobs\.com$"
+# Hosts that never take applications, and hosts and paths that do, with their points.
+IGNORED_HOST = r"(?i)idealist|google-?analytics|googletagmanager|gstatic|googleapis|fonts\.google|facebook|instagram|twitter|tiktok|youtube|schema\.org|w3\.org|classy\.org|github|doubleclick|maps\.google"
+ATS_HOST = r"(?i)bamboohr|greenhouse|lever\.co|myworkdayjobs|workday|jobs2web|smartrecruiters|applytojob|breezy|workable|icims|taleo|jobvite|recruitee|ashbyhq"
+FORM_HOST = r"(?i)forms\.gle|forms\.office\.com|typeform\.com|jotform|airtable\.com|tally\.so|formstack|cognitoforms|surveymonkey"
+SHORT_HOST = r"(?i)^(?:bit\.ly|tinyurl\.com|rebrand\.ly|cutt\.ly|lnkd\.in|t\.co|s\.id)$"
+URL_PATH, URL_ID = r"(?i)/apply|/careers?/[\w-]|/jobs?/|gh_jid=", r"/[0-9]{2,}(?:[/?#]|$)"
+#: The address that a page's state names, quoted at any depth of escaping; and any address.
+STATE = r"\\*\"applyUrl\\*\",\\*\"(https?://[^\"\\]+)"
+ADDRESS = r"(?i)https?://[^\s\"'<>)]+"
 
 
 def interstitials(pages: DataFrame) -> DataFrame:
@@ -55,27 +69,40 @@ def page_links(pages: DataFrame, gate: bool = True) -> DataFrame:
 
 
 def scored_links(pages: DataFrame) -> DataFrame:
-    """Links with a score of how likely they lead to the application."""
-    links = anchors(pages).withColumn("href", absolute(F.col("href"), F.col("url"))).where("href IS NOT NULL")
-    score = (
-        F.when(matches(F.col("text"), CALL), 4).otherwise(0) + F.when(matches(F.col("href"), ATS), 5).otherwise(0) + F.when(matches(F.col("href"), APPLY_PATH), 2).otherwise(0)
-        + F.when(~urls.same_site(F.col("href"), F.col("url")), 1).otherwise(0) - F.when(matches(F.col("href"), IGNORED), 10).otherwise(0)
-    )
-    return links.withColumn("score", score)
-
-
-def apply_links(pages: DataFrame, least: int = 4) -> DataFrame:
+    """Absolute links to other hosts with a score of how likely they lead to the application: by their text, host and
+    path, and a share of one point for how late they stand."""
+    to = urls.host(F.col("href"))
+    links = anchors(pages).where(F.col("href").rlike(r"(?i)^https?://") & to.isNotNull() & ~to.eqNullSafe(urls.host(F.col("url"))) & ~to.rlike(OWN_HOST))
+    own = Window.partitionBy("page_id")
+    points = [F.when(matches(F.col("text"), pattern), n).otherwise(0) for pattern, n in CALLS]
+    points.append(F.when(matches(F.col("href"), APPLY_HOST) | matches(F.col("href"), APPLY_PATH), APPLY_SITE).otherwise(0))
+    place = (F.row_number().over(own.orderBy("pos")) - 1) / F.count(F.lit(1)).over(own)
+    return links.withColumn("score", sum(points[1:], points[0]) + place)
+
+
+def apply_links(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """The best link of each page, the first of equals, if its score is high enough."""
-    best = scored_links(pages).where(F.col("score") >= least).groupBy("page_id").agg(F.max_by(F.struct("href", "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    return best.select("page_id", F.col("b.href").alias("url"), F.col("b.score").alias("score"))
+    best = scored_links(pages).groupBy("page_id").agg(F.max_by(F.struct("href", "score"), F.struct("score", -F.col("pos"))).alias("b"))
+    return best.select("page_id", F.col("b.href").alias("url"), F.col("b.score").alias("score")).where(F.col("score") >= least)
 
 
 def external_urls(pages: DataFrame) -> DataFrame:
-    """The address that a page's state names for applications, else the best scored one with tracking removed; pages without one are left out."""
-    state = F.regexp_extract("html", r'"(?:applyUrl|externalUrl|applicationUrl)"\s*:\s*"(https?:[^"]+)"', 1)
-    named = pages.select("page_id", F.when(state != "", F.replace(state, F.lit("\\/"), F.lit("/"))).alias("named"))
-    best = apply_links(pages, 1).select("page_id", "url")
-    return named.join(best, "page_id", "left").select("page_id", urls.canonical(F.coalesce("named", "url")).alias("url")).where("url IS NOT NULL")
+    """The address that a page's state names for applications, else the one of all its addresses that looks most like
+    an application, the first of equals, with tracking removed; pages without one are left out."""
+    state = F.regexp_extract("html", STATE, 1)
+    each = pages.where(state == "").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ADDRESS), F.lit(0))).alias("pos", "found"))
+    each = each.select("page_id", "pos", F.regexp_replace(F.replace("found", F.lit("&amp;"), F.lit("&")), r"\\+$", "").alias("u"))
+    at = urls.host(F.col("u"))
+    page = F.regexp_extract("u", r"(?i)^https?://[^/?#]*([^?#]*)", 1)
+    form = matches(at, FORM_HOST) | ((at == "docs.google.com") & F.contains(page, F.lit("/forms")))
+    score = (
+        F.when(matches(at, ATS_HOST), 12).otherwise(0) + F.when(form, 12).otherwise(0) + F.when(matches(at, SHORT_HOST), 6).otherwise(0)
+        + F.when(matches(F.regexp_extract("u", r"(?i)^https?://[^/?#]*([^#]*)", 1), URL_PATH), 5).otherwise(0) + F.when(matches(page, URL_ID), 4).otherwise(0)
+    )
+    scored = each.where(at.isNotNull() & ~matches(at, IGNORED_HOST)).withColumn("score", score).where("score > 0")
+    best = scored.groupBy("page_id").agg(F.max_by("u", F.struct("score", -F.col("pos"))).alias("u"))
+    named = pages.where(state != "").select("page_id", F.replace(state, F.lit("&amp;"), F.lit("&")).alias("u"))
+    return named.unionByName(best).select("page_id", urls.canonical(F.col("u")).alias("url"))
 
 
 #: Elements around a page's content.
@@ -97,6 +124,7 @@ def container(html: Column) -> Column:
     return F.coalesce(filled(part("article")), filled(part("main")), filled(part("body")), bare)
 
 
+@register("generic-html", lambda url: urls.kind_of(url) == "generic-html")
 def pages_to_listings(pages: DataFrame, gate: bool = True, least: int = 100) -> DataFrame:
     """Pages as listings: title, place, pay, deadline and text; interstitials, pages with short texts and, with ``gate``, other titles go."""
     rows = interstitials(pages).where("NOT challenge").select("page_id", "url", title_of(F.col("html")).alias("title"), once(container(F.col("html")), html_to_text).alias("text"))

@@ -137,6 +137,7 @@ def lever(postings: DataFrame) -> DataFrame:
     )
 
 
+@register("workday", lambda url: urls.kind_of(url) == "workday")
 def workday(search: DataFrame, details: DataFrame, origin: str, site: str) -> DataFrame:
     """Search rows joined with their detail documents on the external path."""
     rows = _with_org(search).select("org_slug", F.col("org_name").alias("_org"), F.explode("jobPostings").alias("p"))
@@ -157,6 +158,7 @@ def _place(location: str) -> Column:
     return filled(F.array_join(F.array_compact(parts), ", "))
 
 
+@register("smartrecruiters", lambda url: urls.kind_of(url) == "smartrecruiters")
 def smartrecruiters(search: DataFrame, details: DataFrame, company: str) -> DataFrame:
     rows = _with_org(search).select("org_slug", F.col("org_name").alias("_org"), F.explode("content").alias("p")).withColumn("row_place", _place("p.location"))
     cheap = F.col("row_place").isNull() | F.coalesce("p.location.remote", F.lit(False)) | access_decision(F.col("row_place"), F.col("p.name"), F.lit(""))["accessible"]
@@ -202,6 +204,7 @@ def idealist(search: DataFrame) -> DataFrame:
     ))
 
 
+@register("inspira", lambda url: urls.kind_of(url) == "inspira")
 def inspira(rows: DataFrame, departments: Sequence[tuple[str | None, str | None, str | None]]) -> DataFrame:
     """Openings of the internship category for each organisation whose department rule they meet; only the duty
     station decides who can take them.  ``departments``: slug, name and pattern (None for all) of each organisation;
@@ -225,6 +228,7 @@ def inspira(rows: DataFrame, departments: Sequence[tuple[str | None, str | None,
     ))
 
 
+@register("oracle-hcm", lambda url: urls.kind_of(url) == "oracle-hcm")
 def oracle_hcm(search: DataFrame, details: DataFrame, origin: str, site: str) -> DataFrame:
     rows = _with_org(search).select("org_slug", F.col("org_name").alias("_org"), F.explode("items").alias("i")).select("org_slug", "_org", F.explode("i.requisitionList").alias("q")).where(is_internship(F.col("q.Title")))
     docs = details.select(F.explode("items").alias("d")).withColumn("id", F.col("d.Id"))
@@ -238,6 +242,7 @@ def oracle_hcm(search: DataFrame, details: DataFrame, origin: str, site: str) ->
     )
 
 
+@register("successfactors", lambda url: urls.kind_of(url) == "successfactors")
 def successfactors(items: DataFrame, origin: str) -> DataFrame:
     """Items of a feed: the title ends with the duty station in brackets."""
     text = html_to_text(F.coalesce("description", F.lit("")))
@@ -266,6 +271,7 @@ def wordpress(posts: DataFrame) -> DataFrame:
     )
 
 
+@register("ethiongojobs", lambda url: urls.host(url).rlike(r"(^|\.)ethiongojobs\.com$"))
 def board_cards(cards: DataFrame, details: DataFrame, source: str) -> DataFrame:
     """Cards of a board (url, title, source_id, pos) joined with their pages (url, html): the first card of an address, no roundups; a local board, so reach isn't asked."""
     first = F.row_number().over(Window.partitionBy("url").orderBy("pos"))

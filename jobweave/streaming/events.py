@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 
 from jobweave.operators.events import ip_country, visitor_hash
 from jobweave.operators.gates import device_class, is_bot
+from jobweave.streaming.limiter import MOST, limit, replay
 
 TYPES = ("pageview", "listing_view", "apply_click")
+# Lengths of the fields, form of a listing's id, and how far the board's day is ahead of UTC.
+PATH, REF = 200, 80
+LISTING_ID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+AHEAD_HOURS = 3
 
 
-def clean_events(requests: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+def clean_events(requests: DataFrame, ranges: DataFrame | None = None, most: int | None = MOST) -> DataFrame:
     """Requests (id, ts, type, path, listing_id, ref, ip, agent) as event rows: programs and unknown types go,
-    fields are cut to their lengths, broken listing ids become null, and the address leaves only a daily hash.
+    so do those beyond ``most`` of an address in a minute (None: no limit), fields are cut to their lengths, broken
+    listing ids become null, and the address leaves only a daily hash.
 
     ``ranges`` (lo, hi, country over the number of the address in ip_number) adds the country; on a stream it
-    is joined as a static table.
+    is joined as a static table.  A limited stream goes to its table first: daily_traffic() and live_now() then
+    follow that table, since their watermarks can't stand behind the limiter's state.
     """
     kept = requests.where(~is_bot(F.col("agent")) & F.col("type").isin(*TYPES))
+    if most is not None:
+        kept = (limit if kept.isStreaming else replay)(kept, key="ip", most=most).where("accepted").drop("accepted")
     day = F.to_date("ts")
     out = kept.select(
-        "id", "ts", "type", F.substring("path", 1, 500).alias("path"), F.when(F.col("listing_id").rlike(r"^[0-9a-fA-F-]{8,64}$"), F.col("listing_id")).alias("listing_id"), F.substring("ref", 1, 200).alias("ref"),
+        "id", "ts", "type", F.substring("path", 1, PATH).alias("path"), F.when(F.col("listing_id").rlike(LISTING_ID), F.col("listing_id")).alias("listing_id"), F.substring("ref", 1, REF).alias("ref"),
         device_class(F.col("agent")).alias("device"), visitor_hash(day, F.col("ip"), F.col("agent")).alias("visitor_hash"), *(["ip_number"] if ranges is not None else []),
     )
     if ranges is None:
@@ -33,12 +42,14 @@ def clean_events(requests: DataFrame, ranges: DataFrame | None = None) -> DataFr
     return ip_country(out.withColumnRenamed("ip_number", "ip"), ranges).drop("ip")
 
 
-def daily_visitors(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """day, views and visitors of page views.  Visitors are made distinct within the watermark, so state is bounded by two days."""
+def daily_traffic(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """day (of the board's time zone), views and visitors of page views.  A day's visitors are counted once each, so
+    state holds a row for each visitor of the days within the watermark."""
     views = events.where("type = 'pageview'").withWatermark("ts", late)
-    marked = views.withColumn("day", F.window("ts", "1 day"))
-    first = marked.dropDuplicates(["day", "visitor_hash"]) if not events.isStreaming else marked.select("ts", "visitor_hash", F.to_date("ts").alias("d")).dropDuplicatesWithinWatermark(["d", "visitor_hash"])
-    return first.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("visitors")).select(F.to_date("w.start").alias("day"), "visitors")
+    start = f"{24 - AHEAD_HOURS} hours"
+    each = views.groupBy(F.window("ts", "1 day", startTime=start).alias("w"), "visitor_hash").agg(F.count(F.lit(1)).alias("n"))
+    days = each.groupBy(F.window(F.window_time("w"), "1 day", startTime=start).alias("w")).agg(F.sum("n").alias("views"), F.count("visitor_hash").alias("visitors"))
+    return days.select(F.to_date(F.col("w.end") - F.expr("INTERVAL 1 HOUR")).alias("day"), "views", "visitors")
 
 
 def live_now(events: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from jobweave.operators.board import channel_queue, days_label, due_reminders
+from jobweave.operators.board import apply_link, channel_queue, due_reminders, html_escape, urgency
 
 
 def append_events(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -29,14 +29,38 @@ def drain_channel(listings: DataFrame, outbox: DataFrame, as_of: str, n: int = 1
     return channel_queue(waiting, as_of, n).select("id", "send", F.lit(as_of).cast("timestamp").alias("posted_at"))
 
 
-def remind(saves: DataFrame, listings: DataFrame, as_of: str, sent: DataFrame) -> DataFrame:
-    """Reminders due now that the sent log doesn't hold, with their text."""
+def _link(listing_id: Column, site: str, ref: str, inner: Column) -> Column:
+    return F.concat(F.lit(f'<a href="{site}/?listing='), listing_id.cast("string"), F.lit(f'&amp;ref={ref}">'), inner, F.lit("</a>"))
+
+
+def _cut(name: str, n: int) -> Column:
+    return html_escape(F.substring(name, 1, n))
+
+
+def remind(saves: DataFrame, listings: DataFrame, as_of: str, sent: DataFrame, site: str = "https://board.example.org") -> DataFrame:
+    """Reminders due now that the sent log doesn't hold, with their text (words are fixed values)."""
     due = due_reminders(saves, listings, as_of, sent)
-    named = due.join(listings.select("id", "title", F.date_format("deadline", "yyyy-MM-dd HH:mm").alias("closes")), "id")
-    return named.select("chat_id", "id", "band", F.concat(F.lit("Closing soon: "), "title", F.lit(" ("), "closes", F.lit(" UTC)")).alias("message"))
+    named = due.join(listings.select("id", "title", "org_name", apply_link(F.col("raw"), F.col("apply_url")).alias("apply")), "id")
+    apply = F.concat(F.lit('<a href="'), html_escape(F.col("apply")), F.lit('">Apply now</a>'))
+    links = F.concat_ws(" · ", _link(F.col("id"), site, "tg-reminder", F.lit("Read")), apply)
+    head = F.concat(F.lit("⏰ <b>Closes in ~"), "band", F.lit("</b>\n<b>"), _cut("org_name", 120), F.lit("</b> — "), _cut("title", 120), F.lit("\n"))
+    return named.select("chat_id", "id", "band", F.concat_ws("\n", head, links).alias("message"))
+
+
+def saved_lines(saved: DataFrame, listings: DataFrame, as_of: str, site: str = "https://board.example.org") -> DataFrame:
+    """Lines of a subscriber's list, as saved_open() numbers it: the title as a link, then organisation, place and urgency."""
+    rows = saved.select("chat_id", "page", "n", "id").join(listings.select("id", "title", "org_name", "location", "is_remote", "deadline"), "id")
+    town = F.trim(F.substring_index("location", ",", 1))
+    place = F.when(F.col("is_remote"), "Remote").otherwise(F.coalesce(town, F.lit("—")))
+    title = F.concat(F.lit("<b>"), _cut("title", 80), F.lit("</b>"))
+    about = F.concat_ws(" · ", _cut("org_name", 60), html_escape(place), urgency(F.col("deadline"), as_of))
+    return rows.select("chat_id", "page", "n", F.concat(F.col("n").cast("string"), F.lit(". "), _link(F.col("id"), site, "tg-saved", title), F.lit("\n    "), about).alias("line"))
 
 
-def saved_lines(saved: DataFrame, as_of: str) -> DataFrame:
-    """Lines of a subscriber's list, as saved_open() numbers it."""
-    line = F.format_string("%d. %s - %s", F.col("n"), F.col("title"), days_label(F.col("deadline"), as_of))
-    return saved.select("chat_id", "page", "n", line.alias("line"))
+def save_confirmations(requests: DataFrame, listings: DataFrame, as_of: str) -> DataFrame:
+    """Messages that tell a subscriber (chat_id, id) that a listing is saved (words are fixed values)."""
+    told = F.when(
+        F.col("deadline").isNotNull(), F.concat(urgency(F.col("deadline"), as_of), F.lit(" · I'll remind you 24h &amp; 72h before it closes."))
+    ).otherwise("Rolling deadline — no reminders needed, apply when ready.")
+    head = F.concat(F.lit("✅ Saved — <b>"), _cut("title", 120), F.lit("</b>"))
+    return requests.select("chat_id", "id").join(listings.select("id", "title", "deadline"), "id").select("chat_id", "id", F.concat_ws("\n", head, told).alias("message"))

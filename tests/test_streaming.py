@@ -11,13 +11,14 @@ from jobweave.operators import board
 from jobweave.streaming import events, jobs, limiter
 
 T0 = dt.datetime(2024, 1, 1, 12)
+ID = "0123abcd-0000-4000-8000-00000000000F"
 SCHEMA = "id string, ts timestamp, type string, path string, listing_id string, ref string, ip string, agent string, ip_number long"
 
 
 @pytest.fixture
 def requests(spark):
     rows = [
-        (str(i), T0 + dt.timedelta(seconds=7 * i), ["pageview", "listing_view", "other"][i % 3], "/" + "x" * 600, "0123abcd-99" if i % 2 else "bad id!", "tg", f"10.0.0.{i % 4}", "Mozilla" if i % 5 else "curl/8", i % 4)
+        (str(i), T0 + dt.timedelta(seconds=7 * i), ["pageview", "listing_view", "other"][i % 3], "/" + "x" * 600, ID if i % 2 else "0123abcd-99", "tg", f"10.0.0.{i % 4}", "Mozilla" if i % 5 else "curl/8", i % 4)
         for i in range(60)
     ]
     return spark.createDataFrame(rows, SCHEMA)
@@ -36,7 +37,11 @@ def test_clean_events(spark, requests, tmp_path):
     batch = events.clean_events(requests)
     got = batch.collect()
     assert len(got) == sum(1 for i in range(60) if i % 3 != 2 and i % 5)
-    assert all(len(r["path"]) == 500 and (r["listing_id"] in (None, "0123abcd-99")) for r in got)
+    assert all(len(r["path"]) == 200 and (r["listing_id"] in (None, ID)) for r in got)
+    assert {r["listing_id"] for r in got} == {None, ID}
+    # At most so many of an address in a minute.
+    few = events.clean_events(requests, most=1).select("id").collect()
+    assert 0 < len(few) < len(got) and len(events.clean_events(requests, most=None).collect()) == len(got)
     same = _played(spark, requests, tmp_path, events.clean_events)
     assert same.select(*batch.columns).exceptAll(batch).count() == 0 and same.count() == batch.count()
 
@@ -59,12 +64,20 @@ def test_limiter_opens_windows_at_the_first_event(spark, tmp_path):
 
 def test_windows(spark, requests, tmp_path):
     clean = events.clean_events(requests)
-    daily = {str(r["day"]): r["visitors"] for r in events.daily_visitors(clean).collect()}
-    want = clean.where("type = 'pageview'").agg(F.count_distinct("visitor_hash")).first()[0]
-    assert daily == {"2024-01-01": want}
+    views = clean.where("type = 'pageview'")
+    want = [(dt.date(2024, 1, 1), views.count(), views.select("visitor_hash").distinct().count())]
+    assert [tuple(r) for r in events.daily_traffic(clean).collect()] == want
+    # Days begin at the board's midnight, 21:00 UTC.
+    late = views.withColumn("ts", F.expr("ts + INTERVAL '08:59:30' HOUR TO SECOND"))
+    told = events.daily_traffic(late).orderBy("day").collect()
+    assert [r["day"] for r in told] == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)] and sum(r["views"] for r in told) == views.count()
+    # A later day's event lets the watermark pass the first one, which is then told.
+    more = clean.unionByName(clean.limit(1).withColumn("type", F.lit("pageview")).withColumn("ts", F.lit(T0 + dt.timedelta(days=4)))).coalesce(1)
+    day = _played(spark, more.sortWithinPartitions("ts"), tmp_path / "daily", events.daily_traffic, files=2)
+    assert [tuple(r) for r in day.collect()] == want
     live = events.live_now(clean).orderBy("at").collect()
     assert live[0]["at"] == T0 + dt.timedelta(minutes=1)
-    streamed = _played(spark, requests, tmp_path, lambda s: events.live_now(events.clean_events(s)))
+    streamed = _played(spark, clean, tmp_path, events.live_now)
     # In append mode a window is told once the watermark has passed it.
     assert streamed.exceptAll(events.live_now(clean)).count() == 0
 
@@ -93,9 +106,12 @@ def test_queue_and_reminders_run_twice(spark):
     as_of = "2024-06-10 00:00:00"
     soon = lambda h: dt.datetime(2024, 6, 10) + dt.timedelta(hours=h)
     listings = spark.createDataFrame(
-        [(1, "A", "active", 90, soon(24), False), (2, "B", "active", 80, soon(-5), False), (3, "C", "active", 60, None, False), (4, "D", "active", 75, soon(70), True), (5, "E", "active", 75, soon(21), False)],
-        "id int, title string, status string, fit_score int, deadline timestamp, posted_to_channel boolean",
-    )
+        [
+            (i, t, "active", fit, at, posted, f"Org {t}", place, t == "D", "https://apply.example.org/?a=1&b=2" if i == 1 else "ftp://x", None)
+            for i, t, fit, at, posted, place in ((1, "A & Co", 90, soon(24), False, "Addis Ababa, Ethiopia"), (2, "B", 80, soon(-5), False, None), (3, "C", 60, None, False, None), (4, "D", 75, soon(70), True, "x"), (5, "E", 75, soon(21), False, None))
+        ],
+        "id int, title string, status string, fit_score int, deadline timestamp, posted_to_channel boolean, org_name string, location string, is_remote boolean, apply_url string, raw string",
+    )
     outbox = spark.createDataFrame([], "id int, send boolean, posted_at timestamp")
     first = jobs.drain_channel(listings, outbox, as_of)
     assert [(r["id"], r["send"]) for r in first.collect()] == [(1, True), (2, False), (5, True)]
@@ -106,5 +122,14 @@ def test_queue_and_reminders_run_twice(spark):
     due = jobs.remind(saves, listings, as_of, spark.createDataFrame([], "chat_id int, id int, band string"))
     assert sorted((r["chat_id"], r["id"], r["band"]) for r in due.collect()) == [(7, 1, "24h"), (7, 4, "72h")]
     assert jobs.remind(saves, listings, as_of, due.select("chat_id", "id", "band")).count() == 0
-    lines = jobs.saved_lines(board.saved_open(saves, listings, as_of), as_of).orderBy("n").collect()
-    assert [r["line"] for r in lines] == ["1. E - 1d", "2. A - 1d", "3. D - 3d"]
+    told = {r["id"]: r["message"] for r in due.collect()}
+    read = '<a href="https://board.example.org/?listing=%d&amp;ref=tg-reminder">Read</a>'
+    assert told[1] == "⏰ <b>Closes in ~24h</b>\n<b>Org A &amp; Co</b> — A &amp; Co\n\n" + read % 1 + ' · <a href="https://apply.example.org/?a=1&amp;b=2">Apply now</a>'
+    assert told[4] == "⏰ <b>Closes in ~72h</b>\n<b>Org D</b> — D\n\n" + read % 4
+    lines = [r["line"] for r in jobs.saved_lines(board.saved_open(saves, listings, as_of), listings, as_of).orderBy("n").collect()]
+    assert lines[1] == '2. <a href="https://board.example.org/?listing=1&amp;ref=tg-saved"><b>A &amp; Co</b></a>\n    Org A &amp; Co · Addis Ababa · 🔴 1d left'
+    assert lines[0].endswith("Org E · — · 🔴 1d left") and lines[2].endswith("Org D · Remote · 🔴 3d left")
+    asked = spark.createDataFrame([(7, 1), (7, 3)], "chat_id int, id int")
+    assert sorted(r["message"] for r in jobs.save_confirmations(asked, listings, as_of).collect()) == [
+        "✅ Saved — <b>A &amp; Co</b>\n🔴 1d left · I'll remind you 24h &amp; 72h before it closes.", "✅ Saved — <b>C</b>\nRolling deadline — no reminders needed, apply when ready.",
+    ]
