@@ -18,7 +18,13 @@ where an average node would be small are computed where the rows are.
 
 Branching needs no other row, so a node of any size is streamed through its
 task.  Only candidate pairs, never all pairs of a group, are emitted: members of
-a node that strong resemblance already joins are not paired again.
+a node that strong resemblance already joins are not paired again.  Where the full
+sets of such a pair turn out not to be similar enough, its members go through the
+trees once more, with signatures that can't resemble any other so strongly.
+
+Recall is audited: partners of a bounded number of classes are looked for among all
+classes by their minwise values, and trees are added until they join enough of the
+links that the full sets confirm.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.llm.blocks import Words, filled, text_blocks
@@ -50,6 +56,11 @@ WEAK_BELOW = 0.2
 STRONG = 0.93
 #: A member is settled by one leader from STRONG on, or by so many from a similarity and LIKELY_ABOVE on.
 LIKELY_ABOVE, LIKELY_LEADERS = 0.05, 2
+#: Classes whose links are audited, links of each at most, how many equal minwise values make a partner (six deviations below
+#: the threshold), the share of the links to be joined, and trees added at a time and at most.
+AUDITED, PARTNERS, ALIKE, RECALL, MORE_TREES, MOST_TREES = 500, 8, 32, 0.99, 8, 64
+#: Minwise values that are replaced where a strong resemblance was wrong, so many that none of STRONG is left.
+REPLACED = 5
 #: Bits of the fixed-size filter that tells which documents have candidates.
 FILTER_BITS = 1 << 26
 
@@ -319,13 +330,13 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         yield ahead, False
 
 
-def candidates(classes: DataFrame, similarity: float, trees: int = TREES) -> DataFrame:
-    """Candidate pairs (a < b) of classes (id, sig), each once."""
+def candidates(classes: DataFrame, similarity: float, trees: range) -> DataFrame:
+    """Candidate pairs (a < b) of classes (id, sig) by the trees of these numbers, each pair once."""
     total = classes.count()
     depth = max(1, math.ceil(math.log(max(total, 2) / SMALL, 256))) if total > SMALL else 1
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = _mixed(np.arange(1, trees + 1, dtype=np.uint64) * _MIX2)
+        roots = _mixed((np.array(trees, np.uint64) + np.uint64(1)) * _MIX2)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, COORDINATES)
@@ -352,6 +363,70 @@ def candidates(classes: DataFrame, similarity: float, trees: int = TREES) -> Dat
     return pairs.where("a <> b").distinct()
 
 
+def audited_pairs(classes: DataFrame, audited: int = AUDITED) -> DataFrame:
+    """Pairs a, b of up to ``audited`` classes (those that hash lowest) with PARTNERS classes each at most, those that hash
+    lowest among all classes with ALIKE equal minwise values."""
+    picked = classes.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(audited).select("id", "sig").collect()
+    ids = np.array([r["id"] for r in picked], np.int64)
+    shared = classes.sparkSession.sparkContext.broadcast((ids, np.frombuffer(b"".join(r["sig"] for r in picked), np.uint8).reshape(-1, COORDINATES)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, own_sigs = shared.value
+        best = np.empty((0, 3), np.uint64)  # hash, place of the class, partner
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            for s in range(0, len(ids), 128):
+                alike = (sigs[s : s + 128, None, :] == own_sigs[None, :, :]).sum(axis=2, dtype=np.uint8)
+                row, place = np.nonzero(alike >= ALIKE)
+                partner = ids[s : s + 128][row]
+                row, place, partner = (z[own[place] != partner] for z in (row, place, partner))
+                if len(place):
+                    h = _mixed(partner.astype(np.uint64) * _MIX1 + place.astype(np.uint64) * _MIX2)
+                    best = np.concatenate([best, np.stack([h, place.astype(np.uint64), partner.astype(np.uint64)], axis=1)])
+                    order = np.lexsort((best[:, 0], best[:, 1]))
+                    rank = np.arange(len(order)) - np.searchsorted(best[order, 1], best[order, 1])
+                    best = best[order[rank < PARTNERS]]
+        if len(best):
+            yield pa.RecordBatch.from_arrays([pa.array((best[:, 0] >> np.uint64(1)).astype(np.int64)), pa.array(own[best[:, 1].astype(np.int64)]), pa.array(best[:, 2].astype(np.int64))], ["h", "a", "b"])
+
+    met = classes.select("id", "sig").mapInArrow(run, "h bigint, a bigint, b bigint")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("h", "b"))
+    return met.withColumn("n", rank).where(F.col("n") <= PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def wrongly_strong(classes: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (id) of pairs that resemble each other strongly though their full sets don't."""
+    failed = pairs.join(links, ["a", "b"], "left_anti")
+    side = lambda n: classes.select(F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"))
+    both = failed.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 3))
+            strong = np.flatnonzero((a == b).mean(axis=1) >= STRONG) if batch.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(i).take(pa.array(strong)) for i in (0, 1)])], ["id"])
+
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "id bigint").distinct()
+
+
+def _weakened(classes: DataFrame, wrong: DataFrame) -> DataFrame:
+    """Classes (id, sig) with REPLACED minwise values of the wrong ones replaced by values of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [bytearray(x) for x in batch.column(1).to_pylist()]
+            for i, (key, bad) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                h = xxhash.xxh3_128_intdigest(key.to_bytes(8, "little", signed=True)) if bad else 0
+                for k in range(REPLACED if bad else 0):
+                    at = (h % COORDINATES + k * (COORDINATES // REPLACED)) % COORDINATES
+                    sigs[i][at] = (sigs[i][at] + 1 + (h >> (16 + 8 * k)) % 255) % 256
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(bytes, sigs), pa.binary())], ["id", "sig"])
+
+    marked = classes.select("id", "sig").join(wrong.withColumn("bad", F.lit(True)), "id", "left").select("id", "sig", F.coalesce("bad", F.lit(False)).alias("bad"))
+    return marked.mapInArrow(run, "id bigint, sig binary")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The candidate pairs whose full sets are similar enough."""
     spark = docs.sparkSession
@@ -414,8 +489,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = durable(features(docs, width, id_col, text_col))
     classes = durable(own.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    pairs = durable(candidates(classes, similarity, trees))
-    links = confirmed(docs, pairs, width, similarity, id_col, text_col)
+    links = durable(_links(docs, classes, width, similarity, id_col, text_col, trees))
     # A row's identifier is linked with that of its class, which its text makes it equal to.
     same = own.where("n > 0").join(classes.select("print", F.col("id").alias("rep")), "print")
     repeated = same.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) if _ids_repeat(own) else None
@@ -428,6 +502,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str, trees: int) -> DataFrame:
+    """Confirmed pairs of classes (a, b) that join what is similar enough."""
+    audited = durable(audited_pairs(classes)).withColumn("audited", F.lit(True))
+    pairs = durable(candidates(classes, similarity, range(trees)))
+    every = pairs.join(audited, ["a", "b"], "full_outer").select("a", "b")
+    checked = durable(confirmed(docs, every, width, similarity, id_col, text_col))
+    links = checked.join(pairs, ["a", "b"], "left_semi")
+    wrong = durable(wrongly_strong(classes, pairs, links))
+    if not wrong.isEmpty():
+        again = candidates(durable(_weakened(classes, wrong)), similarity, range(trees))
+        own = again.join(wrong.select(F.col("id").alias("a"), F.lit(True).alias("is_a")), "a", "left").join(wrong.select(F.col("id").alias("b"), F.lit(True).alias("is_b")), "b", "left")
+        fresh = durable(own.where("is_a OR is_b").select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+        links = links.unionByName(confirmed(docs, fresh, width, similarity, id_col, text_col))
+    links = durable(links)
+    true = checked.join(audited, ["a", "b"], "left_semi")
+    while trees < MOST_TREES and _joined(true, links) < RECALL:
+        more = durable(candidates(classes, similarity, range(trees, trees + MORE_TREES)).join(every, ["a", "b"], "left_anti"))
+        links = durable(links.unionByName(confirmed(docs, more, width, similarity, id_col, text_col)))
+        trees += MORE_TREES
+    # What the audit found counts too.
+    return links.unionByName(true).distinct()
+
+
+def _joined(true: DataFrame, links: DataFrame) -> float:
+    """The share of true links whose ends other links join."""
+    parts = connected_components(links)
+    of = lambda n: parts.select(F.col("id").alias(n), F.col("component").alias(f"c{n}"))
+    share = true.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double"))).first()[0]
+    return 1.0 if share is None else share
+
+
 def _ids_repeat(own: DataFrame) -> bool:
     """Whether an identifier stands on rows with different sets."""
     return not own.where("id IS NOT NULL").groupBy("id").agg(F.count_distinct("print").alias("sets")).where("sets > 1").isEmpty()

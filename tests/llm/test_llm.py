@@ -559,6 +559,80 @@ def test_each_entity_by_its_own_probability(spark, sf_dir):
     assert alone == [("ip", 5, 16)] and listed == [(k, a + step * i, b + step * i) for i in range(40) for k, a, b in alone]
 
 
+def test_wrongly_strong_pairs_go_through_the_trees_again(spark, monkeypatch):
+    # With this bound every pair of a group counts as strong, so most links of texts at 0.7 to 0.9 would stay unseen.
+    monkeypatch.setattr(minhash_dedup, "STRONG", 0.62)
+    monkeypatch.setattr(minhash_dedup, "REPLACED", 1)
+    monkeypatch.setattr(minhash_dedup, "AUDITED", 1)
+    rng = random.Random(6)
+    texts: dict[int, str] = {}
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for _ in range(5):
+            t = list(base)
+            for at in rng.sample(range(100), rng.choice([4, 8, 12])):
+                t[at] = f"x{len(texts)}n{at}"
+            texts[len(texts)] = " ".join(t)
+    seen = []
+    weakened = minhash_dedup._weakened
+    monkeypatch.setattr(minhash_dedup, "_weakened", lambda classes, wrong: seen.append(wrong.count()) or weakened(classes, wrong))
+    _, label = _near(texts, 1)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
+    assert seen and seen[0] > 0
+    assert np.mean([r["component_id"] == label[r["doc_id"]] for r in got]) > 0.97
+
+
+def test_trees_are_added_until_the_audit_is_met(spark, monkeypatch):
+    rng = random.Random(7)
+    texts: dict[int, str] = {}
+    for g in range(400):
+        base = [f"g{g}w{i}" for i in range(60)] if g % 2 else [f"c{rng.randrange(90)}" for _ in range(60)]
+        for _ in range(2):
+            t = list(base)
+            for at in rng.sample(range(60), 4):
+                t[at] = f"x{len(texts)}n{at}"
+            texts[len(texts)] = " ".join(t)
+    used = []
+    tried = minhash_dedup.candidates
+    monkeypatch.setattr(minhash_dedup, "candidates", lambda classes, similarity, trees: used.append(trees) or tried(classes, similarity, trees))
+    _, label = _near(texts, 1)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1, trees=1).collect()
+    assert len(used) > 1 and used[0] == range(1) and used[1].start in (0, 1)
+    assert np.mean([r["component_id"] == label[r["doc_id"]] for r in got]) > 0.98
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    cp = pytest.importorskip("corpus_pipeline")
+    rows = [(1, None, "en", "a", 5), (2, "", None, "a", None), (3, "password = abcdefgh1", "en", None, 20), (4, "one two three four five six", "en", "a", 27), (4, "seven eight nine ten eleven twelve", "en", "a", 1),
+            (None, "one two three four five six", "en", "a", 27), (None, "nobody else says these six words", "en", "a", 1), (None, "nobody else says these six words", "de", "a", 1), (5, "word " * 60_000, "en", "b", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert cp.drop_toxic(spark, odd, sf_dir).columns == odd.columns
+    near = cp.drop_near_copies(spark, odd, sf_dir).collect()
+    assert sorted(str(r["doc_id"]) + (r["text"] or "")[:9] for r in near) == sorted(["1", "2", "3password ", "4one two t", "4seven eig", "Nonenobody el", "5word word"])
+    left = odd
+    for _, stage in cp.STAGES:
+        left = stage(spark, left, sf_dir)
+    assert {r["doc_id"] for r in left.collect()} <= {1, 2, 3, 4, 5, None}
+    none = odd.limit(0)
+    for _, stage in cp.STAGES[:-1]:
+        none = stage(spark, none, sf_dir)
+        assert none.columns == odd.columns and none.count() == 0
+    assert cp.STAGES[-1][1](spark, none, sf_dir).count() == 0
+
+
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        components.shared_folder(Session)
+
+
 def test_pipeline(spark, sf_dir):
     cp = pytest.importorskip("corpus_pipeline")
     docs = queries.table(spark, sf_dir, "documents")
