@@ -559,29 +559,6 @@ def test_each_entity_by_its_own_probability(spark, sf_dir):
     assert alone == [("ip", 5, 16)] and listed == [(k, a + step * i, b + step * i) for i in range(40) for k, a, b in alone]
 
 
-def test_wrongly_strong_pairs_go_through_the_trees_again(spark, monkeypatch):
-    # With this bound every pair of a group counts as strong, so most links of texts at 0.7 to 0.9 would stay unseen.
-    monkeypatch.setattr(minhash_dedup, "STRONG", 0.62)
-    monkeypatch.setattr(minhash_dedup, "REPLACED", 1)
-    monkeypatch.setattr(minhash_dedup, "AUDITED", 1)
-    rng = random.Random(6)
-    texts: dict[int, str] = {}
-    for g in range(40):
-        base = [f"g{g}w{i}" for i in range(100)]
-        for _ in range(5):
-            t = list(base)
-            for at in rng.sample(range(100), rng.choice([4, 8, 12])):
-                t[at] = f"x{len(texts)}n{at}"
-            texts[len(texts)] = " ".join(t)
-    seen = []
-    weakened = minhash_dedup._weakened
-    monkeypatch.setattr(minhash_dedup, "_weakened", lambda classes, wrong: seen.append(wrong.count()) or weakened(classes, wrong))
-    _, label = _near(texts, 1)
-    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
-    assert seen and seen[0] > 0
-    assert np.mean([r["component_id"] == label[r["doc_id"]] for r in got]) > 0.97
-
-
 def test_trees_are_added_until_the_audit_is_met(spark, monkeypatch):
     rng = random.Random(7)
     texts: dict[int, str] = {}
