@@ -475,20 +475,24 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, i
     links = checked.join(pairs, ["a", "b"], "left_semi")
     links = durable(links)
     true = checked.join(audited, ["a", "b"], "left_semi")
-    while trees < MOST_TREES and _joined(true, links) < RECALL:
-        more = durable(candidates(classes, similarity, range(trees, trees + MORE_TREES)).join(every, ["a", "b"], "left_anti"))
-        links = durable(links.unionByName(confirmed(docs, more, width, similarity, id_col, text_col)))
+    while trees < MOST_TREES:
+        parts = durable(connected_components(links))
+        joined = _ends(true, parts).agg(F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double"))).first()[0]
+        if joined is None or joined >= RECALL:
+            break
+        # Ends that links join already need no further link: only other candidates are confirmed.
+        more = _ends(candidates(classes, similarity, range(trees, trees + MORE_TREES)), parts)
+        apart = durable(more.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b").join(every, ["a", "b"], "left_anti"))
+        links = durable(links.unionByName(confirmed(docs, apart, width, similarity, id_col, text_col)))
         trees += MORE_TREES
     # What the audit found counts too.
     return links.unionByName(true).distinct()
 
 
-def _joined(true: DataFrame, links: DataFrame) -> float:
-    """The share of true links whose ends other links join."""
-    parts = connected_components(links)
+def _ends(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs with the components of their ends (ca, cb), null where nothing is linked."""
     of = lambda n: parts.select(F.col("id").alias(n), F.col("component").alias(f"c{n}"))
-    share = true.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double"))).first()[0]
-    return 1.0 if share is None else share
+    return pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
 
 
 def _ids_repeat(own: DataFrame) -> bool:
