@@ -20,6 +20,12 @@ Branching needs no other row, so a node of any size is streamed through its
 task.  Only candidate pairs, never all pairs of a group, are emitted: members of
 a node that strong resemblance already joins are not paired again.
 
+Components need no pair whose ends are joined already.  Where there are more
+candidates than classes, they are confirmed in rounds: a class first with a few of
+its partners, then with more of those that are still apart from it, until none is left;
+pairs that can't be similar enough, as too many of their shingles have one holder
+alone, leave before.
+
 Recall is audited: partners of a bounded number of classes are looked for among all
 classes by their minwise values, and trees are added until they join enough of the
 links that the full sets confirm.
@@ -183,13 +189,14 @@ def _node_batch(kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, sigs:
     )
 
 
+#: A node's row, or a pair, whose key is the number of equal minwise values.
 _NODE = "kind int, key bigint, a bigint, b bigint, sig binary"
 _CHILD, _PAIR = 0, 1
 
 
-def _small_pairs(ids: np.ndarray, sigs: np.ndarray, starts: np.ndarray, size: int, weak: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of all nodes with ``size`` members that begin at ``starts``."""
-    out_a, out_b = [], []
+def _small_pairs(ids: np.ndarray, sigs: np.ndarray, starts: np.ndarray, size: int, weak: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of all nodes with ``size`` members that begin at ``starts``, and their equal minwise values."""
+    out_a, out_b, shares = [], [], []
     step = max(1, (1 << 21) // (size * size * COORDINATES))
     for s in range(0, len(starts), step):
         at = starts[s : s + step, None] + np.arange(size)
@@ -206,10 +213,12 @@ def _small_pairs(ids: np.ndarray, sigs: np.ndarray, starts: np.ndarray, size: in
         g, j = np.nonzero(has)
         out_a.append(ids[at[g, lead[g, j]]])
         out_b.append(ids[at[g, j]])
+        shares.append(alike[g, lead[g, j], j])
         g, i, j = np.nonzero((alike >= weak) & upper & (root[:, :, None] != root[:, None, :]))
         out_a.append(ids[at[g, i]])
         out_b.append(ids[at[g, j]])
-    return np.concatenate(out_a), np.concatenate(out_b)
+        shares.append(alike[g, i, j])
+    return np.concatenate(out_a), np.concatenate(out_b), np.rint(np.concatenate(shares) * COORDINATES)
 
 
 class _Leaders:
@@ -219,18 +228,20 @@ class _Leaders:
         self.weak, self.likely, self.most = similarity - WEAK_BELOW, similarity + LIKELY_ABOVE, most
         self.ids, self.sigs = np.empty(0, np.int64), np.empty((0, COORDINATES), np.uint8)
 
-    def add(self, ids: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Candidate pairs, and the places of the members that no leader settles, leaders among them."""
-        out_a, out_b, led = [], [], []
+    def add(self, ids: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Candidate pairs, their equal minwise values, and the places of the members that no leader settles, leaders among them."""
+        out_a, out_b, shares, led = [], [], [], []
         todo, likely = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         done = 0
         while True:
             for k in range(done, len(self.ids)):
                 alike = (sigs[todo] == self.sigs[k]).mean(axis=1)
                 # Members that branch meet the later leaders again, which branch as well.
-                hit = todo[alike >= (self.weak if self.most is None or k < LIKELY_LEADERS else self.likely)]
+                near = alike >= (self.weak if self.most is None or k < LIKELY_LEADERS else self.likely)
+                hit = todo[near]
                 out_a.append(np.full(len(hit), self.ids[k]))
                 out_b.append(ids[hit])
+                shares.append(alike[near])
                 likely[todo] += alike >= self.likely
                 todo = todo[(alike < STRONG) & (likely[todo] < LIKELY_LEADERS)]
             done = len(self.ids)
@@ -239,7 +250,8 @@ class _Leaders:
             self.ids, self.sigs = np.append(self.ids, ids[todo[0]]), np.vstack([self.sigs, sigs[todo[:1]]])
             led.append(int(todo[0]))
             todo = todo[1:]
-        return np.concatenate([*out_a, self.ids[:0]]), np.concatenate([*out_b, self.ids[:0]]), np.concatenate([np.array(led, np.int64), todo])
+        left = np.concatenate([np.array(led, np.int64), todo])
+        return np.concatenate([*out_a, self.ids[:0]]), np.concatenate([*out_b, self.ids[:0]]), np.rint(np.concatenate([*shares, np.empty(0)]) * COORDINATES), left
 
 
 def _level(similarity: float, last: bool):
@@ -248,8 +260,8 @@ def _level(similarity: float, last: bool):
 
     def large(keys, ids, sigs, leaders):
         if leaders is not None:
-            a, b, left = leaders.add(ids, sigs)
-            yield _node_batch(_PAIR, np.zeros(len(a)), a, b, None)
+            a, b, alike, left = leaders.add(ids, sigs)
+            yield _node_batch(_PAIR, alike, a, b, None)
             if last:
                 return
             keys, ids, sigs = keys[left], ids[left], sigs[left]
@@ -297,9 +309,9 @@ def _level(similarity: float, last: bool):
             for size in range(2, FULL + 1):
                 at = starts[whole & (sizes == size)]
                 if len(at):
-                    a, b = _small_pairs(ids, sigs, at, size, weak)
+                    a, b, alike = _small_pairs(ids, sigs, at, size, weak)
                     if len(a):
-                        yield _node_batch(_PAIR, np.zeros(len(a)), a, b, None)
+                        yield _node_batch(_PAIR, alike, a, b, None)
             branch = []
             for s, n in zip(starts[~whole].tolist(), sizes[~whole].tolist(), strict=True):
                 leaders = verdict(sigs[s : s + min(n, PROBE)])
@@ -327,7 +339,7 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def candidates(classes: DataFrame, similarity: float, trees: range) -> DataFrame:
-    """Candidate pairs (a < b) of classes (id, sig) by the trees of these numbers, each pair once."""
+    """Candidate pairs (a < b) of classes (id, sig) by the trees of these numbers, each once with its number of equal minwise values (alike)."""
     total = classes.count()
     depth = max(1, math.ceil(math.log(max(total, 2) / SMALL, 256))) if total > SMALL else 1
 
@@ -351,7 +363,7 @@ def candidates(classes: DataFrame, similarity: float, trees: range) -> DataFrame
         # The order inside a node differs from node to node, so that leaders do.
         ordered = nodes.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "a"))
         level = durable(ordered.mapInArrow(_level(similarity, last), _NODE))
-        found = level.where(F.col("kind") == _PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = level.where(F.col("kind") == _PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("key").alias("alike"))
         pairs = found if pairs is None else pairs.unionByName(found)
         if last or level.where(F.col("kind") == _CHILD).isEmpty():
             break
@@ -391,8 +403,8 @@ def audited_pairs(classes: DataFrame, audited: int = AUDITED) -> DataFrame:
     return met.withColumn("n", rank).where(F.col("n") <= PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The candidate pairs whose full sets are similar enough."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id and shingles of the ends of the pairs (and of the few other rows that a fixed-size filter can't tell from them)."""
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
@@ -415,7 +427,26 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, similarity: float,
 
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("slot")
     rows = docs.selectExpr(f"CAST(`{id_col}` AS bigint) AS id", f"`{text_col}` AS text").where("id IS NOT NULL").select("id", "text", slot)
-    own = rows.mapInArrow(sets, "id bigint, shingles array<bigint>")
+    return rows.mapInArrow(sets, "id bigint, shingles array<bigint>")
+
+
+def possible(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs that can be similar enough: of a set, a partner shares at most the shingles that not only this end of pairs holds."""
+    own = durable(_sets_of(docs, pairs, width, id_col, text_col))
+    shingles = own.select("id", F.explode("shingles").alias("shingle"))
+    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    # An identifier on several rows shares no more than their sum, and is as small as the smallest.
+    sizes = own.groupBy("id").agg(F.sum(F.size("shingles")).alias("all"), F.min(F.size("shingles")).alias("n"))
+    bounds = durable(sizes.join(alone, "id", "left").select("id", "n", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("held")))
+    of = lambda x: bounds.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("held").alias(f"held{x}"))
+    both = F.least("helda", "heldb")
+    found = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * both >= round(similarity * 100) * (F.col("na") + F.col("nb") - both))
+    return found.select(*pairs.columns)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The candidate pairs whose full sets are similar enough."""
+    own = _sets_of(docs, pairs, width, id_col, text_col)
     joined = (
         pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
         .join(own.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
@@ -468,31 +499,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str, trees: int) -> DataFrame:
     """Confirmed pairs of classes (a, b) that join what is similar enough."""
-    audited = durable(audited_pairs(classes)).withColumn("audited", F.lit(True))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return confirmed(docs, pairs.select("a", "b"), width, similarity, id_col, text_col)
+
+    def join(pairs: DataFrame, links: DataFrame, share: int) -> DataFrame:
+        """The links, and as many of the pairs as join, once confirmed, all that confirming every one of them would join."""
+        pairs = durable(pairs)
+        while not pairs.isEmpty():
+            pairs = durable(_ends(pairs, durable(connected_components(links))).where(_apart()).select("a", "b", "alike"))
+            if pairs.count() > few:
+                pairs = durable(possible(docs, pairs, width, similarity, id_col, text_col))
+            if pairs.isEmpty():
+                break
+            now = durable(_picked(pairs, similarity, few, share))
+            links = durable(links.unionByName(confirm(now)))
+            pairs = durable(pairs.join(now, ["a", "b"], "left_anti"))
+            share *= 4
+        return links
+
+    few = classes.count()
+    audited = durable(audited_pairs(classes))
     pairs = durable(candidates(classes, similarity, range(trees)))
-    every = pairs.join(audited, ["a", "b"], "full_outer").select("a", "b")
-    checked = durable(confirmed(docs, every, width, similarity, id_col, text_col))
-    links = checked.join(pairs, ["a", "b"], "left_semi")
-    links = durable(links)
+    first = durable(_picked(pairs, similarity, few, 1))
+    checked = durable(confirm(first.select("a", "b").unionByName(audited).distinct()))
     true = checked.join(audited, ["a", "b"], "left_semi")
+    links = durable(checked.join(pairs, ["a", "b"], "left_semi"))
+    links = join(pairs.join(first, ["a", "b"], "left_anti"), links, 4)
     while trees < MOST_TREES:
-        parts = durable(connected_components(links))
-        joined = _ends(true, parts).agg(F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double"))).first()[0]
+        joined = _ends(true, durable(connected_components(links))).agg(F.avg((~_apart()).cast("double"))).first()[0]
         if joined is None or joined >= RECALL:
             break
-        # Ends that links join already need no further link: only other candidates are confirmed.
-        more = _ends(candidates(classes, similarity, range(trees, trees + MORE_TREES)), parts)
-        apart = durable(more.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b").join(every, ["a", "b"], "left_anti"))
-        links = durable(links.unionByName(confirmed(docs, apart, width, similarity, id_col, text_col)))
+        more = candidates(classes, similarity, range(trees, trees + MORE_TREES))
+        links = join(more.join(pairs, ["a", "b"], "left_anti"), links, 1)
         trees += MORE_TREES
     # What the audit found counts too.
     return links.unionByName(true).distinct()
 
 
+def _picked(pairs: DataFrame, similarity: float, few: int, share: int) -> DataFrame:
+    """All pairs (a, b, alike) if they are few; else of each class and each of ``share`` parts of its partners the most alike
+    and, of those that most likely link, the one that hashes lowest, so that a group hangs on few of its members."""
+    if pairs.count() <= few:
+        return pairs
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "alike"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "alike"))).alias("w")).select("w.*")
+    mixed = F.shiftrightunsigned(F.xxhash64("y"), 16)
+    likely = F.col("alike") >= math.ceil((similarity + LIKELY_ABOVE) * COORDINATES)
+    best = ways.groupBy("x", F.pmod(F.xxhash64("x", "y"), F.lit(share)).alias("part")).agg(
+        F.max_by("y", F.shiftleft(F.col("alike"), 48) + mixed).alias("most"), F.min_by("y", F.when(likely, mixed)).alias("low"))
+    ends = best.select("x", F.explode(F.array("most", "low")).alias("y")).where("y IS NOT NULL")
+    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _apart():
+    """Whether no link joins the ends of a pair with its components."""
+    return ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
+
+
 def _ends(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs with the components of their ends (ca, cb), null where nothing is linked."""
     of = lambda n: parts.select(F.col("id").alias(n), F.col("component").alias(f"c{n}"))
-    return pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
 
 
 def _ids_repeat(own: DataFrame) -> bool:

@@ -120,6 +120,27 @@ def test_small_groups_beside_a_hot_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: 0 if k < 400 else k - k % 2 for k in texts}
 
 
+def test_bound_and_rounds_lose_no_link(spark):
+    rng, fresh = random.Random(8), iter(range(1_000_000))
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for k in range(80):  # from copies with one own word to some with more own words than a link allows
+        own = set(rng.sample(range(60), rng.randrange(1, 14)))
+        texts[k] = " ".join(f"x{next(fresh)}" if i in own else w for i, w in enumerate(base))
+    docs = spark.createDataFrame([*texts.items(), (3, " ".join(base[:50]))], "doc_id long, text string")  # an identifier on two rows
+    words = {k: set(t.split()) for k, t in texts.items()}
+    similar = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    near = {(a, b) for a in words for b in words if a < b and (similar(words[a], words[b]) or 3 in (a, b) and similar(set(base[:50]), words[a + b - 3]))}
+    every = spark.createDataFrame([(a, b, 40 + (a + b) % 25) for a in words for b in words if a < b], "a long, b long, alike long")
+    left = minhash_dedup.possible(docs, every, 1, 0.8, "doc_id", "text")
+    kept = {(r["a"], r["b"]) for r in left.collect()}
+    assert left.columns == every.columns and near <= kept and len(kept) < every.count()
+    assert not {(a, b) for a, b in kept if 3 not in (a, b) and max(len(words[a] - set(base)), len(words[b] - set(base))) > 7}
+    assert minhash_dedup._picked(every, 0.8, every.count(), 1).count() == every.count()
+    few = {(r["a"], r["b"]) for r in minhash_dedup._picked(every, 0.8, 10, 1).collect()}
+    assert {x for p in few for x in p} == set(words) and len(few) <= 2 * len(words)
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_shingles_of_blocks_with_few_words(width):
     texts = [" ".join("abcdef"[:n]) for n in range(7)]
