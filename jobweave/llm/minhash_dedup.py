@@ -410,7 +410,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_co
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
     words = ends.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, value in words.toLocalIterator():
+    for bucket, value in words.collect():  # FILTER_BITS in all, whatever the table; in one job, where an iterator takes one for each partition
         at = (bucket - 1) * len(value)
         bits[at : at + len(value)] = np.frombuffer(value, np.uint8)
     shared = spark.sparkContext.broadcast(bits)
