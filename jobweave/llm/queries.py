@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobweave.llm import chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, pii, secret_scan, sentencepiece_codec, toxicity
+from jobweave.llm import (
+    chat_format, embedding_dedup, exact_dedup, language_id, merkle_manifest, minhash_dedup, packing, pii, secret_scan, sentencepiece_codec, source_divergence,
+    token_counts, toxicity,
+)
 
 
 def vocabulary(name: str) -> str:
@@ -215,6 +218,100 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), w AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (t.n + 2 * v.v) AS p,
+         1 + 1000000000 * (k.n + 2) // (v.n + 2 * v.v) AS q
+  FROM g JOIN t USING (lang, source) JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), r AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    return counted.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = merkle_manifest.manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": changed})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS key,
+         list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM documents
+), e AS (
+  SELECT coalesce('1' || lang, '0') AS g, doc_id,
+         coalesce(strlen(key) || ':' || key, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') ELSE coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') END AS n2,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM d
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS id
+  FROM (SELECT g, doc_id, sha256(head || n || tail) AS leaf, sha256(head || n2 || tail) AS other FROM e)
+), lv AS (
+  SELECT g, 0 AS level, pos, leaf AS h FROM leaves
+  UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM lv) WHERE n > 1 GROUP BY g, level, pos // 2
+), tops AS (
+  SELECT *, row_number() OVER (ORDER BY encode(g)) - 1 AS rank FROM (SELECT g, level, h FROM lv QUALIFY row_number() OVER (PARTITION BY g ORDER BY level DESC) = 1)
+), tv AS (
+  SELECT 0 AS level, rank AS pos, h FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM tv) WHERE n > 1 GROUP BY level, pos // 2
+), paths AS (
+  SELECT a.id, l.level AS step, (a.pos >> l.level) & 1 AS bit, s.h AS sib
+  FROM leaves a JOIN tops t ON t.g = a.g JOIN (SELECT DISTINCT g, level FROM lv) l ON l.g = a.g AND l.level < t.level
+  LEFT JOIN lv s ON s.g = a.g AND s.level = l.level AND s.pos = xor(a.pos >> l.level, 1)
+  UNION ALL
+  SELECT a.id, t.level + l.level, (t.rank >> l.level) & 1, s.h
+  FROM leaves a JOIN tops t ON t.g = a.g JOIN (SELECT DISTINCT level FROM tv) l ON l.level < (SELECT max(level) FROM tv)
+  LEFT JOIN tv s ON s.level = l.level AND s.pos = xor(t.rank >> l.level, 1)
+), fold AS (
+  SELECT id, 0 AS step, other AS h FROM leaves
+  UNION ALL
+  SELECT f.id, f.step + 1, sha256(CASE WHEN sib IS NULL THEN f.h WHEN bit = 1 THEN sib || f.h ELSE f.h || sib END)
+  FROM fold f JOIN paths p ON p.id = f.id AND p.step = f.step
+), proofs AS (SELECT id, string_agg(sib, '' ORDER BY step) AS proof FROM paths GROUP BY id)
+SELECT a.doc_id, a.leaf, t.h AS subroot, r.h AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM leaves a JOIN tops t ON t.g = a.g CROSS JOIN (SELECT h FROM tv ORDER BY level DESC LIMIT 1) r LEFT JOIN proofs q ON q.id = a.id
+JOIN (SELECT id, h FROM fold QUALIFY row_number() OVER (PARTITION BY id ORDER BY step DESC) = 1) f ON f.id = a.id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
@@ -226,10 +323,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_pii": op9_pii,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_token_counts": op12_token_counts,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op6_chat_format": OP6_SQL,
     "op7_embedding_dedup": OP7_SQL,
     "op8_minhash_dedup": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
