@@ -32,10 +32,11 @@ from jobweave.llm.blocks import ChunkTable, Words, filled, flattened, text_block
 
 #: Code points in a row of the prefix table, unless one run between white space is longer.
 PART = 1 << 15
-#: Characters of words, and pairs of tokens, that a task keeps tables of.
-_WORDS_HELD, _PAIRS_HELD = 4 << 20, 1 << 20
-_PRINTABLE = re.compile(r"[\x21-\x7E]+")
-_SIMPLE = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Characters of words, pairs of tokens, and bytes of runs that a worker keeps tables of.
+_WORDS_HELD, _PAIRS_HELD, _RUNS_HELD = 8 << 20, 1 << 19, 96 << 20
+#: Bytes as the characters that stand for them in the vocabulary: printable ones themselves, the others from 256 on in order.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -68,10 +69,9 @@ class PrefixCounter:
         for body in bodies:
             self.found.add_word(body, (len(body), body if body in self.vocab else "", body + self.end if body + self.end in self.vocab else ""))
         self.found.make_automaton()
-        #: The pieces of printable ASCII, where the file's own rules for them are these.
-        self.simple = _SIMPLE if self._simple() else None
         added = [t.content for t in whole.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self._shortcut()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, list[int]] = {}
         self.held = 0
@@ -82,10 +82,15 @@ class PrefixCounter:
     def _pieces(self, text: str) -> list[str]:
         return [p for p, _ in self.splitter.pre_tokenize_str(text)]
 
-    def _simple(self) -> bool:
-        probe = "".join(map(chr, range(0x21, 0x7F))) + "I'm it's won't we'll 'RE a1b22 'x '' 'lll ...'d!!'ve 3's"
-        words = [w.lower() for w in probe.split()]
-        return all([m[0] for m in _SIMPLE.finditer(w)] == self._pieces(self._normal(w)) for w in words)
+    def _shortcut(self) -> None:
+        """Patterns for text of printable ASCII and Latin letters that are their own normal form, and for its pieces, if the file's rules give these."""
+        letters = [c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and self._normal(c) == c.lower() and len(c.lower()) == 1 and len(self._pieces(c.lower())) == 1]
+        low = "".join(sorted({c.lower() for c in letters} & set(letters)))
+        self.plain = re.compile(f"[\x21-\x7E{low}{''.join(c for c in letters if c.lower() in low)}]+")
+        self.split = re.compile(f"'(?:[stmd]|re|ve|ll)|[a-z{low}]+|[0-9]|[^a-z0-9{low}]+")
+        probes = ["".join(map(chr, range(0x21, 0x7F))), *"I'm it's won't we'll 'RE a1b22 'x '' 'lll ...'d!!'ve 3's été-à1".split(), low]
+        if any([m[0] for m in self.split.finditer(w.lower())] != [self._normal(w)[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(self._normal(w))] for w in probes):
+            self.plain = re.compile("(?!)")
 
     def _symbols(self, token: str, ends: bool) -> list[str]:
         """The smallest tokens of a token, whose last one carries the word's end."""
@@ -112,11 +117,8 @@ class PrefixCounter:
             known = self.pairs[left, right] = self._merged(symbols) == ([left, right] if left else [right])
         return known
 
-    def word(self, letters: str) -> list[int]:
+    def _cuts(self, letters: str) -> list[int]:
         """Tokens of the word (one character a byte) cut after each of its characters."""
-        known = self.words.get(letters)
-        if known is not None:
-            return known
         n, pairs = len(letters), self.pairs
         last, count, cut = [""] * (n + 1), [0] * (n + 1), [0] * n
         for at, (size, inner, closing) in self.found.iter(letters):  # the longest first of those that end at a place
@@ -130,41 +132,49 @@ class PrefixCounter:
                 fits = pairs.get((before, closing))
                 if self._agree(before, closing, True) if fits is None else fits:
                     cut[at] = count[j] + 1
-        if self.held + n > _WORDS_HELD:
-            self.words.clear()
-            self.held = 0
-        self.words[letters] = cut
-        self.held += n + 8
         return cut
 
-    def _piece(self, piece: str, letters: str) -> list[int]:
-        """Tokens of a piece of text cut after each of its code points; letters has one character for each of its bytes."""
-        counts = self.word(letters)
-        if len(letters) != len(piece):
+    def word(self, piece: str) -> list[int]:
+        """Tokens of a piece of text cut after each of its code points."""
+        known = self.words.get(piece)
+        if known is not None:
+            return known
+        if piece.isascii():
+            counts = self._cuts(piece.translate(_LETTERS))
+        else:
+            counts = self._cuts(piece.encode().decode("latin-1").translate(_LETTERS))
             counts = [counts[e - 1] for e in itertools.accumulate(len(c.encode()) for c in piece)]
         if piece[0] == "'" and 1 < len(piece) < 4:  # a clitic that is cut short is other pieces
-            counts = [*[sum(self.word(p)[-1] for p in self._pieces(piece[:k])) for k in range(1, len(piece))], counts[-1]]
+            shorter = [self.splitter.pre_tokenize_str(piece[:k]) for k in range(1, len(piece))]
+            counts = [*[sum(self.word(piece[a:b])[-1] for _, (a, b) in found) for found in shorter], counts[-1]]
+        if self.held > _WORDS_HELD:
+            self.words.clear()
+            self.held = 0
+        self.words[piece] = counts
+        self.held += len(piece) + 8
         return counts
 
-    def _normalised(self, text: str, pieces: Iterable[tuple[str, str, int]]) -> list[int]:
-        """Counts at each code point of normalised text, which has these pieces (as they are, as bytes, and where they begin)."""
+    def _normalised(self, text: str, pieces: Iterable[tuple[str, int]]) -> list[int]:
+        """Counts at each code point of normalised text, which has these pieces (and where they begin)."""
         out: list[int] = []
-        total = 0
-        for piece, letters, start in pieces:
+        total, words = 0, self.words
+        for piece, start in pieces:
             if start > len(out):
                 out += [total] * (start - len(out))
-            counts = self._piece(piece, letters)
+            counts = words.get(piece) or self.word(piece)
             out += [total + c for c in counts] if total else counts
             total += counts[-1]
-        return out + [total] * (len(text) - len(out))
+        return out + [total] * (len(text) - len(out)) if len(out) < len(text) else out
 
     def _plain(self, text: str) -> list[int]:
         """Counts at each code point of text without special tokens; a place inside a combining sequence counts as that before it."""
-        if self.simple and _PRINTABLE.fullmatch(text):
+        if self.plain.fullmatch(text):
             lowered = text.lower()
-            return self._normalised(lowered, ((m[0], m[0], m.start()) for m in self.simple.finditer(lowered)))
+            if lowered.isalpha():
+                return self.words.get(lowered) or self.word(lowered)
+            return self._normalised(lowered, ((m[0], m.start()) for m in self.split.finditer(lowered)))
         normal = self._normal(text)
-        counts = self._normalised(normal, ((normal[a:b], p, a) for p, (a, b) in self.splitter.pre_tokenize_str(normal)))
+        counts = self._normalised(normal, ((normal[a:b], a) for _, (a, b) in self.splitter.pre_tokenize_str(normal)))
         if text.isascii():
             return counts
         joins = _joins_back()
@@ -195,9 +205,13 @@ class PrefixCounter:
                 out.append(total)
         return out
 
-    def table(self) -> ChunkTable:
-        """Counts of distinct runs, each worked out once while the table holds it."""
-        return ChunkTable(lambda runs: flattened([self.run(r) for r in runs]))
+
+
+@functools.lru_cache(maxsize=1)
+def _table(path: str) -> ChunkTable:
+    """Counts of distinct runs, each worked out once while the table holds it; a worker's tasks share it."""
+    counter = PrefixCounter(path)
+    return ChunkTable(lambda runs: flattened([counter.run(r) for r in runs]), _RUNS_HELD)
 
 
 def _words(block: pa.RecordBatch, place: int) -> Words:
@@ -216,7 +230,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", count_col:
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PrefixCounter(path).table()
+        table = _table(path)
         for block in text_blocks(batches, text_col):
             words = _words(block, place)
             rows = table.rows(words.values)
@@ -252,7 +266,7 @@ def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         yield begin, np.concatenate(held), True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PrefixCounter(path).table()
+        table = _table(path)
         for block in text_blocks(batches, "_text"):
             words = _words(block, 1)
             at = table.rows(words.values)
