@@ -14,6 +14,7 @@ summed where the texts are before any row of them moves.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ MIN_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 SOURCES, TERMS = 32, 8192
 #: Everything in ASCII but letters parts terms.
 _GAPS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_HELD = 1 << 18
+#: Counts that a task holds before it hands them on, and rows of a batch then.
+_HELD, _EMITTED = 1 << 17, 1 << 14
 
 
 def _terms(texts: pa.Array) -> Words:
@@ -41,17 +43,18 @@ def _terms(texts: pa.Array) -> Words:
 
 def term_counts(docs: DataFrame, group_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """g, s, term, n (occurrences) and docs (documents with it) of each group and source, and a row with a null term for each
-    source that occurs.  Null groups, sources and texts count as empty."""
+    source that occurs.  Null groups, sources and texts count as empty.  Rows are dealt by group and term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], dict[str, list[int]]] = {}
         size = 0
 
         def told() -> Iterator[pa.RecordBatch]:
-            for (g, s), found in held.items():
-                terms = [None, *found]
-                n, d = ([0, *[v[i] for v in found.values()]] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(terms), pa.string()), pa.array([s] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["g", "s", "term", "n", "docs"])
+            flat = [(g, s, term, n, d) for (g, s), found in held.items() for term, (n, d) in itertools.chain([(None, (0, 0))], found.items())]
+            held.clear()
+            for k in range(0, len(flat), _EMITTED):
+                g, s, term, n, d = zip(*flat[k : k + _EMITTED], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(s, pa.string()), pa.array(term, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["g", "s", "term", "n", "docs"])
 
         for block in text_blocks(batches, "text"):
             words = _terms(block.column(2))
@@ -84,14 +87,14 @@ def term_counts(docs: DataFrame, group_col: str = "lang", source_col: str = "sou
                         known[1] += d
             if size > _HELD:
                 yield from told()
-                held.clear()
                 size = 0
         yield from told()
 
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = docs.select(text(group_col).alias("g"), text(source_col).alias("s"), F.col(f"`{text_col}`").alias("text"))
     parts = rows.mapInArrow(run, "g string, s string, term string, n bigint, docs bigint")
-    return parts.groupBy("g", "s", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Summed in the task that read them already, so a term has a few rows a task; dealt once for all that follows.
+    return parts.repartition("g", "term").groupBy("g", "s", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _shares(counts: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -179,14 +182,14 @@ def audit(
     - Other columns are left out, whatever their names.  An empty table gives no rows.
     """
     per_block, per_cell = SOURCES if sources is None else sources, TERMS if terms is None else terms
-    counts = durable(term_counts(docs, group_col, source_col, text_col))
-    vocabulary = durable(counts.where("term IS NOT NULL").groupBy("g", "term").agg(F.sum("n").alias("of_all"), F.sum("docs").alias("in_docs")).where(F.col("in_docs") >= min_docs).drop("in_docs"))
-    used = durable(counts.join(vocabulary, ["g", "term"]).select("g", "s", "term", "n", "of_all"))
-    heads = counts.where("term IS NULL").select("g", "s").distinct()
+    everywhere = Window.partitionBy("g", "term")  # as many rows as sources, in the task that counted them
+    counts = term_counts(docs, group_col, source_col, text_col).withColumn("of_all", F.sum("n").over(everywhere)).withColumn("in_docs", F.sum("docs").over(everywhere))
+    found = durable(counts.where(F.col("term").isNull() | (F.col("in_docs") >= min_docs)).select("g", "s", "term", "n", "of_all"))
+    used, heads = found.where("term IS NOT NULL"), found.where("term IS NULL").select("g", "s")
     # How many blocks a group's sources and terms make: one row a group.
     ways = lambda n, size: F.greatest(F.ceil(n / F.lit(size)), F.lit(1)).cast("int")
     wide = heads.groupBy("g").agg(F.count(F.lit(1)).alias("sources"))
-    long = vocabulary.groupBy("g").agg(F.count(F.lit(1)).alias("kept"), F.sum("of_all").alias("whole"))
+    long = used.groupBy("g", "term").agg(F.max("of_all").alias("of_all")).groupBy("g").agg(F.count(F.lit(1)).alias("kept"), F.sum("of_all").alias("whole"))
     groups = durable(wide.join(long, "g", "left").select("g", ways(F.col("sources"), per_block).alias("gs"), ways(F.coalesce("kept", F.lit(0)), per_cell).alias("ts"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("whole", F.lit(0)).alias("whole")))
     totals = used.groupBy("g", "s").agg(F.sum("n").alias("total"))
     head = heads.join(totals, ["g", "s"], "left").join(groups, "g").withColumn("total", F.coalesce("total", F.lit(0)))
