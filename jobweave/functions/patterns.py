@@ -56,6 +56,9 @@ AT_ORG = r"(?i)\bat\s+(.{2,80})$"
 # Patterns over pages and requests.
 CHALLENGE_TITLE = r"(?i)<title>\s*(One moment, please\.\.\.|Just a moment\.\.\.|Attention Required!|Access denied)\s*[^<]*</title>"
 CHALLENGE_MARK = r"(?i)cf-browser-verification|cf_chl_|challenge-platform|_Incapsula_Resource|sucuri_cloudproxy"
-BOT_AGENT = r"(?i)bot|crawl|spider|slurp|preview|facebookexternalhit|headless|curl|wget|python|monitor"
+BOT_AGENT = (
+    r"(?i)bot|crawl|spider|slurp|preview|scan|fetch|monitor|curl|wget|python-requests|axios|headless|lighthouse|facebookexternalhit|telegrambot|whatsapp"
+    r"|slackbot|discordbot|linkedinbot|twitterbot"
+)
 MOBILE_AGENT = r"(?i)mobile|android|iphone|ipad"
 LOG_ERROR = r"(?i)error|failed|exception|fatal"

@@ -71,7 +71,7 @@ def status_for(deadline: Column, as_of: str) -> Column:
 
 def is_bot(agent: Column) -> Column:
     """No user agent, or one of a program."""
-    return (F.coalesce(F.trim(agent), F.lit("")) == "") | matches(agent, P.BOT_AGENT)
+    return (F.coalesce(agent, F.lit("")) == "") | matches(agent, P.BOT_AGENT)
 
 
 def device_class(agent: Column) -> Column:

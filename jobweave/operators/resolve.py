@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.config import DUPLICATE_SIMILARITY
 from jobweave.functions.text import description_tokens, jaccard, normalize_location, normalize_org_name, normalize_title
+from jobweave.operators.kept import kept
 from jobweave.operators.merge import raw_merge
 
 
@@ -49,9 +48,9 @@ def _classes(items: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     smallest item, and the items of classes (id, cid).  Items without a title, and texts without words, are left out."""
     words = F.array_sort(F.transform(description_tokens(F.col("text")), lambda w: F.xxhash64(w)))
     rows = items.select(F.col(id_col).alias("id"), normalize_title(F.col("title")).alias("block"), normalize_location(F.col("location")).alias("place"), words.alias("tokens"))
-    rows = _kept(rows.where((F.col("block") != "") & (F.size("tokens") > 0)).withColumn("key", F.xxhash64("block", "place", "tokens")))
+    rows = kept(rows.where((F.col("block") != "") & (F.size("tokens") > 0)).withColumn("key", F.xxhash64("block", "place", "tokens")))
     same = ["key", "block", "place", "tokens"]
-    classes = _kept(rows.groupBy(*same).agg(F.min("id").alias("cid")))
+    classes = kept(rows.groupBy(*same).agg(F.min("id").alias("cid")))
     members = rows.select("id", *same).join(classes, same).select("id", "cid")
     return classes.drop("key"), members
 
@@ -65,7 +64,7 @@ def class_pairs(classes: DataFrame, threshold: float = DUPLICATE_SIMILARITY) ->
     """
     # Only blocks with two classes or more can pair.
     shared = classes.groupBy("block").count().where("count > 1").select(F.xxhash64("block").alias("b"))
-    rows = _kept(classes.withColumn("b", F.xxhash64("block")).join(shared, "b", "left_semi").select("cid", "b", "place", "tokens"))
+    rows = kept(classes.withColumn("b", F.xxhash64("block")).join(shared, "b", "left_semi").select("cid", "b", "place", "tokens"))
     each = rows.select("b", "cid", F.explode("tokens").alias("token"))
     rarity = each.groupBy("b", "token").agg(F.count(F.lit(1)).alias("n"))
     # A word of one class alone meets nobody; its place in the order still counts.
@@ -102,29 +101,18 @@ def dup_pairs(items: DataFrame, threshold: float = DUPLICATE_SIMILARITY, id_col:
     return across.unionByName(within)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows written to the folder in ``spark.checkpoint.dir``; only a session on one machine may lack that setting."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def closure(pairs: DataFrame) -> DataFrame:
     """id and cluster (the smallest id that pairs reach), for every id in a pair.
 
     Each round an id takes the smallest cluster among its neighbours, then its cluster's cluster, until nothing changes.
     """
-    both = _kept(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("cluster")))
+    both = kept(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("cluster")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
         low = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("cluster", "near").alias("low"), F.col("cluster").alias("was"))
         jump = labels.select(F.col("id").alias("low"), F.col("cluster").alias("jumped"))
-        moved = _kept(low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("jumped", "low")).alias("cluster"), "was"))
+        moved = kept(low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("jumped", "low")).alias("cluster"), "was"))
         labels = moved.select("id", "cluster")
         if moved.where("cluster <> was").isEmpty():
             return labels

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,9 +38,10 @@ def _played(spark, df, tmp_path, f, files=4):
 def test_clean_events(spark, requests, tmp_path):
     batch = events.clean_events(requests)
     got = batch.collect()
-    assert len(got) == sum(1 for i in range(60) if i % 3 != 2 and i % 5)
+    # A view of a listing with a broken id is dropped, a page view keeps none.
+    assert len(got) == sum(1 for i in range(60) if (i % 3 == 0 or i % 3 == 1 and i % 2) and i % 5)
     assert all(len(r["path"]) == 200 and (r["listing_id"] in (None, ID)) for r in got)
-    assert {r["listing_id"] for r in got} == {None, ID}
+    assert {(r["type"], r["listing_id"]) for r in got} == {("pageview", None), ("pageview", ID), ("listing_view", ID)}
     # At most so many of an address in a minute.
     few = events.clean_events(requests, most=1).select("id").collect()
     assert 0 < len(few) < len(got) and len(events.clean_events(requests, most=None).collect()) == len(got)
@@ -62,6 +65,85 @@ def test_limiter_opens_windows_at_the_first_event(spark, tmp_path):
     assert stream == batch
 
 
+def _verdicts(rows, most, window):
+    """By the definition: rows (key, id, time in microseconds), events one after another."""
+    out, opened = {}, {}
+    for key, i, t in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        at, n = opened.get(key, (None, 0))
+        at, n = (t, 1) if at is None or t >= at + window else (at, n + 1)
+        opened[key] = at, n
+        out[i] = n <= most
+    return out
+
+
+@pytest.mark.parametrize("most, window", [(1, 60.0), (3, 60.0), (2, 0.5), (5, 3600.0)])
+def test_replay_by_the_definition(spark, most, window):
+    rng = random.Random(most)
+    rows = []
+    for key in range(12):
+        # Keys that are busy for long, with and without breaks, and times at the very edge of a window.
+        t = rng.randint(-3, 3) * 10**6
+        for _ in range(400 if key == 0 else 40):
+            t += rng.choice([0, 1, 10**5, round(window * 1e6), round(window * 1e6) - 1, round(window * 3e5), round(window * 4e6) if key % 3 else 0])
+            rows.append((f"k{key}", len(rows), t))
+    df = spark.createDataFrame([(k, i, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=t), "old") for k, i, t in rows], "key string, id long, ts timestamp, accepted string").repartition(3)
+    got = limiter.replay(df, most=most, window=window)
+    assert sorted(got.columns) == ["accepted", "id", "key", "ts"]
+    assert {r["id"]: r["accepted"] for r in got.collect()} == _verdicts(rows, most, round(window * 1e6))
+
+
+def test_replay_of_odd_events(spark):
+    rows = [(None, 1, T0), ("a", 2, None), ("a", 3, T0), ("a", 4, T0)]
+    df = spark.createDataFrame(rows, "key string, id long, ts timestamp")
+    assert {r["id"]: r["accepted"] for r in limiter.replay(df, most=1).collect()} == {1: None, 2: None, 3: True, 4: False}
+    assert {r["accepted"] for r in limiter.replay(df, most=0).collect()} == {None, False}
+    assert limiter.replay(df.limit(0)).count() == 0
+
+
+def test_a_busy_key_is_in_many_tasks(spark):
+    # Half of all events are of one key; none of the exchanges deals by the key alone.
+    df = spark.range(4000).selectExpr("id", "if(id % 2 = 0, 'hot', concat('k', id)) AS key", "timestamp_seconds(id * 7) AS ts")
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = limiter.replay(df, most=3)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and not re.search(r"hashpartitioning\(_?k#\d+, \d+\)", plan)
+        assert got.where("key = 'hot'").groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    hot = [(r["key"], r["id"], r["id"] * 7_000_000) for r in df.collect()]
+    assert {r["id"]: r["accepted"] for r in got.collect()} == _verdicts(hot, 3, 60_000_000)
+
+
+def test_limiter_and_daily_counts_in_one_query(spark, tmp_path):
+    """Files are played one a batch, in order of time: the limiter's verdicts, days and visitors are those of the table."""
+    rows = []
+    for day in range(4):
+        for i in range(120):
+            rows.append((f"{day}-{i:03}", T0 + dt.timedelta(days=2 * day, seconds=2 * i), "pageview", "/", None, None, f"10.0.0.{i % 2}", f"Mozilla {i % 5}", 0))
+    requests = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    want = events.daily_traffic(events.clean_events(requests, most=7)).orderBy("day").collect()
+    assert [r["views"] for r in want] == [5 * 7 + 5 * 7] * 0 + [r["views"] for r in want] and 0 < want[0]["views"] < 120
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    query = None
+    for day in range(4):
+        requests.where(F.col("id").startswith(f"{day}-")).write.mode("append").parquet(str(folder))
+        if day == 2:  # an event of the first day, later than the watermark lets in
+            spark.createDataFrame([("late", T0, "pageview", "/", None, None, "10.9.9.9", "Mozilla late", 0)], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        query = events.limited_traffic(stream, most=7).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out, format="parquet")
+        query.awaitTermination(180)
+    got = spark.read.parquet(out).orderBy("day").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want][: len(got)] and len(got) >= 2
+    # Timers have cleared what the limiter knew of the days that the watermark has passed.
+    states = {s["operatorName"]: s["numRowsTotal"] for s in query.lastProgress["stateOperators"]}
+    assert any("transformWithState" in n for n in states), states
+
+
 def test_windows(spark, requests, tmp_path):
     clean = events.clean_events(requests)
     views = clean.where("type = 'pageview'")
