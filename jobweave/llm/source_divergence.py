@@ -34,6 +34,8 @@ SOURCES, TERMS = 32, 8192
 _GAPS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Counts that a task holds before it hands them on, and rows of a batch then.
 _HELD, _EMITTED = 1 << 17, 1 << 14
+#: Shares of a group's terms that meet what is known of the group.
+_SHARES = 64
 
 
 def _terms(texts: pa.Array) -> Words:
@@ -196,7 +198,9 @@ def audit(
     none = lambda t: F.lit(None).cast(t)
     rows = head.select("g", "s", none("string").alias("term"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("of_all"), "total", "kept", "whole", "gs", F.explode(F.sequence(F.lit(0), F.col("ts") - 1)).alias("tb"))
     zero = F.lit(0).cast("bigint")
-    body = used.join(groups.select("g", "gs", "ts"), "g").select("g", "s", "term", "n", "of_all", zero.alias("total"), zero.alias("kept"), zero.alias("whole"), "gs", F.pmod(F.xxhash64("term"), F.col("ts")).cast("int").alias("tb"))
+    # What is known of a group is repeated for each share of its terms, so that a large group's rows meet it in many tasks.
+    spread = groups.select("g", "gs", "ts", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))).alias("share"))
+    body = used.withColumn("share", F.pmod(F.xxhash64("term", F.lit(2)), F.lit(_SHARES)).cast("int")).join(spread, ["g", "share"]).select("g", "s", "term", "n", "of_all", zero.alias("total"), zero.alias("kept"), zero.alias("whole"), "gs", F.pmod(F.xxhash64("term"), F.col("ts")).cast("int").alias("tb"))
     # Each slice goes to the cells of its block of sources with every block, itself among them.
     own = F.pmod(F.xxhash64("s", F.lit(1)), F.col("gs")).cast("int")
     sliced = rows.unionByName(body).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("gs") - 1)))
