@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from jobweave.functions import patterns as P
-from jobweave.operators import events, lifecycle, merge
+from jobweave.operators import events, lifecycle, merge, snapshots
+from jobweave.operators.kept import shared_folder
+from jobweave.operators.memo import recall
 from jobweave.plans.registry import query
-from jobweave.plans.tables import base, load, oracle
+from jobweave.plans.tables import base, dealt, load, oracle
 from jobweave.plans.text_queries import hits, sql_deadline
 
 AS_OF = "1997-06-01 00:00:00"
@@ -43,6 +47,22 @@ def upsert_listings(spark, sf_dir):
     return merged.select("id", "source_url", "title", F.col("posted_to_channel").alias("posted"), outcome.alias("outcome"))
 
 
+@query("upsert_committed", oracle(f"""WITH {BATCH}
+SELECT coalesce(t.id, b.id) AS id, coalesce(t.source_url, b.source_url) AS source_url, coalesce(b.title, t.title) AS title, coalesce(b.status, t.status) AS status, 3 AS snapshots
+FROM listings t FULL JOIN last b ON b.source_url = t.source_url""", "listings"))
+def upsert_committed(spark, sf_dir):
+    """The upsert in two batches into a table of snapshots; the first one is played again after the second and changes nothing."""
+    store = snapshots.SnapshotStore(spark, f"{shared_folder(spark)}/listings-{uuid.uuid4().hex}")
+    columns = ["id", "source_url", "title", "status"]
+    batch = _batch(spark, sf_dir).select(*columns, "seq")
+    store.update(lambda _: _listings(spark, sf_dir).select(*columns))
+    merged = lambda part: lambda table: merge.upsert(table, part, "source_url", "seq", keep=("id",))
+    first, second = batch.where("seq < 3"), batch.where("seq = 3")
+    for n, part in ((0, first), (1, second), (0, first)):
+        store.update(merged(part), "scrape", n)
+    return store.read().withColumn("snapshots", F.lit(len(store.versions())))
+
+
 @query("upsert_counts", oracle(f"""WITH {BATCH}
 SELECT count(*) FILTER (t.source_url IS NULL) AS new_count, count(*) FILTER (t.source_url IS NOT NULL) AS updated_count, count(DISTINCT b.source_url) FILTER (t.source_url IS NULL) AS new_keys
 FROM batch b LEFT JOIN listings t ON t.source_url = b.source_url""", "listings"))
@@ -60,6 +80,18 @@ def cache_misses(spark, sf_dir):
     return merge.cache_misses(docs, fresh.unionByName(old), key="doc_id").select("doc_id", "content_hash")
 
 
+@query("memo_answers", """
+WITH b AS (SELECT doc_id, source AS source_url, text FROM documents), k AS (SELECT DISTINCT source_url, coalesce(text, '') AS t FROM b WHERE doc_id % 3 = 0)
+SELECT doc_id, length(coalesce(text, '')) AS n_chars, EXISTS (SELECT 1 FROM k WHERE k.source_url = b.source_url AND k.t = coalesce(b.text, '')) AS known FROM b""")
+def memo_answers(spark, sf_dir):
+    """A third of the documents is asked about first; of all of them, later, only contents that the memo doesn't hold."""
+    docs = dealt(base(spark, sf_dir, "documents")).select("doc_id", F.col("source").alias("source_url"), "text")
+    measured = lambda first: lambda rows: rows.select("*", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), F.lit(first).alias("known"))
+    _, memo = recall(docs.where("doc_id % 3 = 0"), None, measured(True), ("n_chars", "known"))
+    found, _ = recall(docs, memo, measured(False), ("n_chars", "known"))
+    return found.select("doc_id", "n_chars", "known")
+
+
 #: Top-level merge of the JSON objects x and y as text with sorted keys.
 MERGED = """'{' || coalesce((SELECT string_agg(to_json(key)::VARCHAR || ':' || value::VARCHAR, ',' ORDER BY key) FROM
   (SELECT key, value FROM json_each(y) UNION ALL SELECT key, value FROM json_each(x) WHERE key NOT IN (SELECT key FROM json_each(y)))), '') || '}'"""
@@ -199,6 +231,18 @@ def rate_limited(spark, sf_dir):
     return events.rate_limited(rows, "user_id", "ts", "event_id", most=2, window="1 hour").select("event_id", "accepted")
 
 
+@query("rate_windows", """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS tm FROM events), t AS (SELECT DISTINCT user_id, tm FROM e),
+n AS (SELECT a.user_id, a.tm, min(b.tm) AS nxt FROM t a JOIN t b ON b.user_id = a.user_id AND b.tm >= a.tm + 86400000000 GROUP BY ALL),
+o AS (SELECT user_id, min(tm) AS tm FROM t GROUP BY ALL UNION ALL SELECT n.user_id, n.nxt FROM o JOIN n ON n.user_id = o.user_id AND n.tm = o.tm),
+w AS (SELECT e.event_id, row_number() OVER (PARTITION BY e.user_id, x.tm ORDER BY e.tm, event_id) AS n FROM e ASOF JOIN o x ON x.user_id = e.user_id AND x.tm <= e.tm)
+SELECT event_id, n <= 1 AS accepted FROM w""")
+def rate_windows(spark, sf_dir):
+    """The limiter's own windows, which open with a user's first event: one event a day."""
+    rows = base(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return events.first_event_windows(rows, "user_id", "ts", "event_id", most=1, window=86400.0).select("event_id", "accepted")
+
+
 @query("ip_country", """
 WITH r AS (SELECT n_nationkey * 1000 AS lo, n_nationkey * 1000 + CASE WHEN n_nationkey % 3 = 0 THEN 499 ELSE 999 END AS hi, n_name AS country FROM nation)
 SELECT o_orderkey AS id, country FROM orders LEFT JOIN r ON (o_orderkey * 37) % 27000 BETWEEN lo AND hi""")

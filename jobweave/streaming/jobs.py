@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from jobweave.operators.board import apply_link, channel_queue, due_reminders, html_escape, urgency
+from jobweave.operators.snapshots import SnapshotStore
 
 
 def append_events(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -23,6 +24,16 @@ def ingest_files(spark: SparkSession, path: str, schema: StructType, handle: Cal
     return files.writeStream.foreachBatch(lambda batch, _: handle(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_into(
+    spark: SparkSession, path: str, schema: StructType, store: SnapshotStore, change: Callable[[DataFrame], Callable[[DataFrame | None], DataFrame]], checkpoint: str, name: str = "files",
+) -> StreamingQuery:
+    """Newly landed payload files merged into a table of snapshots: change(batch) makes the next rows of the latest ones.
+    A batch that is played again after a loss is known to the table's ledger and changes nothing."""
+    files = spark.readStream.schema(schema).option("multiLine", True).json(path)
+    merged = lambda batch, number: store.update(change(batch), name, number) and None
+    return files.writeStream.foreachBatch(merged).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def drain_channel(listings: DataFrame, outbox: DataFrame, as_of: str, n: int = 10) -> DataFrame:
     """Rows for the outbox (id, send, posted_at) of the next listings, without those that it holds: running it twice sends nothing twice."""
     waiting = listings.join(outbox.select("id"), "id", "left_anti")
