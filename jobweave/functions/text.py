@@ -180,11 +180,30 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+#: Tags that show markup, and the entities that a payload stored twice escaped is read with, in this order.
+SHOWN_TAGS = "p|div|br|ul|ol|li|h[1-6]|b|strong|i|em|u|a|span|blockquote|table"
+ESCAPES = ((r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#0?39;", "'"), (r"&nbsp;", " "), (r"&amp;", "&"))
+
+
 def has_markup(c: Column) -> Column:
-    return matches(c, r"(?i)<(?:p|div|br|ul|ol|li|h[1-6]|table|strong|em|a|span)\b[^>]*>")
+    return matches(c, rf"(?i)<(?:{SHOWN_TAGS})\b")
 
 
 def source_markup(html: Column, text: Column) -> Column:
-    """What the reader renders: the stored markup, else markup that was stored escaped as text, else the text."""
-    decoded = decode_entities(text)
-    return F.when(has_markup(html), html).when(has_markup(decoded), decoded).otherwise(text)
+    """What the reader renders, once cleaned: markup in the page column, else markup that it holds escaped, else markup in the
+    text, else markup escaped there, else nothing ("")."""
+    page, plain = F.regexp_replace(F.coalesce(html, F.lit("")), r"^\s+|\s+\z", ""), F.coalesce(text, F.lit(""))
+    escaped = lambda c: matches(c, rf"(?i)&lt;(?:{SHOWN_TAGS})\b")
+
+    def read(c: Column) -> Column:
+        for entity, char in ESCAPES:
+            c = F.regexp_replace(c, entity, char)
+        return c
+
+    return F.when(has_markup(page), page).when(escaped(page), read(page)).when(has_markup(plain), plain).when(escaped(plain), read(plain)).otherwise("")
+
+
+def clamp(c: Column, most: int) -> Column:
+    """A text without white space around it, cut to ``most`` characters with an ellipsis as the last."""
+    t = F.regexp_replace(c, r"^\s+|\s+\z", "")
+    return F.when(F.length(t) > most, F.concat(F.regexp_replace(F.substring(t, 1, most - 1), r"\s+\z", ""), F.lit("…"))).otherwise(t)

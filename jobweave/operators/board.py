@@ -97,25 +97,19 @@ def safe_url(url: Column) -> Column:
     return F.when(url.rlike(r"(?i)^https?://"), url)
 
 
-def reader(raw: Column) -> Column:
-    """sections, how_to_apply and apply_email of a structured payload; null if no section is left."""
-    from jobweave.operators.lifecycle import reader_sections
-
-    data = F.from_json(F.get_json_object(raw, "$.structured.data"), "sections array<struct<heading string, items array<string>>>, how_to_apply string, application_email string")
-    sections = reader_sections(data["sections"])
-    return F.when(sections.isNotNull(), F.struct(sections.alias("sections"), data["how_to_apply"].alias("how_to_apply"), data["application_email"].alias("apply_email")))
-
-
 def listing_view(listings: DataFrame, as_of: str) -> DataFrame:
     """Rows as the board shows them (labels are fixed values)."""
     short = lambda c: F.date_format(c, "MMM d")
-    read = listings.withColumn("_reader", reader(F.col("raw")))
+    from jobweave.operators.lifecycle import reader
+
+    # A generator, so that no later expression parses the payload again.
+    read = listings.select("*", F.inline(F.array(reader(F.col("raw")))).alias("_sections", "_how_to_apply", "_apply_email"))
     return read.select(
         "id", F.upper("source").alias("source_label"), F.col("org_name").alias("org"), "title", F.coalesce(short("deadline"), F.lit("Rolling")).alias("deadline_label"),
         F.coalesce("location", F.lit("—")).alias("location_label"),
         F.when(F.col("is_paid") == False, "Unpaid").otherwise(F.coalesce("stipend_text", F.lit("Pay unclear"))).alias("pay_label"),  # noqa: E712
         F.col("fit_score").alias("fit"), days_label(F.col("deadline"), as_of).alias("days_label"), F.col("field_tags").alias("tags"), "source_url", safe_url(F.col("apply_url")).alias("apply_url"),
-        F.col("_reader.apply_email").alias("apply_email"), short("scraped_at").alias("scraped_label"), F.col("_reader.sections").alias("sections"), F.col("_reader.how_to_apply").alias("how_to_apply"),
+        F.col("_apply_email").alias("apply_email"), short("scraped_at").alias("scraped_label"), F.col("_sections").alias("sections"), F.col("_how_to_apply").alias("how_to_apply"),
     )
 
 
@@ -201,6 +195,13 @@ def repost_candidates(listings: DataFrame, as_of: str, least: int = CHANNEL_FIT,
     return (out.where(F.col("source") == source) if source else out).orderBy(*board_order()).limit(n)
 
 
+def ready_to_repost(repaired: DataFrame, as_of: str, unstructured: bool = False) -> DataFrame:
+    """Candidates that still hold once their columns are repaired (structured: whether a payload was found): active, not past
+    their deadline, and structured unless ``unstructured`` ones may go."""
+    out = live(repaired, as_of)
+    return out if unstructured else out.where("structured")
+
+
 def saved_open(saves: DataFrame, listings: DataFrame, as_of: str, page: int = 15) -> DataFrame:
     """Each subscriber's saved listings that are open, numbered by deadline, in pages.
 
@@ -223,11 +224,16 @@ BANDS = ((21, 24, "24h"), (69, 72, "72h"))
 
 
 def due_reminders(saves: DataFrame, listings: DataFrame, as_of: str, sent: DataFrame | None = None) -> DataFrame:
-    """chat_id, id and band of the reminders due now, without those in ``sent`` (the same columns)."""
+    """chat_id, id and band of the reminders due now, without those in ``sent`` (the same columns).
+
+    ``saves``: chat_id, saved_listing_ids, and notify_24h and notify_72h, which tell the bands that a subscriber wants; where
+    these columns are absent or null, both.  Any listing with a deadline counts, whatever its status."""
     hours = (F.unix_micros("deadline") - F.unix_micros(moment(as_of))) / 3_600_000_000
     band = F.coalesce(*[F.when((hours > a) & (hours <= b), name) for a, b, name in BANDS])
-    soon = listings.where((F.col("status") == "active") & (hours > BANDS[0][0]) & (hours <= BANDS[-1][1])).select("id", band.alias("band")).where("band IS NOT NULL")
-    due = saves.select("chat_id", F.explode("saved_listing_ids").alias("id")).distinct().join(soon, "id").select("chat_id", "id", "band")
+    soon = listings.where((hours > BANDS[0][0]) & (hours <= BANDS[-1][1])).select("id", band.alias("band")).where("band IS NOT NULL")
+    wants = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"notify_{b}"), F.lit(True)) if f"notify_{b}" in saves.columns else F.lit(True), b) for _, _, b in BANDS]))
+    asked = saves.select("chat_id", wants.alias("_wants"), F.explode("saved_listing_ids").alias("id"))
+    due = asked.join(soon, "id").where(F.array_contains("_wants", F.col("band"))).select("chat_id", "id", "band").distinct()
     return due if sent is None else due.join(sent, ["chat_id", "id", "band"], "left_anti")
 
 

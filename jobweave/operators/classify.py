@@ -64,10 +64,16 @@ def evidence_guard(value: Column, quote: Column, text: Column, least: int = 8) -
     return F.when((F.length(q) >= least) & F.contains(t, q), value)
 
 
+def evidenced(url: Column, html: Column, text: Column) -> Column:
+    """Whether an address stands in the page or the text, case and one slash at its end aside."""
+    bare = F.lower(F.regexp_replace(url, r"/\z", ""))
+    hay = F.lower(F.replace(F.concat(F.coalesce(html, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))), F.lit("&amp;"), F.lit("&")))
+    return (bare != "") & F.contains(hay, bare)
+
+
 def url_guard(url: Column, html: Column, text: Column) -> Column:
-    """An address that a model gave, if it stands in the page or the text (a slash at its end aside)."""
-    bare = F.regexp_replace(url, r"/+$", "")
-    return F.when((bare != "") & F.contains(F.concat_ws("\n", html, text), bare), url)
+    """An address that a model gave, if it stands in the page or the text."""
+    return F.when(evidenced(url, html, text), url)
 
 
 def with_model(postings: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], columns: tuple[str, ...], schema: T.StructType = CLASSIFICATION, name: str = "model") -> DataFrame:

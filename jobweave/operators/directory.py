@@ -99,18 +99,22 @@ def outreach(orgs: DataFrame, n: int = 12) -> DataFrame:
     return orgs.where(F.col("posts_publicly").isin("no", "sometimes") & (F.col("category") != "aggregator")).orderBy("name", "slug").limit(n)
 
 
-def work_queue(orgs: DataFrame, priorities: tuple[str, ...] = PRIORITIES, slug: str | None = None) -> DataFrame:
-    """slug, url and n: organisations to collect from, by priority; a single one if ``slug`` is given."""
+def work_queue(orgs: DataFrame, priorities: tuple[str, ...] = PRIORITIES, slug: str | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
+    """slug, url, source and n: organisations to collect from, by priority; a single one if ``slug`` is given.
+
+    ``overrides`` names the source of organisations that have one of their own (by slug): they are in the queue without an address too."""
+    own = F.create_map(*[F.lit(x) for kv in (overrides or {}).items() for x in kv]).cast("map<string,string>")
+    source = F.try_element_at(own, F.col("slug"))
     url = F.coalesce("internship_url", "careers_url")
     who = F.col("slug") == slug if slug else F.col("posts_publicly").isin("yes", "sometimes") & F.col("scrape_priority").isin(*priorities)
     order = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.coalesce("scrape_priority", F.lit("low"))).cast("int")
     # Numbered inside each priority; those before are counted, a row for each.
-    rows = orgs.where(who & url.isNotNull()).select("slug", url.alias("url"), order.alias("_order"))
+    rows = orgs.where(who & (url.isNotNull() | source.isNotNull())).select("slug", url.alias("url"), source.alias("source"), order.alias("_order"))
     counts = rows.groupBy("_order").agg(F.count(F.lit(1)).alias("_n"))
     later = counts.select(F.col("_n").alias("_m"), F.explode(F.sequence(F.col("_order") + 1, F.lit(len(PRIORITIES) + 1))).alias("_order"))
     before = later.groupBy("_order").agg(F.sum("_m").alias("_before"))
     number = F.row_number().over(Window.partitionBy("_order").orderBy("slug"))
-    return rows.withColumn("n", number).join(F.broadcast(before), "_order", "left").select("slug", "url", (F.col("n") + F.coalesce("_before", F.lit(0))).cast("int").alias("n"))
+    return rows.withColumn("n", number).join(F.broadcast(before), "_order", "left").select("slug", "url", "source", (F.col("n") + F.coalesce("_before", F.lit(0))).cast("int").alias("n"))
 
 
 def playbook(orgs: DataFrame) -> DataFrame:
@@ -132,6 +136,6 @@ def normalize(rows: DataFrame) -> DataFrame:
     return (
         out.withColumn("category", F.coalesce("category", F.lit("other")))
         .withColumn("addis_office", F.when(F.lower("addis_office") == "yes", True).when(F.lower("addis_office") == "no", False))
-        .withColumn("posts_publicly", word("posts_publicly", ("yes", "no", "sometimes")))
-        .withColumn("scrape_priority", F.coalesce(word("scrape_priority", PRIORITIES), F.lit("low")))
+        .withColumn("posts_publicly", F.coalesce(word("posts_publicly", ("yes", "no", "sometimes", "unknown")), F.lit("unknown")))
+        .withColumn("scrape_priority", word("scrape_priority", PRIORITIES))
     )

@@ -65,6 +65,21 @@ def ingest_gate(postings: DataFrame, as_of: str, domestic: tuple[str, ...] = DOM
     return postings.withColumn("drop_reason", reason).withColumn("status", status_for(F.col("deadline"), as_of))
 
 
+def fill_gaps(gated: DataFrame, gaps: DataFrame, as_of: str) -> DataFrame:
+    """Gated postings (with is_paid) whose missing deadline or pay takes what a closer reading found (id, deadline, is_paid); a deadline
+    found so that has long passed drops the posting after all, and the status follows the deadline."""
+    found = gaps.select("id", F.col("deadline").alias("_deadline"), F.col("is_paid").alias("_paid"))
+    stays = F.col("drop_reason").isNull() & (F.col("deadline").isNull() | F.col("is_paid").isNull())
+    j = gated.join(found, "id", "left")
+    deadline = F.when(stays, F.coalesce("deadline", "_deadline")).otherwise(F.col("deadline"))
+    closed = stays & (deadline < moment(as_of) - F.expr("INTERVAL '1' DAY"))
+    new = {
+        "deadline": deadline, "is_paid": F.when(stays, F.coalesce("is_paid", "_paid")).otherwise(F.col("is_paid")),
+        "drop_reason": F.when(closed, "closed").otherwise(F.col("drop_reason")), "status": F.when(stays, status_for(deadline, as_of)).otherwise(F.col("status")),
+    }
+    return j.select(*[new.get(c, F.col(c)).alias(c) for c in gated.columns])
+
+
 def status_for(deadline: Column, as_of: str) -> Column:
     return F.when(deadline < moment(as_of), "expired").otherwise("active")
 

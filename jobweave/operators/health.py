@@ -50,22 +50,21 @@ def board_summary(listings: DataFrame, as_of: str) -> DataFrame:
 def run_log(org_stats: DataFrame, source: str = "orgs") -> DataFrame:
     """One row per run from the statistics of its organisations: totals, and the organisations as an array.
 
-    ``org_stats``: run_id, slug, adapter, scraped, kept, new_rows, errors, duration_ms, started_at, finished_at.
-    An organisation without kept rows but with errors counts one more error.
+    ``org_stats``: run_id, slug, adapter, scraped, kept, new_rows, errors, duration_ms, error, started_at, finished_at.
+    An organisation that could not be read at all (error) counts one error, besides those of its rows.
     """
-    failed = F.when((F.col("errors") > 0) & (F.col("kept") == 0), 1).otherwise(0)
-    one = F.struct("slug", "adapter", "scraped", "kept", "new_rows", "errors", "duration_ms")
+    one = F.struct("slug", "adapter", "scraped", "kept", "new_rows", "errors", "duration_ms", "error")
     return org_stats.groupBy("run_id").agg(
         F.lit(source).alias("source"), F.min("started_at").alias("started_at"),
         F.when(F.count("finished_at") == F.count(F.lit(1)), F.max("finished_at")).alias("finished_at"),
-        F.sum("scraped").alias("scraped_count"), F.sum("new_rows").alias("new_count"), F.sum(F.col("kept") - F.col("new_rows")).alias("updated_count"),
-        F.sum(F.col("errors") + failed).alias("error_count"), F.array_sort(F.collect_list(one)).alias("orgs"),
+        F.sum("scraped").alias("scraped_count"), F.sum("kept").alias("kept_count"), F.sum("new_rows").alias("new_count"), F.sum(F.col("kept") - F.col("new_rows")).alias("updated_count"),
+        (F.sum("errors") + F.count("error")).alias("error_count"), F.array_sort(F.collect_list(one)).alias("orgs"),
     )
 
 
 def run_org_stats(runs: DataFrame, n: int = 10) -> DataFrame:
-    """The organisations of the latest run that logged any: most errors first, then slowest."""
-    latest = runs.where(F.size("orgs") > 0).orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(1)
+    """The organisations of the latest run over organisations that logged them, even if none: most errors first, then slowest."""
+    latest = runs.where((F.col("source") == "orgs") & F.col("orgs").isNotNull()).orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(1)
     each = latest.select(F.explode("orgs").alias("o")).select("o.slug", "o.adapter", "o.errors", "o.kept", F.col("o.duration_ms").alias("ms"))
     return each.orderBy(F.col("errors").desc(), F.col("ms").desc(), "slug").limit(n)
 

@@ -58,10 +58,10 @@ SELECT id, upper(source) AS source_label, org_name AS org, title, coalesce(strft
   CASE WHEN is_paid = false THEN 'Unpaid' ELSE coalesce(stipend_text, 'Pay unclear') END AS pay_label, fit_score AS fit,
   CASE WHEN deadline IS NULL THEN 'open' WHEN {LEFT} < 0 THEN 'expired' ELSE concat({LEFT}, 'd') END AS days_label, array_to_string(field_tags, ',') AS tags, source_url,
   CASE WHEN regexp_matches(apply_url, '(?i)^https?://') THEN apply_url END AS apply_url, json_extract_string(data, '$.application_email') AS apply_email, strftime(scraped_at, '%b %-d') AS scraped_label,
-  CASE WHEN data IS NOT NULL THEN concat('About: Line ', id % 5) END AS sections, json_extract_string(data, '$.how_to_apply') AS how_to_apply FROM r"""))
+  CASE WHEN data IS NOT NULL THEN concat('About: Line ', id % 5, ' | a') END AS sections, json_extract_string(data, '$.how_to_apply') AS how_to_apply FROM r"""))
 def listing_view(spark, sf_dir):
     view = board.listing_view(_listings(spark, sf_dir), AS_OF)
-    told = F.transform("sections", lambda s: F.concat(s["heading"], F.lit(": "), F.array_join(s["items"], "/")))
+    told = F.transform("sections", lambda s: F.concat(s["title"], F.lit(": "), F.array_join(s["paragraphs"], "/"), F.lit(" | "), F.array_join(s["bullets"], "/")))
     return view.withColumn("tags", F.array_join("tags", ",")).withColumn("sections", F.array_join(told, ";"))
 
 
@@ -112,6 +112,17 @@ def repost_candidates(spark, sf_dir):
     return _shown(board.repost_candidates(_listings(spark, sf_dir), AS_OF, source="undp"))
 
 
+@query("reposts_ready", oracle(f"""
+SELECT id, CASE WHEN id % 3 = 0 THEN 'x' END AS payload FROM (SELECT *, CASE WHEN id % 7 = 0 THEN TIMESTAMP '1990-01-01 00:00:00' ELSE listings.deadline END AS later FROM listings
+  WHERE {LIVE} AND fit_score >= 70 AND coalesce(json_extract_string(raw, '$.repostedToChannel'), 'false') <> 'true' {ORDER.replace('deadline', 'listings.deadline')} LIMIT 1000)
+WHERE id % 3 = 0 AND id % 7 <> 0"""))
+def reposts_ready(spark, sf_dir):
+    """Of a thousand candidates those that stay once their payloads are read: a third has one, a seventh turns out to be closed."""
+    found = board.repost_candidates(_listings(spark, sf_dir), AS_OF, n=1000)
+    repaired = found.withColumn("deadline", F.when(F.col("id") % 7 == 0, F.lit("1990-01-01").cast("timestamp")).otherwise(F.col("deadline"))).withColumn("structured", F.col("id") % 3 == 0)
+    return board.ready_to_repost(repaired, AS_OF).select("id", F.when(F.col("structured"), "x").alias("payload"))
+
+
 SAVES = "saves AS (SELECT c_custkey AS chat_id, unnest([c_custkey, c_custkey * 2, c_custkey * 3]) AS id FROM customer)"
 
 
@@ -127,12 +138,12 @@ def saved_open(spark, sf_dir):
 
 
 @query("due_reminders", oracle(f"""
-WITH {SAVES}, h AS (SELECT id, CAST(id % 100 AS DOUBLE) AS hours FROM listings WHERE status = 'active')
+WITH {SAVES}, h AS (SELECT id, CAST(id % 100 AS DOUBLE) AS hours FROM listings)
 SELECT DISTINCT chat_id, s.id, CASE WHEN hours <= 24 THEN '24h' ELSE '72h' END AS band FROM saves s JOIN h ON h.id = s.id
-WHERE ((hours > 21 AND hours <= 24) OR (hours > 69 AND hours <= 72)) AND chat_id % 11 <> 0""", "listings"))
+WHERE ((hours > 21 AND hours <= 24 AND chat_id % 3 <> 0) OR (hours > 69 AND hours <= 72 AND chat_id % 4 <> 0)) AND chat_id % 11 <> 0""", "listings"))
 def due_reminders(spark, sf_dir):
     """Deadlines are set 0 to 99 hours ahead, so that both bands are met."""
-    saves = _saves(spark, sf_dir)
+    saves = _saves(spark, sf_dir).withColumn("notify_24h", F.col("chat_id") % 3 != 0).withColumn("notify_72h", F.col("chat_id") % 4 != 0)
     ahead = F.timestamp_add("HOUR", (F.col("id") % 100).cast("int"), F.lit(AS_OF).cast("timestamp"))
     done = saves.where("chat_id % 11 = 0").select("chat_id", F.explode("saved_listing_ids").alias("id"))
     sent = done.select("*", F.explode(F.array(F.lit("24h"), F.lit("72h"))).alias("band"))
@@ -242,10 +253,11 @@ def outreach_orgs(spark, sf_dir):
 
 
 @query("work_queue", oracle("""
-SELECT slug, coalesce(internship_url, careers_url) AS url, row_number() OVER (ORDER BY CASE scrape_priority WHEN 'critical' THEN 1 ELSE 2 END, slug) AS n FROM orgs
-WHERE posts_publicly IN ('yes', 'sometimes') AND scrape_priority IN ('critical', 'high') AND coalesce(internship_url, careers_url) IS NOT NULL"""))
+SELECT slug, coalesce(internship_url, careers_url) AS url, CASE slug WHEN 'org-1' THEN 'undp' WHEN 'org-21' THEN 'board' END AS source,
+  row_number() OVER (ORDER BY CASE scrape_priority WHEN 'critical' THEN 1 ELSE 2 END, slug) AS n FROM orgs
+WHERE posts_publicly IN ('yes', 'sometimes') AND scrape_priority IN ('critical', 'high') AND (coalesce(internship_url, careers_url) IS NOT NULL OR slug IN ('org-1', 'org-21'))"""))
 def work_queue(spark, sf_dir):
-    return directory.work_queue(load(spark, sf_dir, "orgs"), ("critical", "high"))
+    return directory.work_queue(load(spark, sf_dir, "orgs"), ("critical", "high"), overrides={"org-1": "undp", "org-21": "board"})
 
 
 @query("org_playbook", oracle("SELECT slug, CASE category WHEN 'un' THEN 'institutional' WHEN 'ingo' THEN 'ingo' WHEN 'think-tank' THEN 'thinktank' WHEN 'media' THEN 'advocacy' ELSE 'default' END AS playbook FROM orgs"))
@@ -264,7 +276,7 @@ def social_links(spark, sf_dir):
 WITH c AS (SELECT slug, nullif(trim(name), '') AS name, CASE lower(category) WHEN 'media' THEN '' ELSE category END AS category, CASE CAST(slug[5:] AS BIGINT) % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN ' no ' ELSE 'maybe' END AS office,
   upper(posts_publicly) AS posts, CASE WHEN scrape_priority = 'low' THEN 'urgent' ELSE scrape_priority END AS priority FROM orgs WHERE CAST(slug[5:] AS BIGINT) % 10 <> 0)
 SELECT slug, name, coalesce(nullif(category, ''), 'other') AS category, CASE lower(trim(office)) WHEN 'yes' THEN true WHEN 'no' THEN false END AS addis_office,
-  CASE WHEN lower(posts) IN ('yes', 'no', 'sometimes') THEN lower(posts) END AS posts_publicly, CASE WHEN priority IN ('critical', 'high', 'medium', 'low') THEN priority ELSE 'low' END AS scrape_priority FROM c"""))
+  CASE WHEN lower(posts) IN ('yes', 'no', 'sometimes') THEN lower(posts) ELSE 'unknown' END AS posts_publicly, CASE WHEN priority IN ('critical', 'high', 'medium', 'low') THEN priority END AS scrape_priority FROM c"""))
 def normalize_orgs(spark, sf_dir):
     n = F.substring_index("slug", "-", -1).cast("bigint")
     raw = load(spark, sf_dir, "orgs").select(

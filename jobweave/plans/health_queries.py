@@ -55,13 +55,13 @@ def board_summary(spark, sf_dir):
 RUNS = """
 runs AS (SELECT run_id, 'orgs' AS source, min(started_at) AS started_at, CASE WHEN count(finished_at) = count(*) THEN max(finished_at) END AS finished_at,
   CAST(sum(scraped) AS BIGINT) AS scraped_count, CAST(sum(new_rows) AS BIGINT) AS new_count, CAST(sum(kept - new_rows) AS BIGINT) AS updated_count,
-  CAST(sum(errors + CASE WHEN errors > 0 AND kept = 0 THEN 1 ELSE 0 END) AS BIGINT) AS error_count, count(*) AS n_orgs FROM org_stats GROUP BY run_id)"""
+  CAST(sum(kept) AS BIGINT) AS kept_count, CAST(sum(errors) + count(error) AS BIGINT) AS error_count, count(*) AS n_orgs FROM org_stats GROUP BY run_id)"""
 
 
-@query("run_log", oracle(f"WITH {RUNS} SELECT run_id, source, scraped_count, new_count, updated_count, error_count, n_orgs FROM runs", "org_stats"))
+@query("run_log", oracle(f"WITH {RUNS} SELECT run_id, source, scraped_count, kept_count, new_count, updated_count, error_count, n_orgs FROM runs", "org_stats"))
 def run_log(spark, sf_dir):
     runs = health.run_log(load(spark, sf_dir, "org_stats"))
-    return runs.select("run_id", "source", "scraped_count", "new_count", "updated_count", "error_count", F.size("orgs").cast("bigint").alias("n_orgs"))
+    return runs.select("run_id", "source", "scraped_count", "kept_count", "new_count", "updated_count", "error_count", F.size("orgs").cast("bigint").alias("n_orgs"))
 
 
 @query("run_org_stats", oracle(f"""WITH {RUNS}
@@ -80,12 +80,12 @@ def recent_runs(spark, sf_dir):
 
 @query("report_cells", oracle("""
 WITH h AS (SELECT source, count(*) AS of_n, count(*) FILTER (apply_url IS NOT NULL) AS n, sum(CAST(id AS BIGINT) % 7200)::BIGINT AS secs FROM listings GROUP BY source)
-SELECT source, CASE WHEN of_n > 0 THEN concat(CAST(floor(100.0 * n / of_n + 0.5) AS BIGINT), '%') ELSE '-' END AS share,
-  CASE WHEN secs < 60 THEN concat(secs, 's') WHEN secs < 3600 THEN concat(secs // 60, 'm ', secs % 60, 's') ELSE concat(secs // 3600, 'h ', secs % 3600 // 60, 'm') END AS duration FROM h"""))
+SELECT source, CASE WHEN of_n > 0 THEN concat(CAST(floor(100.0 * n / of_n + 0.5) AS BIGINT), '%') ELSE '—' END AS share,
+  CASE WHEN source = 'undp' THEN 'unfinished' WHEN secs < 90 THEN concat(secs, 's') ELSE concat(secs // 60, 'm ', secs % 60, 's') END AS duration FROM h"""))
 def report_cells(spark, sf_dir):
     from jobweave.sources import report
 
     counts = _listings(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("of_n"), F.count("apply_url").alias("n"), F.sum(F.col("id") % 7200).alias("secs"))
-    return counts.select("source", report.percent(F.col("n"), F.col("of_n")).alias("share"), report.duration(F.col("secs")).alias("duration"))
+    return counts.select("source", report.percent(F.col("n"), F.col("of_n")).alias("share"), report.duration(F.when(F.col("source") != "undp", F.col("secs"))).alias("duration"))
 
 

@@ -166,58 +166,77 @@ def prune_counters(spark, sf_dir):
     return lifecycle.prune_counters(_decided(spark, sf_dir))
 
 
-STRUCTURED = """st AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'Structured place' END AS location, CASE WHEN id % 6 = 0 THEN false END AS is_paid, CASE WHEN id % 10 = 0 THEN 'ETB 900' END AS stipend_text,
-  CASE WHEN id % 4 = 0 THEN 'https://apply.example.org/x' END AS apply_url, TIMESTAMP '1999-01-01 00:00:00' AS deadline, id % 14 <> 0 AS realistic, concat('Named ', id) AS org_name FROM listings WHERE id % 2 = 0)"""
+PAGE = """p AS (SELECT *, CASE WHEN id % 3 = 0 THEN concat('<a href="https://forms.example.org/', id, '?a=1&amp;b=2">Form</a>') END AS html FROM listings)"""
 
 
-@query("repair_columns", oracle(f"""WITH {STRUCTURED}
-SELECT l.id, coalesce(st.location, l.location) AS location, coalesce(st.is_paid, l.is_paid) AS is_paid, coalesce(st.stipend_text, l.stipend_text) AS stipend_text, l.apply_url,
-  CASE WHEN st.id IS NULL THEN l.status WHEN coalesce(l.deadline, st.deadline) < {NOW} THEN 'expired' WHEN NOT realistic THEN 'hidden' ELSE 'active' END AS status,
-  CASE WHEN lower(l.org_name) IN ('unknown', '') OR length(l.org_name) < 3 THEN coalesce(st.org_name, l.org_name) ELSE l.org_name END AS org_name
-FROM listings l LEFT JOIN st ON st.id = l.id""", "listings"))
+def _with_pages(spark, sf_dir):
+    page = F.concat(F.lit('<a href="https://forms.example.org/'), F.col("id").cast("string"), F.lit('?a=1&amp;b=2">Form</a>'))
+    return _listings(spark, sf_dir).withColumn("description_html", F.when(F.col("id") % 3 == 0, page))
+
+
+@query("repair_columns", oracle(f"""
+WITH s AS (SELECT *, id % 2 = 0 AS hit, CASE WHEN id % 4 = 0 THEN TIMESTAMP '1999-01-01 00:00:00' WHEN id % 12 = 6 THEN TIMESTAMP '1996-01-01 00:00:00' END AS said FROM listings)
+SELECT id, CASE WHEN id % 4 = 0 THEN 'Structured place' ELSE location END AS location, CASE WHEN NOT hit THEN is_paid WHEN id % 6 = 0 THEN false END AS is_paid,
+  CASE WHEN NOT hit THEN stipend_text WHEN id % 10 = 0 THEN 'ETB 900' END AS stipend_text,
+  CASE WHEN apply_url IS NULL AND id % 6 = 0 THEN concat('https://Forms.example.org/', id, '?a=1&b=2/') ELSE apply_url END AS apply_url,
+  strftime(CASE WHEN hit THEN coalesce(said, deadline) ELSE deadline END, '%Y-%m-%d') AS deadline,
+  CASE WHEN NOT hit THEN status WHEN coalesce(said, deadline) < {NOW} THEN 'expired' WHEN id % 14 = 0 THEN 'hidden' ELSE 'active' END AS status,
+  CASE WHEN hit AND org_name = 'Unknown' THEN concat('Named ', id) ELSE org_name END AS org_name FROM s"""))
 def repair_columns(spark, sf_dir):
-    rows, k = _listings(spark, sf_dir), F.col("id")
+    rows, k = _with_pages(spark, sf_dir), F.col("id")
+    n = k.cast("string")
+    given = F.when(k % 6 == 0, F.concat(F.lit("https://Forms.example.org/"), n, F.lit("?a=1&b=2/"))).when(k % 4 == 0, "https://apply.example.org/x")
     structured = rows.where("id % 2 = 0").select(
-        "id", F.when(k % 4 == 0, "Structured place").alias("location"), F.when(k % 6 == 0, False).alias("is_paid"), F.when(k % 10 == 0, "ETB 900").alias("stipend_text"),
-        F.when(k % 4 == 0, "https://apply.example.org/x").alias("apply_url"), F.lit("1999-01-01").cast("timestamp").alias("deadline"), (k % 14 != 0).alias("realistic"),
-        F.concat(F.lit("Named "), k.cast("string")).alias("org_name"),
+        "id", F.when(k % 4 == 0, "Structured place").otherwise("").alias("location"), F.when(k % 6 == 0, False).alias("is_paid"), F.when(k % 10 == 0, "ETB 900").alias("stipend_text"), given.alias("apply_url"),
+        F.when(k % 4 == 0, F.lit("1999-01-01").cast("timestamp")).when(k % 12 == 6, F.lit("1996-01-01").cast("timestamp")).alias("deadline"), (k % 14 != 0).alias("realistic"),
+        F.concat(F.lit(" Named "), n).alias("org_name"),
     )
-    return lifecycle.repair_columns(rows, structured, AS_OF).select("id", "location", "is_paid", "stipend_text", "apply_url", "status", "org_name")
+    fixed = lifecycle.repair_columns(rows, structured, AS_OF)
+    return fixed.select("id", "location", "is_paid", "stipend_text", "apply_url", F.date_format("deadline", "yyyy-MM-dd").alias("deadline"), "status", "org_name")
 
 
-@query("reextract_diff", oracle("""
-WITH n AS (SELECT id, CASE WHEN id % 2 = 0 THEN title ELSE title || '!' END AS title, CASE WHEN id % 3 = 0 THEN NULL ELSE location END AS location, CASE WHEN id % 5 = 0 THEN NULL ELSE deadline END AS deadline FROM listings),
-c AS (SELECT l.id, list_filter([CASE WHEN n.title IS DISTINCT FROM l.title THEN 'title' END, CASE WHEN n.location IS DISTINCT FROM l.location THEN 'location' END,
+@query("reextract_diff", oracle(f"""
+WITH n AS (SELECT id, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN description ELSE description || '!' END AS text, CASE WHEN id % 3 = 0 THEN NULL ELSE location END AS location,
+  CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN {NOW} + INTERVAL 1 DAY WHEN id % 5 = 2 THEN {NOW} - INTERVAL 1 DAY ELSE deadline END AS deadline FROM listings),
+c AS (SELECT l.id, coalesce(nullif(n.text, ''), l.description) AS text, n.location, coalesce(n.deadline, l.deadline) AS deadline, l.status, l.deadline AS old, list_filter([
+  CASE WHEN coalesce(nullif(n.text, ''), l.description) <> l.description THEN 'description_text' END, CASE WHEN n.location IS DISTINCT FROM l.location THEN 'location' END,
   CASE WHEN coalesce(n.deadline, l.deadline) IS DISTINCT FROM l.deadline THEN 'deadline' END], lambda x: x IS NOT NULL) AS changed FROM listings l JOIN n ON n.id = l.id WHERE source LIKE 'generic:%')
-SELECT id, array_to_string(changed, ',') AS changed FROM c WHERE len(changed) > 0"""))
+SELECT id, array_to_string(changed, ',') AS changed, text, location, CASE WHEN deadline IS NOT DISTINCT FROM old THEN status WHEN deadline < {NOW} THEN 'expired' ELSE 'active' END AS status,
+  concat('{{"keep":1,"scraped":{{"a":', id, ',"b":2}}}}') AS raw FROM c WHERE len(changed) > 0"""))
 def reextract_diff(spark, sf_dir):
-    old, k = _listings(spark, sf_dir), F.col("id")
+    k, text, now = F.col("id"), F.col("description_text"), F.lit(AS_OF).cast("timestamp")
+    old = _listings(spark, sf_dir).withColumnRenamed("description", "description_text").withColumn("raw", F.lit('{"keep":1,"scraped":{"a":0,"b":2}}'))
     new = old.select(
-        "id", F.when(k % 2 == 0, F.col("title")).otherwise(F.concat("title", F.lit("!"))).alias("title"), F.when(k % 3 != 0, F.col("location")).alias("location"),
-        F.when(k % 5 != 0, F.col("deadline")).alias("deadline"),
+        "id", F.when(k % 4 == 0, "").when(k % 4 == 2, text).when(k % 4 == 3, F.concat(text, F.lit("!"))).alias("description_text"), F.when(k % 3 != 0, F.col("location")).alias("location"),
+        F.when(k % 5 == 1, F.timestamp_add("DAY", F.lit(1), now)).when(k % 5 == 2, F.timestamp_add("DAY", F.lit(-1), now)).when(k % 5 > 2, F.col("deadline")).alias("deadline"),
+        F.concat(F.lit('{"a":'), k.cast("string"), F.lit("}")).alias("raw"),
     )
-    return lifecycle.reextract_diff(old, new, ("title", "location", "deadline")).select("id", F.array_join("changed", ",").alias("changed"))
+    found = lifecycle.reextract_diff(old, new, ("description_text", "location", "deadline"), AS_OF)
+    return found.select("id", F.array_join("changed", ",").alias("changed"), F.col("description_text").alias("text"), "location", "status", "raw")
 
 
 @query("fix_apply_urls", oracle("""
-SELECT id, coalesce(CASE WHEN regexp_matches(apply_url, '(?i)^https?://') THEN apply_url END, CASE WHEN id % 2 = 0 THEN concat('https://found.example.org/', id) END) AS apply_url FROM listings"""))
+SELECT id, CASE WHEN id % 2 = 0 THEN concat('https://found.example.org/', id) WHEN id % 9 = 1 THEN apply_url END AS apply_url FROM listings"""))
 def fix_apply_urls(spark, sf_dir):
-    rows = _listings(spark, sf_dir)
-    found = rows.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://found.example.org/"), F.col("id").cast("string"))).otherwise("javascript:x").alias("url"))
+    """Half of the pages have an address; of the others, those stay that the text holds, in capitals."""
+    n = F.col("id").cast("string")
+    stands = F.when(F.col("id") % 9 == 1, F.concat(F.lit("Apply: HTTPS://APPLY.example.org/"), n, F.lit("/ now"))).otherwise(F.col("description"))
+    rows = _with_pages(spark, sf_dir).withColumn("description", stands)
+    found = rows.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://found.example.org/"), n)).alias("url"))
     return lifecycle.fix_apply_urls(rows, found).select("id", "apply_url")
 
 
-@query("reader_sections", oracle("""
-WITH s AS (SELECT id, CASE id % 4 WHEN 0 THEN ['Duties|a|b', 'Empty|  |'] WHEN 1 THEN ['Empty|'] WHEN 2 THEN ['Pay|x', 'Terms|y| '] ELSE [] END AS raw FROM listings),
-t AS (SELECT id, list_filter(list_transform(raw, lambda r: [split_part(r, '|', 1), array_to_string(list_filter(string_split(r, '|')[2:], lambda x: trim(x) <> ''), '+')]), lambda p: p[2] <> '') AS kept FROM s)
-SELECT id, CASE WHEN len(kept) > 0 THEN array_to_string(list_transform(kept, lambda p: p[1] || '=' || p[2]), ';') END AS sections FROM t"""))
+@query("reader_sections", oracle("SELECT id, CASE id % 5 WHEN 0 THEN 'Duties=a+b|' WHEN 2 THEN '=|x;Terms=y+ |z' END AS sections FROM listings"))
 def reader_sections(spark, sf_dir):
-    k = F.col("id") % 4
-    part = lambda h, *items: F.struct(F.lit(h).alias("heading"), F.array(*[F.lit(i) for i in items]).alias("items"))
-    none = F.filter(F.array(part("x", "")), lambda _: F.lit(False))
-    raw = F.when(k == 0, F.array(part("Duties", "a", "b"), part("Empty", "  ", ""))).when(k == 1, F.array(part("Empty", ""))).when(k == 2, F.array(part("Pay", "x"), part("Terms", "y", " "))).otherwise(none)
-    kept = _listings(spark, sf_dir).select("id", lifecycle.reader_sections(raw).alias("s"))
-    return kept.select("id", F.array_join(F.transform("s", lambda s: F.concat(s["heading"], F.lit("="), F.array_join(s["items"], "+"))), ";").alias("sections"))
+    """Sections as payloads hold them: with numbers and nulls among the strings, empty ones, and none."""
+    k = F.col("id") % 5
+    raw = (
+        F.when(k == 0, '[{"title":"Duties","paragraphs":["a",1,"b"]},{"title":"","bullets":[]},7]').when(k == 1, '[{"title":5,"paragraphs":[1,null],"bullets":"x"},null]')
+        .when(k == 2, '[{"bullets":["x"]},{"title":"Terms","paragraphs":["y"," "],"bullets":["z",{}]}]').when(k == 3, '{"title":"no list"}').otherwise("not json")
+    )
+    kept = _listings(spark, sf_dir).select("id", lifecycle.reader_sections(F.try_parse_json(raw)).alias("s"))
+    told = lambda s: F.concat(s["title"], F.lit("="), F.array_join(s["paragraphs"], "+"), F.lit("|"), F.array_join(s["bullets"], "+"))
+    return kept.select("id", F.array_join(F.transform("s", told), ";").alias("sections"))
 
 
 # Event rules.

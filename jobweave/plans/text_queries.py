@@ -243,11 +243,16 @@ def evidence_guard(spark, sf_dir):
 
 
 @query("url_guard", """
-WITH g AS (SELECT page_id, html, CASE WHEN page_id % 2 = 0 THEN url || '/' ELSE 'https://elsewhere.example.net/x' END AS given, concat('See ', url, ' now') AS text FROM pages)
-SELECT page_id, CASE WHEN regexp_replace(given, '/+$', '') <> '' AND contains(concat_ws(chr(10), html, text), regexp_replace(given, '/+$', '')) THEN given END AS url FROM g""")
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN url || '/' WHEN 1 THEN upper(url) WHEN 2 THEN concat('https://f.example.org/?a=1&b=', page_id) END AS url FROM pages""")
 def url_guard(spark, sf_dir):
-    given = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/"))).otherwise("https://elsewhere.example.net/x")
-    return dealt(base(spark, sf_dir, "pages")).select("page_id", classify.url_guard(given, F.col("html"), F.concat(F.lit("See "), "url", F.lit(" now"))).alias("url"))
+    """Given with a slash more, in capitals, with what the page holds escaped, with two slashes, elsewhere, and nothing at all."""
+    k = F.col("page_id") % 6
+    n = F.col("page_id").cast("string")
+    given = F.when(k == 0, F.concat("url", F.lit("/"))).when(k == 1, F.upper("url")).when(k == 2, F.concat(F.lit("https://f.example.org/?a=1&b="), n)).when(k == 3, F.concat("url", F.lit("//")))
+    given = given.when(k == 4, "https://elsewhere.example.net/x").otherwise("/")
+    page = F.concat("html", F.lit('<a href="https://F.example.org/?a=1&amp;b='), n, F.lit('">'))
+    seen = F.when(k != 5, F.concat(F.lit("See "), "url", F.lit(" now")))
+    return dealt(base(spark, sf_dir, "pages")).select("page_id", classify.url_guard(given, page, seen).alias("url"))
 
 
 @query("ingest_gate", oracle(f"""
@@ -260,6 +265,21 @@ def ingest_gate(spark, sf_dir):
     return gates.ingest_gate(rows, AS_OF).select("id", "drop_reason", "status")
 
 
+@query("filled_gaps", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'unfit' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'closed' END AS drop_reason,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'active' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 IN (0, 1) THEN 'expired' ELSE 'active' END AS status,
+  CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 4 = 0 THEN true WHEN o_orderkey % 4 <> 0 THEN false END AS is_paid FROM orders""")
+def filled_gaps(spark, sf_dir):
+    """What a closer reading finds: long past, half a day past or open, for those without a deadline; and the pay of a quarter."""
+    k = F.col("o_orderkey")
+    open_ = F.timestamp_add("DAY", F.lit(9), F.lit(AS_OF).cast("timestamp"))
+    gated = base(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 2 == 1, open_).alias("deadline"), F.when(k % 4 != 0, False).alias("is_paid"), F.when(k % 5 == 0, "unfit").alias("drop_reason"), F.lit("active").alias("status"))
+    hours = F.when(k % 3 == 0, -240).when(k % 3 == 1, -12).otherwise(240)
+    gaps = base(spark, sf_dir, "orders").select(k.alias("id"), F.timestamp_add("HOUR", hours, F.lit(AS_OF).cast("timestamp")).alias("deadline"), F.lit(True).alias("is_paid"))
+    return gates.fill_gaps(gated, gaps, AS_OF).select("id", "drop_reason", "status", "is_paid")
+
+
 AGENT = "CASE user_id % 6 WHEN 0 THEN 'Mozilla/5.0 (iPhone)' WHEN 1 THEN 'Googlebot/2.1' WHEN 2 THEN '' WHEN 3 THEN 'curl/8.0' WHEN 4 THEN 'Mozilla/5.0 (X11; Linux)' END"
 
 
@@ -269,7 +289,7 @@ def _agents(spark, sf_dir):
     return base(spark, sf_dir, "events").withColumn("agent", agent)
 
 
-@query("bot_filter", f"WITH a AS (SELECT event_id, {AGENT} AS agent FROM events) SELECT event_id FROM a WHERE trim(coalesce(agent, '')) <> '' AND NOT regexp_matches(agent, {q(P.BOT_AGENT)})")
+@query("bot_filter", "WITH a AS (SELECT event_id, user_id FROM events) SELECT event_id FROM a WHERE user_id % 6 IN (0, 4)")
 def bot_filter(spark, sf_dir):
     return _agents(spark, sf_dir).where(~gates.is_bot(F.col("agent"))).select("event_id")
 

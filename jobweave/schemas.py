@@ -38,4 +38,4 @@ SCRAPE_RUN = T.StructType([
 CLASSIFICATION = T.StructType([
     T.StructField("fits", _B), T.StructField("fields", T.ArrayType(_S)), T.StructField("fit_score", _I), T.StructField("reason", _S),
 ])
-SECTION = T.StructType([T.StructField("heading", _S), T.StructField("items", T.ArrayType(_S))])
+SECTION = T.StructType([T.StructField("title", _S), T.StructField("paragraphs", T.ArrayType(_S)), T.StructField("bullets", T.ArrayType(_S))])

@@ -10,18 +10,15 @@ ROWS = 100
 
 
 def percent(n: Column, of: Column) -> Column:
-    """Whole percent, or a dash where there is nothing to divide by."""
-    return F.when(of > 0, F.concat(F.floor(100.0 * n / of + 0.5).cast("bigint").cast("string"), F.lit("%"))).otherwise("-")
+    """Whole percent, or a dash where there is nothing to divide by (signs are fixed values)."""
+    return F.when(of > 0, F.concat(F.floor(100.0 * n / of + 0.5).cast("bigint").cast("string"), F.lit("%"))).otherwise("—")
 
 
 def duration(seconds: Column) -> Column:
+    """Seconds, from a minute and a half on minutes and seconds; what has no end is unfinished."""
     s = seconds.cast("bigint")
     part = lambda c: F.floor(c).cast("bigint").cast("string")
-    return (
-        F.when(s < 60, F.concat(part(s), F.lit("s")))
-        .when(s < 3600, F.concat(part(s / 60), F.lit("m "), part(s % 60), F.lit("s")))
-        .otherwise(F.concat(part(s / 3600), F.lit("h "), part(s % 3600 / 60), F.lit("m")))
-    )
+    return F.when(s.isNull(), "unfinished").when(s < 90, F.concat(part(s), F.lit("s"))).otherwise(F.concat(part(s / 60), F.lit("m "), part(s % 60), F.lit("s")))
 
 
 def markdown(title: str, df: DataFrame) -> str:

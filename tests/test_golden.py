@@ -234,11 +234,11 @@ def test_kinds_and_canonical_addresses(spark):
 
 
 def test_labels_of_the_board(spark):
-    row = ("1", "undp", "UNDP", "A & B", None, None, None, True, None, 80, ["x"], "https://s/1", "ftp://x", dt.datetime(2024, 9, 3), '{"structured":{"data":{"application_email":"a@b.org","sections":[{"heading":"H","items":["i"," "]}],"how_to_apply":"mail"}}}')
+    row = ("1", "undp", "UNDP", "A & B", None, None, None, True, None, 80, ["x"], "https://s/1", "ftp://x", dt.datetime(2024, 9, 3), '{"structured":{"data":{"application_email":"a@b.org","sections":[{"title":"H","paragraphs":["i",3,null],"bullets":[" "]},{"title":""}],"how_to_apply":"mail"}}}')
     df = spark.createDataFrame([row], "id string, source string, org_name string, title string, deadline timestamp, location string, stipend_text string, is_paid boolean, posted string, fit_score int, field_tags array<string>, source_url string, apply_url string, scraped_at timestamp, raw string")
     v = board.listing_view(df, "2024-09-01 00:00:00").first()
     assert (v["pay_label"], v["deadline_label"], v["location_label"], v["scraped_label"], v["apply_email"], v["how_to_apply"]) == ("Pay unclear", "Rolling", "—", "Sep 3", "a@b.org", "mail")
-    assert [tuple(s) for s in v["sections"]] == [("H", ["i"])]
+    assert [tuple(s) for s in v["sections"]] == [("H", ["i"], [" "])]
     t = board.apply_target(df.withColumn("apply_email", F.lit("a@b.org"))).first()
     assert tuple(t)[1:] == ("mailto:a@b.org?subject=Application%20%E2%80%94%20A%20%26%20B", "Apply by email")
     days = [dt.datetime(2024, 9, d) for d in (1, 3, 10, 20)] + [dt.datetime(2024, 8, 2), None]
@@ -266,7 +266,7 @@ def test_every_kind_is_registered():
 def test_report(spark):
     df = spark.createDataFrame([("a|b", 1), (None, 2)], "name string, n int")
     assert report.markdown("T", df.orderBy("n")).splitlines() == ["## T", "", "| name | n |", "| --- | --- |", "| a\\|b | 1 |", "| - | 2 |"]
-    assert column(spark, [5, 65, 3700], report.duration, "int") == ["5s", "1m 5s", "1h 1m"]
+    assert column(spark, [5, 75, 90, 4000, None], report.duration, "int") == ["5s", "75s", "1m 30s", "66m 40s", "unfinished"]
 
 
 def test_requests_and_logs(spark):
