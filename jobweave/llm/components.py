@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, in no certain order: unlike a checkpoint, its plan knows nothing of what it came
+    from, so loops over such tables plan as quickly in the last round as in the first."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links`` (a, b: long) to one row per linked node: id and component, the smallest id reachable.
 

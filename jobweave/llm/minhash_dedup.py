@@ -20,19 +20,26 @@ Branching needs no other row, so a node of any size is streamed through its
 task.  Only candidate pairs, never all pairs of a group, are emitted: members of
 a node that strong resemblance already joins are not paired again.
 
-Components need no pair whose ends are joined already.  Where there are more
-candidates than classes, they are confirmed in rounds: a class first with a few of
-its partners, then with more of those that are still apart from it, until none is left;
-pairs that can't be similar enough, as too many of their shingles have one holder
-alone, leave before.
+Components need no pair whose ends are joined already.  So the trees come in waves:
+the first ones join most of a large group, and in later ones its members carry the
+component that they are in; nodes of one component alone end there, and members
+of one component are not paired.  A pair that resembles each other strongly though
+its sets don't hides its members' other links in that node; in later waves such
+members are loose: no resemblance settles them, and they are paired with all.
+Where a wave has more candidates than there are classes, they are confirmed in
+rounds: a class first with a few of its partners, then with more of those that are still
+apart from it, until none is left; pairs that can't be similar enough, as too many of
+their shingles have one holder alone, leave before.
 
 Recall is audited: partners of a bounded number of classes are looked for among all
 classes by their minwise values, and trees are added until they join enough of the
-links that the full sets confirm.
+links that the full sets confirm.  Where even the most trees don't, all classes that are
+apart are compared by their minwise values, in cells of bounded size.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -44,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.llm.blocks import Words, filled, text_blocks
-from jobweave.llm.components import connected_components, durable
+from jobweave.llm.components import connected_components, durable, written
 
 COORDINATES = 64
 TREES = 16
@@ -60,9 +67,13 @@ WEAK_BELOW = 0.2
 STRONG = 0.93
 #: A member is settled by one leader from STRONG on, or by so many from a similarity and LIKELY_ABOVE on.
 LIKELY_ABOVE, LIKELY_LEADERS = 0.05, 2
+#: Trees of the first waves; all others follow in one.
+WAVES = (2, 6)
 #: Classes whose links are audited, links of each at most, how many equal minwise values make a partner (six deviations below
-#: the threshold), the share of the links to be joined, and trees added at a time and at most.
-AUDITED, PARTNERS, ALIKE, RECALL, MORE_TREES, MOST_TREES = 500, 8, 32, 0.99, 8, 64
+#: the threshold), the share of the links to be joined, trees added at a time and at most, and the share below which all are compared.
+AUDITED, PARTNERS, ALIKE, RECALL, MORE_TREES, MOST_TREES, LEAST_RECALL = 1000, 8, 32, 0.99, 8, 64, 0.9
+#: Classes of a block where all are compared.
+BLOCK = 2048
 #: Bits of the fixed-size filter that tells which documents have candidates.
 FILTER_BITS = 1 << 26
 
@@ -181,40 +192,58 @@ def _children(keys: np.ndarray, sigs: np.ndarray, similarity: float) -> tuple[np
     return _mixed(keys[row] * _MIX1 + (coordinate.astype(np.uint64) << np.uint64(8)) + value), row
 
 
-def _node_batch(kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, sigs: np.ndarray | None) -> pa.RecordBatch:
-    n = len(a)
-    sig = pa.array([r.tobytes() for r in sigs], pa.binary()) if sigs is not None else pa.nulls(n, pa.binary())
+#: Rows of nodes, one array for each column: key of the node, id, component that the class is in, whether it is loose, minwise values.
+Members = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _of(members: Members, at) -> Members:
+    return tuple(x[at] for x in members)
+
+
+def _node_batch(members: Members) -> pa.RecordBatch:
+    keys, ids, comps, loose, sigs = members
+    none = pa.nulls(len(ids), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(a), pa.array(b), sig], ["kind", "key", "a", "b", "sig"]
+        [pa.array(keys.astype(np.int64)), pa.array(ids), none, none, pa.array(comps), pa.array(loose), pa.array([r.tobytes() for r in sigs], pa.binary())], _NODE_NAMES
     )
 
 
-#: A node's row, or a pair, whose key is the number of equal minwise values.
-_NODE = "kind int, key bigint, a bigint, b bigint, sig binary"
-_CHILD, _PAIR = 0, 1
+def _pair_batch(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> pa.RecordBatch:
+    n = len(a)
+    arrays = [pa.nulls(n, pa.int64()), pa.array(a), pa.array(b), pa.array(alike.astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, _NODE_NAMES)
+
+
+#: A node's row, or a candidate pair, which has a second id and the number of equal minwise values.
+_NODE = "key bigint, id bigint, other bigint, alike bigint, comp bigint, loose boolean, sig binary"
+_NODE_NAMES = [c.split()[0] for c in _NODE.split(", ")]
 
 
-def _small_pairs(ids: np.ndarray, sigs: np.ndarray, starts: np.ndarray, size: int, weak: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _small_pairs(members: Members, starts: np.ndarray, size: int, weak: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates of all nodes with ``size`` members that begin at ``starts``, and their equal minwise values."""
+    _, ids, comps, loose, sigs = members
     out_a, out_b, shares = [], [], []
     step = max(1, (1 << 21) // (size * size * COORDINATES))
+    upper = np.triu(np.ones((size, size), bool), 1)
     for s in range(0, len(starts), step):
         at = starts[s : s + step, None] + np.arange(size)
-        sig = sigs[at]
+        sig, comp, free = sigs[at], comps[at], loose[at]
         alike = (sig[:, :, None, :] == sig[:, None, :, :]).mean(axis=3, dtype=np.float32)
-        upper = np.triu(np.ones((size, size), bool), 1)
-        strong = (alike >= STRONG) & upper
-        # Each member hangs on the first member that it strongly resembles; roots follow that to its end.
-        has = strong.any(axis=1)
-        lead = np.where(has, strong.argmax(axis=1), np.arange(size))
+        apart = comp[:, :, None] != comp[:, None, :]
+        joined = (~apart | (alike >= STRONG)) & upper
+        # Each member hangs on the first member that it is joined with; roots follow that to its end.
+        has = joined.any(axis=1)
+        lead = np.where(has, joined.argmax(axis=1), np.arange(size))
         root = lead
         for _ in range(max(1, size.bit_length())):
             root = np.take_along_axis(root, root, axis=1)
         g, j = np.nonzero(has)
-        out_a.append(ids[at[g, lead[g, j]]])
-        out_b.append(ids[at[g, j]])
-        shares.append(alike[g, lead[g, j], j])
-        g, i, j = np.nonzero((alike >= weak) & upper & (root[:, :, None] != root[:, None, :]))
+        i = lead[g, j]
+        new = apart[g, i, j]
+        g, i, j = g[new], i[new], j[new]
+        seen = (root[:, :, None] == root[:, None, :]) & ~(free[:, :, None] | free[:, None, :])
+        g2, i2, j2 = np.nonzero((alike >= weak) & upper & apart & ~seen)
+        g, i, j = np.concatenate([g, g2]), np.concatenate([i, i2]), np.concatenate([j, j2])
         out_a.append(ids[at[g, i]])
         out_b.append(ids[at[g, j]])
         shares.append(alike[g, i, j])
@@ -226,10 +255,11 @@ class _Leaders:
 
     def __init__(self, similarity: float, most: int | None):
         self.weak, self.likely, self.most = similarity - WEAK_BELOW, similarity + LIKELY_ABOVE, most
-        self.ids, self.sigs = np.empty(0, np.int64), np.empty((0, COORDINATES), np.uint8)
+        self.ids, self.comps, self.sigs = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, COORDINATES), np.uint8)
 
-    def add(self, ids: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def add(self, members: Members) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Candidate pairs, their equal minwise values, and the places of the members that no leader settles, leaders among them."""
+        _, ids, comps, loose, sigs = members
         out_a, out_b, shares, led = [], [], [], []
         todo, likely = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         done = 0
@@ -237,17 +267,17 @@ class _Leaders:
             for k in range(done, len(self.ids)):
                 alike = (sigs[todo] == self.sigs[k]).mean(axis=1)
                 # Members that branch meet the later leaders again, which branch as well.
-                near = alike >= (self.weak if self.most is None or k < LIKELY_LEADERS else self.likely)
+                near = (alike >= (self.weak if self.most is None or k < LIKELY_LEADERS else self.likely)) & (comps[todo] != self.comps[k])
                 hit = todo[near]
                 out_a.append(np.full(len(hit), self.ids[k]))
                 out_b.append(ids[hit])
                 shares.append(alike[near])
                 likely[todo] += alike >= self.likely
-                todo = todo[(alike < STRONG) & (likely[todo] < LIKELY_LEADERS)]
+                todo = todo[loose[todo] | ((alike < STRONG) & (likely[todo] < LIKELY_LEADERS))]
             done = len(self.ids)
             if not len(todo) or done == self.most:
                 break
-            self.ids, self.sigs = np.append(self.ids, ids[todo[0]]), np.vstack([self.sigs, sigs[todo[:1]]])
+            self.ids, self.comps, self.sigs = np.append(self.ids, ids[todo[0]]), np.append(self.comps, comps[todo[0]]), np.vstack([self.sigs, sigs[todo[:1]]])
             led.append(int(todo[0]))
             todo = todo[1:]
         left = np.concatenate([np.array(led, np.int64), todo])
@@ -258,16 +288,16 @@ def _level(similarity: float, last: bool):
     """One level of all trees, over rows sorted by node: candidate pairs and the rows of the next level."""
     weak = similarity - WEAK_BELOW
 
-    def large(keys, ids, sigs, leaders):
+    def large(members, leaders):
         if leaders is not None:
-            a, b, alike, left = leaders.add(ids, sigs)
-            yield _node_batch(_PAIR, alike, a, b, None)
+            a, b, alike, left = leaders.add(members)
+            yield _pair_batch(a, b, alike)
             if last:
                 return
-            keys, ids, sigs = keys[left], ids[left], sigs[left]
-        if len(ids):
-            child, row = _children(keys, sigs, similarity)
-            yield _node_batch(_CHILD, child, ids[row], ids[row], sigs[row])
+            members = _of(members, left)
+        if len(members[1]):
+            child, row = _children(members[0], members[4], similarity)
+            yield _node_batch((child, *_of(members[1:], row)))
 
     def dense(sigs):
         return (sigs == sigs[0]).mean(axis=1).mean() >= similarity
@@ -275,53 +305,57 @@ def _level(similarity: float, last: bool):
     def verdict(sigs):
         return _Leaders(similarity, None if last else LEADERS) if last or dense(sigs) else None
 
+    def read(batch) -> Members:
+        keys, ids, comps = (batch.column(i).to_numpy() for i in range(3))
+        loose = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+        return keys.astype(np.uint64), ids, comps, loose, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, COORDINATES), np.uint8))
+        held: Members | None = None
         streaming: tuple | None = None  # the node under way that is too large to hold, and its leaders
         for batch, more in _followed(batches):
-            keys = batch.column(0).to_numpy().astype(np.uint64)
-            ids = batch.column(1).to_numpy()
-            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            members = read(batch)
             if streaming is not None:
+                keys = members[0]
                 n = int(np.searchsorted(keys != streaming[0], True)) if keys[0] == streaming[0] else 0
                 if n:
-                    yield from large(keys[:n], ids[:n], sigs[:n], streaming[1])
-                keys, ids, sigs = keys[n:], ids[n:], sigs[n:]
-                if not len(keys):
+                    yield from large(_of(members, slice(0, n)), streaming[1])
+                members = _of(members, slice(n, None))
+                if not len(members[0]):
                     continue
                 streaming = None
-            keys, ids, sigs = (np.concatenate(x) for x in zip(held, (keys, ids, sigs), strict=True))
-            held = (keys[:0], ids[:0], sigs[:0])
+            if held is not None:
+                members = tuple(np.concatenate(x) for x in zip(held, members, strict=True))
+                held = None
+            keys, sigs = members[0], members[4]
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(keys)]]))
             if more:  # the last node may go on in the next batch
                 s, n = int(starts[-1]), int(sizes[-1])
                 if n < PROBE:
-                    held = (keys[s:], ids[s:], sigs[s:])
-                    starts, sizes = starts[:-1], sizes[:-1]
+                    held = _of(members, slice(s, None))
                 else:
                     streaming = (keys[s], verdict(sigs[s : s + PROBE]))
-                    yield from large(keys[s:], ids[s:], sigs[s:], streaming[1])
-                    starts, sizes = starts[:-1], sizes[:-1]
+                    yield from large(_of(members, slice(s, None)), streaming[1])
+                starts, sizes = starts[:-1], sizes[:-1]
             whole = sizes <= SMALL
             for i in np.flatnonzero((sizes > SMALL) & (sizes <= FULL)).tolist():
                 whole[i] = last or dense(sigs[starts[i] : starts[i] + sizes[i]])
             for size in range(2, FULL + 1):
                 at = starts[whole & (sizes == size)]
                 if len(at):
-                    a, b, alike = _small_pairs(ids, sigs, at, size, weak)
+                    a, b, alike = _small_pairs(members, at, size, weak)
                     if len(a):
-                        yield _node_batch(_PAIR, alike, a, b, None)
+                        yield _pair_batch(a, b, alike)
             branch = []
             for s, n in zip(starts[~whole].tolist(), sizes[~whole].tolist(), strict=True):
                 leaders = verdict(sigs[s : s + min(n, PROBE)])
                 if leaders is None:
                     branch.append(np.arange(s, s + n))
                 else:
-                    yield from large(keys[s : s + n], ids[s : s + n], sigs[s : s + n], leaders)
+                    yield from large(_of(members, slice(s, s + n)), leaders)
             if branch:
-                at = np.concatenate(branch)
-                yield from large(keys[at], ids[at], sigs[at], None)
+                yield from large(_of(members, np.concatenate(branch)), None)
 
     return run
 
@@ -339,38 +373,68 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def candidates(classes: DataFrame, similarity: float, trees: range) -> DataFrame:
-    """Candidate pairs (a < b) of classes (id, sig) by the trees of these numbers, each once with its number of equal minwise values (alike)."""
+    """Candidate pairs (a < b) of classes (id, comp, loose, sig) in different components by the trees of these numbers, each once
+    with its number of equal minwise values (alike)."""
     total = classes.count()
     depth = max(1, math.ceil(math.log(max(total, 2) / SMALL, 256))) if total > SMALL else 1
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = _mixed((np.array(trees, np.uint64) + np.uint64(1)) * _MIX2)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            ids, comps, loose = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            sigs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
             for root in roots:
                 rows, keys = np.arange(len(ids)), np.full(len(ids), root)
                 for _ in range(depth):
                     keys, row = _children(keys, sigs[rows], similarity)
                     rows = rows[row]
-                yield _node_batch(_CHILD, keys, ids[rows], ids[rows], sigs[rows])
+                yield _node_batch((keys, ids[rows], comps[rows], loose[rows], sigs[rows]))
 
-    level = classes.select("id", "sig").mapInArrow(seed, _NODE)
+    level = classes.select("id", "comp", "loose", "sig").mapInArrow(seed, _NODE)
     pairs = None
+    node = Window.partitionBy("key")
     while True:
         last = depth >= MAX_DEPTH
-        nodes = level.where(F.col("kind") == _CHILD).select("key", "a", "sig")
+        # Nodes of one component, those of one class among them, have nothing to join.
+        nodes = level.where("other IS NULL").select("key", "id", "comp", "loose", "sig").repartition("key")
+        open_ = nodes.withColumn("lo", F.min("comp").over(node)).withColumn("hi", F.max("comp").over(node)).where("lo < hi").drop("lo", "hi")
         # The order inside a node differs from node to node, so that leaders do.
-        ordered = nodes.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "a"))
+        ordered = open_.sortWithinPartitions("key", F.xxhash64("key", "id"))
         level = durable(ordered.mapInArrow(_level(similarity, last), _NODE))
-        found = level.where(F.col("kind") == _PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("key").alias("alike"))
+        found = level.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "alike")
         pairs = found if pairs is None else pairs.unionByName(found)
-        if last or level.where(F.col("kind") == _CHILD).isEmpty():
+        if last or level.where("other IS NULL").isEmpty():
             break
         depth += 1
     return pairs.where("a <> b").distinct()
 
 
+def all_apart(classes: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
+    """Candidate pairs (a < b, alike) of all classes (id, comp, sig) in different components, compared in cells of two blocks."""
+    weak = round((similarity - WEAK_BELOW) * COORDINATES)
+    parts = max(1, math.ceil(classes.count() / (block or BLOCK)))
+
+    def cell(table: pa.Table) -> pa.Table:
+        ids, comps, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        left = np.flatnonzero(side == 0)
+        right = left if table.column("ga")[0] == table.column("gb")[0] else np.flatnonzero(side == 1)
+        out = [np.empty((0, 3), np.int64)]
+        for s in range(0, len(left), 64):
+            rows = left[s : s + 64]
+            alike = (sigs[rows][:, None, :] == sigs[right][None, :, :]).sum(axis=2)
+            i, j = np.nonzero((alike >= weak) & (comps[rows][:, None] != comps[right][None, :]))
+            a, b = ids[rows[i]], ids[right[j]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), alike[i, j]], axis=1))
+        found = np.concatenate(out)
+        return pa.table({"a": found[:, 0], "b": found[:, 1], "alike": found[:, 2]})
+
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts))
+    dealt = classes.select("id", "comp", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("with"))
+    cells = dealt.select("id", "comp", "sig", F.least("own", "with").alias("ga"), F.greatest("own", "with").alias("gb"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"))
+    return cells.groupBy("ga", "gb").applyInArrow(cell, "a bigint, b bigint, alike bigint").distinct()
+
+
 def audited_pairs(classes: DataFrame, audited: int = AUDITED) -> DataFrame:
     """Pairs a, b of up to ``audited`` classes (those that hash lowest) with PARTNERS classes each at most, those that hash
     lowest among all classes with ALIKE equal minwise values."""
@@ -472,7 +536,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, similarity: float,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, trees: int = TREES) -> DataFrame:
-    """One row per document: ``id_col``, n_shingles, component_id (the smallest identifier that links reach) and kept.
+    """One row per document: ``id_col``, n_shingles, component_id (the smallest identifier that links reach), kept and audited_recall
+    (the share of the audited links that the trees joined, the same on every row; 1 where there were none).
 
     - Words are runs of anything but ASCII white space, with A-Z lower-cased; a text
       of fewer than ``width`` words is one shingle.
@@ -484,7 +549,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = durable(features(docs, width, id_col, text_col))
     classes = durable(own.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    links = durable(_links(docs, classes, width, similarity, id_col, text_col, trees))
+    links, recall = _links(docs, classes, width, similarity, id_col, text_col, trees)
     # A row's identifier is linked with that of its class, which its text makes it equal to.
     same = own.where("n > 0").join(classes.select("print", F.col("id").alias("rep")), "print")
     repeated = same.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) if _ids_repeat(own) else None
@@ -493,48 +558,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = own.join(member, "print", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     return found.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"), F.lit(recall).alias("audited_recall"),
     )
 
 
-def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str, trees: int) -> DataFrame:
-    """Confirmed pairs of classes (a, b) that join what is similar enough."""
+def _waves(trees: int) -> list[range]:
+    edges = sorted({0, trees, *[min(trees, sum(WAVES[: k + 1])) for k in range(len(WAVES))]})
+    return [range(a, b) for a, b in itertools.pairwise(edges)]
+
+
+def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str, trees: int) -> tuple[DataFrame, float]:
+    """Confirmed pairs of classes (a, b) that join what is similar enough, and the share of the audited links that trees joined."""
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return confirmed(docs, pairs.select("a", "b"), width, similarity, id_col, text_col)
 
-    def join(pairs: DataFrame, links: DataFrame, share: int) -> DataFrame:
-        """The links, and as many of the pairs as join, once confirmed, all that confirming every one of them would join."""
-        pairs = durable(pairs)
-        while not pairs.isEmpty():
-            pairs = durable(_ends(pairs, durable(connected_components(links))).where(_apart()).select("a", "b", "alike"))
-            if pairs.count() > few:
-                pairs = durable(possible(docs, pairs, width, similarity, id_col, text_col))
-            if pairs.isEmpty():
-                break
-            now = durable(_picked(pairs, similarity, few, share))
-            links = durable(links.unionByName(confirm(now)))
-            pairs = durable(pairs.join(now, ["a", "b"], "left_anti"))
+    def join(pairs: DataFrame, links: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+        """The links with as many of the pairs as join, once confirmed, all that confirming every one of them would join; and the components."""
+        parts = written(connected_components(links))
+        while True:
+            pairs = written(_ends(pairs, parts).where(_apart()).select("a", "b", "alike"))
+            n = pairs.count()
+            if n > few:
+                pairs = written(possible(docs, pairs, width, similarity, id_col, text_col))
+                n = pairs.count()
+            if not n:
+                return links, parts
+            now = written(_picked(pairs, similarity, few, share))
+            links = written(links.unionByName(confirm(now)))
+            parts = written(connected_components(links))
+            pairs = pairs.join(now, ["a", "b"], "left_anti")
             share *= 4
-        return links
 
     few = classes.count()
-    audited = durable(audited_pairs(classes))
-    pairs = durable(candidates(classes, similarity, range(trees)))
-    first = durable(_picked(pairs, similarity, few, 1))
-    checked = durable(confirm(first.select("a", "b").unionByName(audited).distinct()))
-    true = checked.join(audited, ["a", "b"], "left_semi")
-    links = durable(checked.join(pairs, ["a", "b"], "left_semi"))
-    links = join(pairs.join(first, ["a", "b"], "left_anti"), links, 4)
-    while trees < MOST_TREES:
-        joined = _ends(true, durable(connected_components(links))).agg(F.avg((~_apart()).cast("double"))).first()[0]
-        if joined is None or joined >= RECALL:
-            break
-        more = candidates(classes, similarity, range(trees, trees + MORE_TREES))
-        links = join(more.join(pairs, ["a", "b"], "left_anti"), links, 1)
+    audited = written(audited_pairs(classes))
+    plain = classes.select("id", "sig", F.col("id").alias("comp"), F.lit(False).alias("loose"))
+    links = parts = failed = true = None
+
+    def wave(found: DataFrame) -> None:
+        """Joins by the candidates that no wave has tried; those that stay apart are no links."""
+        nonlocal links, parts, failed, true
+        pairs = written(found if failed is None else found.join(failed, ["a", "b"], "left_anti"))
+        if true is None:  # the audit's pairs are confirmed in the same scan
+            first = durable(_picked(pairs, similarity, few, 1))
+            checked = durable(confirm(first.select("a", "b").unionByName(audited).distinct()))
+            true = written(checked.join(audited, ["a", "b"], "left_semi"))
+            links = written(checked.join(pairs, ["a", "b"], "left_semi"))
+            links, parts = join(pairs.join(first, ["a", "b"], "left_anti"), links, 4)
+        else:
+            links, parts = join(pairs, links, 1)
+        still = written(_ends(pairs, parts).where(_apart()).select("a", "b", "alike"))
+        failed = still if failed is None else failed.unionByName(still)
+
+    def labelled() -> DataFrame:
+        """The classes with the component that they are in, loose where a strong resemblance was wrong."""
+        if parts is None:
+            return plain
+        wrong = failed.where(F.col("alike") >= math.ceil(STRONG * COORDINATES)).select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("_wrong", F.lit(True))
+        known = classes.select("id", "sig").join(parts, "id", "left").join(wrong, "id", "left")
+        return written(known.select("id", "sig", F.coalesce("component", "id").alias("comp"), F.coalesce("_wrong", F.lit(False)).alias("loose")))
+
+    def recall() -> float:
+        """The mean over the classes that the audit found links of."""
+        joined = _ends(true, parts).select(F.explode(F.array("a", "b")).alias("id"), (~_apart()).cast("double").alias("joined"))
+        found = joined.groupBy("id").agg(F.avg("joined").alias("joined")).agg(F.avg("joined")).first()[0]
+        return 1.0 if found is None else found
+
+    for some in _waves(trees):
+        wave(candidates(labelled(), similarity, some))
+    while (share := recall()) < RECALL and trees < MOST_TREES:
+        wave(candidates(labelled(), similarity, range(trees, trees + MORE_TREES)))
         trees += MORE_TREES
+    if share < LEAST_RECALL:
+        wave(all_apart(labelled(), similarity))
     # What the audit found counts too.
-    return links.unionByName(true).distinct()
+    return written(links.unionByName(true).distinct()), share
 
 
 def _picked(pairs: DataFrame, similarity: float, few: int, share: int) -> DataFrame:

