@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -418,7 +419,20 @@ def test_language_query(spark, sf_dir, documents):
     held = [r for r in got if r["held_out"]]
     assert len(got) == len(documents) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
     assert np.mean([r["lang_pred"] == want[r["doc_id"]] for r in held]) > 0.95 and np.mean([r["rejected"] for r in got]) < 0.1
-    assert all((r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", documents[r["doc_id"]])) for r in got)
+    assert all((r["lang_pred"] == "und") == (not _has_letter(documents[r["doc_id"]])) for r in got)
+
+
+def _has_letter(text: str) -> bool:
+    return any(unicodedata.category(c)[0] == "L" for c in text)
+
+
+def test_numbers_and_signs_are_no_letters(spark, sf_dir):
+    models = language_id.fit(queries.table(spark, sf_dir, "documents"), queries.fold() != 1)
+    texts = ["½ ² ① Ⅷ", "١٢٣ 12_3", "\u0301\u0301", "☃ — 😀", "a½", "नमस्ते", "_ª_", "Ⅷa"]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), models).collect()
+    assert {r["doc_id"]: r["lang_pred"] != "und" for r in got} == {i: _has_letter(t) for i, t in enumerate(texts)}
+    assert all(r["score"] == 0 for r in got if r["lang_pred"] == "und")
+    assert language_id._words_of("नमस्ते Été x1y½z") == ["नमस्ते", "été", "x", "y", "z"]
 
 
 def test_language_on_held_out_documents(spark, sf_dir, odd, none):
