@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions import patterns as P
@@ -13,7 +13,7 @@ from jobweave.plans.board_queries import AS_OF, LIVE, NOW, SAVES, URGENCY, _save
 from jobweave.plans.registry import query
 from jobweave.plans.tables import base, load, oracle
 from jobweave.plans.text_queries import ACCESS, collapsed, hits
-from jobweave.sources import payloads
+from jobweave.sources import boards, payloads
 from jobweave.streaming import jobs
 
 GATE = f"({hits(collapsed('title'), P.INTERN)} AND NOT {hits(collapsed('title'), P.STAFF)})"
@@ -78,6 +78,51 @@ def payload_feeds(spark, sf_dir):
     return reduce(DataFrame.unionByName, map(_shown, (greenhouse, lever, reliefweb, workday, smartrecruiters, oracle_hcm, inspira)))
 
 
+BOARD, ARCHIVE = "https://www.ethiongojobs.com", "https://ethdefenders.org"
+
+
+@query("board_pages", oracle(f"""
+WITH s AS (SELECT id, CAST(id AS VARCHAR) AS sid, {collapsed('title')} AS title, {GATE} AS gate, {hits(collapsed('title'), P.ROUNDUP)} AS many FROM postings)
+SELECT 'ethiongojobs' AS source, '{BOARD}/post/' || sid AS source_url, sid AS source_id, title, 'Org ' || id % 9 AS org_name, CASE WHEN id % 4 = 0 THEN 'Addis Ababa' END AS location,
+  id % 5 = 0 AS is_remote, CASE WHEN id % 2 = 0 THEN 'https://forms.gle/' || sid END AS apply_url, '2025-03-01' AS posted FROM s WHERE id % 3 = 0 AND gate AND NOT many
+UNION ALL SELECT 'undp', 'https://jobs.example.org/job/' || sid, sid, title, 'United Nations Development Programme (UNDP)', CASE WHEN id % 2 = 0 THEN 'Addis Ababa, Ethiopia' ELSE 'Home office' END, false, NULL, NULL
+  FROM s WHERE id % 3 = 1 AND (gate OR id % 5 = 0) AND (id % 2 = 0 OR id % 7 = 0)
+UNION ALL SELECT 'ehrdc', '{ARCHIVE}/?p=' || sid, sid, title, 'Ethiopian Human Rights Defenders Center', CASE WHEN id % 4 = 0 THEN 'Mekelle' ELSE 'Addis Ababa, Ethiopia' END, false, NULL, NULL FROM s WHERE id % 3 = 2 AND gate""", "postings"))
+def board_pages(spark, sf_dir):
+    """List pages of twenty entries each, and the pages that these lead to, as three boards write them: with attributes without quotes,
+    entries in comments, entries told twice, and texts of other posts inside."""
+    rows = load(spark, sf_dir, "postings").select("id", F.col("id").cast("string").alias("sid"), F.replace("title", F.lit("&"), F.lit("&amp;")).alias("t"))
+    k, t, sid = F.col("id"), F.col("t"), F.col("sid")
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+    def lists(part: DataFrame, entry: Column) -> DataFrame:
+        pages = part.groupBy(F.floor(k / 60).alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("items"))
+        return pages.select("page_id", F.lit("https://list.example.org/").alias("url"), say("<html><body><ul>", F.col("items"), "</ul></body></html>").alias("html"))
+
+    mine = [rows.where(k % 3 == i) for i in range(3)]
+    card = say("<li class='post-item tie post-", sid, "'><!-- <h2 class=post-title><a href=/no>No</a></h2> --><h2 class=post-title><a href=/post/", sid, " title='Intern'>", t, "</a></h2><p class=post-excerpt>Read</p></li>")
+    body = say(
+        '<script>{"datePublished":"2025-03-01T00:00:00Z"}</script><h1>Menu</h1><h1 class="entry-title post-title">', t, '</h1><div class="entry entry-content"><p>Organization: Org ', (k % 9).cast("string"), "</p>",
+        F.when(k % 4 == 0, "<p>Location: Addis Ababa</p>").otherwise(""), '<div class="x related-posts-box"><p>Location: Nowhere</p><p>Remote</p></div><p>We host interns', F.when(k % 5 == 0, ", home-based").otherwise(""), ".</p>",
+        F.when(k % 2 == 0, say('<div><a href="https://forms.gle/', sid, '"><b>Click here</b> to apply</a></div>')).otherwise(""), "</div>",
+    )
+    cards = boards.card_listings(lists(mine[0], say(card, card)), mine[0].select(say(BOARD, "/post/", sid).alias("url"), body.alias("html")))
+    cell = lambda name, value: say(
+        '<div class=vacanciesTable__cell><div class="vacanciesTable__cell__label">', name, "</div><span>", value, "</span></div>")
+    row = say(
+        "<a class='vacanciesTable__row", F.when(k % 7 == 0, " country_ETH").otherwise(""), "' href='https://jobs.example.org/job/", sid, "'>", cell("Job Title", t), cell("Post level", F.when(k % 5 == 0, "IN").otherwise("NPSA-7")),
+        cell("Location", F.when(k % 2 == 0, "Addis Ababa, Ethiopia").otherwise("Home office")), cell("Apply by", F.lit("Mar-09-25")), "</a>",
+    )
+    none = F.lit(None).cast("string")
+    item = F.struct(sid.alias("Id"), none.alias("Title"), F.lit("Tasks").alias("ExternalDescriptionStr"), none.alias("PrimaryLocation"), none.alias("ExternalPostedStartDate"), none.alias("ExternalPostedEndDate"))
+    vacancies = boards.vacancy_listings(lists(mine[1], row), mine[1].select(F.array(item).alias("items")))
+    post = say("<article><header><h2 class='entry-title'><a href='/?p=", sid, "'> ", t, "\n</a></h2></header><a href='/?p=0'>More</a></article>")
+    told = say("<h1>", t, "</h1><div class=entry-content><nav class='post-navigation'>Location: Adama.</nav>", F.when(k % 4 == 0, "Location: Mekelle; now. ").otherwise("At the office. "), "Apply.</div>")
+    posts = boards.archive_listings(lists(mine[2], post), mine[2].select(say(ARCHIVE, "/?p=", sid).alias("url"), told.alias("html")))
+    every = reduce(DataFrame.unionByName, (cards, vacancies, posts))
+    return every.select("source", "source_url", "source_id", "title", "org_name", "location", "is_remote", "apply_url", F.date_format("posted_at", "yyyy-MM-dd").alias("posted"))
+
+
 @query("log_errors", "SELECT event_id, regexp_matches(concat(event_type, ' of ', user_id, CASE WHEN event_id % 3 = 0 THEN ' failed' ELSE '' END), '(?i)error|failed|exception|fatal') AS is_error FROM events")
 def log_errors(spark, sf_dir):
     line = F.concat("event_type", F.lit(" of "), F.col("user_id").cast("string"), F.when(F.col("event_id") % 3 == 0, " failed").otherwise(""))

@@ -185,19 +185,25 @@ def _inner(node: _Node) -> str:
     return "".join(parts)
 
 
-def densest(html: str | None) -> str | None:
-    """Markup inside the content container with most text, the first of each kind counted, chrome removed; the body if none is dense; null without text."""
-    if html is None:
-        return None
-    root = parse(html)
+def content(root: _Node) -> tuple[str, str | None]:
+    """Title and markup of a page's content, from a tree that loses its chrome: the first heading, else the announced title;
+    the container with most text, the first of each kind counted, or the body if none is dense; no markup without text."""
     _strip_chrome(root)
     size = lambda n: len(" ".join(n.text().split()))
     nodes = list(root.walk())
+    heading = next((n for n in nodes if n.tag == "h1"), None)
+    said = next((n.attrs.get("content", "") for n in nodes if n.tag == "meta" and n.attrs.get("property") == "og:title"), "")
+    title = (" ".join(heading.text().split()) if heading else "") or " ".join(said.split())
     first = [next((n for n in nodes if _is(n, by, value)), None) for by, value in CONTENT]
     best = max((n for n in first if n is not None), key=size, default=None)
     if best is None or size(best) < DENSE:
         best = next((n for n in nodes if n.tag == "body"), root)
-    return _inner(best) if size(best) else None
+    return title, _inner(best) if size(best) else None
+
+
+def densest(html: str | None) -> str | None:
+    """Markup of a page's content, see content()."""
+    return None if html is None else content(parse(html))[1]
 
 
 def clean(pages: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from jobweave.functions import patterns as P
 from jobweave.functions import urls
 from jobweave.functions.text import (
-    collapse, decode_entities, detect_paid, extract_stipend, filled, find_deadline, html_to_text, matches, once, parse_deadline, top_meta, without,
+    collapse, decode_entities, detect_paid, extract_stipend, find_deadline, html_to_text, matches, parse_deadline, top_meta,
 )
 from jobweave.operators.gates import is_internship
 from jobweave.sources.normalize import register
+from jobweave.sources.reading import read_pages
 
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'<>]*)[\"'][^>]*>(.*?)</a\s*>"
 # Texts, hosts and paths of application links, with their points.
@@ -105,37 +106,21 @@ def external_urls(pages: DataFrame) -> DataFrame:
     return named.unionByName(best).select("page_id", urls.canonical(F.col("u")).alias("url"))
 
 
-#: Elements around a page's content.
-CHROME = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form")
-
-
-def title_of(html: Column) -> Column:
-    """The first heading, else the title that the page announces."""
-    h1 = collapse(decode_entities(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), r"<[^>]*>", " ")))
-    og = collapse(F.regexp_extract(html, r"(?is)<meta\b[^>]*property\s*=\s*[\"']og:title[\"'][^>]*content\s*=\s*[\"']([^\"']*)", 1))
-    title = collapse(decode_entities(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
-    return F.coalesce(filled(h1), filled(og), filled(title))
-
-
-def container(html: Column) -> Column:
-    """The page's article or main part without its chrome, else its body."""
-    bare = without(html, CHROME)
-    part = lambda tag: F.regexp_extract(bare, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1)
-    return F.coalesce(filled(part("article")), filled(part("main")), filled(part("body")), bare)
-
-
 @register("generic-html", lambda url: urls.kind_of(url) == "generic-html")
 def pages_to_listings(pages: DataFrame, gate: bool = True, least: int = 100) -> DataFrame:
-    """Pages as listings: title, place, pay, deadline and text; interstitials, pages with short texts and, with ``gate``, other titles go."""
-    rows = interstitials(pages).where("NOT challenge").select("page_id", "url", title_of(F.col("html")).alias("title"), once(container(F.col("html")), html_to_text).alias("text"))
+    """Pages as listings: title, place, pay, deadline, text and markup of their content; interstitials, pages with short texts or
+    without a title and, with ``gate``, other titles go.  Each page is parsed once."""
+    read = read_pages(interstitials(pages).where("NOT challenge").select("page_id", "url", "html"), "content")
+    rows = read.where("content.title <> '' AND content.html IS NOT NULL").select("page_id", "url", F.col("content.title").alias("title"), F.col("content.cleaned").alias("html"), html_to_text(F.col("content.html")).alias("text"))
     if gate:
         rows = rows.where(is_internship(F.col("title")))
-    rows = rows.where((F.length("text") >= least) & (F.col("title") != "")).withColumn("m", top_meta(F.col("text")))
+    rows = rows.where(F.length("text") >= least).withColumn("m", top_meta(F.col("text")))
     place = F.coalesce("m.location", "m.duty_station", "m.work_location")
     remote = matches(F.lower("text"), r"\bremote\b|home-?based") | matches(place, "(?i)remote")
+    host = F.regexp_extract(F.lower("url"), r"^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     return rows.select(
         "page_id", F.concat(F.lit("generic:"), urls.host(F.col("url"))).alias("source"), F.col("url").alias("source_url"), "title", place.alias("location"),
-        F.coalesce("m.organization", urls.host(F.col("url"))).alias("org_name"), remote.alias("is_remote"), detect_paid(F.col("title"), F.col("text")).alias("is_paid"),
+        F.coalesce("m.organization", host).alias("org_name"), remote.alias("is_remote"), detect_paid(F.col("title"), F.col("text")).alias("is_paid"),
         extract_stipend(F.col("text")).alias("stipend_text"), F.coalesce(parse_deadline(F.col("m.deadline")), parse_deadline(F.col("m.closing_date")), find_deadline(F.col("text"))).alias("deadline"),
-        F.col("text").alias("description_text"),
+        F.col("html").alias("description_html"), F.col("text").alias("description_text"),
     )
