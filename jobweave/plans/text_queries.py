@@ -289,6 +289,13 @@ def _agents(spark, sf_dir):
     return base(spark, sf_dir, "events").withColumn("agent", agent)
 
 
+@query("clamped", """
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 60 THEN regexp_replace(t[1:59], '[ \\t\\n\\r\\f\\x0B]+$', '') || '…' ELSE t END AS line FROM d""")
+def clamped(spark, sf_dir):
+    return dealt(base(spark, sf_dir, "documents")).select("doc_id", text.clamp(F.coalesce("text", F.lit("")), 60).alias("line"))
+
+
 @query("bot_filter", "WITH a AS (SELECT event_id, user_id FROM events) SELECT event_id FROM a WHERE user_id % 6 IN (0, 4)")
 def bot_filter(spark, sf_dir):
     return _agents(spark, sf_dir).where(~gates.is_bot(F.col("agent"))).select("event_id")

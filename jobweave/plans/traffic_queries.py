@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.operators import traffic
+from jobweave.operators import sketches, traffic
 from jobweave.plans.registry import query
 from jobweave.plans.tables import EVENTS_AS_OF, load, oracle
 
@@ -29,6 +32,31 @@ def daily_traffic(spark, sf_dir):
     return _day(traffic.daily_traffic(_events(spark, sf_dir), EVENTS_AS_OF))
 
 
+@query("sketched_visitors", oracle(f"""
+WITH e AS (SELECT *, CAST({LOCAL} AS DATE) AS day FROM page_events), s AS (SELECT * FROM e WHERE day > DATE '2024-01-31' - 30 AND day <= DATE '2024-01-31'),
+p AS (SELECT 'all' AS dimension, '' AS value, visitor_hash FROM s WHERE type = 'pageview' UNION ALL SELECT 'ref', coalesce(ref, 'direct'), visitor_hash FROM s WHERE type = 'pageview'
+  UNION ALL SELECT 'device', coalesce(device, 'unknown'), visitor_hash FROM s WHERE type = 'pageview' UNION ALL SELECT 'country', country, visitor_hash FROM s WHERE type = 'pageview' AND country IS NOT NULL
+  UNION ALL SELECT 'step', 'visited', visitor_hash FROM s WHERE type = 'pageview' UNION ALL SELECT 'step', 'opened', visitor_hash FROM s WHERE type = 'listing_view' OR (type = 'pageview' AND listing_id IS NOT NULL)
+  UNION ALL SELECT 'step', 'applied', visitor_hash FROM s WHERE type = 'apply_click')
+SELECT dimension, value, count(*) AS views, count(DISTINCT visitor_hash) AS visitors, true AS within_error FROM p GROUP BY ALL"""))
+def sketched_visitors(spark, sf_dir):
+    """Views of 30 days from daily sketches, with the exact visitors beside and whether the estimate keeps its error; sketches of
+    even and odd events are stored apart and merged, as those of two days' batches would be."""
+    events = _events(spark, sf_dir)
+    stored = sketches.merge_days(sketches.daily_sketches(events.where("id % 2 = 0")), sketches.daily_sketches(events.where("id % 2 = 1")))
+    told = sketches.visitors_of(stored, EVENTS_AS_OF, 30)
+    last = F.to_date(F.from_utc_timestamp(traffic.moment(EVENTS_AS_OF), traffic.LOCAL_ZONE))
+    day = F.to_date(traffic.local("ts"))
+    view = F.col("type") == "pageview"
+    seen = events.where((day > F.date_sub(last, 30)) & (day <= last))
+    of = lambda rows, dimension, value: rows.groupBy(F.lit(dimension).alias("dimension"), value.cast("string").alias("value")).agg(F.count_distinct("visitor_hash").alias("exact"))
+    exact = [of(seen.where(view), "all", F.lit("")), of(seen.where(view), "ref", F.coalesce("ref", F.lit("direct"))), of(seen.where(view), "device", F.coalesce("device", F.lit("unknown"))),
+             of(seen.where(view & F.col("country").isNotNull()), "country", F.col("country")), of(seen.where(view), "step", F.lit("visited")), of(seen.where("type = 'apply_click'"), "step", F.lit("applied")),
+             of(seen.where((F.col("type") == "listing_view") | (view & F.col("listing_id").isNotNull())), "step", F.lit("opened"))]
+    both = told.join(reduce(DataFrame.unionByName, exact), ["dimension", "value"], "full_outer")
+    return both.select("dimension", "value", "views", F.col("exact").alias("visitors"), sketches.within_error(F.col("visitors"), F.col("exact")).alias("within_error"))
+
+
 @query("traffic_totals", oracle(f"""
 SELECT count(*) FILTER (type = 'pageview') AS views30, count(DISTINCT visitor_hash) FILTER (type = 'pageview') AS visitors30,
   count(*) FILTER (type = 'pageview' AND ts > {NOW} - INTERVAL 7 DAY) AS views7,

@@ -155,6 +155,37 @@ def clean_html(html: str | None, base: str = "") -> str | None:
     return "".join(out).strip()
 
 
+# Elements that a posting's display keeps, elements that it drops with all they hold, and addresses of links.
+SHOWN = frozenset("p br b strong i em u ul ol li h2 h3 h4 a blockquote span div".split())
+HIDDEN = frozenset("annotation-xml audio colgroup desc foreignobject head iframe math mi mn mo ms mtext noembed noframes noscript plaintext script style svg template thead title video xmp".split())
+SHOWN_LINK = re.compile(r"(?i)^(?:(?:(?:f|ht)tps?|mailto|tel|callto|sms|cid|xmpp|matrix):|[^a-z]|[a-z+.\-]+(?:[^a-z+.\-:]|$))")
+
+
+def _shown(node: _Node, out: list[str]) -> None:
+    for c in node.children:
+        if isinstance(c, str):
+            out.append(escape(c, quote=False))
+        elif c.tag in SHOWN:
+            href = c.attrs.get("href")
+            kept = f' href="{escape(href)}"' if href is not None and SHOWN_LINK.match(re.sub(r"[\x00-\x20]", "", href)) else ""
+            out.append(f"<{c.tag}{kept}" + (' target="_blank" rel="noopener noreferrer nofollow"' if c.tag == "a" else "") + ">")
+            if c.tag not in VOID:
+                _shown(c, out)
+                out.append(f"</{c.tag}>")
+        elif c.tag not in HIDDEN:
+            _shown(c, out)
+
+
+def display_html(html: str | None) -> str | None:
+    """Markup as a reader sees it: few elements, no attributes but web and mail addresses of links, which open apart; what
+    other elements hold stays, scripts and the like go."""
+    if html is None:
+        return None
+    out: list[str] = []
+    _shown(parse(html), out)
+    return "".join(out).strip()
+
+
 def _chrome(node: _Node) -> bool:
     css, own = node.attrs.get("class", ""), node.attrs.get("id", "")
     return (
@@ -217,6 +248,16 @@ def clean(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, schema)
 
 
+def display(rows: DataFrame, html: str = "html") -> DataFrame:
+    """The rows with the column ``html`` as a reader sees it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{html: [display_html(h) for h in b[html]]})
+
+    return rows.mapInPandas(run, rows.schema)
+
+
 def main_content(pages: DataFrame) -> DataFrame:
     """page_id and html of the main container of pages (page_id, html)."""
 

@@ -20,6 +20,7 @@ from jobweave.functions.text import (
 )
 from jobweave.operators.gates import access_decision, is_internship, is_roundup
 from jobweave.sources.normalize import listing, register
+from jobweave.sources.reading import read_pages
 
 
 #: Fields of each payload that are read; others are not loaded.
@@ -258,15 +259,17 @@ def successfactors(items: DataFrame, origin: str) -> DataFrame:
 
 @register("wordpress", lambda url: urls.kind_of(url) == "wordpress")
 def wordpress(posts: DataFrame) -> DataFrame:
-    """Posts whose title names an internship, without numbered roundups."""
+    """Posts whose title names an internship, without numbered roundups; blocks that link or share other posts are no part of the text."""
     title = collapse(decode_entities(F.col("title.rendered")))
     rows = _with_org(posts).withColumnRenamed("org_name", "_org").withColumn("_title", title).drop("title").where(is_internship(F.col("_title")) & ~matches(F.col("_title"), r"^\d+\+?\s") & F.col("link").isNotNull())
-    text = html_to_text(F.coalesce("content.rendered", F.lit("")))
-    rows = rows.withColumn("_text", text).where("_text <> ''").withColumn("m", top_meta(F.col("_text")))
+    read = read_pages(rows.select("id", "date", "_org", "_title", F.col("link").alias("url"), F.coalesce("content.rendered", F.lit("")).alias("html")), "blog")
+    rows = read.withColumn("_text", F.col("blog.text")).where("_text <> ''").withColumn("m", top_meta(F.col("_text")))
+    place = F.coalesce("m.location", "m.duty_station", "m.work_location")
     return _record(
-        rows, "wordpress", source=F.concat(F.lit("wordpress:"), urls.host(F.col("link"))), source_url=F.col("link"), source_id=F.col("id").cast("string"),
-        org_name=F.coalesce("m.organization", org_from_title(F.col("_title")), "_org", F.lit("Unknown")), title=F.col("_title"), location=F.coalesce("m.location", "m.duty_station", "m.work_location"),
-        description_html=F.col("content.rendered"), description_text=F.col("_text"), deadline=F.coalesce(parse_deadline(F.col("m.deadline")), parse_deadline(F.col("m.closing_date")), find_deadline(F.col("_text"))),
+        rows, "wordpress", source=F.concat(F.lit("wordpress:"), urls.host(F.col("url"))), source_url=F.col("url"), source_id=F.col("id").cast("string"),
+        org_name=F.coalesce("m.organization", org_from_title(F.col("_title")), "_org", F.lit("Unknown")), title=F.col("_title"), location=place,
+        is_remote=matches(F.lower("_text"), r"\bremote\b|home-?based") | matches(place, r"(?i)remote"),
+        description_html=F.col("blog.cleaned"), description_text=F.col("_text"), deadline=F.coalesce(parse_deadline(F.col("m.deadline")), parse_deadline(F.col("m.closing_date")), find_deadline(F.col("_text"))),
         posted_at=instant(F.col("date")), is_paid=detect_paid(F.col("_title"), F.col("_text")), stipend_text=extract_stipend(F.col("_text")),
     )
 

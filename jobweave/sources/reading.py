@@ -128,6 +128,16 @@ def _body(heading: Sequence[Sequence[Step]], where: Sequence[Sequence[Step]], no
     return read
 
 
+BLOG_NOISE = _gone("script style ins iframe", "", ("related", "share", "widget"))
+
+
+def _blog(root: _Node, url: str) -> dict:
+    _without(root, BLOG_NOISE)
+    markup = _inner(root)
+    cleaned = clean_html(markup, url) or ""
+    return {"title": None, "html": markup, "cleaned": cleaned, "text": _text(parse(cleaned))}
+
+
 def _content(root: _Node, url: str) -> dict:
     title, markup = content(root)
     return {"title": title, "html": markup, "cleaned": clean_html(markup, url), "text": None}
@@ -142,6 +152,7 @@ READERS: dict[str, tuple[Callable[[_Node, str], object], str]] = {
     "posts": (_posts, "array<struct<href string, title string>>"),
     "board_body": (_body([[("h1", ("post-title", "entry-title"))]], CARD_BODY, CARD_NOISE), _BODY),
     "post_body": (_body([[("h1", ())]], POST_BODY, POST_NOISE), _BODY),
+    "blog": (_blog, _BODY),
     "content": (_content, _BODY),
 }
 

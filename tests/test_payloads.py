@@ -92,9 +92,10 @@ def test_successfactors(spark, tmp_path):
 
 
 def test_wordpress(landed):
-    post = {"id": 5, "link": "https://blog.example.org/p", "date": "2026-01-01T00:00:00", "title": {"rendered": "Internship at Foo &amp; Bar"}, "content": {"rendered": "<p>Location: Addis Ababa</p><p>Deadline: May 4, 2026</p>"}}
+    post = {"id": 5, "link": "https://blog.example.org/p", "date": "2026-01-01T00:00:00", "title": {"rendered": "Internship at Foo &amp; Bar"}, "content": {"rendered": "<p>Location: Addis Ababa</p>\n<p>Deadline: May 4, 2026</p><div class=\"my-related-box\">Remote: other posts</div><ins>ad</ins>"}}
     (r,) = rows(payloads.wordpress(landed("wordpress", [post, dict(post, id=6, title={"rendered": "30 Jobs and Internships"}), dict(post, id=7, link=None)])))
     assert (r["org_name"], r["location"], str(r["deadline"])[:10]) == ("Foo & Bar", "Addis Ababa", "2026-05-04")
+    assert (r["description_text"], r["is_remote"]) == ("Location: Addis Ababa Deadline: May 4, 2026", False)
 
 
 def test_cards_and_vacancy_tables(spark, landed):
