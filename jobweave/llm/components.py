@@ -26,6 +26,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that a task of a small table holds.
+ROWS = 100_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows in as many tasks as ``rows`` narrow rows need: what follows a shuffle of few rows has few files to write."""
+    return df.coalesce(max(1, -(-rows // ROWS)))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, in no certain order: unlike a checkpoint, its plan knows nothing of what it came
     from, so loops over such tables plan as quickly in the last round as in the first."""
@@ -44,15 +53,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     self-links are ignored.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    n, before = edges.count(), None
+    few = lambda df: packed(df, 2 * n)
+    edges = few(edges)
+    while n:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = few(few(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         # Every edge now points from the larger end to the smaller one.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = durable(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        small = few(large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")))
+        edges = durable(few(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

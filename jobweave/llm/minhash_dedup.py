@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.llm.blocks import Words, filled, text_blocks
-from jobweave.llm.components import connected_components, durable, written
+from jobweave.llm.components import connected_components, durable, packed, written
 
 COORDINATES = 64
 TREES = 16
@@ -67,8 +67,8 @@ WEAK_BELOW = 0.2
 STRONG = 0.93
 #: A member is settled by one leader from STRONG on, or by so many from a similarity and LIKELY_ABOVE on.
 LIKELY_ABOVE, LIKELY_LEADERS = 0.05, 2
-#: Trees of the first waves; all others follow in one.
-WAVES = (2, 6)
+#: Trees of the first waves, and leaders of a node in the first one, which only joins what is large; all other trees follow in one wave.
+WAVES, FIRST_LEADERS = (2, 6), 2
 #: Classes whose links are audited, links of each at most, how many equal minwise values make a partner (six deviations below
 #: the threshold), the share of the links to be joined, trees added at a time and at most, and the share below which all are compared.
 AUDITED, PARTNERS, ALIKE, RECALL, MORE_TREES, MOST_TREES, LEAST_RECALL = 1000, 8, 32, 0.99, 8, 64, 0.9
@@ -284,7 +284,7 @@ class _Leaders:
         return np.concatenate([*out_a, self.ids[:0]]), np.concatenate([*out_b, self.ids[:0]]), np.rint(np.concatenate([*shares, np.empty(0)]) * COORDINATES), left
 
 
-def _level(similarity: float, last: bool):
+def _level(similarity: float, last: bool, most: int):
     """One level of all trees, over rows sorted by node: candidate pairs and the rows of the next level."""
     weak = similarity - WEAK_BELOW
 
@@ -303,7 +303,7 @@ def _level(similarity: float, last: bool):
         return (sigs == sigs[0]).mean(axis=1).mean() >= similarity
 
     def verdict(sigs):
-        return _Leaders(similarity, None if last else LEADERS) if last or dense(sigs) else None
+        return _Leaders(similarity, None if last else most) if last or dense(sigs) else None
 
     def read(batch) -> Members:
         keys, ids, comps = (batch.column(i).to_numpy() for i in range(3))
@@ -372,7 +372,7 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         yield ahead, False
 
 
-def candidates(classes: DataFrame, similarity: float, trees: range) -> DataFrame:
+def candidates(classes: DataFrame, similarity: float, trees: range, leaders: int = LEADERS) -> DataFrame:
     """Candidate pairs (a < b) of classes (id, comp, loose, sig) in different components by the trees of these numbers, each once
     with its number of equal minwise values (alike)."""
     total = classes.count()
@@ -391,7 +391,7 @@ def candidates(classes: DataFrame, similarity: float, trees: range) -> DataFrame
                 yield _node_batch((keys, ids[rows], comps[rows], loose[rows], sigs[rows]))
 
     level = classes.select("id", "comp", "loose", "sig").mapInArrow(seed, _NODE)
-    pairs = None
+    pairs, rows = None, 2 * total * len(trees)
     node = Window.partitionBy("key")
     while True:
         last = depth >= MAX_DEPTH
@@ -400,10 +400,11 @@ def candidates(classes: DataFrame, similarity: float, trees: range) -> DataFrame
         open_ = nodes.withColumn("lo", F.min("comp").over(node)).withColumn("hi", F.max("comp").over(node)).where("lo < hi").drop("lo", "hi")
         # The order inside a node differs from node to node, so that leaders do.
         ordered = open_.sortWithinPartitions("key", F.xxhash64("key", "id"))
-        level = durable(ordered.mapInArrow(_level(similarity, last), _NODE))
+        level = durable(packed(ordered.mapInArrow(_level(similarity, last, leaders), _NODE), 8 * rows))
         found = level.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "alike")
         pairs = found if pairs is None else pairs.unionByName(found)
-        if last or level.where("other IS NULL").isEmpty():
+        rows = level.where("other IS NULL").count()
+        if last or not rows:
             break
         depth += 1
     return pairs.where("a <> b").distinct()
@@ -549,11 +550,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = durable(features(docs, width, id_col, text_col))
     classes = durable(own.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    links, recall = _links(docs, classes, width, similarity, id_col, text_col, trees)
+    links, components, recall = _links(docs, classes, width, similarity, id_col, text_col, trees)
     # A row's identifier is linked with that of its class, which its text makes it equal to.
     same = own.where("n > 0").join(classes.select("print", F.col("id").alias("rep")), "print")
-    repeated = same.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) if _ids_repeat(own) else None
-    components = durable(connected_components(links if repeated is None else links.unionByName(repeated)))
+    if _ids_repeat(own):
+        repeated = same.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        components = written(connected_components(links.unionByName(repeated)))
     member = classes.join(components, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
     found = own.join(member, "print", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     return found.select(
@@ -567,26 +569,26 @@ def _waves(trees: int) -> list[range]:
     return [range(a, b) for a, b in itertools.pairwise(edges)]
 
 
-def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str, trees: int) -> tuple[DataFrame, float]:
-    """Confirmed pairs of classes (a, b) that join what is similar enough, and the share of the audited links that trees joined."""
+def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str, trees: int) -> tuple[DataFrame, DataFrame, float]:
+    """Confirmed pairs of classes (a, b) that join what is similar enough, the components that they make, and the share of the audited links that trees joined."""
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return confirmed(docs, pairs.select("a", "b"), width, similarity, id_col, text_col)
 
-    def join(pairs: DataFrame, links: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    def join(pairs: DataFrame, links: DataFrame, parts: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
         """The links with as many of the pairs as join, once confirmed, all that confirming every one of them would join; and the components."""
-        parts = written(connected_components(links))
+        n = pairs.count()
         while True:
-            pairs = written(_ends(pairs, parts).where(_apart()).select("a", "b", "alike"))
+            pairs = written(packed(_ends(pairs, parts, n).where(_apart()).select("a", "b", "alike"), n))
             n = pairs.count()
             if n > few:
-                pairs = written(possible(docs, pairs, width, similarity, id_col, text_col))
+                pairs = written(packed(possible(docs, pairs, width, similarity, id_col, text_col), n))
                 n = pairs.count()
             if not n:
                 return links, parts
-            now = written(_picked(pairs, similarity, few, share))
+            now = written(packed(_picked(pairs, similarity, few, share), min(n, few)))
             links = written(links.unionByName(confirm(now)))
-            parts = written(connected_components(links))
+            parts = written(packed(connected_components(links), 2 * few))
             pairs = pairs.join(now, ["a", "b"], "left_anti")
             share *= 4
 
@@ -598,16 +600,17 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, i
     def wave(found: DataFrame) -> None:
         """Joins by the candidates that no wave has tried; those that stay apart are no links."""
         nonlocal links, parts, failed, true
-        pairs = written(found if failed is None else found.join(failed, ["a", "b"], "left_anti"))
+        pairs = written(packed(found if failed is None else found.join(failed, ["a", "b"], "left_anti"), 2 * few))
         if true is None:  # the audit's pairs are confirmed in the same scan
-            first = durable(_picked(pairs, similarity, few, 1))
+            first = written(packed(_picked(pairs, similarity, few, 1), few))
             checked = durable(confirm(first.select("a", "b").unionByName(audited).distinct()))
             true = written(checked.join(audited, ["a", "b"], "left_semi"))
             links = written(checked.join(pairs, ["a", "b"], "left_semi"))
-            links, parts = join(pairs.join(first, ["a", "b"], "left_anti"), links, 4)
+            parts = written(packed(connected_components(links), 2 * few))
+            links, parts = join(pairs.join(first, ["a", "b"], "left_anti"), links, parts, 4)
         else:
-            links, parts = join(pairs, links, 1)
-        still = written(_ends(pairs, parts).where(_apart()).select("a", "b", "alike"))
+            links, parts = join(pairs, links, parts, 1)
+        still = written(packed(_ends(pairs, parts, few).where(_apart()).select("a", "b", "alike"), 2 * few))
         failed = still if failed is None else failed.unionByName(still)
 
     def labelled() -> DataFrame:
@@ -620,19 +623,22 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, i
 
     def recall() -> float:
         """The mean over the classes that the audit found links of."""
-        joined = _ends(true, parts).select(F.explode(F.array("a", "b")).alias("id"), (~_apart()).cast("double").alias("joined"))
+        joined = _ends(true, parts, few).select(F.explode(F.array("a", "b")).alias("id"), (~_apart()).cast("double").alias("joined"))
         found = joined.groupBy("id").agg(F.avg("joined").alias("joined")).agg(F.avg("joined")).first()[0]
         return 1.0 if found is None else found
 
     for some in _waves(trees):
-        wave(candidates(labelled(), similarity, some))
+        wave(candidates(labelled(), similarity, some, FIRST_LEADERS if not some.start and len(some) < trees else LEADERS))
     while (share := recall()) < RECALL and trees < MOST_TREES:
         wave(candidates(labelled(), similarity, range(trees, trees + MORE_TREES)))
         trees += MORE_TREES
     if share < LEAST_RECALL:
         wave(all_apart(labelled(), similarity))
     # What the audit found counts too.
-    return written(links.unionByName(true).distinct()), share
+    if not _ends(true, parts, few).where(_apart()).isEmpty():
+        links = written(links.unionByName(true).distinct())
+        parts = written(packed(connected_components(links), 2 * few))
+    return links, parts, share
 
 
 def _picked(pairs: DataFrame, similarity: float, few: int, share: int) -> DataFrame:
@@ -646,7 +652,7 @@ def _picked(pairs: DataFrame, similarity: float, few: int, share: int) -> DataFr
     best = ways.groupBy("x", F.pmod(F.xxhash64("x", "y"), F.lit(share)).alias("part")).agg(
         F.max_by("y", F.shiftleft(F.col("alike"), 48) + mixed).alias("most"), F.min_by("y", F.when(likely, mixed)).alias("low"))
     ends = best.select("x", F.explode(F.array("most", "low")).alias("y")).where("y IS NOT NULL")
-    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return packed(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), few).distinct()
 
 
 def _apart():
@@ -654,10 +660,10 @@ def _apart():
     return ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
 
 
-def _ends(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs with the components of their ends (ca, cb), null where nothing is linked."""
+def _ends(pairs: DataFrame, parts: DataFrame, rows: int) -> DataFrame:
+    """Pairs, about so many, with the components of their ends (ca, cb), null where nothing is linked."""
     of = lambda n: parts.select(F.col("id").alias(n), F.col("component").alias(f"c{n}"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return packed(pairs.join(of("a"), "a", "left"), rows).join(of("b"), "b", "left")
 
 
 def _ids_repeat(own: DataFrame) -> bool:

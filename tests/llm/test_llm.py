@@ -609,7 +609,7 @@ def test_wrongly_strong_members_are_loose_in_later_waves(spark, monkeypatch):
             texts[len(texts)] = " ".join(t)
     seen = []
     tried = minhash_dedup.candidates
-    monkeypatch.setattr(minhash_dedup, "candidates", lambda classes, similarity, trees: seen.append(classes.where("loose").count()) or tried(classes, similarity, trees))
+    monkeypatch.setattr(minhash_dedup, "candidates", lambda classes, *a: seen.append(classes.where("loose").count()) or tried(classes, *a))
     _, label = _near(texts, 1)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
     assert seen[0] == 0 and seen[-1] > 0
@@ -628,7 +628,7 @@ def test_all_are_compared_where_trees_find_too_few(spark, monkeypatch):
             texts[len(texts)] = " ".join(t)
     monkeypatch.setattr(minhash_dedup, "MOST_TREES", 1)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 50)
-    monkeypatch.setattr(minhash_dedup, "candidates", lambda classes, similarity, trees: spark.createDataFrame([], "a long, b long, alike long"))
+    monkeypatch.setattr(minhash_dedup, "candidates", lambda *_: spark.createDataFrame([], "a long, b long, alike long"))
     _, label = _near(texts, 1)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == label and {r["audited_recall"] for r in got} == {0.0}
@@ -641,8 +641,8 @@ def test_a_large_group_is_paired_in_the_first_wave_alone(spark, monkeypatch):
     sizes = []
     tried = minhash_dedup.candidates
 
-    def counted(classes, similarity, trees):
-        found = components.durable(tried(classes, similarity, trees))
+    def counted(*given):
+        found = components.durable(tried(*given))
         sizes.append(found.count())
         return found
 
@@ -664,7 +664,7 @@ def test_trees_are_added_until_the_audit_is_met(spark, monkeypatch):
             texts[len(texts)] = " ".join(t)
     used = []
     tried = minhash_dedup.candidates
-    monkeypatch.setattr(minhash_dedup, "candidates", lambda classes, similarity, trees: used.append(trees) or tried(classes, similarity, trees))
+    monkeypatch.setattr(minhash_dedup, "candidates", lambda *a: used.append(a[2]) or tried(*a))
     _, label = _near(texts, 1)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1, trees=1).collect()
     assert len(used) > 1 and used[0] == range(1) and used[1].start in (0, 1)
