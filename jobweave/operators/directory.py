@@ -37,8 +37,16 @@ def reach(orgs: DataFrame) -> DataFrame:
     return orgs.withColumn("reach", score)
 
 
+#: Names stand in the order of a reader's eyes: accents and case decide only between names that are equal without them.
+NAME_ORDER = "UNICODE"
+
+
+def by_name() -> Column:
+    return F.collate("name", NAME_ORDER)
+
+
 def best_first(orgs: DataFrame) -> DataFrame:
-    return orgs.orderBy(F.col("reach").desc(), "name", "slug")
+    return orgs.orderBy(F.col("reach").desc(), by_name(), "slug")
 
 
 def badges(orgs: DataFrame) -> DataFrame:
@@ -59,11 +67,11 @@ def summary(orgs: DataFrame) -> DataFrame:
     return rolled.withColumn("category", F.when(F.col("g") == 1, "all").otherwise(F.col("category"))).drop("g")
 
 
-def search(orgs: DataFrame, category: str | None = None, text: str | None = None, by_name: bool = False) -> DataFrame:
+def search(orgs: DataFrame, category: str | None = None, text: str | None = None, alphabetic: bool = False) -> DataFrame:
     out = orgs if category is None else orgs.where(F.col("category") == category)
     if text:
         out = out.where(F.contains(F.lower(F.concat_ws("\n", "name", "category", "region")), F.lit(text.strip().lower())))
-    return out.orderBy("name", "slug") if by_name else best_first(out)
+    return out.orderBy(by_name(), "slug") if alphabetic else best_first(out)
 
 
 def with_listings(orgs: DataFrame, listings: DataFrame, most: int = 25) -> DataFrame:

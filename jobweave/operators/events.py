@@ -80,17 +80,19 @@ def first_event_windows(events: DataFrame, key: str, ts: str, order: str, most:
 def ip_country(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """Addresses (ip as a number) with the country of the range (lo, hi, country; disjoint) that holds them, or null.
 
-    Range starts and addresses are merged in order within buckets of the number's high bits: each address takes
-    the last start at or before it, and keeps it if the range reaches that far.  A range that spans buckets
-    is entered in each; no address meets more than the starts of its bucket, whatever the size of either side.
+    Each different number is looked up once: range starts and numbers are merged in order within buckets of 2^16 numbers,
+    and each number takes the last start at or before it if that range reaches so far.  A range that spans buckets is
+    entered in each, so a bucket holds at most 2^16 numbers and as many starts, however many addresses it has; the
+    addresses then meet their numbers in an equal join, which splits what is asked very often.
     """
     bucket = lambda c: F.shiftright(c.cast("bigint"), 16)
     spread = ranges.select("lo", "hi", "country", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))).alias("b"))
-    starts = spread.select("b", F.greatest("lo", F.shiftleft("b", 16)).alias("at"), F.struct("hi", "country").alias("r"), F.lit(0).alias("side"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in addresses.schema.fields])
-    asked = addresses.select(bucket(F.col("ip")).alias("b"), F.col("ip").alias("at"), F.lit(None).cast(starts.schema["r"].dataType).alias("r"), F.lit(1).alias("side"), *addresses.columns)
+    starts = spread.select("b", F.greatest("lo", F.shiftleft("b", 16)).alias("at"), F.struct("hi", "country").alias("r"), F.lit(0).alias("side"))
+    numbers = addresses.select(F.col("ip").cast("bigint").alias("at")).where("at IS NOT NULL").distinct()
+    asked = numbers.select(bucket(F.col("at")).alias("b"), "at", F.lit(None).cast(starts.schema["r"].dataType).alias("r"), F.lit(1).alias("side"))
     latest = F.last("r", ignorenulls=True).over(Window.partitionBy("b").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    found = starts.unionByName(asked).withColumn("r", latest).where("side = 1")
-    return found.select(*addresses.columns, F.when(F.col("ip") <= F.col("r.hi"), F.col("r.country")).alias("country"))
+    found = starts.unionByName(asked).withColumn("r", latest).where("side = 1").select(F.col("at").alias("_at"), F.when(F.col("at") <= F.col("r.hi"), F.col("r.country")).alias("_country"))
+    return addresses.drop("country").join(found, F.col("ip").cast("bigint") == F.col("_at"), "left").drop("_at").withColumnRenamed("_country", "country")
 
 
 def visitor_hash(day: Column, ip: Column, agent: Column) -> Column:

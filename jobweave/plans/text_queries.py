@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobweave.config import EXCLUDE_TERMS, HIGH_SIGNAL_TERMS, INCLUDE_TERMS, TAG_TERMS
-from jobweave.functions import keywords, text, urls
+from jobweave.functions import keywords, lexicon, text, urls
 from jobweave.functions import patterns as P
 from jobweave.operators import classify, gates
 from jobweave.plans.registry import query
@@ -201,6 +201,18 @@ def keyword_hits(spark, sf_dir):
     return dealt(base(spark, sf_dir, "documents")).select("doc_id", F.array_join(keywords.matched(F.col("text"), COMMON), ",").alias("terms"))
 
 
+@query("lexicon_hits", """
+WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS term FROM benchmark),
+d AS (SELECT doc_id, concat(' ', regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', ' ', 'g'), ' ') AS t FROM documents),
+w AS (SELECT DISTINCT doc_id, unnest(string_split(t, ' ')) AS term FROM d), h AS (SELECT doc_id, string_agg(term, ',' ORDER BY term) AS terms FROM w SEMI JOIN l USING (term) GROUP BY doc_id)
+SELECT doc_id, coalesce(terms, '') AS terms FROM documents LEFT JOIN h USING (doc_id)""")
+def lexicon_hits(spark, sf_dir):
+    """The longer words of the benchmark's passages as a lexicon, over all documents."""
+    words = base(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("term"))
+    found = lexicon.matched(dealt(base(spark, sf_dir, "documents")).select("doc_id", "text"), words)
+    return found.select("doc_id", F.array_join("terms", ",").alias("terms"))
+
+
 @query("field_tags", oracle(f"SELECT id, array_to_string({sql_tags('lower(concat(title, chr(10), text))')}, ',') AS tags FROM postings"))
 def field_tags(spark, sf_dir):
     body = F.concat_ws("\n", "title", "text")
