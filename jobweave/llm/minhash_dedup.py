@@ -6,30 +6,24 @@ eight bits.  In each of ``TREES`` independent trees, a node chooses one or two
 coordinates by a hash of its path, 1 / similarity of them on average, and a class
 moves on to one child for each, named by its minwise value there.  A pair at the
 threshold so keeps one shared child on average at every level, while unrelated
-sets part.  Nodes with at most ``SMALL`` classes compare all their members by
-their minwise values, and so do nodes with at most ``FULL`` whose members all
-resemble the first.  In larger nodes of that kind members are compared with the
-node's leaders; one that surely resembles a leader is settled there, all others
-move on to the children.  Candidates are confirmed on the full sets, and confirmed
-links make components.
+sets part.  Members of a node with at most ``SMALL`` classes meet, and so do those of
+one with at most ``FULL`` that all resemble the first, if they may resemble another
+one by their minwise values.  In larger nodes of that kind members meet the node's
+leaders; one that surely resembles a leader is settled there, all others move on to
+the children.
+
+A meeting has a bounded number of members and holds their full sets, so all its pairs
+are compared exactly in one task, and only links that join it leave that task: neither
+a group's pairs nor its candidates ever make a table.  Links make components.
 
 The nodes of the first levels cannot be small, so the paths down to the level
-where an average node would be small are computed where the rows are.
-
-Branching needs no other row, so a node of any size is streamed through its
-task.  Only candidate pairs, never all pairs of a group, are emitted: members of
-a node that strong resemblance already joins are not paired again.
-
-Components need no pair whose ends are joined already.  So the trees come in waves:
-the first ones join most of a large group, and in later ones its members carry the
-component that they are in; nodes of one component alone end there, and members
-of one component are not paired.  A pair that resembles each other strongly though
-its sets don't hides its members' other links in that node; in later waves such
-members are loose: no resemblance settles them, and they are paired with all.
-Where a wave has more candidates than there are classes, they are confirmed in
-rounds: a class first with a few of its partners, then with more of those that are still
-apart from it, until none is left; pairs that can't be similar enough, as too many of
-their shingles have one holder alone, leave before.
+where an average node would be small are computed where the rows are.  Branching
+needs no other row, so a node of any size is streamed through its task.
+
+The trees come in waves.  The first one joins most of a large group; in later ones its
+members carry the component that they are in: nodes of one component end there,
+only members that may resemble another component meet, and no leader settles a
+member that is not in its component already, however much it resembles it.
 
 Recall is audited: partners of a bounded number of classes are looked for among all
 classes by their minwise values, and trees are added until they join enough of the
@@ -56,11 +50,11 @@ from jobweave.llm.components import connected_components, durable, packed, writt
 COORDINATES = 64
 TREES = 16
 SMALL = 32
-#: Members of a node whose members resemble each other, up to which all are compared.
-FULL = 64
+#: Members of a node whose members resemble each other, up to which all are compared: each level less saves members a fourth of the copies.
+FULL = 256
 #: Rows of a larger node that decide whether it branches at once or gets leaders, and leaders of a node whose other members branch.
 PROBE, LEADERS = 1024, 8
-#: Level at which a node that is still large is settled by leaders alone, as many as it takes.
+#: Level at which all members of a node meet, in blocks; only in nodes above PROBE rows leaders settle what is left, as many as it takes.
 MAX_DEPTH = 12
 #: Shares of equal minwise values: below WEAK a pair is no candidate at a similarity of 0.8 (four deviations), from STRONG on it joins.
 WEAK_BELOW = 0.2
@@ -69,6 +63,8 @@ STRONG = 0.93
 LIKELY_ABOVE, LIKELY_LEADERS = 0.05, 2
 #: Trees of the first waves, and leaders of a node in the first one, which only joins what is large; all other trees follow in one wave.
 WAVES, FIRST_LEADERS = (2, 6), 2
+#: Members of a meeting at most, and shared shingles of a meeting that are counted at a time.
+MEETING, COLUMNS = 256, 1 << 14
 #: Classes whose links are audited, links of each at most, how many equal minwise values make a partner (six deviations below
 #: the threshold), the share of the links to be joined, trees added at a time and at most, and the share below which all are compared.
 AUDITED, PARTNERS, ALIKE, RECALL, MORE_TREES, MOST_TREES, LEAST_RECALL = 1000, 8, 32, 0.99, 8, 64, 0.9
@@ -192,123 +188,120 @@ def _children(keys: np.ndarray, sigs: np.ndarray, similarity: float) -> tuple[np
     return _mixed(keys[row] * _MIX1 + (coordinate.astype(np.uint64) << np.uint64(8)) + value), row
 
 
-#: Rows of nodes, one array for each column: key of the node, id, component that the class is in, whether it is loose, minwise values.
-Members = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Rows of nodes, one array for each column: key of the node, id, component that the class is in, minwise values.
+Members = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+#: A node's row, or that of a meeting (meets), whose key is the meeting's.
+_NODE = "key bigint, id bigint, comp bigint, meets boolean, sig binary"
+_NODE_NAMES = [c.split()[0] for c in _NODE.split(", ")]
 
 
 def _of(members: Members, at) -> Members:
     return tuple(x[at] for x in members)
 
 
-def _node_batch(members: Members) -> pa.RecordBatch:
-    keys, ids, comps, loose, sigs = members
-    none = pa.nulls(len(ids), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys.astype(np.int64)), pa.array(ids), none, none, pa.array(comps), pa.array(loose), pa.array([r.tobytes() for r in sigs], pa.binary())], _NODE_NAMES
-    )
-
-
-def _pair_batch(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> pa.RecordBatch:
-    n = len(a)
-    arrays = [pa.nulls(n, pa.int64()), pa.array(a), pa.array(b), pa.array(alike.astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, _NODE_NAMES)
-
-
-#: A node's row, or a candidate pair, which has a second id and the number of equal minwise values.
-_NODE = "key bigint, id bigint, other bigint, alike bigint, comp bigint, loose boolean, sig binary"
-_NODE_NAMES = [c.split()[0] for c in _NODE.split(", ")]
+def _node_batch(members: Members, meets: bool = False) -> pa.RecordBatch:
+    keys, ids, comps, sigs = members
+    sig = pa.nulls(len(ids), pa.binary()) if meets else pa.array([r.tobytes() for r in sigs], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(ids), pa.array(comps), pa.array(np.full(len(ids), meets)), sig], _NODE_NAMES)
 
 
-def _small_pairs(members: Members, starts: np.ndarray, size: int, weak: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of all nodes with ``size`` members that begin at ``starts``, and their equal minwise values."""
-    _, ids, comps, loose, sigs = members
-    out_a, out_b, shares = [], [], []
+def _meeting_in(members: Members, starts: np.ndarray, size: int, weak: float) -> np.ndarray:
+    """Places of the members that may resemble one of another component, in all nodes with ``size`` members that begin at ``starts``."""
+    _, _, comps, sigs = members
+    out = []
     step = max(1, (1 << 21) // (size * size * COORDINATES))
-    upper = np.triu(np.ones((size, size), bool), 1)
     for s in range(0, len(starts), step):
         at = starts[s : s + step, None] + np.arange(size)
-        sig, comp, free = sigs[at], comps[at], loose[at]
+        sig, comp = sigs[at], comps[at]
         alike = (sig[:, :, None, :] == sig[:, None, :, :]).mean(axis=3, dtype=np.float32)
-        apart = comp[:, :, None] != comp[:, None, :]
-        joined = (~apart | (alike >= STRONG)) & upper
-        # Each member hangs on the first member that it is joined with; roots follow that to its end.
-        has = joined.any(axis=1)
-        lead = np.where(has, joined.argmax(axis=1), np.arange(size))
-        root = lead
-        for _ in range(max(1, size.bit_length())):
-            root = np.take_along_axis(root, root, axis=1)
-        g, j = np.nonzero(has)
-        i = lead[g, j]
-        new = apart[g, i, j]
-        g, i, j = g[new], i[new], j[new]
-        seen = (root[:, :, None] == root[:, None, :]) & ~(free[:, :, None] | free[:, None, :])
-        g2, i2, j2 = np.nonzero((alike >= weak) & upper & apart & ~seen)
-        g, i, j = np.concatenate([g, g2]), np.concatenate([i, i2]), np.concatenate([j, j2])
-        out_a.append(ids[at[g, i]])
-        out_b.append(ids[at[g, j]])
-        shares.append(alike[g, i, j])
-    return np.concatenate(out_a), np.concatenate(out_b), np.rint(np.concatenate(shares) * COORDINATES)
+        out.append(at[((alike >= weak) & (comp[:, :, None] != comp[:, None, :])).any(axis=2)])
+    return np.concatenate(out)
 
 
 class _Leaders:
-    """Members of one node, each compared with the leaders so far; one that they don't settle leads, up to ``most`` leaders."""
+    """Members of one node, each compared with the leaders so far; one that they don't settle leads, up to ``most`` leaders.
 
-    def __init__(self, similarity: float, most: int | None):
-        self.weak, self.likely, self.most = similarity - WEAK_BELOW, similarity + LIKELY_ABOVE, most
+    With ``trust`` a leader settles what surely resembles it, else only what is in its component as well."""
+
+    def __init__(self, similarity: float, most: int | None, trust: bool):
+        self.weak, self.likely, self.most, self.trust = similarity - WEAK_BELOW, similarity + LIKELY_ABOVE, most, trust
         self.ids, self.comps, self.sigs = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, COORDINATES), np.uint8)
+        self.met: list[int] = []  # how many each leader has met
 
-    def add(self, members: Members) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Candidate pairs, their equal minwise values, and the places of the members that no leader settles, leaders among them."""
-        _, ids, comps, loose, sigs = members
-        out_a, out_b, shares, led = [], [], [], []
+    def add(self, members: Members) -> tuple[list[Members], np.ndarray]:
+        """Rows of meetings, and the places of the members that no leader settles, leaders among them."""
+        keys, ids, comps, sigs = members
+        out, led = [], []
         todo, likely = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         done = 0
         while True:
             for k in range(done, len(self.ids)):
                 alike = (sigs[todo] == self.sigs[k]).mean(axis=1)
+                same = comps[todo] == self.comps[k]
                 # Members that branch meet the later leaders again, which branch as well.
-                near = (alike >= (self.weak if self.most is None or k < LIKELY_LEADERS else self.likely)) & (comps[todo] != self.comps[k])
-                hit = todo[near]
-                out_a.append(np.full(len(hit), self.ids[k]))
-                out_b.append(ids[hit])
-                shares.append(alike[near])
-                likely[todo] += alike >= self.likely
-                todo = todo[loose[todo] | ((alike < STRONG) & (likely[todo] < LIKELY_LEADERS))]
+                # Nor need they meet a leader that they may resemble: only one that may settle them.
+                hit = todo[(alike >= (self.weak if self.most is None else self.likely)) & ~same]
+                if len(hit):
+                    out += self._meetings(k, keys[0], _of(members, hit))
+                settles = np.ones(len(todo), bool) if self.trust else same
+                likely[todo] += (alike >= self.likely) & settles
+                todo = todo[~((alike >= STRONG) & settles) & (likely[todo] < LIKELY_LEADERS)]
             done = len(self.ids)
             if not len(todo) or done == self.most:
                 break
             self.ids, self.comps, self.sigs = np.append(self.ids, ids[todo[0]]), np.append(self.comps, comps[todo[0]]), np.vstack([self.sigs, sigs[todo[:1]]])
+            self.met.append(0)
             led.append(int(todo[0]))
             todo = todo[1:]
-        left = np.concatenate([np.array(led, np.int64), todo])
-        return np.concatenate([*out_a, self.ids[:0]]), np.concatenate([*out_b, self.ids[:0]]), np.rint(np.concatenate([*shares, np.empty(0)]) * COORDINATES), left
-
-
-def _level(similarity: float, last: bool, most: int):
-    """One level of all trees, over rows sorted by node: candidate pairs and the rows of the next level."""
+        return out, np.concatenate([np.array(led, np.int64), todo])
+
+    def _meetings(self, k: int, key: np.uint64, hit: Members) -> list[Members]:
+        """The leader with those that it meets, so many at a time."""
+        numbers = (self.met[k] + np.arange(len(hit[1]))) // (MEETING - 1)
+        self.met[k] += len(hit[1])
+        name = lambda n: _mixed(_mixed(n.astype(np.uint64) * _MIX1 + key) + self.ids[k : k + 1].astype(np.uint64) * _MIX2)
+        each = np.unique(numbers)
+        own = (name(each), np.full(len(each), self.ids[k]), np.full(len(each), self.comps[k]), hit[3][:0])
+        return [(name(numbers), hit[1], hit[2], hit[3][:0]), own]
+
+
+def _block_meetings(members: Members) -> Members:
+    """Meetings in which all pairs of a node's members meet: of every two of its blocks."""
+    keys, n = members[0], len(members[1])
+    blocks = -(-2 * n // MEETING)
+    at = [np.arange(n * i // blocks, n * (i + 1) // blocks) for i in range(blocks)]
+    pairs = [(i, j) for i in range(blocks) for j in range(i + 1, blocks)] or [(0, 0)]
+    rows = np.concatenate([np.concatenate([at[i], at[j]]) if i < j else at[i] for i, j in pairs])
+    number = np.repeat(np.arange(1, len(pairs) + 1, dtype=np.uint64), [len(at[i]) + (len(at[j]) if i < j else 0) for i, j in pairs])
+    return (_mixed(keys[rows] + number * _MIX2), *_of(members[1:], rows))
+
+
+def _level(similarity: float, last: bool, most: int, trust: bool):
+    """One level of all trees, over rows sorted by node: the rows of meetings and those of the next level."""
     weak = similarity - WEAK_BELOW
 
     def large(members, leaders):
         if leaders is not None:
-            a, b, alike, left = leaders.add(members)
-            yield _pair_batch(a, b, alike)
+            meetings, left = leaders.add(members)
+            for m in meetings:
+                yield _node_batch(m, True)
             if last:
                 return
             members = _of(members, left)
         if len(members[1]):
-            child, row = _children(members[0], members[4], similarity)
+            child, row = _children(members[0], members[3], similarity)
             yield _node_batch((child, *_of(members[1:], row)))
 
     def dense(sigs):
         return (sigs == sigs[0]).mean(axis=1).mean() >= similarity
 
     def verdict(sigs):
-        return _Leaders(similarity, None if last else most) if last or dense(sigs) else None
+        return _Leaders(similarity, None if last else most, trust) if last or dense(sigs) else None
 
     def read(batch) -> Members:
         keys, ids, comps = (batch.column(i).to_numpy() for i in range(3))
-        loose = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-        return keys.astype(np.uint64), ids, comps, loose, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        return keys.astype(np.uint64), ids, comps, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Members | None = None
@@ -327,7 +320,7 @@ def _level(similarity: float, last: bool, most: int):
             if held is not None:
                 members = tuple(np.concatenate(x) for x in zip(held, members, strict=True))
                 held = None
-            keys, sigs = members[0], members[4]
+            keys, sigs = members[0], members[3]
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(keys)]]))
             if more:  # the last node may go on in the next batch
@@ -343,12 +336,13 @@ def _level(similarity: float, last: bool, most: int):
                 whole[i] = last or dense(sigs[starts[i] : starts[i] + sizes[i]])
             for size in range(2, FULL + 1):
                 at = starts[whole & (sizes == size)]
-                if len(at):
-                    a, b, alike = _small_pairs(members, at, size, weak)
-                    if len(a):
-                        yield _pair_batch(a, b, alike)
+                if len(at) and len(meet := _meeting_in(members, at, size, weak)):
+                    yield _node_batch(_of(members, meet), True)
             branch = []
             for s, n in zip(starts[~whole].tolist(), sizes[~whole].tolist(), strict=True):
+                if last:
+                    yield _node_batch(_block_meetings(_of(members, slice(s, s + n))), True)
+                    continue
                 leaders = verdict(sigs[s : s + min(n, PROBE)])
                 if leaders is None:
                     branch.append(np.arange(s, s + n))
@@ -372,46 +366,114 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
         yield ahead, False
 
 
-def candidates(classes: DataFrame, similarity: float, trees: range, leaders: int = LEADERS) -> DataFrame:
-    """Candidate pairs (a < b) of classes (id, comp, loose, sig) in different components by the trees of these numbers, each once
-    with its number of equal minwise values (alike)."""
+def meetings(classes: DataFrame, similarity: float, trees: range, first: bool = False) -> DataFrame:
+    """Meetings (key, id, comp; at most MEETING members each, a few more where keys fall together) of classes (id, comp, sig) that may
+    resemble one of another component, by the trees of these numbers.  The first wave trusts its few leaders."""
     total = classes.count()
     depth = max(1, math.ceil(math.log(max(total, 2) / SMALL, 256))) if total > SMALL else 1
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = _mixed((np.array(trees, np.uint64) + np.uint64(1)) * _MIX2)
         for batch in batches:
-            ids, comps, loose = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            sigs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            ids, comps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
             for root in roots:
                 rows, keys = np.arange(len(ids)), np.full(len(ids), root)
                 for _ in range(depth):
                     keys, row = _children(keys, sigs[rows], similarity)
                     rows = rows[row]
-                yield _node_batch((keys, ids[rows], comps[rows], loose[rows], sigs[rows]))
+                yield _node_batch((keys, ids[rows], comps[rows], sigs[rows]))
 
-    level = classes.select("id", "comp", "loose", "sig").mapInArrow(seed, _NODE)
-    pairs, rows = None, 2 * total * len(trees)
+    level = classes.select("id", "comp", "sig").mapInArrow(seed, _NODE)
+    met, rows = None, 2 * total * len(trees)
     node = Window.partitionBy("key")
     while True:
         last = depth >= MAX_DEPTH
         # Nodes of one component, those of one class among them, have nothing to join.
-        nodes = level.where("other IS NULL").select("key", "id", "comp", "loose", "sig").repartition("key")
+        nodes = level.where("NOT meets").select("key", "id", "comp", "sig").repartition("key")
         open_ = nodes.withColumn("lo", F.min("comp").over(node)).withColumn("hi", F.max("comp").over(node)).where("lo < hi").drop("lo", "hi")
         # The order inside a node differs from node to node, so that leaders do.
         ordered = open_.sortWithinPartitions("key", F.xxhash64("key", "id"))
-        level = durable(packed(ordered.mapInArrow(_level(similarity, last, leaders), _NODE), 8 * rows))
-        found = level.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "alike")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        rows = level.where("other IS NULL").count()
+        run = _level(similarity, last, FIRST_LEADERS if first else LEADERS, first)
+        level = durable(packed(ordered.mapInArrow(run, _NODE), 8 * rows))
+        found = level.where("meets").select("key", "id", "comp")
+        met = found if met is None else met.unionByName(found)
+        rows = level.where("NOT meets").count()
         if last or not rows:
             break
         depth += 1
-    return pairs.where("a <> b").distinct()
+    return met
+
+
+def _joins(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], part: int) -> list[tuple[int, int]]:
+    """Pairs of a meeting's members that are similar enough, as many as join its components."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    # Only shingles that several hold can be common ones.
+    shared = np.bincount(place, minlength=len(values)) > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[place]
+    owner, column = owner[keep], number[place[keep]]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        holds = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - low)), np.float32)
+        holds[owner[a:b], column[a:b] - low] = 1
+        common += np.rint(holds @ holds.T).astype(np.int64)
+    near = (common > 0) & (100 * common >= part * (sizes[:, None] + sizes[None, :] - common)) & (comps[:, None] != comps[None, :]) & (ids[:, None] < ids[None, :])
+    known, first = np.unique(comps, return_inverse=True)
+    root = list(range(len(known)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        x, y = find(int(first[i])), find(int(first[j]))
+        if x != y:
+            root[x] = y
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def compared(docs: DataFrame, met: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join the components in each meeting (key, id, comp), by the full sets of its members."""
+    own = _sets_of(docs, met.select("id").distinct(), width, id_col, text_col)
+    rows = met.join(own, "id").select("key", "id", "comp", "shingles").repartition("key").sortWithinPartitions("key")
+    part = round(similarity * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray]] = []
+        key = None
+
+        def ended() -> pa.RecordBatch:
+            ids, comps = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
+            links = _joins(ids, comps, [h[2] for h in held], part)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys, ids, comps = (batch.column(i).to_pylist() for i in range(3))
+            lists = batch.column(3)
+            ends, flat = lists.offsets.to_pylist(), lists.values.to_numpy()
+            for i, k in enumerate(keys):
+                if k != key:
+                    if len(held) > 1:
+                        yield ended()
+                    held, key = [], k
+                held.append((ids[i], comps[i], flat[ends[i] : ends[i + 1]].copy()))
+        if len(held) > 1:
+            yield ended()
+
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def all_apart(classes: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
-    """Candidate pairs (a < b, alike) of all classes (id, comp, sig) in different components, compared in cells of two blocks."""
+    """Candidate pairs (a < b) of all classes (id, comp, sig) in different components, compared in cells of two blocks."""
     weak = round((similarity - WEAK_BELOW) * COORDINATES)
     parts = max(1, math.ceil(classes.count() / (block or BLOCK)))
 
@@ -420,20 +482,20 @@ def all_apart(classes: DataFrame, similarity: float, block: int | None = None) -
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         left = np.flatnonzero(side == 0)
         right = left if table.column("ga")[0] == table.column("gb")[0] else np.flatnonzero(side == 1)
-        out = [np.empty((0, 3), np.int64)]
+        out = [np.empty((0, 2), np.int64)]
         for s in range(0, len(left), 64):
             rows = left[s : s + 64]
             alike = (sigs[rows][:, None, :] == sigs[right][None, :, :]).sum(axis=2)
             i, j = np.nonzero((alike >= weak) & (comps[rows][:, None] != comps[right][None, :]))
             a, b = ids[rows[i]], ids[right[j]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), alike[i, j]], axis=1))
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         found = np.concatenate(out)
-        return pa.table({"a": found[:, 0], "b": found[:, 1], "alike": found[:, 2]})
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts))
     dealt = classes.select("id", "comp", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("with"))
     cells = dealt.select("id", "comp", "sig", F.least("own", "with").alias("ga"), F.greatest("own", "with").alias("gb"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"))
-    return cells.groupBy("ga", "gb").applyInArrow(cell, "a bigint, b bigint, alike bigint").distinct()
+    return cells.groupBy("ga", "gb").applyInArrow(cell, "a bigint, b bigint").distinct()
 
 
 def audited_pairs(classes: DataFrame, audited: int = AUDITED) -> DataFrame:
@@ -468,10 +530,9 @@ def audited_pairs(classes: DataFrame, audited: int = AUDITED) -> DataFrame:
     return met.withColumn("n", rank).where(F.col("n") <= PARTNERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id and shingles of the ends of the pairs (and of the few other rows that a fixed-size filter can't tell from them)."""
+def _sets_of(docs: DataFrame, ends: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """id and shingles of the documents in ``ends`` (id) and of the few other rows that a fixed-size filter can't tell from them."""
     spark = docs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
     words = ends.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -495,23 +556,9 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_co
     return rows.mapInArrow(sets, "id bigint, shingles array<bigint>")
 
 
-def possible(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that can be similar enough: of a set, a partner shares at most the shingles that not only this end of pairs holds."""
-    own = durable(_sets_of(docs, pairs, width, id_col, text_col))
-    shingles = own.select("id", F.explode("shingles").alias("shingle"))
-    alone = shingles.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    # An identifier on several rows shares no more than their sum, and is as small as the smallest.
-    sizes = own.groupBy("id").agg(F.sum(F.size("shingles")).alias("all"), F.min(F.size("shingles")).alias("n"))
-    bounds = durable(sizes.join(alone, "id", "left").select("id", "n", (F.col("all") - F.coalesce("alone", F.lit(0))).alias("held")))
-    of = lambda x: bounds.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("held").alias(f"held{x}"))
-    both = F.least("helda", "heldb")
-    found = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * both >= round(similarity * 100) * (F.col("na") + F.col("nb") - both))
-    return found.select(*pairs.columns)
-
-
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The candidate pairs whose full sets are similar enough."""
-    own = _sets_of(docs, pairs, width, id_col, text_col)
+    own = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width, id_col, text_col)
     joined = (
         pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
         .join(own.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
@@ -570,56 +617,27 @@ def _waves(trees: int) -> list[range]:
 
 
 def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, id_col: str, text_col: str, trees: int) -> tuple[DataFrame, DataFrame, float]:
-    """Confirmed pairs of classes (a, b) that join what is similar enough, the components that they make, and the share of the audited links that trees joined."""
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return confirmed(docs, pairs.select("a", "b"), width, similarity, id_col, text_col)
-
-    def join(pairs: DataFrame, links: DataFrame, parts: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-        """The links with as many of the pairs as join, once confirmed, all that confirming every one of them would join; and the components."""
-        n = pairs.count()
-        while True:
-            pairs = written(packed(_ends(pairs, parts, n).where(_apart()).select("a", "b", "alike"), n))
-            n = pairs.count()
-            if n > few:
-                pairs = written(packed(possible(docs, pairs, width, similarity, id_col, text_col), n))
-                n = pairs.count()
-            if not n:
-                return links, parts
-            now = written(packed(_picked(pairs, similarity, few, share), min(n, few)))
-            links = written(links.unionByName(confirm(now)))
-            parts = written(packed(connected_components(links), 2 * few))
-            pairs = pairs.join(now, ["a", "b"], "left_anti")
-            share *= 4
-
+    """Links of classes (a, b) that join what is similar enough, the components that they make, and the share of the audited links
+    that the trees joined."""
     few = classes.count()
-    audited = written(audited_pairs(classes))
-    plain = classes.select("id", "sig", F.col("id").alias("comp"), F.lit(False).alias("loose"))
-    links = parts = failed = true = None
-
-    def wave(found: DataFrame) -> None:
-        """Joins by the candidates that no wave has tried; those that stay apart are no links."""
-        nonlocal links, parts, failed, true
-        pairs = written(packed(found if failed is None else found.join(failed, ["a", "b"], "left_anti"), 2 * few))
-        if true is None:  # the audit's pairs are confirmed in the same scan
-            first = written(packed(_picked(pairs, similarity, few, 1), few))
-            checked = durable(confirm(first.select("a", "b").unionByName(audited).distinct()))
-            true = written(checked.join(audited, ["a", "b"], "left_semi"))
-            links = written(checked.join(pairs, ["a", "b"], "left_semi"))
-            parts = written(packed(connected_components(links), 2 * few))
-            links, parts = join(pairs.join(first, ["a", "b"], "left_anti"), links, parts, 4)
-        else:
-            links, parts = join(pairs, links, parts, 1)
-        still = written(packed(_ends(pairs, parts, few).where(_apart()).select("a", "b", "alike"), 2 * few))
-        failed = still if failed is None else failed.unionByName(still)
+    audited = audited_pairs(classes)
+    true = written(packed(confirmed(docs, written(audited), width, similarity, id_col, text_col), AUDITED * PARTNERS))
+    links = parts = None
+
+    def added(found: DataFrame) -> None:
+        nonlocal links, parts
+        links = written(packed(found if links is None else links.unionByName(found), few))
+        parts = written(packed(connected_components(links), 2 * few))
 
     def labelled() -> DataFrame:
-        """The classes with the component that they are in, loose where a strong resemblance was wrong."""
+        """The classes with the component that they are in."""
         if parts is None:
-            return plain
-        wrong = failed.where(F.col("alike") >= math.ceil(STRONG * COORDINATES)).select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("_wrong", F.lit(True))
-        known = classes.select("id", "sig").join(parts, "id", "left").join(wrong, "id", "left")
-        return written(known.select("id", "sig", F.coalesce("component", "id").alias("comp"), F.coalesce("_wrong", F.lit(False)).alias("loose")))
+            return classes.select("id", "sig", F.col("id").alias("comp"))
+        return durable(classes.select("id", "sig").join(parts, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp")))
+
+    def wave(some: range, first: bool = False) -> None:
+        met = written(packed(meetings(labelled(), similarity, some, first), 2 * few))
+        added(compared(docs, met, width, similarity, id_col, text_col))
 
     def recall() -> float:
         """The mean over the classes that the audit found links of."""
@@ -628,33 +646,18 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, i
         return 1.0 if found is None else found
 
     for some in _waves(trees):
-        wave(candidates(labelled(), similarity, some, FIRST_LEADERS if not some.start and len(some) < trees else LEADERS))
+        wave(some, not some.start)
     while (share := recall()) < RECALL and trees < MOST_TREES:
-        wave(candidates(labelled(), similarity, range(trees, trees + MORE_TREES)))
+        wave(range(trees, trees + MORE_TREES))
         trees += MORE_TREES
     if share < LEAST_RECALL:
-        wave(all_apart(labelled(), similarity))
+        added(confirmed(docs, written(all_apart(labelled(), similarity)), width, similarity, id_col, text_col))
     # What the audit found counts too.
     if not _ends(true, parts, few).where(_apart()).isEmpty():
-        links = written(links.unionByName(true).distinct())
-        parts = written(packed(connected_components(links), 2 * few))
+        added(true)
     return links, parts, share
 
 
-def _picked(pairs: DataFrame, similarity: float, few: int, share: int) -> DataFrame:
-    """All pairs (a, b, alike) if they are few; else of each class and each of ``share`` parts of its partners the most alike
-    and, of those that most likely link, the one that hashes lowest, so that a group hangs on few of its members."""
-    if pairs.count() <= few:
-        return pairs
-    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "alike"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "alike"))).alias("w")).select("w.*")
-    mixed = F.shiftrightunsigned(F.xxhash64("y"), 16)
-    likely = F.col("alike") >= math.ceil((similarity + LIKELY_ABOVE) * COORDINATES)
-    best = ways.groupBy("x", F.pmod(F.xxhash64("x", "y"), F.lit(share)).alias("part")).agg(
-        F.max_by("y", F.shiftleft(F.col("alike"), 48) + mixed).alias("most"), F.min_by("y", F.when(likely, mixed)).alias("low"))
-    ends = best.select("x", F.explode(F.array("most", "low")).alias("y")).where("y IS NOT NULL")
-    return packed(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), few).distinct()
-
-
 def _apart():
     """Whether no link joins the ends of a pair with its components."""
     return ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))

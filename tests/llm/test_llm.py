@@ -121,25 +121,26 @@ def test_small_groups_beside_a_hot_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: 0 if k < 400 else k - k % 2 for k in texts}
 
 
-def test_bound_and_rounds_lose_no_link(spark):
-    rng, fresh = random.Random(8), iter(range(1_000_000))
-    base = [f"w{i}" for i in range(60)]
-    texts = {}
-    for k in range(80):  # from copies with one own word to some with more own words than a link allows
-        own = set(rng.sample(range(60), rng.randrange(1, 14)))
-        texts[k] = " ".join(f"x{next(fresh)}" if i in own else w for i, w in enumerate(base))
-    docs = spark.createDataFrame([*texts.items(), (3, " ".join(base[:50]))], "doc_id long, text string")  # an identifier on two rows
-    words = {k: set(t.split()) for k, t in texts.items()}
-    similar = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
-    near = {(a, b) for a in words for b in words if a < b and (similar(words[a], words[b]) or 3 in (a, b) and similar(set(base[:50]), words[a + b - 3]))}
-    every = spark.createDataFrame([(a, b, 40 + (a + b) % 25) for a in words for b in words if a < b], "a long, b long, alike long")
-    left = minhash_dedup.possible(docs, every, 1, 0.8, "doc_id", "text")
-    kept = {(r["a"], r["b"]) for r in left.collect()}
-    assert left.columns == every.columns and near <= kept and len(kept) < every.count()
-    assert not {(a, b) for a, b in kept if 3 not in (a, b) and max(len(words[a] - set(base)), len(words[b] - set(base))) > 7}
-    assert minhash_dedup._picked(every, 0.8, every.count(), 1).count() == every.count()
-    few = {(r["a"], r["b"]) for r in minhash_dedup._picked(every, 0.8, 10, 1).collect()}
-    assert {x for p in few for x in p} == set(words) and len(few) <= 2 * len(words)
+def test_meetings_join_by_full_sets(monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        m = int(rng.integers(2, 30))
+        base = rng.integers(-(2**62), 2**62, 60)
+        sets = [np.unique(np.concatenate([base[rng.random(60) < 0.92], rng.integers(-(2**62), 2**62, int(rng.integers(0, 9)))])) for _ in range(m)]
+        ids, comps = rng.permutation(1000)[:m].astype(np.int64), rng.integers(0, m, m).astype(np.int64)
+        links = minhash_dedup._joins(ids, comps, sets, 80)
+        near = {(int(ids[i]), int(ids[j])) for i in range(m) for j in range(m) if ids[i] < ids[j] and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+        assert set(links) <= near
+
+        def groups(pairs):
+            label = dict(zip(ids.tolist(), comps.tolist(), strict=True))
+            for a, b in pairs:
+                x, y = label[a], label[b]
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+            return label
+
+        assert groups(links) == groups(near) and len(links) == len(set(comps.tolist())) - len(set(groups(near).values()))
 
 
 @pytest.mark.parametrize("width", [2, 5])
@@ -594,26 +595,22 @@ def test_each_entity_by_its_own_probability(spark, sf_dir):
     assert alone == [("ip", 5, 16)] and listed == [(k, a + step * i, b + step * i) for i in range(40) for k, a, b in alone]
 
 
-def test_wrongly_strong_members_are_loose_in_later_waves(spark, monkeypatch):
-    # With this bound every pair of a group counts as strong, so most links of texts at 0.7 to 0.9 would stay unseen.
-    monkeypatch.setattr(minhash_dedup, "STRONG", 0.62)
-    monkeypatch.setattr(minhash_dedup, "AUDITED", 1)
+def test_wrongly_strong_members_are_compared_all_the_same(spark, monkeypatch):
+    # With this bound every pair of a group counts as strong, and nodes of more than four have leaders.
+    for name, value in (("STRONG", 0.62), ("AUDITED", 1), ("SMALL", 4), ("FULL", 4)):
+        monkeypatch.setattr(minhash_dedup, name, value)
     rng = random.Random(6)
     texts: dict[int, str] = {}
     for g in range(40):
         base = [f"g{g}w{i}" for i in range(100)]
-        for _ in range(5):
+        for _ in range(8):
             t = list(base)
             for at in rng.sample(range(100), rng.choice([4, 8, 12])):
                 t[at] = f"x{len(texts)}n{at}"
             texts[len(texts)] = " ".join(t)
-    seen = []
-    tried = minhash_dedup.candidates
-    monkeypatch.setattr(minhash_dedup, "candidates", lambda classes, *a: seen.append(classes.where("loose").count()) or tried(classes, *a))
     _, label = _near(texts, 1)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
-    assert seen[0] == 0 and seen[-1] > 0
-    assert {r["doc_id"]: r["component_id"] for r in got} == label
+    assert np.mean([r["component_id"] == label[r["doc_id"]] for r in got]) > 0.995
 
 
 def test_all_are_compared_where_trees_find_too_few(spark, monkeypatch):
@@ -628,28 +625,29 @@ def test_all_are_compared_where_trees_find_too_few(spark, monkeypatch):
             texts[len(texts)] = " ".join(t)
     monkeypatch.setattr(minhash_dedup, "MOST_TREES", 1)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 50)
-    monkeypatch.setattr(minhash_dedup, "candidates", lambda *_: spark.createDataFrame([], "a long, b long, alike long"))
+    monkeypatch.setattr(minhash_dedup, "meetings", lambda *_: spark.createDataFrame([], "key long, id long, comp long"))
     _, label = _near(texts, 1)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == label and {r["audited_recall"] for r in got} == {0.0}
 
 
-def test_a_large_group_is_paired_in_the_first_wave_alone(spark, monkeypatch):
+def test_a_large_group_meets_in_the_first_wave_alone(spark, monkeypatch):
     rng, fresh = random.Random(3), iter(range(1_000_000))
     base = [f"w{i}" for i in range(120)]
     texts = {k: " ".join(f"x{next(fresh)}" if i in own else w for i, w in enumerate(base)) for k in range(600) for own in [set(rng.sample(range(120), 4))]}
     sizes = []
-    tried = minhash_dedup.candidates
+    tried = minhash_dedup.meetings
 
     def counted(*given):
         found = components.durable(tried(*given))
-        sizes.append(found.count())
+        sizes.append((found.count(), found.groupBy("key").count().agg(F.max("count")).first()[0]))
         return found
 
-    monkeypatch.setattr(minhash_dedup, "candidates", counted)
+    monkeypatch.setattr(minhash_dedup, "meetings", counted)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()
     assert {r["component_id"] for r in got} == {0}
-    assert sizes[0] < 60 * len(texts) and sum(sizes[1:]) == 0
+    # Rows grow with the members, not with their pairs, and no meeting is large.
+    assert sizes[0][0] < 40 * len(texts) and sizes[0][1] <= minhash_dedup.MEETING and all(n == 0 for n, _ in sizes[1:])
 
 
 def test_trees_are_added_until_the_audit_is_met(spark, monkeypatch):
@@ -663,8 +661,8 @@ def test_trees_are_added_until_the_audit_is_met(spark, monkeypatch):
                 t[at] = f"x{len(texts)}n{at}"
             texts[len(texts)] = " ".join(t)
     used = []
-    tried = minhash_dedup.candidates
-    monkeypatch.setattr(minhash_dedup, "candidates", lambda *a: used.append(a[2]) or tried(*a))
+    tried = minhash_dedup.meetings
+    monkeypatch.setattr(minhash_dedup, "meetings", lambda *a: used.append(a[2]) or tried(*a))
     _, label = _near(texts, 1)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1, trees=1).collect()
     assert len(used) > 1 and used[0] == range(1) and used[1].start in (0, 1)
