@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.config import CHANNEL_FIT
+from jobweave.functions.text import once
 from jobweave.operators.traffic import moment
 
 DAY_MICROS = 86_400_000_000
@@ -139,9 +140,14 @@ def html_escape(c: Column) -> Column:
 
 def first_sentences(text: Column, n: int = 2) -> Column:
     """The first sentences, up to 280 characters; of a text without any, 200 characters."""
-    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    every = F.regexp_extract_all(clean, F.lit(r"[^.!?]+[.!?]+"), F.lit(0))
-    return F.when(F.size(every) > 0, F.substring(F.trim(F.array_join(F.slice(every, 1, n), " ")), 1, 280)).otherwise(F.substring(clean, 1, 200))
+    one = r"([^.!?]+[.!?]+)"
+    pattern = r"^[.!?]*" + one + (one + "?") * (n - 1)
+
+    def told(clean: Column) -> Column:
+        parts = F.array(*[F.regexp_extract(clean, pattern, i) for i in range(1, n + 1)])
+        return F.when(clean.rlike(pattern), F.substring(F.trim(F.array_join(F.filter(parts, lambda p: p != ""), " ")), 1, 280)).otherwise(F.substring(clean, 1, 200))
+
+    return once(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), told)
 
 
 def structured_text(raw: Column, name: str) -> Column:
@@ -166,10 +172,12 @@ def caption_fields(listings: DataFrame, as_of: str, site: str = "https://board.e
     left = days_left(F.col("deadline"), as_of)
     when = F.when(left < 0, "").when(left == 0, " (today)").otherwise(F.concat(F.lit(" ("), left.cast("string"), F.lit("d left)")))
     summary = F.substring(F.coalesce(structured_text(F.col("raw"), "summary"), first_sentences(F.col("description"))), 1, 300)
-    fields = listings.select(
-        "id", html_escape(F.substring("org_name", 1, 120)).alias("org"), html_escape(F.substring("title", 1, 200)).alias("title"), html_escape(F.when(summary != "", summary)).alias("summary"),
-        html_escape(F.concat(F.lit("Deadline "), long_date(F.col("deadline")), when)).alias("deadline_text"), apply_link(F.col("raw"), F.col("apply_url")).alias("apply_link"), "source_url",
+    told = F.struct(
+        html_escape(F.substring("org_name", 1, 120)).alias("org"), html_escape(F.substring("title", 1, 200)).alias("title"), html_escape(once(summary, lambda s: F.when(s != "", s))).alias("summary"),
+        html_escape(F.concat(F.lit("Deadline "), long_date(F.col("deadline")), when)).alias("deadline_text"), apply_link(F.col("raw"), F.col("apply_url")).alias("apply_link"),
     )
+    # A generator, so that the post takes what is computed here and doesn't compute it again.
+    fields = listings.select("id", "source_url", F.inline(F.array(told))).select("id", "org", "title", "summary", "deadline_text", "apply_link", "source_url")
     read = F.concat(F.lit(f'<a href="{site}/?listing='), F.col("id").cast("string"), F.lit('&amp;ref=tg">Read</a>'))
     links = F.concat_ws(" · ", read, _anchor(F.col("apply_link"), "Apply"), _anchor(F.col("source_url"), "Source"))
     head = F.concat(F.lit("<b>"), "org", F.lit("</b>\n"), "title", F.lit("\n"))

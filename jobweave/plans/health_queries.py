@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from jobweave.operators import health
+from jobweave.operators.kept import shared_folder
+from jobweave.operators.snapshots import append_run
 from jobweave.plans.registry import query
 from jobweave.plans.tables import load, oracle
 
@@ -64,6 +68,16 @@ def run_log(spark, sf_dir):
     return runs.select("run_id", "source", "scraped_count", "kept_count", "new_count", "updated_count", "error_count", F.size("orgs").cast("bigint").alias("n_orgs"))
 
 
+@query("run_log_appended", oracle(f"WITH {RUNS} SELECT CAST(run_id AS BIGINT) AS run_id, new_count, error_count, n_orgs FROM runs", "org_stats"))
+def run_log_appended(spark, sf_dir):
+    """The log as two appends leave it, the first of them run twice."""
+    runs = health.run_log(load(spark, sf_dir, "org_stats")).select("run_id", "new_count", "error_count", F.size("orgs").cast("bigint").alias("n_orgs"))
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    for part in ("run_id % 2 = 0", "run_id % 2 = 1", "run_id % 2 = 0"):
+        append_run(runs.where(part), path)
+    return spark.read.parquet(path).select(F.col("run_id").cast("bigint").alias("run_id"), "new_count", "error_count", "n_orgs")
+
+
 @query("run_org_stats", oracle(f"""WITH {RUNS}
 SELECT slug, adapter, errors, kept, duration_ms AS ms FROM org_stats WHERE run_id = (SELECT run_id FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 1)
 ORDER BY errors DESC, ms DESC, slug LIMIT 10""", "org_stats"))

@@ -78,6 +78,36 @@ def payload_feeds(spark, sf_dir):
     return reduce(DataFrame.unionByName, map(_shown, (greenhouse, lever, reliefweb, workday, smartrecruiters, oracle_hcm, inspira)))
 
 
+_INTERN = lambda title: f"({hits(title, P.INTERN)} AND NOT {hits(title, P.STAFF)})"
+
+
+@query("payload_feeds_more", oracle(f"""
+WITH s AS (SELECT id, CAST(id AS VARCHAR) AS sid, {collapsed('title')} AS title, concat({collapsed('title')}, CASE WHEN id % 2 = 0 THEN ' (Addis Ababa, Ethiopia)' ELSE ' (Rome, Italy)' END) AS told FROM postings)
+SELECT 'idealist' AS source, sid AS source_id, title, CASE WHEN id % 2 = 0 AND id % 4 <> 0 THEN 'Remote' ELSE 'Adama, Ethiopia' END AS location, CASE WHEN id % 13 = 0 THEN 'Idealist' ELSE 'Org' END AS org_name
+  FROM s WHERE id % 3 = 0 AND id % 5 <> 0 AND id % 11 <> 0 AND ((id % 2 = 0 AND id % 4 <> 0) OR id % 7 = 0)
+UNION ALL SELECT 'successfactors:jobs.au.int', sid, title, 'Addis Ababa, Ethiopia', 'jobs.au.int' FROM s WHERE id % 3 = 1 AND id % 2 = 0 AND id % 11 <> 0 AND {_INTERN('told')}
+UNION ALL SELECT 'wordpress:blog.example.org', sid, title, 'Addis Ababa', 'Org ' || id % 9 FROM s WHERE id % 3 = 2 AND id % 2 = 0 AND {_INTERN('title')} AND NOT regexp_matches(title, '^[0-9]+\\+?\\s')""", "postings"))
+def payload_feeds_more(spark, sf_dir):
+    """Hits of a search index, items of a feed and posts of a blog."""
+    k, sid, none = F.col("id"), F.col("sid"), F.lit(None).cast("string")
+    rows = load(spark, sf_dir, "postings").withColumn("sid", k.cast("string"))
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    body = F.when(k % 11 == 0, "<p>Too short</p>").otherwise("<p>" + "The team works on water and health with partners. " * 3 + "</p>")
+    world = (k % 2 == 0) & (k % 4 != 0)
+    hit = F.struct(
+        sid.alias("objectID"), F.when(k % 5 == 0, "JOB").otherwise("INTERNSHIP").alias("type"), F.col("title").alias("name"), F.when(k % 13 == 0, " ").otherwise("Org").alias("orgName"),
+        F.struct(say("/en/", sid).alias("en")).alias("url"), body.alias("description"), (k % 2 == 0).alias("remoteOk"), F.when((k % 2 == 0) & ~world, "US").alias("remoteCountry"),
+        F.when(k % 7 == 0, "ET").otherwise("IT").alias("country"), F.lit("Adama").alias("city"), F.lit(False).alias("detailsStipendProvided"),
+    )
+    search = payloads.idealist(_batched(rows.where(k % 3 == 0), "hits", hit))
+    told = F.concat("title", F.when(k % 2 == 0, " (Addis Ababa, Ethiopia)").otherwise(" (Rome, Italy)"))
+    feed = payloads.successfactors(rows.where(k % 3 == 1).select(told.alias("title"), say("https://jobs.au.int/job/x/", sid, "/?feed=1").alias("link"), body.alias("description"), none.alias("pubDate")), "https://www.jobs.au.int")
+    content = say("<p>Location: ", F.when(k % 2 == 0, "Addis Ababa").otherwise("Rome"), "</p>\n<p>Organization: Org ", (k % 9).cast("string"), "</p>\n<div class='widget'>Location: Jimma</div><p>Deadline: May 4, 2026</p>")
+    posts = rows.where(k % 3 == 2).select("id", say("https://blog.example.org/?p=", sid).alias("link"), none.alias("date"), F.struct(F.replace("title", F.lit("&"), F.lit("&amp;")).alias("rendered")).alias("title"), F.struct(content.alias("rendered")).alias("content"))
+    blog = payloads.wordpress(posts)
+    return reduce(DataFrame.unionByName, [df.select("source", "source_id", "title", "location", "org_name") for df in (search, feed, blog)])
+
+
 BOARD, ARCHIVE = "https://www.ethiongojobs.com", "https://ethdefenders.org"
 
 

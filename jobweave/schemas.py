@@ -28,8 +28,9 @@ PAGE_EVENT = _struct(id=_S, ts=_TS, type=_S, path=_S, listing_id=_S, ref=_S, cou
 SUBSCRIBER = T.StructType([
     T.StructField("chat_id", _L), T.StructField("username", _S), T.StructField("joined_at", _TS), T.StructField("active", _B),
     T.StructField("filters", _S), T.StructField("saved_listing_ids", T.ArrayType(_S)),
+    T.StructField("notify_24h", _B), T.StructField("notify_72h", _B),
 ])
-ORG_STATS = _struct(slug=_S, adapter=_S, scraped=_L, kept=_L, new=_L, updated=_L, errors=_L, duration_ms=_L)
+ORG_STATS = _struct(slug=_S, adapter=_S, scraped=_L, kept=_L, new=_L, updated=_L, errors=_L, duration_ms=_L, error=_S)
 SCRAPE_RUN = T.StructType([
     T.StructField("id", _S), T.StructField("source", _S), T.StructField("started_at", _TS), T.StructField("finished_at", _TS),
     T.StructField("new_count", _L), T.StructField("updated_count", _L), T.StructField("error_count", _L),

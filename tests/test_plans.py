@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 QUERIES = {k: f for k, f in entry.queries().items() if not re.match(r"op\d+_|pipeline", k)}
 #: Tree rewriting is the one thing here that needs Python.
-PYTHON = {"pages_clean", "pages_main", "pages_to_listings", "normalize_listings", "board_pages", "source_shown", "lexicon_hits"}
+PYTHON = {"pages_clean", "pages_main", "pages_to_listings", "normalize_listings", "board_pages", "source_shown", "lexicon_hits", "payload_feeds_more"}
 #: Queries that join totals of one row.
 ONE_ROW_SIDES = {"product_counts", "catalog_health", "country_intensity", "subscriber_growth"}
 
