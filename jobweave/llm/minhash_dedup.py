@@ -392,10 +392,9 @@ def meetings(classes: DataFrame, similarity: float, trees: range, first: bool =
         # Nodes of one component, those of one class among them, have nothing to join.
         nodes = level.where("NOT meets").select("key", "id", "comp", "sig").repartition("key")
         open_ = nodes.withColumn("lo", F.min("comp").over(node)).withColumn("hi", F.max("comp").over(node)).where("lo < hi").drop("lo", "hi")
-        # The order inside a node differs from node to node, so that leaders do.
-        ordered = open_.sortWithinPartitions("key", F.xxhash64("key", "id"))
-        run = _level(similarity, last, FIRST_LEADERS if first else LEADERS, first)
-        level = durable(packed(ordered.mapInArrow(run, _NODE), 8 * rows))
+        # The order inside a node differs from node to node, so that leaders do.  Few rows need few tasks, which hold nodes whole.
+        ordered = packed(open_, 8 * rows).sortWithinPartitions("key", F.xxhash64("key", "id"))
+        level = durable(ordered.mapInArrow(_level(similarity, last, FIRST_LEADERS if first else LEADERS, first), _NODE))
         found = level.where("meets").select("key", "id", "comp")
         met = found if met is None else met.unionByName(found)
         rows = level.where("NOT meets").count()
@@ -444,7 +443,8 @@ def _joins(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], part: int
 def compared(docs: DataFrame, met: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) that join the components in each meeting (key, id, comp), by the full sets of its members."""
     own = _sets_of(docs, met.select("id").distinct(), width, id_col, text_col)
-    rows = met.join(own, "id").select("key", "id", "comp", "shingles").repartition("key").sortWithinPartitions("key")
+    # A row is a whole set, so a task takes few of them; meetings stay whole.
+    rows = packed(met.join(own, "id").select("key", "id", "comp", "shingles").repartition("key"), 50 * met.count()).sortWithinPartitions("key")
     part = round(similarity * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
