@@ -51,11 +51,12 @@ COORDINATES = 64
 TREES = 16
 SMALL = 32
 #: Members of a node whose members resemble each other, up to which all are compared: each level less saves members a fourth of the copies.
-FULL = 256
+FULL = 1024
 #: Rows of a larger node that decide whether it branches at once or gets leaders, and leaders of a node whose other members branch.
 PROBE, LEADERS = 1024, 8
-#: Level at which all members of a node meet, in blocks; only in nodes above PROBE rows leaders settle what is left, as many as it takes.
-MAX_DEPTH = 12
+#: Levels below the first after which all members of any node up to PROBE rows meet, in blocks; a larger one branches on, until from
+#: level MAX_DEPTH on leaders settle what is left, as many as it takes.
+EXTRA, MAX_DEPTH = 2, 12
 #: Shares of equal minwise values: below WEAK a pair is no candidate at a similarity of 0.8 (four deviations), from STRONG on it joins.
 WEAK_BELOW = 0.2
 STRONG = 0.93
@@ -277,8 +278,9 @@ def _block_meetings(members: Members) -> Members:
     return (_mixed(keys[rows] + number * _MIX2), *_of(members[1:], rows))
 
 
-def _level(similarity: float, last: bool, most: int, trust: bool):
-    """One level of all trees, over rows sorted by node: the rows of meetings and those of the next level."""
+def _level(similarity: float, meet: bool, last: bool, most: int, trust: bool):
+    """One level of all trees, over rows sorted by node: the rows of meetings and those of the next level.  With ``meet`` all members of
+    a node that a task can hold do."""
     weak = similarity - WEAK_BELOW
 
     def large(members, leaders):
@@ -332,17 +334,18 @@ def _level(similarity: float, last: bool, most: int, trust: bool):
                     yield from large(_of(members, slice(s, None)), streaming[1])
                 starts, sizes = starts[:-1], sizes[:-1]
             whole = sizes <= SMALL
-            for i in np.flatnonzero((sizes > SMALL) & (sizes <= FULL)).tolist():
-                whole[i] = last or dense(sigs[starts[i] : starts[i] + sizes[i]])
-            for size in range(2, FULL + 1):
+            blocks = np.zeros(len(sizes), bool)
+            for i in np.flatnonzero(sizes > SMALL).tolist():
+                full = sizes[i] <= FULL and (meet or dense(sigs[starts[i] : starts[i] + sizes[i]]))
+                whole[i], blocks[i] = full and sizes[i] <= MEETING, full and sizes[i] > MEETING
+            for size in range(2, MEETING + 1):
                 at = starts[whole & (sizes == size)]
-                if len(at) and len(meet := _meeting_in(members, at, size, weak)):
-                    yield _node_batch(_of(members, meet), True)
+                if len(at) and len(some := _meeting_in(members, at, size, weak)):
+                    yield _node_batch(_of(members, some), True)
+            for s, n in zip(starts[blocks].tolist(), sizes[blocks].tolist(), strict=True):
+                yield _node_batch(_block_meetings(_of(members, slice(s, s + n))), True)
             branch = []
-            for s, n in zip(starts[~whole].tolist(), sizes[~whole].tolist(), strict=True):
-                if last:
-                    yield _node_batch(_block_meetings(_of(members, slice(s, s + n))), True)
-                    continue
+            for s, n in zip(starts[~whole & ~blocks].tolist(), sizes[~whole & ~blocks].tolist(), strict=True):
                 leaders = verdict(sigs[s : s + min(n, PROBE)])
                 if leaders is None:
                     branch.append(np.arange(s, s + n))
@@ -370,7 +373,7 @@ def meetings(classes: DataFrame, similarity: float, trees: range, first: bool =
     """Meetings (key, id, comp; at most MEETING members each, a few more where keys fall together) of classes (id, comp, sig) that may
     resemble one of another component, by the trees of these numbers.  The first wave trusts its few leaders."""
     total = classes.count()
-    depth = max(1, math.ceil(math.log(max(total, 2) / SMALL, 256))) if total > SMALL else 1
+    first_depth = depth = max(1, math.ceil(math.log(max(total, 2) / SMALL, 256))) if total > SMALL else 1
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = _mixed((np.array(trees, np.uint64) + np.uint64(1)) * _MIX2)
@@ -379,7 +382,7 @@ def meetings(classes: DataFrame, similarity: float, trees: range, first: bool =
             sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
             for root in roots:
                 rows, keys = np.arange(len(ids)), np.full(len(ids), root)
-                for _ in range(depth):
+                for _ in range(first_depth):
                     keys, row = _children(keys, sigs[rows], similarity)
                     rows = rows[row]
                 yield _node_batch((keys, ids[rows], comps[rows], sigs[rows]))
@@ -394,7 +397,7 @@ def meetings(classes: DataFrame, similarity: float, trees: range, first: bool =
         open_ = nodes.withColumn("lo", F.min("comp").over(node)).withColumn("hi", F.max("comp").over(node)).where("lo < hi").drop("lo", "hi")
         # The order inside a node differs from node to node, so that leaders do.  Few rows need few tasks, which hold nodes whole.
         ordered = packed(open_, 8 * rows).sortWithinPartitions("key", F.xxhash64("key", "id"))
-        level = durable(ordered.mapInArrow(_level(similarity, last, FIRST_LEADERS if first else LEADERS, first), _NODE))
+        level = durable(ordered.mapInArrow(_level(similarity, depth >= first_depth + EXTRA, last, FIRST_LEADERS if first else LEADERS, first), _NODE))
         found = level.where("meets").select("key", "id", "comp")
         met = found if met is None else met.unionByName(found)
         rows = level.where("NOT meets").count()
