@@ -60,7 +60,7 @@ _EXPRESSIONS: dict[str, dict[str, str]] = {
         "apply_url": "CASE o_orderkey % 3 WHEN 1 THEN concat('https://apply.example.org/', o_orderkey) WHEN 2 THEN concat('ftp://apply.example.org/', o_orderkey) END",
         "apply_email": "CASE WHEN o_orderkey % 5 = 0 THEN concat('jobs', o_orderkey, '@example.org') END",
         "description": "concat('About the role. The ', CASE o_orderkey % 3 WHEN 0 THEN 'policy' WHEN 1 THEN 'health' ELSE 'gender' END, ' team hosts an intern. Apply by the date.')",
-        "raw": "CASE WHEN o_orderkey % 2 = 0 THEN concat('{\"structured\":{\"data\":{\"application_email\":\"hr', o_orderkey % 9, '@example.org\",\"application_url\":\"https://forms.example.org/', o_orderkey, '\",\"how_to_apply\":\"Send a letter\",\"sections\":[{\"title\":\"About\",\"paragraphs\":[\"Line ', o_orderkey % 5, '\",7],\"bullets\":[\"a\"]},{\"title\":\"\",\"paragraphs\":[],\"bullets\":[null]}],\"summary\":\"', CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE concat('Role ', o_orderkey) END, '\"}},\"repostedToChannel\":', CASE WHEN o_orderkey % 8 = 0 THEN 'true' ELSE 'false' END, '}') ELSE '{}' END",
+        "raw": "CASE WHEN o_orderkey % 2 = 0 THEN concat('{\"structured\":{\"data\":{\"application_email\":\"hr', o_orderkey % 9, '@example.org\",\"application_url\":\"https://forms.example.org/', o_orderkey, '\",\"how_to_apply\":\"Send a letter\",\"sections\":[{\"bullets\":[\"a\"],\"paragraphs\":[\"Line ', o_orderkey % 5, '\",7],\"title\":\"About\"},{\"bullets\":[null],\"paragraphs\":[],\"title\":\"\"}],\"summary\":\"', CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE concat('Role ', o_orderkey) END, '\"}},\"repostedToChannel\":', CASE WHEN o_orderkey % 8 = 0 THEN 'true' ELSE 'false' END, '}') ELSE '{}' END",
         "field_tags": "split(CASE o_orderkey % 3 WHEN 0 THEN 'policy,governance' WHEN 1 THEN 'health' ELSE 'gender,human-rights' END, ',')",
     },
     "postings": {
