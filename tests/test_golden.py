@@ -126,6 +126,12 @@ def test_title_and_host_of_a_page(spark):
     assert "second" not in got[0]["description_text"] and got[0]["description_html"].startswith("<h2>Water <b>Intern</b></h2>")
 
 
+def test_references_without_a_semicolon_are_text(spark):
+    rows = [(1, "http://x.example.org/a?b=1&c", f"<article><h1>Water &amp;&amp; Intern&amp</h1>Tea &lt; R&amp D {'word ' * 60}</article>")]
+    got = pages.pages_to_listings(spark.createDataFrame(rows, "page_id int, url string, html string"), gate=False).first()
+    assert got["title"] == "Water && Intern&amp" and "Tea < R&amp D" in got["description_text"]
+
+
 def test_programs_and_evidence(spark):
     agents = {"WhatsApp/2.23": True, "axios/1.6": True, "Chrome-Lighthouse": True, "Mozilla python fan": False, " ": False, "": True, None: True, "python-requests/2": True}
     assert column(spark, list(agents), gates.is_bot) == list(agents.values())
