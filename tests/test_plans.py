@@ -49,3 +49,32 @@ def test_equal_listings_are_not_compared_with_each_other(spark):
     assert (classes.count(), members.count(), resolve.class_pairs(classes).count()) == (1, 3000, 0)
     found = resolve.dup_clusters(items).agg(F.count("id"), F.min("size"), F.max("canonical_id")).first()
     assert tuple(found) == (3000, 3000, 0)
+
+
+def test_large_blocks_meet_in_cells_that_hold_no_table_of_words(spark, monkeypatch):
+    """Blocks above the bounds give the pairs that all comparisons give; words of classes are in no table that is kept."""
+    import random
+
+    from jobweave.operators import resolve
+
+    draw = random.Random(5)
+    words = [f"word{i:02d}" for i in range(40)]
+    rows = [(i, "Water Office", ("", "Jimma", "Adama")[i % 3], " ".join(draw.sample(words, draw.choice((3, 6, 12, 24, 36)))), f"u{i}") for i in range(120)]
+    items = spark.createDataFrame(rows, "id long, title string, location string, text string, source_url string")
+    sets = {r[0]: (r[2], set(r[3].split())) for r in rows}
+    share = lambda a, b: len(a & b) / len(a | b)
+    expected = {(a, b) for a in sets for b in sets if a < b and "" in (sets[a][0], sets[b][0], "" if sets[a][0] == sets[b][0] else None) and share(sets[a][1], sets[b][1]) >= 0.5}
+    held, keep = [], resolve.kept
+    monkeypatch.setattr(resolve, "kept", lambda df: held.append(df.columns) or keep(df))
+    monkeypatch.setattr(resolve, "MEMBERS", 7)
+    monkeypatch.setattr(resolve, "PAIRS", 50)
+    monkeypatch.setattr(resolve, "DENSE", 0.3)
+    found = resolve.dup_pairs(items).collect()
+    assert expected and {(r["a"], r["b"]) for r in found} == expected and len(found) == len(expected)
+    assert all(r["similarity"] == share(sets[r["a"]][1], sets[r["b"]][1]) for r in found)
+    root = {i: i for pair in expected for i in pair}
+    for _ in root:
+        for a, b in expected:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r["id"]: r["cluster"] for r in resolve.dup_clusters(items).collect()} == root
+    assert held and not any("tokens" in c for c in held)
