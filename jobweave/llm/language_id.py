@@ -11,8 +11,8 @@ second one for contexts.
 
 A text goes to the language with the lowest cross-entropy per character.  The
 score is the softmax of the negated cross-entropies, at the temperature that makes
-it most likely on a bounded sample of training documents; below a threshold that
-keeps a given share of them, a text may be rejected.
+it most likely on all training documents; below a threshold that keeps a given share of
+them, a text may be rejected.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,9 @@ from jobweave.llm.blocks import Words, filled, gaps, text_blocks
 from jobweave.llm.components import durable
 
 ORDER = 5
-#: Training documents that the temperature is fitted on, about.
-CALIBRATION = 2000
+TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+#: Bins of one look at the scores, and looks: each one goes into the bin that holds the threshold.
+BINS, LOOKS = 4096, 3
 UNKNOWN = "und"
 #: Words are letters (Unicode category L) with the marks on them; numbers and signs are none, whatever \w takes them for.
 _LETTERS, _ASCII = regex.compile(r"\p{L}[\p{L}\p{M}]*"), re.compile(r"[a-z]+")
@@ -263,46 +264,69 @@ def _gathered(estimates: DataFrame, languages: list[str], hashed, empty: float)
     return Table(key.view(np.uint64), lang, value, empty)
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: float = 0.995) -> Models:
-    """Models of the languages in ``lang_col`` of all documents where ``usable`` holds, and their calibration.
+def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang") -> Models:
+    """Models of the languages in ``lang_col`` of all documents where ``usable`` holds, not calibrated yet.
 
     Rows with a null text or language are not used.  All n-grams of a language are counted and
     estimated in Spark; the driver gathers the finished shares, so what it holds and every task
-    gets grows with the different n-grams of the corpus.  The threshold of rejection is the
-    score that the share ``keep`` of the calibration documents reaches.  An empty table gives
-    models of no language.
+    gets grows with the different n-grams of the corpus.  An empty table gives models of no language.
     """
-    rows = docs.where(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
+    rows = docs.where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
     grams = durable(gram_counts(word_counts(rows, "text", "lang")))
     known = grams.select("lang").distinct().orderBy("lang").collect()
     languages = [r["lang"] for r in known]
     alphabet = grams.select(F.expr("right(gram, 1)")).distinct().count()
     shares, rests = discounted(grams)
-    models = Models(languages, _gathered(shares, languages, _hash_grams, 0.0), _gathered(rests, languages, _hash_contexts, 1.0), 1.0 / (alphabet + 1))
-    if not languages:
+    return Models(languages, _gathered(shares, languages, _hash_grams, 0.0), _gathered(rests, languages, _hash_contexts, 1.0), 1.0 / (alphabet + 1))
+
+
+def calibrated(scored: DataFrame, models: Models, lang_col: str = "lang", keep: float = 0.995) -> Models:
+    """The models with the temperature and threshold of rejection that all these rows of entropies() give: the threshold
+    is the score that the share ``keep`` of them reaches.  Sums and counts of bins leave Spark, whatever the table."""
+    if not models.languages:
+        return models
+    own = F.array_position(_names(models), F.col(lang_col).cast("string")).cast("int")
+    rows = scored.where("letters > 0").select("entropy", own.alias("own")).where("own > 0")
+    likely = lambda t: _weight(t) * F.exp((F.array_min("entropy") - F.get("entropy", F.col("own") - 1)) * t)
+    losses = rows.agg(*[F.avg(-F.log(F.greatest(likely(t), F.lit(1e-12)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).first()
+    if losses[0] is None:
         return models
-    every = max(1, rows.count() // CALIBRATION)
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    got = entropies(some, models, "text").where("letters > 0").select("lang", "entropy").collect()
-    if got:
-        e = np.array([r["entropy"] for r in got])
-        y = np.array([models.languages.index(r["lang"]) if r["lang"] in models.languages else -1 for r in got])
-        e, y = e[y >= 0], y[y >= 0]
-        best = min((_loss(e, y, t), t) for t in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0))
-        models.temperature = best[1]
-        own = _softmax(e, models.temperature)[np.arange(len(y)), e.argmin(axis=1)]
-        models.threshold = float(np.quantile(own, 1 - keep)) if len(own) else 0.0
-    return models
+    temperature = min(zip(losses, TEMPERATURES, strict=True))[1]
+    threshold = _reached(rows.select(_weight(temperature).alias("score")), 1 - keep)
+    return replace(models, temperature=temperature, threshold=threshold)
+
+
+def _reached(scores: DataFrame, share: float) -> float:
+    """The score (0 to 1) that stands at this share of all in their order."""
+    low, width = 0.0, 1.0
+    rank: int | None = None
+    for _ in range(LOOKS):
+        at = F.least(F.lit(BINS - 1), F.floor((F.col("score") - low) / width * BINS)).alias("bin")
+        bins = sorted((r["bin"], r["count"]) for r in scores.where((F.col("score") >= low) & (F.col("score") <= low + width)).groupBy(at).count().collect())
+        rank = int((sum(n for _, n in bins) - 1) * share) if rank is None else rank
+        for k, n in bins:
+            if rank < n or k == bins[-1][0]:
+                break
+            rank -= n
+        low, width = low + k * width / BINS, width / BINS
+    return scores.where(F.col("score") >= low).agg(F.min("score")).first()[0] or 0.0
+
+
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: float = 0.995) -> Models:
+    """Models of train(), calibrated on all documents that they are trained on; ``id_col`` is not read."""
+    models = train(docs, usable, text_col, lang_col)
+    rows = docs.where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
+    return calibrated(durable(entropies(rows, models, "text").select("lang", "letters", "entropy")), models, "lang", keep) if models.languages else models
 
 
-def _softmax(entropy: np.ndarray, temperature: float) -> np.ndarray:
-    x = -(entropy - entropy.min(axis=1, keepdims=True)) * temperature
-    x = np.exp(x)
-    return x / x.sum(axis=1, keepdims=True)
+def _names(models: Models) -> Column:
+    return F.array(*[F.lit(x) for x in models.languages])
 
 
-def _loss(entropy: np.ndarray, y: np.ndarray, temperature: float) -> float:
-    return float(-np.log(np.maximum(_softmax(entropy, temperature)[np.arange(len(y)), y], 1e-12)).mean())
+def _weight(temperature: float) -> Column:
+    """Softmax of the language with the lowest entropy."""
+    low = F.array_min("entropy")
+    return F.aggregate("entropy", F.lit(0.0), lambda acc, e: acc + F.exp((low - e) * temperature), lambda acc: 1 / acc)
 
 
 class _WordScores:
@@ -381,16 +405,15 @@ def predict(docs: DataFrame, models: Models, text_col: str = "text", reject_belo
     """
     if not models.languages:
         return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
-    names = F.array(*[F.lit(x) for x in models.languages])
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = entropies(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).alias("text")), models, "text")
-    low = F.array_min("entropy")
-    weight = F.aggregate("entropy", F.lit(0.0), lambda acc, e: acc + F.exp((low - e) * models.temperature), lambda acc: 1 / acc)
     known = (F.col("letters") > 0) & F.col("text").isNotNull()
-    scored = rows.select(
-        "row", F.when(known, weight).otherwise(0.0).alias("score"),
-        F.when(known, F.get(names, F.array_position("entropy", low).cast("int") - 1)).otherwise(UNKNOWN).alias("lang_pred"),
-    )
-    if reject_below is not None:
-        scored = scored.withColumn("lang_pred", F.when(F.col("score") < reject_below, UNKNOWN).otherwise(F.col("lang_pred")))
-    return scored.select("row.*", "lang_pred", "score")
+    lang, score = labels(models, known, reject_below)
+    return rows.select("row", lang.alias("lang_pred"), score.alias("score")).select("row.*", "lang_pred", "score")
+
+
+def labels(models: Models, known: Column, reject_below: float | None = None) -> tuple[Column, Column]:
+    """The language and score of a row of entropies(), as predict() gives them; ``known`` tells whether it has any."""
+    score = F.when(known, _weight(models.temperature)).otherwise(0.0)
+    lang = F.when(known, F.get(_names(models), F.array_position("entropy", F.array_min("entropy")).cast("int") - 1)).otherwise(UNKNOWN)
+    return lang if reject_below is None else F.when(score < reject_below, UNKNOWN).otherwise(lang), score

@@ -15,6 +15,7 @@ from jobweave.llm import (
     chat_format, embedding_dedup, exact_dedup, language_id, merkle_manifest, minhash_dedup, packing, pii, secret_scan, sentencepiece_codec, source_divergence,
     token_counts, toxicity,
 )
+from jobweave.llm.components import durable
 
 
 def vocabulary(name: str) -> str:
@@ -93,11 +94,16 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    models = language_id.fit(docs, fold() != 1)
-    return language_id.predict(docs.select("doc_id", "text"), models).select(
-        "doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score",
-        ((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") < models.threshold)).alias("rejected"),
-    )
+    models = language_id.train(docs, fold() != 1)
+    held_out = F.coalesce(fold() == 1, F.lit(False)).alias("held_out")
+    if not models.languages:
+        return language_id.predict(docs, models).select("doc_id", held_out, "lang_pred", "score", F.lit(False).alias("rejected"))
+    # Texts are scored once, for the calibration on all training documents and for the predictions.
+    scored = durable(language_id.entropies(docs.select("doc_id", "lang", "text"), models).drop("text"))
+    models = language_id.calibrated(scored.where((fold() != 1) & F.col("lang").isNotNull()), models)
+    lang, score = language_id.labels(models, F.col("letters") > 0)
+    rows = scored.select("doc_id", held_out, lang.alias("lang_pred"), score.alias("score"))
+    return rows.withColumn("rejected", (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") < models.threshold))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -715,3 +715,15 @@ def test_pipeline(spark, sf_dir):
     assert set(left) < set(clean) and len(left) > 0.7 * len(clean)
     packed = cp.run(spark, sf_dir)
     assert packed.select("doc_id").distinct().count() == len(left)
+
+
+def test_languages_are_calibrated_on_all_training_documents(spark):
+    """Temperature and threshold are those of every row: of 4,000 rows a few are least certain, and a sample misses most of them."""
+    models = language_id.Models(["a", "b"], language_id.Table(*[np.empty(0, t) for t in (np.uint64, np.int16, np.float32)], 0.0), language_id.Table(*[np.empty(0, t) for t in (np.uint64, np.int16, np.float32)], 1.0), 0.5)
+    n = 4000
+    rows = spark.range(n).selectExpr("id", "IF(id % 2 = 0, 'a', 'b') AS lang", "3L AS letters", f"IF(id % 2 = 0, array(1.0D, 1.0D + id / {n}), array(1.0D + id / {n}, 1.0D)) AS entropy")
+    got = language_id.calibrated(rows, models, keep=0.9)
+    gap = np.arange(n) / n
+    score = lambda t: 1 / (1 + np.exp(-gap * t))
+    assert got.temperature == min((float(-np.log(score(t)).mean()), t) for t in language_id.TEMPERATURES)[1]
+    assert got.threshold == pytest.approx(np.sort(score(got.temperature))[int((n - 1) * 0.1)], abs=1e-9)
