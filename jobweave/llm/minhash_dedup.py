@@ -65,7 +65,7 @@ LIKELY_ABOVE, LIKELY_LEADERS = 0.05, 2
 #: Trees of the first waves, and leaders of a node in the first one, which only joins what is large; all other trees follow in one wave.
 WAVES, FIRST_LEADERS = (2, 6), 2
 #: Members of a meeting at most, and shared shingles of a meeting that are counted at a time.
-MEETING, COLUMNS = 256, 1 << 14
+MEETING, COLUMNS = 512, 1 << 14
 #: Classes whose links are audited, links of each at most, how many equal minwise values make a partner (six deviations below
 #: the threshold), the share of the links to be joined, trees added at a time and at most, and the share below which all are compared.
 AUDITED, PARTNERS, ALIKE, RECALL, MORE_TREES, MOST_TREES, LEAST_RECALL = 1000, 8, 32, 0.99, 8, 64, 0.9

@@ -727,3 +727,16 @@ def test_languages_are_calibrated_on_all_training_documents(spark):
     score = lambda t: 1 / (1 + np.exp(-gap * t))
     assert got.temperature == min((float(-np.log(score(t)).mean()), t) for t in language_id.TEMPERATURES)[1]
     assert got.threshold == pytest.approx(np.sort(score(got.temperature))[int((n - 1) * 0.1)], abs=1e-9)
+
+
+def test_members_of_a_large_node_meet_few_times_and_all_pairs_meet():
+    n = minhash_dedup.FULL
+    members = (np.full(n, 7, np.uint64), np.arange(n), np.arange(n), np.zeros((n, minhash_dedup.COORDINATES), np.uint8))
+    keys, ids, _, _ = minhash_dedup._block_meetings(members)
+    assert len(ids) <= 3 * n
+    met = np.zeros((n, n), bool)
+    for k in np.unique(keys):
+        some = ids[keys == k]
+        assert len(some) <= minhash_dedup.MEETING
+        met[np.ix_(some, some)] = True
+    assert met.all()
