@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions.text import collapse, detect_paid, extract_stipend, filled, find_deadline, html_to_text, matches, org_from_title, parse_deadline, top_meta
 from jobweave.operators.gates import is_internship, is_roundup
+from jobweave.operators.kept import kept
 from jobweave.sources.normalize import listing
 from jobweave.sources.pages import apply_links
 from jobweave.sources.payloads import instant, vacancy_rows
@@ -35,14 +36,22 @@ def _listed(lists: DataFrame, what: str, base: str, *fields: str) -> DataFrame:
     return _first(each.select("page_id", "pos", _address(F.col("c.href"), base).alias("url"), *[F.col(f"c.{f}").alias(f) for f in fields]))
 
 
+def _read(asked: DataFrame, details: DataFrame, body: str) -> DataFrame:
+    """The rows (url, title and others) with posted_at and the body (b) of the pages (url, html) that they lead to, internships by the
+    page's title or else their own.  Pages that no row leads to are not parsed."""
+    joined = asked.join(details.select("url", "html"), "url").withColumn("posted_at", _published(F.col("html")))
+    rows = read_pages(joined, body).withColumnRenamed(body, "b")
+    return rows.withColumn("title", F.coalesce(filled(F.col("b.title")), "title")).where(is_internship(F.col("title")))
+
+
 def card_listings(lists: DataFrame, details: DataFrame, source: str = "ethiongojobs", base: str = "https://www.ethiongojobs.com") -> DataFrame:
     """Cards on list pages (page_id, url, html) with the pages they lead to (url, html): internships that are no roundups, each
     address once.  The page's title counts, else the card's; a local board, so reach isn't asked."""
     cards = _listed(lists, "cards", base, "title", "source_id", "excerpt", "classes")
     asked = cards.where((F.col("title") == "") | (is_internship(F.col("title")) & ~is_roundup(F.col("title"))))
-    read = read_pages(details.select("url", "html", _published(F.col("html")).alias("posted_at")), "board_body").select("url", "posted_at", F.col("board_body").alias("b"))
-    rows = asked.join(read, "url").withColumn("title", F.coalesce(filled(F.col("b.title")), "title")).where(is_internship(F.col("title")))
-    rows = rows.withColumn("text", html_to_text(F.col("b.html"))).withColumn("m", top_meta(F.col("text")))
+    rows = _read(asked, details, "board_body")
+    # The rows go two ways, to their links and to their fields; without this step every page would be read for each.
+    rows = kept(rows.withColumn("text", html_to_text(F.col("b.html"))).withColumn("b", F.struct("b.cleaned"))).withColumn("m", top_meta(F.col("text")))
     best = apply_links(rows.select(F.col("url").alias("page_id"), "url", F.col("b.cleaned").alias("html"))).select(F.col("page_id").alias("url"), F.col("url").alias("apply_url"))
     place = F.coalesce("m.location", "m.duty_station", "m.work_location")
     remote = matches(F.lower("text"), r"\bremote\b|home-?based") | F.array_contains("classes", "category-remote-jobs") | matches(place, r"(?i)\bremote\b")
@@ -73,8 +82,7 @@ ARCHIVE_PLACE = r"(?i)\bLocation\s*:\s*([^\n.;]{2,80})"
 def archive_listings(lists: DataFrame, details: DataFrame, base: str = "https://ethdefenders.org", org_name: str = "Ethiopian Human Rights Defenders Center", org_slug: str = "ehrdc") -> DataFrame:
     """Posts that an archive's pages (page_id, url, html) link, with the pages (url, html): those whose title names an internship."""
     links = _listed(lists, "posts", base, "title").where(is_internship(F.col("title")))
-    read = read_pages(details.select("url", "html", _published(F.col("html")).alias("posted_at")), "post_body").select("url", "posted_at", F.col("post_body").alias("b"))
-    rows = links.join(read, "url").withColumn("title", F.coalesce(filled(F.col("b.title")), "title")).where(is_internship(F.col("title"))).withColumn("text", F.col("b.text"))
+    rows = _read(links, details, "post_body").withColumn("text", F.col("b.text"))
     low, number = F.lower("text"), F.regexp_extract("url", r"[?&]p=(\d+)", 1)
     place = filled(F.regexp_replace(collapse(F.regexp_extract(F.substring("text", 1, 600), ARCHIVE_PLACE, 1)), r"[.;]+$", ""))
     return listing(rows.select(
