@@ -17,7 +17,7 @@ hash, and its queries go to all its parts; the queries of a shard are split into
 blocks too, so the memory of a task is bounded whatever the data.
 
 Recall is audited: the links of a bounded number of classes are counted by brute
-force over all rows, in blocks, and the search is widened until enough are found.
+force over all rows, in blocks, and the search is widened by further shards until enough are found.
 Where the widest search still finds too few, every query is compared with every
 node, in the same blocks.  Vectors of each length have an index of their own.
 """
@@ -268,8 +268,8 @@ class _Index:
         rows = [(s, values.get(s, 1)) for s in range(len(self.centres))]
         return F.broadcast(self.spark.createDataFrame(rows, f"shard int, {name} int"))
 
-    def _dealt(self, nearest: int) -> DataFrame:
-        """A row for each class and each of its nearest centres: shard, own (the nearest), id, n, vec."""
+    def _dealt(self, nearest: int, beyond: int = 0) -> DataFrame:
+        """A row for each class and each of its nearest centres but the first ``beyond``: shard, own (the nearest), id, n, vec."""
         centres, dimension = self.spark.sparkContext.broadcast(self.centres), self.dimension
         nearest = min(nearest, len(self.centres))
 
@@ -278,9 +278,9 @@ class _Index:
                 for a in range(0, batch.num_rows, 1024):
                     part = batch.slice(a, 1024)
                     sims = _unit(part.column(2).to_pylist(), dimension) @ centres.value.T
-                    top = np.argsort(-sims, axis=1, kind="stable")[:, :nearest]
-                    row = pa.array(np.repeat(np.arange(part.num_rows), nearest))
-                    own = np.tile(np.arange(nearest) == 0, part.num_rows)
+                    top = np.argsort(-sims, axis=1, kind="stable")[:, beyond:nearest]
+                    row = pa.array(np.repeat(np.arange(part.num_rows), nearest - beyond))
+                    own = np.tile(np.arange(beyond, nearest) == 0, part.num_rows)
                     yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(own), *(c.take(row) for c in part.columns)], ["shard", "own", "id", "n", "vec"])
 
         return self.classes.select("id", "n", "vec").mapInArrow(run, "shard int, own boolean, id bigint, n bigint, vec binary")
@@ -298,13 +298,15 @@ class _Index:
         built = self.members.select("shard", "part", "id", "vec").groupBy("shard", "part").applyInArrow(build, "id bigint, near array<bigint>")
         return built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
-    def links(self, threshold: float, probes: int, beam: int | None) -> DataFrame:
+    def links(self, threshold: float, probes: int, beam: int | None, beyond: int = 0) -> DataFrame:
         """Rows of two kinds: links (id, the number of links found in one part), and forest edges (id, root).
+        A query looks in the shards of its ``probes`` nearest centres but the first ``beyond``; as a link counts in the one
+        shard that owns its target, the links of such rings add up.
 
         Without a beam every query is compared with every node of the parts that it is dealt to.
         """
         dimension = self.dimension
-        wanted = self._dealt(probes)
+        wanted = self._dealt(probes, beyond)
         blocks = self._by_shard({r["shard"]: max(1, -(-r["count"] // QUERIES)) for r in wanted.groupBy("shard").count().collect()}, "blocks")
         block = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("blocks")).cast("int").alias("block")
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -385,19 +387,25 @@ def _linked(classes: DataFrame, dimension: int, total: int, threshold: float) ->
     index, truth = _Index(classes, dimension, total), audit(classes, dimension, threshold)
     asked = classes.sparkSession.createDataFrame(list(truth.items()), "id bigint, n_true bigint").where("n_true > 0")
 
-    def tried(probes: int, beam: int | None) -> tuple[DataFrame, float]:
-        found = durable(index.links(threshold, probes, beam))
+    def share(found: DataFrame) -> float:
         counts = found.where("kind = 0").groupBy("id").agg(F.sum("value").alias("found"))
-        share = asked.join(counts, "id", "left").select("n_true", F.least(F.coalesce("found", F.lit(0)), "n_true").alias("got"))
+        each = asked.join(counts, "id", "left").select("n_true", F.least(F.coalesce("found", F.lit(0)), "n_true").alias("got"))
         # Of all links, and of a class on average, so that large groups don't hide what small ones lose.
-        got = share.agg((F.sum("got") / F.sum("n_true")).alias("links"), F.avg(F.col("got") / F.col("n_true")).alias("classes")).first()
-        return found, 1.0 if got["links"] is None else min(got["links"], got["classes"])
+        got = each.agg((F.sum("got") / F.sum("n_true")).alias("links"), F.avg(F.col("got") / F.col("n_true")).alias("classes")).first()
+        return 1.0 if got["links"] is None else min(got["links"], got["classes"])
 
+    found, recall, seen = None, 0.0, 0
     for step, probes in enumerate(PROBES):
-        found, recall = tried(probes, BEAM << step)
+        # Only shards that no query has been to; what was found before stays.
+        ring = durable(index.links(threshold, probes, BEAM << step, seen))
+        found = ring if found is None else found.unionByName(ring)
+        recall, seen = share(found), probes
         if recall >= RECALL or probes >= len(index.centres):
             break
-    return (found, recall) if recall >= LEAST_RECALL else tried(len(index.centres), None)
+    if recall < LEAST_RECALL:
+        found = durable(index.links(threshold, len(index.centres), None))
+        recall = share(found)
+    return found, recall
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
