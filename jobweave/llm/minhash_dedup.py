@@ -6,11 +6,11 @@ eight bits.  In each of ``TREES`` independent trees, a node chooses one or two
 coordinates by a hash of its path, 1 / similarity of them on average, and a class
 moves on to one child for each, named by its minwise value there.  A pair at the
 threshold so keeps one shared child on average at every level, while unrelated
-sets part.  Members of a node with at most ``SMALL`` classes meet, and so do those of
-one with at most ``FULL`` that all resemble the first, if they may resemble another
-one by their minwise values.  In larger nodes of that kind members meet the node's
-leaders; one that surely resembles a leader is settled there, all others move on to
-the children.
+sets part.  In a node with at most ``SCREENED`` classes those that may resemble one of
+another component there, by their minwise values, go on, and no others do.  They meet if they are
+``FULL`` at most, or if few are outside their largest component.  In larger nodes they
+move on to the children; where all resemble the first, they meet the node's leaders
+before, and one that surely resembles a leader is settled there.
 
 A meeting has a bounded number of members and holds their full sets, so all its pairs
 are compared exactly in one task, and only links that join it leave that task: neither
@@ -50,13 +50,13 @@ from jobweave.llm.components import connected_components, durable, packed, writt
 COORDINATES = 64
 TREES = 16
 SMALL = 32
-#: Members of a node whose members resemble each other, up to which all are compared: each level less saves members a fourth of the copies.
-FULL = 1024
+#: Members of a node up to which each is compared with all others by minwise values, and only those that may resemble one of another
+#: component go on; and how many of these meet at once: each level less saves members a fourth of the copies.
+SCREENED, FULL = 2048, 1024
 #: Rows of a larger node that decide whether it branches at once or gets leaders, and leaders of a node whose other members branch.
 PROBE, LEADERS = 1024, 8
-#: Levels below the first after which all members of any node up to PROBE rows meet, in blocks; a larger one branches on, until from
-#: level MAX_DEPTH on leaders settle what is left, as many as it takes.
-EXTRA, MAX_DEPTH = 2, 12
+#: The level from which on leaders settle what is left, as many as it takes.
+MAX_DEPTH = 12
 #: Shares of equal minwise values: below WEAK a pair is no candidate at a similarity of 0.8 (four deviations), from STRONG on it joins.
 WEAK_BELOW = 0.2
 STRONG = 0.93
@@ -220,6 +220,18 @@ def _meeting_in(members: Members, starts: np.ndarray, size: int, weak: float) ->
     return np.concatenate(out)
 
 
+def _resembling(members: Members, weak: float) -> np.ndarray:
+    """Places of the members of one node that may resemble one of another component."""
+    _, _, comps, sigs = members
+    columns, found = np.ascontiguousarray(sigs.T), np.zeros(len(comps), bool)
+    for s in range(0, len(comps), 256):
+        alike = np.zeros((len(comps[s : s + 256]), len(comps)), np.uint8)
+        for c in columns:
+            alike += c[s : s + 256, None] == c
+        found[s : s + 256] = ((alike >= weak * COORDINATES) & (comps[s : s + 256, None] != comps)).any(axis=1)
+    return np.flatnonzero(found)
+
+
 class _Leaders:
     """Members of one node, each compared with the leaders so far; one that they don't settle leads, up to ``most`` leaders.
 
@@ -267,20 +279,33 @@ class _Leaders:
         return [(name(numbers), hit[1], hit[2], hit[3][:0]), own]
 
 
+def _in_largest(comps: np.ndarray) -> np.ndarray:
+    """Which members are in the component that most are in."""
+    _, number, count = np.unique(comps, return_inverse=True, return_counts=True)
+    return number == count.argmax()
+
+
 def _block_meetings(members: Members) -> Members:
-    """Meetings in which all pairs of a node's members meet: of every two of its blocks."""
+    """Meetings in which all pairs of a node's members meet that are in two components: all that are outside the largest component with
+    a part of it in turn where they are few, else every two of the node's blocks."""
     keys, n = members[0], len(members[1])
-    blocks = -(-2 * n // MEETING)
-    at = [np.arange(n * i // blocks, n * (i + 1) // blocks) for i in range(blocks)]
-    pairs = [(i, j) for i in range(blocks) for j in range(i + 1, blocks)] or [(0, 0)]
-    rows = np.concatenate([np.concatenate([at[i], at[j]]) if i < j else at[i] for i, j in pairs])
-    number = np.repeat(np.arange(1, len(pairs) + 1, dtype=np.uint64), [len(at[i]) + (len(at[j]) if i < j else 0) for i, j in pairs])
+    largest = _in_largest(members[2])
+    others = np.flatnonzero(~largest)
+    if MEETING < n and len(others) <= MEETING // 2:
+        within = np.flatnonzero(largest)
+        parts = -(-len(within) // (MEETING - len(others)))
+        dealt = [np.concatenate([others, within[len(within) * i // parts : len(within) * (i + 1) // parts]]) for i in range(parts)]
+    else:
+        blocks = -(-2 * n // MEETING)
+        at = [np.arange(n * i // blocks, n * (i + 1) // blocks) for i in range(blocks)]
+        dealt = [np.concatenate([at[i], at[j]]) for i in range(blocks) for j in range(i + 1, blocks)] or at
+    rows = np.concatenate(dealt)
+    number = np.repeat(np.arange(1, len(dealt) + 1, dtype=np.uint64), [len(d) for d in dealt])
     return (_mixed(keys[rows] + number * _MIX2), *_of(members[1:], rows))
 
 
-def _level(similarity: float, meet: bool, last: bool, most: int, trust: bool):
-    """One level of all trees, over rows sorted by node: the rows of meetings and those of the next level.  With ``meet`` all members of
-    a node that a task can hold do."""
+def _level(similarity: float, last: bool, most: int, trust: bool):
+    """One level of all trees, over rows sorted by node: the rows of meetings and those of the next level."""
     weak = similarity - WEAK_BELOW
 
     def large(members, leaders):
@@ -327,30 +352,29 @@ def _level(similarity: float, meet: bool, last: bool, most: int, trust: bool):
             sizes = np.diff(np.concatenate([starts, [len(keys)]]))
             if more:  # the last node may go on in the next batch
                 s, n = int(starts[-1]), int(sizes[-1])
-                if n < PROBE:
+                if n < SCREENED:
                     held = _of(members, slice(s, None))
                 else:
                     streaming = (keys[s], verdict(sigs[s : s + PROBE]))
                     yield from large(_of(members, slice(s, None)), streaming[1])
                 starts, sizes = starts[:-1], sizes[:-1]
-            whole = sizes <= SMALL
-            blocks = np.zeros(len(sizes), bool)
-            for i in np.flatnonzero(sizes > SMALL).tolist():
-                full = sizes[i] <= FULL and (meet or dense(sigs[starts[i] : starts[i] + sizes[i]]))
-                whole[i], blocks[i] = full and sizes[i] <= MEETING, full and sizes[i] > MEETING
-            for size in range(2, MEETING + 1):
-                at = starts[whole & (sizes == size)]
+            small = sizes <= SMALL
+            for size in range(2, SMALL + 1):
+                at = starts[small & (sizes == size)]
                 if len(at) and len(some := _meeting_in(members, at, size, weak)):
                     yield _node_batch(_of(members, some), True)
-            for s, n in zip(starts[blocks].tolist(), sizes[blocks].tolist(), strict=True):
-                yield _node_batch(_block_meetings(_of(members, slice(s, s + n))), True)
             branch = []
-            for s, n in zip(starts[~whole & ~blocks].tolist(), sizes[~whole & ~blocks].tolist(), strict=True):
-                leaders = verdict(sigs[s : s + min(n, PROBE)])
-                if leaders is None:
-                    branch.append(np.arange(s, s + n))
+            for s, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+                # A member that resembles none of another component here does so in no child either.
+                at = s + (_resembling(_of(members, slice(s, s + n)), weak) if n <= SCREENED else np.arange(n))
+                if not len(at):
+                    continue
+                if len(at) <= FULL or len(at) <= SCREENED and (~_in_largest(members[2][at])).sum() <= min(MEETING, len(at)) // 2:
+                    yield _node_batch(_block_meetings(_of(members, at)), True)
+                elif (leaders := verdict(sigs[at[:PROBE]])) is None:
+                    branch.append(at)
                 else:
-                    yield from large(_of(members, slice(s, s + n)), leaders)
+                    yield from large(_of(members, at), leaders)
             if branch:
                 yield from large(_of(members, np.concatenate(branch)), None)
 
@@ -397,7 +421,7 @@ def meetings(classes: DataFrame, similarity: float, trees: range, first: bool =
         open_ = nodes.withColumn("lo", F.min("comp").over(node)).withColumn("hi", F.max("comp").over(node)).where("lo < hi").drop("lo", "hi")
         # The order inside a node differs from node to node, so that leaders do.  Few rows need few tasks, which hold nodes whole.
         ordered = packed(open_, 8 * rows).sortWithinPartitions("key", F.xxhash64("key", "id"))
-        level = durable(ordered.mapInArrow(_level(similarity, depth >= first_depth + EXTRA, last, FIRST_LEADERS if first else LEADERS, first), _NODE))
+        level = durable(ordered.mapInArrow(_level(similarity, last, FIRST_LEADERS if first else LEADERS, first), _NODE))
         found = level.where("meets").select("key", "id", "comp")
         met = found if met is None else met.unionByName(found)
         rows = level.where("NOT meets").count()
