@@ -8,7 +8,7 @@ neighbour is much closer to another kept one than to the node.  The adjacency
 lists that a node got in its shards are united.  Each class is then looked for in
 the shards of its nearest centres: a greedy beam search from the shard's medoid
 finds the neighbourhood, and range expansion follows all edges from nodes within
-the threshold until no new one is found.  Pairs are verified in double precision.
+the threshold, and from the query's own node where it stands in the shard, until no new one is found.  Pairs are verified in double precision.
 
 A pair counts in the shard that owns its target, so no pair is met twice and no
 table of pairs is needed: a task returns each query's number of links and a
@@ -140,15 +140,17 @@ def linked(adjacency: np.ndarray, extra: int = 16) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, adjacency: np.ndarray, entry: np.ndarray, queries: np.ndarray, radius: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) within the radius that greedy search and range expansion reach, each once."""
-    found = [_search(x, adjacency, np.unique(entry), queries[a : a + TOGETHER], radius, beam) for a in range(0, len(queries), TOGETHER)]
+def search(x: np.ndarray, adjacency: np.ndarray, entry: np.ndarray, queries: np.ndarray, radius: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) within the radius that greedy search and range expansion reach, each once.  ``own`` is the node that a
+    query is itself, or -1: expansion begins there too, as no edge may lead into its group from elsewhere."""
+    own = np.full(len(queries), -1) if own is None else own
+    found = [_search(x, adjacency, np.unique(entry), queries[a : a + TOGETHER], own[a : a + TOGETHER], radius, beam) for a in range(0, len(queries), TOGETHER)]
     pairs = [np.empty(0, np.int64), *(pair + k * TOGETHER * len(x) for k, pair in enumerate(found))]
     pair = np.concatenate(pairs)
     return pair // len(x), pair % len(x)
 
 
-def _search(x: np.ndarray, adjacency: np.ndarray, start: np.ndarray, queries: np.ndarray, radius: float, beam: int) -> np.ndarray:
+def _search(x: np.ndarray, adjacency: np.ndarray, start: np.ndarray, queries: np.ndarray, own: np.ndarray, radius: float, beam: int) -> np.ndarray:
     """Numbers query * nodes + node of the pairs within the radius."""
     m, q, degree = len(x), len(queries), adjacency.shape[1]
     # met holds which place of a round's candidates met a node last, so that a round counts it once; -1 is not met.
@@ -195,13 +197,17 @@ def _search(x: np.ndarray, adjacency: np.ndarray, start: np.ndarray, queries: np
         new_ids, new_sims = np.full((len(active), more), -1, np.int64), np.full((len(active), more), -2.0, np.float32)
         new_ids[row, rank], new_sims[row, rank] = to, s
         changed = np.unique(row)
-        own = active[changed]
-        all_ids = np.concatenate([ids[own], new_ids[changed]], axis=1)
-        all_sims = np.concatenate([sims[own], new_sims[changed]], axis=1)
-        all_closed = np.concatenate([closed[own], new_ids[changed] < 0], axis=1)
+        at = active[changed]
+        all_ids = np.concatenate([ids[at], new_ids[changed]], axis=1)
+        all_sims = np.concatenate([sims[at], new_sims[changed]], axis=1)
+        all_closed = np.concatenate([closed[at], new_ids[changed] < 0], axis=1)
         top = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-        ids[own], sims[own], closed[own] = (np.take_along_axis(z, top, axis=1) for z in (all_ids, all_sims, all_closed))
-    # Range expansion: every node within the radius opens its neighbours.
+        ids[at], sims[at], closed[at] = (np.take_along_axis(z, top, axis=1) for z in (all_ids, all_sims, all_closed))
+    # Range expansion: every node within the radius opens its neighbours, and so does the query's own.
+    who = np.flatnonzero(own >= 0)
+    who = who[met[who, own[who]] < 0]
+    met[who, own[who]] = 0
+    hits.append(who * m + own[who])
     todo = np.concatenate(hits)
     while len(todo):
         todo_q, todo_n = todo // m, todo % m
@@ -335,11 +341,12 @@ class _Index:
             # A few evenly spread entries beside the medoid reach parts of the graph that its edges may not.
             entry = np.unique(np.concatenate([[medoid], np.linspace(0, len(ids) - 1, 8).astype(int)]))
             x32, q32 = x64.astype(np.float32), q64.astype(np.float32)
-            a, b = search(x32, adjacency, entry, q32, threshold - SLACK, beam) if beam else compared(x32, q32, threshold - 1e-4)
+            as_node = order[np.minimum(np.searchsorted(ids[order], q_ids), len(ids) - 1)]
+            itself = np.where(ids[as_node] == q_ids, as_node, -1)
+            a, b = search(x32, adjacency, entry, q32, threshold - SLACK, beam, itself) if beam else compared(x32, q32, threshold - 1e-4)
             # Where both ends are queries and nodes here, what either finds counts for both.
             q_order = np.argsort(q_ids, kind="stable")
             as_query = q_order[np.minimum(np.searchsorted(q_ids[q_order], ids), len(q_ids) - 1)]
-            as_node = order[np.minimum(np.searchsorted(ids[order], q_ids), len(ids) - 1)]
             both = (q_ids[as_query[b]] == ids[b]) & (ids[as_node[a]] == q_ids[a])
             pair = np.unique(np.concatenate([a * len(ids) + b, as_query[b[both]] * len(ids) + as_node[a[both]]]))
             a, b = pair // len(ids), pair % len(ids)

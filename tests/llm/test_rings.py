@@ -23,3 +23,15 @@ def test_rings_add_up(spark, monkeypatch):
     got = np.array([found[i] for i in range(len(x))])
     assert asked == [(1, 0), (3, 1), (8, 3)]
     assert (got <= truth).all() and got.sum() >= 0.98 * truth.sum() > 0
+
+
+def test_a_group_that_no_edge_leads_into_is_found_from_its_own_nodes():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(200, 16))
+    x[100:] = x[100] + 0.02 * draw.normal(size=(100, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    # Two graphs that are not connected, entered in the first one.
+    adjacency = np.concatenate([embedding_dedup.build_graph(x[:100]), embedding_dedup.build_graph(x[100:]) + 100])
+    adjacency[100:][adjacency[100:] == 99] = -1
+    a, b = embedding_dedup.search(x, embedding_dedup.linked(adjacency), np.array([0]), x[100:], 0.9, own=np.arange(100, 200))
+    assert len(a) == len(set(zip(a.tolist(), b.tolist(), strict=True))) == 100 * 100
