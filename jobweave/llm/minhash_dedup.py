@@ -21,9 +21,10 @@ where an average node would be small are computed where the rows are.  Branching
 needs no other row, so a node of any size is streamed through its task.
 
 The trees come in waves.  The first one joins most of a large group; in later ones its
-members carry the component that they are in: nodes of one component end there,
-only members that may resemble another component meet, and no leader settles a
-member that is not in its component already, however much it resembles it.
+members carry the component and the meetings that they are in: nodes of one component
+end there, only members that may resemble another component's member whom they have not met
+yet meet, and no leader settles a member that is not in its component already, however
+much it resembles it.
 
 Recall is audited: partners of a bounded number of classes are looked for among all
 classes by their minwise values, and trees are added until they join enough of the
@@ -189,11 +190,12 @@ def _children(keys: np.ndarray, sigs: np.ndarray, similarity: float) -> tuple[np
     return _mixed(keys[row] * _MIX1 + (coordinate.astype(np.uint64) << np.uint64(8)) + value), row
 
 
-#: Rows of nodes, one array for each column: key of the node, id, component that the class is in, minwise values.
-Members = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Rows of nodes, one array for each column: key of the node, id, component that the class is in, minwise values, and (where told) the
+#: keys of the meetings that the class was in.
+Members = tuple[np.ndarray, ...]
 
 #: A node's row, or that of a meeting (meets), whose key is the meeting's.
-_NODE = "key bigint, id bigint, comp bigint, meets boolean, sig binary"
+_NODE = "key bigint, id bigint, comp bigint, meets boolean, sig binary, seen array<bigint>"
 _NODE_NAMES = [c.split()[0] for c in _NODE.split(", ")]
 
 
@@ -202,34 +204,67 @@ def _of(members: Members, at) -> Members:
 
 
 def _node_batch(members: Members, meets: bool = False) -> pa.RecordBatch:
-    keys, ids, comps, sigs = members
+    keys, ids, comps, sigs, *seen = members
     sig = pa.nulls(len(ids), pa.binary()) if meets else pa.array([r.tobytes() for r in sigs], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(ids), pa.array(comps), pa.array(np.full(len(ids), meets)), sig], _NODE_NAMES)
+    seen = pa.nulls(len(ids), pa.list_(pa.int64())) if meets or not seen else pa.array(seen[0], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(ids), pa.array(comps), pa.array(np.full(len(ids), meets)), sig, seen], _NODE_NAMES)
+
+
+def _seen(lists: pa.Array) -> np.ndarray:
+    """The meetings of each row as an array of its own; those of null are none."""
+    none, out = np.empty(0, np.int64), np.empty(len(lists), object)
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    for i, (a, b) in enumerate(itertools.pairwise(ends.tolist())):
+        out[i] = flat[a:b] if b > a else none
+    return out
+
+
+def _forget_met(apart: np.ndarray, seen: np.ndarray) -> None:
+    """Takes the pairs that share a meeting out of a node's pairs (a square of flags): they were compared on full sets, and what is apart
+    since then is not similar enough."""
+    some = np.flatnonzero(apart.any(axis=1))
+    place = np.repeat(some, [len(x) for x in seen[some]])
+    if not len(place):
+        return
+    keys = np.concatenate(seen[some])
+    order = np.argsort(keys, kind="stable")
+    keys, place = keys[order], place[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(starts[1:], len(keys))
+    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        apart[place[a:b, None], place[a:b]] = False
 
 
 def _meeting_in(members: Members, starts: np.ndarray, size: int, weak: float) -> np.ndarray:
-    """Places of the members that may resemble one of another component, in all nodes with ``size`` members that begin at ``starts``."""
-    _, _, comps, sigs = members
+    """Places of the members that may resemble one of another component that they have not met, in all nodes with ``size`` members
+    that begin at ``starts``."""
+    _, _, comps, sigs, *seen = members
     out = []
     step = max(1, (1 << 21) // (size * size * COORDINATES))
     for s in range(0, len(starts), step):
         at = starts[s : s + step, None] + np.arange(size)
         sig, comp = sigs[at], comps[at]
         alike = (sig[:, :, None, :] == sig[:, None, :, :]).mean(axis=3, dtype=np.float32)
-        out.append(at[((alike >= weak) & (comp[:, :, None] != comp[:, None, :])).any(axis=2)])
+        apart = (alike >= weak) & (comp[:, :, None] != comp[:, None, :])
+        if seen:
+            for i in np.flatnonzero(apart.any(axis=(1, 2))).tolist():
+                _forget_met(apart[i], seen[0][at[i]])
+        out.append(at[apart.any(axis=2)])
     return np.concatenate(out)
 
 
 def _resembling(members: Members, weak: float) -> np.ndarray:
-    """Places of the members of one node that may resemble one of another component."""
-    _, _, comps, sigs = members
-    columns, found = np.ascontiguousarray(sigs.T), np.zeros(len(comps), bool)
+    """Places of the members of one node that may resemble one of another component that they have not met."""
+    _, _, comps, sigs, *seen = members
+    columns, apart = np.ascontiguousarray(sigs.T), np.zeros((len(comps), len(comps)), bool)
     for s in range(0, len(comps), 256):
         alike = np.zeros((len(comps[s : s + 256]), len(comps)), np.uint8)
         for c in columns:
             alike += c[s : s + 256, None] == c
-        found[s : s + 256] = ((alike >= weak * COORDINATES) & (comps[s : s + 256, None] != comps)).any(axis=1)
-    return np.flatnonzero(found)
+        apart[s : s + 256] = (alike >= weak * COORDINATES) & (comps[s : s + 256, None] != comps)
+    if seen:
+        _forget_met(apart, seen[0])
+    return np.flatnonzero(apart.any(axis=1))
 
 
 class _Leaders:
@@ -244,7 +279,7 @@ class _Leaders:
 
     def add(self, members: Members) -> tuple[list[Members], np.ndarray]:
         """Rows of meetings, and the places of the members that no leader settles, leaders among them."""
-        keys, ids, comps, sigs = members
+        keys, ids, comps, sigs = members[:4]
         out, led = [], []
         todo, likely = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         done = 0
@@ -256,7 +291,7 @@ class _Leaders:
                 # Nor need they meet a leader that they may resemble: only one that may settle them.
                 hit = todo[(alike >= (self.weak if self.most is None else self.likely)) & ~same]
                 if len(hit):
-                    out += self._meetings(k, keys[0], _of(members, hit))
+                    out += self._meetings(k, keys[0], _of(members[:4], hit))
                 settles = np.ones(len(todo), bool) if self.trust else same
                 likely[todo] += (alike >= self.likely) & settles
                 todo = todo[~((alike >= STRONG) & settles) & (likely[todo] < LIKELY_LEADERS)]
@@ -328,7 +363,8 @@ def _level(similarity: float, last: bool, most: int, trust: bool):
 
     def read(batch) -> Members:
         keys, ids, comps = (batch.column(i).to_numpy() for i in range(3))
-        return keys.astype(np.uint64), ids, comps, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        sigs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        return keys.astype(np.uint64), ids, comps, sigs, *([_seen(batch.column(4))] if batch.num_columns > 4 else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Members | None = None
@@ -365,7 +401,7 @@ def _level(similarity: float, last: bool, most: int, trust: bool):
                     yield _node_batch(_of(members, some), True)
             branch = []
             for s, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-                # A member that resembles none of another component here does so in no child either.
+                # A member that resembles none of another component here, but whom it has met, does so in no child either.
                 at = s + (_resembling(_of(members, slice(s, s + n)), weak) if n <= SCREENED else np.arange(n))
                 if not len(at):
                     continue
@@ -394,8 +430,8 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def meetings(classes: DataFrame, similarity: float, trees: range, first: bool = False) -> DataFrame:
-    """Meetings (key, id, comp; at most MEETING members each, a few more where keys fall together) of classes (id, comp, sig) that may
-    resemble one of another component, by the trees of these numbers.  The first wave trusts its few leaders."""
+    """Meetings (key, id, comp; at most MEETING members each, a few more where keys fall together) of classes (id, comp, sig, seen: keys
+    of earlier meetings) that may resemble one of another component, by the trees of these numbers.  The first wave trusts its few leaders."""
     total = classes.count()
     first_depth = depth = max(1, math.ceil(math.log(max(total, 2) / SMALL, 256))) if total > SMALL else 1
 
@@ -403,21 +439,21 @@ def meetings(classes: DataFrame, similarity: float, trees: range, first: bool =
         roots = _mixed((np.array(trees, np.uint64) + np.uint64(1)) * _MIX2)
         for batch in batches:
             ids, comps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sigs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            sigs, seen = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES), _seen(batch.column(3))
             for root in roots:
                 rows, keys = np.arange(len(ids)), np.full(len(ids), root)
                 for _ in range(first_depth):
                     keys, row = _children(keys, sigs[rows], similarity)
                     rows = rows[row]
-                yield _node_batch((keys, ids[rows], comps[rows], sigs[rows]))
+                yield _node_batch((keys, ids[rows], comps[rows], sigs[rows], seen[rows]))
 
-    level = classes.select("id", "comp", "sig").mapInArrow(seed, _NODE)
+    level = classes.select("id", "comp", "sig", "seen").mapInArrow(seed, _NODE)
     met, rows = None, 2 * total * len(trees)
     node = Window.partitionBy("key")
     while True:
         last = depth >= MAX_DEPTH
         # Nodes of one component, those of one class among them, have nothing to join.
-        nodes = level.where("NOT meets").select("key", "id", "comp", "sig").repartition("key")
+        nodes = level.where("NOT meets").select("key", "id", "comp", "sig", "seen").repartition("key")
         open_ = nodes.withColumn("lo", F.min("comp").over(node)).withColumn("hi", F.max("comp").over(node)).where("lo < hi").drop("lo", "hi")
         # The order inside a node differs from node to node, so that leaders do.  Few rows need few tasks, which hold nodes whole.
         ordered = packed(open_, 8 * rows).sortWithinPartitions("key", F.xxhash64("key", "id"))
@@ -649,7 +685,7 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, i
     few = classes.count()
     audited = audited_pairs(classes)
     true = written(packed(confirmed(docs, written(audited), width, similarity, id_col, text_col), AUDITED * PARTNERS))
-    links = parts = None
+    links = parts = tried = None
 
     def added(found: DataFrame) -> None:
         nonlocal links, parts
@@ -657,13 +693,17 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, similarity: float, i
         parts = written(packed(connected_components(links), 2 * few))
 
     def labelled() -> DataFrame:
-        """The classes with the component that they are in."""
+        """The classes with the component that they are in and the meetings that they were in."""
         if parts is None:
-            return classes.select("id", "sig", F.col("id").alias("comp"))
-        return durable(classes.select("id", "sig").join(parts, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp")))
+            return classes.select("id", "sig", F.col("id").alias("comp"), F.array().cast("array<bigint>").alias("seen"))
+        seen = packed(tried.groupBy("id").agg(F.collect_list("key").alias("seen")), 2 * few)
+        own = classes.select("id", "sig").join(parts, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
+        return durable(own.join(seen, "id", "left"))
 
     def wave(some: range, first: bool = False) -> None:
+        nonlocal tried
         met = written(packed(meetings(labelled(), similarity, some, first), 2 * few))
+        tried = met if tried is None else tried.unionByName(met)
         added(compared(docs, met, width, similarity, id_col, text_col))
 
     def recall() -> float:
