@@ -96,6 +96,11 @@ def _with_org(df: DataFrame) -> DataFrame:
     return df
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row: a filter on them is not put in front of what makes them, where it would work them out again."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_once")).select(*[F.col(c) for c in df.columns], "_once.*")
+
+
 def _reachable(df: DataFrame) -> DataFrame:
     return df.where(access_decision(F.col("location"), F.col("title"), F.col("description_text"))["accessible"])
 
@@ -194,7 +199,7 @@ def idealist(search: DataFrame) -> DataFrame:
     hits = search.select(F.explode("hits").alias("h")).select("h.*").where("type = 'INTERNSHIP'")
     world = F.coalesce("remoteOk", F.lit(False)) & (F.col("remoteCountry").isNull() | (F.col("remoteCountry") == "ET"))
     text = html_to_text(F.coalesce("description", F.lit("")))
-    rows = hits.where(world | (F.col("country") == "ET")).withColumn("_text", text).where(F.length("_text") >= 80)
+    rows = _once(hits.where(world | (F.col("country") == "ET")), _text=text).where(F.length("_text") >= 80)
     place = F.when(world, "Remote").otherwise(F.concat_ws(", ", filled(F.col("city")), F.lit("Ethiopia")))
     name = collapse(F.col("name"))
     return listing(rows.select(
@@ -247,11 +252,12 @@ def oracle_hcm(search: DataFrame, details: DataFrame, origin: str, site: str) ->
 def successfactors(items: DataFrame, origin: str) -> DataFrame:
     """Items of a feed: the title ends with the duty station in brackets."""
     text = html_to_text(F.coalesce("description", F.lit("")))
-    rows = _with_org(items).withColumnRenamed("org_name", "_org").withColumn("_raw", collapse(F.col("title"))).drop("title").withColumn("_text", text).where(F.length("_text") >= 80)
+    told = _once(_with_org(items).withColumnRenamed("org_name", "_org"), _raw=collapse(F.col("title"))).drop("title").where(is_internship(F.col("_raw")))
+    rows = _once(told, _text=text).where(F.length("_text") >= 80)
     title = F.coalesce(filled(collapse(F.regexp_replace("_raw", r"\s*\([^)]*\)\s*$", ""))), F.col("_raw"))
     url = F.regexp_replace("link", r"[?#].*$", "")
     return _record(
-        rows.where(is_internship(F.col("_raw"))), "successfactors", source=F.concat(F.lit("successfactors:"), urls.host(F.lit(origin))), source_url=url, source_id=filled(F.regexp_extract(url, r"/job/[^/]*/(\d+)", 1)),
+        rows, "successfactors", source=F.concat(F.lit("successfactors:"), urls.host(F.lit(origin))), source_url=url, source_id=filled(F.regexp_extract(url, r"/job/[^/]*/(\d+)", 1)),
         org_name=F.coalesce("_org", urls.host(F.lit(origin))), title=title, location=filled(F.trim(F.regexp_extract("_raw", r"\(([^)]+)\)\s*$", 1))), description_html=F.col("description"),
         description_text=F.col("_text"), deadline=find_deadline(F.col("_text")), posted_at=instant(F.col("pubDate")), is_paid=detect_paid(title, F.col("_text")), stipend_text=extract_stipend(F.col("_text")),
     )
@@ -263,7 +269,7 @@ def wordpress(posts: DataFrame) -> DataFrame:
     title = collapse(decode_entities(F.col("title.rendered")))
     rows = _with_org(posts).withColumnRenamed("org_name", "_org").withColumn("_title", title).drop("title").where(is_internship(F.col("_title")) & ~matches(F.col("_title"), r"^\d+\+?\s") & F.col("link").isNotNull())
     read = read_pages(rows.select("id", "date", "_org", "_title", F.col("link").alias("url"), F.coalesce("content.rendered", F.lit("")).alias("html")), "blog")
-    rows = read.withColumn("_text", F.col("blog.text")).where("_text <> ''").withColumn("m", top_meta(F.col("_text")))
+    rows = _once(read.withColumn("_text", F.col("blog.text")).where("_text <> ''"), m=top_meta(F.col("_text")))
     place = F.coalesce("m.location", "m.duty_station", "m.work_location")
     return _record(
         rows, "wordpress", source=F.concat(F.lit("wordpress:"), urls.host(F.col("url"))), source_url=F.col("url"), source_id=F.col("id").cast("string"),
